@@ -1,7 +1,7 @@
 """Word shingles and weighted minhash, vectorised over a batch of texts.
 
 Words are what white space separates, in lower case; a shingle is five consecutive words, and a text with fewer words has
-one shingle of them all. A shingle's weight is how often it occurs.
+one shingle of them all. A shingle's weight grows slowly with how often it occurs.
 """
 
 from __future__ import annotations
@@ -74,6 +74,11 @@ def shingles(texts: list[str | None], n_words: int = WORDS) -> tuple[np.ndarray,
     return doc[where], total[where], np.diff(np.concatenate([where, [len(doc)]]))
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """A repeated shingle weighs little more than one that occurs once."""
+    return 1.0 + np.log(count) / 4.0
+
+
 def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, size: int, seed: int = 1) -> np.ndarray:
     """ProbMinHash signatures, ``n_docs`` x ``size``: the element that arrives first in each register.
 
@@ -109,7 +114,7 @@ def bands(signature: np.ndarray, n_bands: int) -> np.ndarray:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """(probability Jaccard of the counts, Jaccard of the sets) of two (sorted hashes, counts)."""
+    """(probability Jaccard of the weights, Jaccard of the sets) of two (sorted hashes, weights)."""
     if not len(a[0]) or not len(b[0]):
         return 0.0, 0.0
     _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
