@@ -1,13 +1,61 @@
-"""Corpus pipeline: language ID, near-duplicate removal, secret redaction, mixing, packing."""
+"""Corpus pipeline: language ID, near-duplicate removal, secret redaction, mixing, packing.
+
+Each stage takes the documents its predecessor kept and decides on all of them:
+
+1. ``language_id`` drops documents whose language the compression classifier rejects; it learns from the labelled rows
+   of its input.
+2. ``near_duplicates`` keeps one document of each near-duplicate class.
+3. ``secret_scan`` replaces every secret it finds by its kind in brackets; all documents stay.
+4. ``source_mixing`` brings the domains that the labels table teaches to their target shares of tokens: documents are
+   left out or repeated by their fitted rates.
+5. ``best_fit_packing`` tokenises what is left and places every piece in a sequence.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from veridock.llm import langid, mixing, neardup, packing, secrets
+from veridock.llm.common import table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.representatives(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sampled(docs, mixing.domains_of_labels(table(spark, sf_dir, "labels")), mixing.TARGETS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: No stage can be stated in SQL: compression, signatures and tokenizers decide.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage keeps is written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = written(docs, name)
     return docs

@@ -59,7 +59,7 @@ def _features(rows: DataFrame) -> DataFrame:
         "m_word": letters / some,
         "m_letters": letters / F.greatest(F.col("_n"), F.lit(1)),
     }
-    return out.select(*[c for c in out.columns if not c.startswith("_")], *[m.cast("double").alias(n) for n, m in measures.items()])
+    return out.select(*[c for c in out.columns if c not in ("_n", "_words")], *[m.cast("double").alias(n) for n, m in measures.items()])
 
 
 def _adding(weights: Column):
