@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,7 +35,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces of a shard, and words of a generation whose ids a worker remembers.
 SHARD = 50_000
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 _CLOSING = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -64,8 +65,8 @@ class Words:
 
     def _encode(self, parts: list[str]) -> None:
         letters = [p for p in parts if p.isalpha()]
-        for k in range(0, len(letters), 5000):
-            some = letters[k : k + 5000]
+        for k in range(0, len(letters), 2000):
+            some = letters[k : k + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             after = np.flatnonzero(self.ends[ids]) + 1
             if len(after) != len(some) or after[-1] != len(ids):
@@ -81,26 +82,36 @@ class Words:
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
             self.parts[part] = np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[list[str]]) -> list[bytes]:
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         if len(self.parts) > REMEMBERED:
             self.parts = {}
-        young, old = self.young, self.old
-        new = {w for words in texts for w in words if w not in young}
+        young, old, parts = self.young, self.old, self.parts
         cut, wanted = [], set()
-        for w in new:
+        for w in words:
+            if w in young:
+                continue
             if w in old:
                 young[w] = old[w]
                 continue
-            stem = w.rstrip(_CLOSING)
-            pair = (stem, w[len(stem) :]) if stem and len(stem) < len(w) and stem[-1].isalpha() else (w, "")
-            cut.append((w, pair))
-            wanted.update(p for p in pair if p not in self.parts)
-        self._encode(list(wanted))
-        for w, (stem, rest) in cut:
-            young[w] = self.parts[stem] + self.parts[rest]
-        return [b"".join(map(young.__getitem__, words)) for words in texts]
+            stem, rest = w.rstrip(_CLOSING), ""
+            if len(stem) == len(w) or not stem or not stem[-1].isalpha():
+                stem = w
+            else:
+                rest = w[len(stem) :]
+                if rest not in parts:
+                    wanted.add(rest)
+            if stem not in parts:
+                wanted.add(stem)
+            cut.append((w, stem, rest))
+        if wanted:
+            self._encode(list(wanted))
+        parts[""] = b""
+        for w, stem, rest in cut:
+            young[w] = parts[stem] + parts[rest]
+        return [young[w] for w in words]
 
 
 class Tokenize:
@@ -124,41 +135,57 @@ class Tokenize:
             _CACHE[key] = (loaded, Words(loaded) if self.by_word else None)
         return _CACHE[key]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit, separator included."""
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, separators included, unsigned 32-bit; where each text's ids end)"""
         tokenizer, words = self._state()
-        end = np.array([self.separator], "<u4").tobytes()
-        whole = lambda some: [np.array(e.ids, "<u4").tobytes() + end for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return whole([t or "" for t in texts])
-        split, apart = [], {}
-        for i, t in enumerate(texts):
-            low = (t or "").lower()
-            if any(x in low for x in self.special):
-                apart[i] = t  # the tokenizer looks for its special tokens before anything else
-            if "\u03a3" in (t or ""):
-                low = t  # the lower case of a final sigma depends on its neighbours here but not in the tokenizer
-            split.append([] if i in apart else low.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        found = [ids + end for ids in words(split)]
-        for i, ids in zip(apart, whole(list(apart.values())), strict=True) if apart else ():
-            found[i] = ids
-        return found
+            return self._joined([np.array([*e.ids, self.separator], "<u4") for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
+        # only ASCII is lower-cased here: anything else may depend on its neighbours
+        lower = pc.ascii_lower(texts)
+        for x in self.special:  # the tokenizer looks for its special tokens before anything else
+            if pc.any(pc.match_substring(lower, x)).as_py():
+                rows = [self.flat(texts.slice(i, 1))[0] if not any(s in t for s in self.special) else np.array([*tokenizer.encode(raw, add_special_tokens=False).ids, self.separator], "<u4") for i, (t, raw) in enumerate(zip(lower.to_pylist(), texts.to_pylist(), strict=True))]
+                return self._joined(rows)
+        split = pc.ascii_split_whitespace(lower)
+        coded = split.flatten().dictionary_encode()
+        ids = words(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join([*ids, np.array([self.separator], "<u4").tobytes()]), "<u4")
+        size = np.append(size, 1)
+        first = np.cumsum(size) - size
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        word = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(ids))
+        count = size[word]
+        stop = np.cumsum(count)
+        at = np.repeat(first[word] - (stop - count), count)
+        at += np.arange(len(at))
+        return table[at], stop[ends + np.arange(len(ends))]
+
+    @staticmethod
+    def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, "<u4"), *rows]), np.cumsum([len(r) for r in rows], dtype=np.int64)
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit, separator included."""
+        ids, ends = self.flat(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) else []
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 4 * self.capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = []
-                for i, ids in zip(part.column("doc_id").to_pylist(), self.ids(part.column("text").to_pylist()), strict=True):
-                    for k, s in enumerate(range(0, len(ids), step)):
-                        cut = ids[s : s + step]
-                        rows.append((i, k, s // 4, len(cut) // 4, zlib.crc32(cut), cut))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                last = 6 if self.keep_ids else 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:last], types[:last], strict=True)], names=names[:last])
+            ids, ends = self.flat(batch.column("text"))
+            data = memoryview(ids).cast("B")
+            rows, a = [], 0
+            for i, b in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                for k, s in enumerate(range(a, b, self.capacity)):
+                    e = min(b, s + self.capacity)
+                    rows.append((i, k, s - a, e - s, zlib.crc32(data[4 * s : 4 * e]), bytes(data[4 * s : 4 * e]) if self.keep_ids else None))
+                a = b
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            last = 6 if self.keep_ids else 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:last], types[:last], strict=True)], names=names[:last])
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
