@@ -1,0 +1,82 @@
+"""Mixing: the fit against numpy, targets met, defined cases."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from veridock.llm import mixing
+
+SCHEMA = "doc_id long, text string, rate string, tokens int"
+
+
+def docs():
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(300):
+        own = ["red", "green", "blue"][i % 3]
+        words = rng.choice([f"{own}{k}" for k in range(8)] + [f"w{k}" for k in range(30)], int(rng.integers(5, 80)))
+        rows.append((i, " ".join(words), "x", 0))
+    return rows
+
+
+LABELS = [(i, ["red", "green", "blue"][i % 3]) for i in range(0, 300, 2)]
+TARGETS = {"red": 0.5, "green": 0.3, "blue": 0.2}
+
+
+def test_targets_are_met_and_classifier_generalises(spark):
+    df = spark.createDataFrame(docs(), SCHEMA)
+    out = mixing.mix(df, spark.createDataFrame(LABELS, "doc_id long, domain string"), TARGETS).collect()
+    total = sum(r.tokens for r in out)
+    for d, share in TARGETS.items():
+        assert abs(sum(r.tokens * r[f"p_{d}"] * r.rate for r in out) / total - share) < 2e-4
+    held = [r for r in out if r.doc_id % 2]
+    assert sum(max(TARGETS, key=lambda d: r[f"p_{d}"]) == ["red", "green", "blue"][r.doc_id % 3] for r in held) / len(held) > 0.9
+    assert all(r.rate >= 0 and abs(sum(r[f"p_{d}"] for d in TARGETS) - 1) < 1e-9 for r in out)
+
+
+def test_rates_are_projected_gradient_descent(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.4] * 3, 200)
+    n = rng.integers(1, 100, 200)
+    df = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "tokens long, p0 double, p1 double, p2 double")
+    goals = [0.7, 0.3, 0.0]
+    got = np.array([r[0] for r in df.select(mixing.rates(df, goals, 25, 0.0)).collect()])
+    w = n / n.sum()
+    size = p.T @ w
+    gram = np.einsum("i,ij,ik->jk", w, p, p) / np.sqrt(np.outer(size, size))
+    step, r = 1 / np.abs(gram).sum(axis=1).max(), np.ones(200)
+    before = None
+    for _ in range(25):
+        error = p.T @ (w * r) - goals
+        assert before is None or (error**2 / size).sum() <= before + 1e-12
+        before = (error**2 / size).sum()
+        r = np.maximum(0, r - step * p @ (error / size))
+    assert np.allclose(got, r, atol=1e-9) and (r == 0).any()
+
+
+def test_sampling_follows_the_rates(spark):
+    df = spark.createDataFrame(docs(), SCHEMA)
+    labelled = spark.createDataFrame(LABELS, "doc_id long, domain string")
+    out = mixing.sampled(df, labelled, TARGETS)
+    assert out.columns == df.columns
+    count = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    for r in mixing.mix(df, labelled, TARGETS).collect():
+        assert np.floor(r.rate) <= count.get(r.doc_id, 0) <= np.floor(r.rate) + 1
+
+
+def test_defined_cases(spark):
+    rows = [*docs()[:60], (900, None, "x", 0), (901, "", "x", 0), (None, "red1 red2", "x", 0), docs()[3], (902, "red1 " * 20000, "x", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([*LABELS, (0, "zzz"), (None, "red"), (4, None), (99999, "red")], "doc_id long, domain string")
+    out = mixing.mix(df, labels, TARGETS).collect()
+    assert len(out) == len(rows) and sum(r.doc_id == 3 for r in out) == 2
+    assert {r.tokens for r in out if r.doc_id in (900, 901)} == {0}
+    none = mixing.mix(df, labels.limit(0), TARGETS).collect()
+    assert {r.rate for r in none} == {1.0} and none[0].p_red is None
+    assert mixing.mix(df.limit(0), labels, TARGETS).count() == 0
+    assert mixing.sampled(df.limit(0), labels, TARGETS).count() == 0
+
+
+def test_labels_table(spark):
+    rows = [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, None), (None, 1, 0)]
+    out = mixing.domains_of_labels(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()
+    assert [r.domain for r in out] == ["high", "low", "toxic", None, "high"]

@@ -1,0 +1,31 @@
+"""The pipeline stage by stage."""
+
+import corpus_pipeline as c
+from tests.conftest import DATA
+from veridock.llm import secrets
+from veridock.llm.common import written
+from tests.llm.test_neardup import sets
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    kept = {}
+    for name, stage in c.STAGES:
+        out = written(stage(spark, docs, DATA), name)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+        kept[name] = out.collect()
+        docs = out
+    ids = {n: {r.doc_id for r in rows} for n, rows in kept.items()}
+    assert len(ids["language_id"]) > 0.97 * len(before)
+    texts = [sets(r.text) for r in kept["near_duplicates"]]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(texts) for b in texts[:i])
+    assert ids["secret_scan"] == ids["near_duplicates"]
+    assert not any(s for r in kept["secret_scan"] for s in secrets.scan(r.text) if s[0] in secrets.BASE)
+    assert all(r.n_chars == len(r.text) for r in kept["secret_scan"] if r.text != before[r.doc_id])
+    assert ids["source_mixing"] <= ids["secret_scan"] and ids["best_fit_packing"] == ids["source_mixing"]
+
+
+def test_run(spark):
+    assert c.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -1,0 +1,47 @@
+"""URL filter against a rule-by-rule judgement."""
+
+import itertools
+
+from veridock.llm import urlfilter as u
+
+URLS = [None, "", "no scheme", "http://", "https://EXAMPLE.org/es/x?y#z", "http://example.org/en/12", "http://sub.example.org/en/2", "http://notexample.org/es/1", "http://a.com/de/", "http://a.com/fr/q", "http://a.com", "http://com/fr/", "ftp://x://org/", "http://adult-x.example.com", "http://m.adult-x.example.com/de/1", "http://adult-x.example.com/fr/", "http://x.net/é", "http://a.com:80/de/"]
+
+
+def judged(url, rules, listed):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:].split("#")[0].split("?")[0]
+
+    def best(entries, path):
+        fit = [(len(e), e.index("/"), e, v) for v, e in entries if (host == e[: e.index("/")] or host.endswith("." + e[: e.index("/")])) and path.startswith(e[e.index("/") :])]
+        return max(fit) if fit else None
+
+    rule, hit = best(rules, path), best([(u.BLOCK, e) for e in listed], path or "/")
+    return host, path, rule and rule[2], hit and hit[2], rule[3] if rule else u.BLOCK if hit else u.ALLOW
+
+
+def test_every_rule(spark):
+    rows = [(i, x, "h", "p") for i, x in enumerate(URLS + URLS[:3])]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, path string")
+    out = {r.page_id: tuple(r)[1:] for r in u.judge(df, u.RULES, u.LISTED).collect()}
+    assert out == {i: judged(x, u.RULES, u.LISTED) for i, x, *_ in rows}
+
+
+def test_many_rules_and_collisions(tmp_path, monkeypatch):
+    hosts, paths = ["a.b", "b", "c.b", "x"], ["/", "/p", "/p/q"]
+    rules = [((u.ALLOW, u.BLOCK)[i % 2], h + p) for i, (h, p) in enumerate(itertools.product(hosts, paths))][::2]
+    monkeypatch.setattr(u.xxhash, "xxh64_intdigest", lambda text, seed=0: len(text) % 3)  # nearly everything collides
+    path = tmp_path / "index"
+    path.write_bytes(u.build_index(rules))
+    index = u.Index(str(path))
+    urls = [f"http://{s}{h}{p}{t}" for s in ("", "s.") for h in [*hosts, "y"] for p in ("", *paths) for t in ("", "z")]
+    probes = [judged(x, rules, ())[:3] for x in urls]
+    assert [b and b[0] for b in index.longest([h for h, _, _ in probes], [p for _, p, _ in probes])] == [r for _, _, r in probes]
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "page_id long, url string")
+    assert u.judge(df, u.RULES).count() == 0
+    df = spark.createDataFrame([(1, "http://a.com/de/")], "page_id long, url string")
+    assert u.judge(df, ()).first().verdict == u.ALLOW

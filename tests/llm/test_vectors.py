@@ -1,0 +1,97 @@
+"""Vector searches against brute force."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from veridock.llm import ann, topk
+
+SCHEMA = "vec_id long, embedding array<float>, score string, ids int"
+
+
+def rows(n, dim, seed=1, equal=0):
+    rng = np.random.default_rng(seed)
+    data = rng.normal(size=(n, dim)).astype(np.float32)
+    data[:equal] = data[0]
+    return [(i, v.tolist(), "x", 0) for i, v in enumerate(data)]
+
+
+ODD = [(1000, None, "x", 0), (1001, [], "x", 0), (1002, [float("nan")] * 8, "x", 0), (1003, [None] + [1.0] * 7, "x", 0), (1004, [float("inf")] * 8, "x", 0), (None, [1.0] * 8, "x", 0), (1005, [0.0] * 8, "x", 0), (1006, [1.0, 2.0], "x", 0), (1050, [1.0, 3.0], "x", 0), (1007, [3e38] * 8, "x", 0)]
+
+
+def brute(data, every, k, score, smallest, zero):
+    fine = {}
+    for i, v, *_ in data:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v)):
+            fine.setdefault(i, []).append(np.array(v, np.float32).astype(float))
+    out = []
+    for q in fine:
+        if q % every == 0:
+            best = {}
+            for x in fine[q]:
+                for c, vs in fine.items():
+                    for v in vs:
+                        if c != q and len(v) == len(x):
+                            s = score(x, v)
+                            best[c] = s if c not in best else (min if smallest else max)(s, best[c])
+            order = sorted(best, key=lambda c: (best[c] if smallest else -best[c], c))[:k]
+            out += [(q, r + 1, c, best[c]) for r, c in enumerate(order)]
+    return sorted(out)
+
+
+def dot(a, b):
+    return int(np.floor(256 * a).astype(int) @ np.floor(256 * b).astype(int))
+
+
+def test_topk_is_exact(spark):
+    for data in (rows(700, 8) + ODD[:-1] + [rows(1, 8, 9)[0]], rows(300, 8, 2, equal=150), rows(3, 8)):
+        df = spark.createDataFrame(data, SCHEMA).repartition(3)
+        out = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+        assert out == brute(data, 50, 5, dot, False, True)
+
+
+def test_topk_leaves_out_what_has_no_32_bits(spark):
+    df = spark.createDataFrame(rows(60, 8) + ODD, SCHEMA)
+    assert not any(1007 in (r.query_id, r.vec_id) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+
+
+def test_ranges_below_the_kth_are_not_scored():
+    rng = np.random.default_rng(1)
+    clusters = np.repeat(np.eye(16) * 200, 64, axis=0) + rng.integers(-3, 3, (1024, 16))
+    ids, vectors = topk.gathered(np.arange(1024), clusters)
+    queries = clusters[::100]
+    held = [(np.zeros(0, int), np.zeros(0)) for _ in queries]
+    scored = topk.Ranges(ids, vectors, 64).search(np.arange(0, 1024, 100), queries, held, 5)
+    assert scored < 0.4 * len(queries) * 16
+    for q, x, (i, _) in zip(range(0, 1024, 100), queries, held, strict=True):
+        s = clusters @ x
+        assert i.tolist() == [c for c in np.lexsort((np.arange(1024), -s)) if c != q][:5]
+
+
+def test_nearest_on_small_tables_is_exact(spark):
+    distance = lambda a, b: float(np.sqrt(((a - b) ** 2).sum()))
+    for data in (rows(400, 8) + ODD[:-1], rows(300, 8, 2, equal=120) + [rows(1, 8, 9)[0]], rows(4, 8)):
+        df = spark.createDataFrame(data, SCHEMA).repartition(2)
+        out = sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect())
+        want = brute(data, 100, 10, distance, True, False)
+        assert [r[:3] for r in out] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in out], [r[3] for r in want], rtol=1e-12)
+
+
+def test_recall_of_the_forest():
+    data = np.random.default_rng(3).normal(size=(8192, 64))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    q = np.arange(0, 8192, 200)
+    found = list(ann.Block(np.arange(8192), data, 10).search(q, data[q]))
+    hit = 0
+    for i, (near, score) in zip(q, found, strict=True):
+        exact = np.sqrt(((data - data[i]) ** 2).sum(axis=1))
+        exact[i] = np.inf
+        hit += len(set(near) & set(np.argsort(exact)[:10]))
+        assert np.allclose(score, exact[near])
+    assert hit / (10 * len(q)) > 0.9
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert topk.top_k(df, F.col("vec_id") % 50 == 0).count() == 0
+    assert ann.nearest(df, F.col("vec_id") % 100 == 0).count() == 0

@@ -132,6 +132,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, x, gram, context = anchors(data, ends)
         own, at = ids[doc], check[doc] + x
         order = np.lexsort((at, own, context, gram))
+        order = order[_heads(gram[order], context[order], own[order], at[order])]  # a repeated row is not its own repeat
         gram, context, own, at = gram[order], context[order], own[order], at[order]
         repeat = ~_heads(gram, context)
         k = np.where(repeat, mix(own.view(np.uint64) ^ mix(at.view(np.uint64))), gram)
@@ -145,17 +146,21 @@ class _Resolve:
     """Anchors sorted by hash, context and place to repeats and candidates; holds one anchor's contexts up to a bound."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, flushed = (None, None), None, 0
+        last, held, flushed = (None,) * 4, None, 0
         for batch in batches:
             k, context, own, at, repeat = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "context", "doc_id", "at", "repeat"))
             if repeat.any():
                 yield self.rows(own[repeat], at[repeat], context[repeat], k[repeat], 0, False, True)
                 k, context, own, at = (c[~repeat] for c in (k, context, own, at))
+            once = _heads(k, context, own, at)
+            if len(k) and (k[0], context[0], own[0], at[0]) == last:
+                once[0] = False
+            k, context, own, at = (c[once] for c in (k, context, own, at))
             if not len(k):
                 continue
             new = _heads(k, context)
-            new[0] = (k[0], context[0]) != last
-            last = (k[-1], context[-1])
+            new[0] = (k[0], context[0]) != last[:2]
+            last = (k[-1], context[-1], own[-1], at[-1])
             if not new.all():
                 yield self.rows(own[~new], at[~new], context[~new], k[~new], 0, False, True)
             rows = tuple(c[new] for c in (own, at, context, k))

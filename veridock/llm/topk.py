@@ -31,10 +31,11 @@ RANGE = 256
 
 
 def gathered(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are alike next to each other, so that the maxima of a range are tight: by the signs of the components
-    that vary most."""
+    """Rows that are alike next to each other, so that the maxima of a range are tight: by the halves of their span that
+    the components that vary most are in."""
     chosen = np.argsort(-vectors.astype(float).var(axis=0), kind="stable")[:16]
-    order = np.lexsort([ids, *(vectors[:, c] > 0 for c in chosen[::-1])])
+    middle = (vectors.max(axis=0).astype(float) + vectors.min(axis=0)) / 2
+    order = np.lexsort([ids, *(vectors[:, c] > middle[c] for c in chosen[::-1])])
     return ids[order], vectors[order]
 
 
