@@ -4,9 +4,9 @@ Each 100-byte string that also starts earlier is found, byte by byte and across
 
 1. Anchors. Of the 77 24-byte strings within any 100 bytes the one of smallest hash is an anchor; equal 100-byte strings
    have equal anchors at equal places. An anchor is one row: its hash, a hash of its context (the bytes of all 100-byte
-   strings around it) and its place. Anchors with equal context in a batch are settled before the shuffle.
+   strings that have it) and its place. Anchors with equal context in a batch are settled before the shuffle.
 2. Rows meet by anchor and pass through sorted. Of equal contexts all but the first are repeats as a whole. Contexts that
-   are alone with their anchor occur once. The rest, mostly the edges of repeated passages, are candidates.
+   are alone with their anchor, or share neither side of it with another, have nothing that repeats. The rest, mostly the edges of repeated passages, are candidates.
 3. Candidates' contexts are cut from the texts and go through the interval expansion of ``bwt``, in blocks of bounded
    size; it finds which of their 100-byte strings are equal, and all but the earliest of each class are repeats. An anchor
    with very many different contexts is spread over several blocks; the classes these find are then brought together by
@@ -39,6 +39,7 @@ from veridock.llm.shingles import _BASE, _BYTE, _INVERSE, mix, powers
 
 LEAST, GRAM = 100, 24
 WINDOW = LEAST - GRAM + 1
+SIDE = (LEAST - GRAM) // 2
 #: Bytes that are hashed at once, contexts of an anchor in one block, bytes of contexts in one block, bits of the bitmap.
 SEGMENT, CONTEXTS, BLOCK, BITS = 1 << 20, 2000, 1 << 20, 1 << 24
 NO_ID = -(1 << 63)
@@ -67,14 +68,16 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return powers(_BASE, SEGMENT + 4 * LEAST), powers(_INVERSE, SEGMENT + 4 * LEAST)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document number, place in it, anchor hash, context hash) of all anchors. The context hash holds the context's
-    reach to the left and right in its low 14 bits."""
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document number, place in it, anchor hash, context hash, side hashes) of all anchors. A context is what the strings
+    that have the anchor cover; its hash holds its reach to the left and right in its low 14 bits. The side hashes are 32 bits each for the anchor with half
+    of the other bytes of a string to its left and to its right, 0 where the document does not reach that far."""
     starts = np.concatenate([[0], ends[:-1]])
     up, down = _powers()
     found = []
-    for s in range(0, len(data), SEGMENT):
-        a, b = max(0, s - LEAST), min(len(data), s + SEGMENT + 2 * LEAST)
+    for s in range(0, len(data), SEGMENT):  # anchors from s on, with all strings around them
+        e = min(len(data), s + SEGMENT)
+        a, b = max(0, s - WINDOW + 1), min(len(data), e + LEAST)
         part = data[a:b]
         if len(part) < LEAST:
             continue
@@ -85,25 +88,25 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         first, last = np.searchsorted(ends, [a, b - 1], side="right")
         limit = np.minimum(ends[first : last + 1], b)
         room = np.repeat(ends[first : last + 1], limit - np.maximum(starts[first : last + 1], a))[: len(least)] - np.arange(a, a + len(least))
-        least[room < LEAST] = 0
-        least[: s - a] = 0
-        least[min(len(least), s + SEGMENT - a) :] = 0
+        least[room < LEAST] = 0  # strings do not cross documents
         around = np.zeros(len(rank) + WINDOW - 1, np.uint32)
         around[WINDOW - 1 : WINDOW - 1 + len(least)] = least
         x = np.flatnonzero(_slide(around, WINDOW, np.maximum) == rank)
+        x = x[(x + a >= s) & (x + a < e)]
         if not len(x):
             continue
-        doc = np.searchsorted(ends, x + a, side="right")
-        lead = np.minimum(LEAST - GRAM, x + a - starts[doc])
-        tail = np.minimum(LEAST, ends[doc] - (x + a))
+        chosen = around[x[:, None] + np.arange(WINDOW)] == rank[x][:, None]  # strings from the earliest on that have the anchor
+        lead = WINDOW - 1 - chosen.argmax(axis=1)
+        tail = LEAST - chosen[:, ::-1].argmax(axis=1)
         context = mix((summed[x + tail] - summed[x - lead]) * down[x - lead])
         context = (context & _U(~0x3FFF & 0xFFFFFFFFFFFFFFFF)) | ((lead << 7) | tail).astype(np.uint64)
-        found.append((doc, x + a, gram[x], context))
+        left, right = np.maximum(x - SIDE, 0), np.minimum(x + GRAM + SIDE, len(part))
+        sides = [np.where(fits, np.maximum(mix((summed[q] - summed[p]) * down[p]) >> _U(32), _U(1)), _U(0)) for p, q, fits in ((left, x + GRAM, lead >= SIDE), (x, right, tail >= GRAM + SIDE))]
+        found.append((np.searchsorted(ends, x + a, side="right"), x + a, gram[x], context, (sides[0] << _U(32)) | sides[1]))
     if not found:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    doc, x, gram, context = (np.concatenate(c) for c in zip(*found, strict=True))
-    _, once = np.unique(x, return_index=True)  # segments overlap
-    return doc[once], x[once] - starts[doc[once]], gram[once], context[once]
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 3
+    doc, x, gram, context, sides = (np.concatenate(c) for c in zip(*found, strict=True))
+    return doc, x - starts[doc], gram, context, sides
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -122,24 +125,34 @@ def _place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return data, ends, batch.column("doc_id").to_numpy(), check << 32
 
 
-_ANCHOR = "k long, context long, doc_id long, at long, repeat boolean"
+_ANCHOR = "k long, context long, doc_id long, at long, sides long, repeat boolean"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to anchors; those that repeat a context of their batch are marked and dealt out by themselves."""
     for batch in batches:
         data, ends, ids, check = _place(batch)
-        doc, x, gram, context = anchors(data, ends)
+        doc, x, gram, context, sides = anchors(data, ends)
         own, at = ids[doc], check[doc] + x
         order = np.lexsort((at, own, context, gram))
         order = order[_heads(gram[order], context[order], own[order], at[order])]  # a repeated row is not its own repeat
-        gram, context, own, at = gram[order], context[order], own[order], at[order]
+        gram, context, own, at, sides = gram[order], context[order], own[order], at[order], sides[order]
         repeat = ~_heads(gram, context)
         k = np.where(repeat, mix(own.view(np.uint64) ^ mix(at.view(np.uint64))), gram)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(context.view(np.int64)), pa.array(own), pa.array(at), pa.array(repeat)], names=["k", "context", "doc_id", "at", "repeat"])
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(context.view(np.int64)), pa.array(own), pa.array(at), pa.array(sides.view(np.int64)), pa.array(repeat)], names=["k", "context", "doc_id", "at", "sides", "repeat"])
 
 
-_RESOLVED = "doc_id long, at long, context long, k long, chunk int, hot boolean, repeat boolean"
+_RESOLVED = "doc_id long, at long, context long, k long, sides long, chunk int, hot boolean, repeat boolean"
+
+
+def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which rows share a side that is there with another row of their group."""
+    order = np.lexsort((side, group))
+    head = np.flatnonzero(_heads(group[order], side[order]))
+    size = np.diff(np.concatenate([head, [len(order)]]))
+    out = np.zeros(len(order), bool)
+    out[order] = np.repeat(size > 1, size)
+    return out & (side != 0)
 
 
 class _Resolve:
@@ -148,22 +161,22 @@ class _Resolve:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, flushed = (None,) * 4, None, 0
         for batch in batches:
-            k, context, own, at, repeat = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "context", "doc_id", "at", "repeat"))
+            k, context, own, at, sides, repeat = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "context", "doc_id", "at", "sides", "repeat"))
             if repeat.any():
-                yield self.rows(own[repeat], at[repeat], context[repeat], k[repeat], 0, False, True)
-                k, context, own, at = (c[~repeat] for c in (k, context, own, at))
+                yield self.rows(own[repeat], at[repeat], context[repeat], k[repeat], sides[repeat], 0, False, True)
+                k, context, own, at, sides = (c[~repeat] for c in (k, context, own, at, sides))
             once = _heads(k, context, own, at)
             if len(k) and (k[0], context[0], own[0], at[0]) == last:
                 once[0] = False
-            k, context, own, at = (c[once] for c in (k, context, own, at))
+            k, context, own, at, sides = (c[once] for c in (k, context, own, at, sides))
             if not len(k):
                 continue
             new = _heads(k, context)
             new[0] = (k[0], context[0]) != last[:2]
             last = (k[-1], context[-1], own[-1], at[-1])
             if not new.all():
-                yield self.rows(own[~new], at[~new], context[~new], k[~new], 0, False, True)
-            rows = tuple(c[new] for c in (own, at, context, k))
+                yield self.rows(own[~new], at[~new], context[~new], k[~new], sides[~new], 0, False, True)
+            rows = tuple(c[new] for c in (own, at, context, k, sides))
             held = rows if held is None else tuple(np.concatenate(c) for c in zip(held, rows, strict=True))
             if not len(held[3]):
                 continue
@@ -186,15 +199,17 @@ class _Resolve:
         if flushed:
             chunk[: size[0]] += flushed
             hot[: size[0]] = True
-        kept = np.repeat(size > 1, size) | hot
+        # a string around the anchor has half of its other bytes on one side: no shared side, no shared string
+        sides, group = held[4].view(np.uint64), np.repeat(np.arange(len(head)), size)
+        kept = hot | _shared(group, sides >> _U(32)) | _shared(group, sides & _U(_LOW))
         if kept.any():
             yield self.rows(*(c[kept] for c in held), chunk[kept], hot[kept], False)
 
     @staticmethod
-    def rows(own, at, context, k, chunk, hot, repeat) -> pa.RecordBatch:
+    def rows(own, at, context, k, sides, chunk, hot, repeat) -> pa.RecordBatch:
         n = len(own)
         full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), n).astype(t))
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(at), pa.array(context), pa.array(k), full(chunk, np.int32), full(hot, bool), full(repeat, bool)], names=["doc_id", "at", "context", "k", "chunk", "hot", "repeat"])
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(at), pa.array(context), pa.array(k), pa.array(sides), full(chunk, np.int32), full(hot, bool), full(repeat, bool)], names=["doc_id", "at", "context", "k", "sides", "chunk", "hot", "repeat"])
 
 
 _CONTEXT = "k long, chunk int, hot boolean, doc_id long, start long, bytes binary"
@@ -360,7 +375,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slotted = rows.withColumn("slot", _slot().cast("long"))
     checked = F.crc32("text").bitwiseAND(F.lit(0x7FFFFFFF))
     kept = "doc_id long, text binary, slot long"
-    candidates = resolved.where("not repeat")
+    candidates = resolved.where("not repeat and not hot")
+    spread = resolved.where("hot").withColumn("left", F.expr("shiftrightunsigned(sides, 32)")).withColumn("right", F.expr("sides & 4294967295"))
+    for side in ("left", "right"):  # as for other anchors, but their rows never meet in one task
+        many = spread.where(F.col(side) != 0).groupBy("k", side).agg((F.count("*") > 1).alias(f"by_{side}")).where(f"by_{side}")
+        spread = spread.join(many, ["k", side], "left")
+    candidates = written(candidates.unionByName(spread.where("by_left or by_right").select(candidates.columns)), "candidates")
     asked = candidates.groupBy("doc_id", F.expr("shiftright(at, 32)").alias("check")).agg(F.collect_list(F.struct("at", "context", "k", "chunk", "hot")).alias("found"))
     some = _mapped(slotted, _Bitmap(_bitmap(candidates), True), kept).select("doc_id", "text", checked.alias("check")).dropDuplicates(["doc_id", "check"])
     contexts = _mapped(some.join(asked, ["doc_id", "check"]).select("doc_id", "check", "text", "found"), _cut, _CONTEXT)
