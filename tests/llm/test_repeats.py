@@ -71,7 +71,7 @@ def test_spread_anchor():
     import pyarrow as pa
 
     n = 7000
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.zeros(n, bool))], names=["k", "context", "doc_id", "at", "repeat"])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.zeros(n, bool))], names=["k", "context", "doc_id", "at", "sides", "repeat"])
     out = [r for cut in (batch.slice(a, 900) for a in range(0, n, 900)) for r in [cut]]
     rows = [r for b in suffixdup._Resolve()(iter(out)) for r in b.to_pylist()]
     assert len(rows) == n and all(r["hot"] and not r["repeat"] for r in rows)

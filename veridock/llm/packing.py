@@ -35,7 +35,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces of a shard, and words of a generation whose ids a worker remembers.
 SHARD = 50_000
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 _CLOSING = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -90,9 +90,7 @@ class Words:
             self.parts = {}
         young, old, parts = self.young, self.old, self.parts
         cut, wanted = [], set()
-        for w in words:
-            if w in young:
-                continue
+        for w in [w for w in words if w not in young]:
             if w in old:
                 young[w] = old[w]
                 continue
@@ -111,7 +109,7 @@ class Words:
         parts[""] = b""
         for w, stem, rest in cut:
             young[w] = parts[stem] + parts[rest]
-        return [young[w] for w in words]
+        return list(map(young.__getitem__, words))
 
 
 class Tokenize:
