@@ -112,14 +112,16 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     return Classifier(domains, [rows[d]["n"] / total for d in domains], words, empty, shapes)
 
 
-def predict(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tokens and a posterior p0, p1, ... for each of the classifier's domains."""
-    logs = _features(id_and_text(docs, id_col, text_col)).select("doc_id", "tokens", *[c.alias(f"l{k}") for k, c in enumerate(classifier.posteriors())])
+def predict(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """doc_id, tokens, a posterior p0, p1, ... for each of the classifier's domains and, if asked for, the row itself."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept_row")] * keep_row))
+    own = ["doc_id", "tokens", *["kept_row"] * keep_row]
+    logs = _features(rows).select(*own, *[c.alias(f"l{k}") for k, c in enumerate(classifier.posteriors())])
     names = [F.col(f"l{k}") for k in range(len(classifier.domains))]
     most = F.greatest(*names) if len(names) > 1 else names[0]
-    raised = logs.select("doc_id", "tokens", *[F.exp(n - most).alias(f"e{k}") for k, n in enumerate(names)])
+    raised = logs.select(*own, *[F.exp(n - most).alias(f"e{k}") for k, n in enumerate(names)])
     total = sum((F.col(f"e{k}") for k in range(1, len(names))), F.col("e0"))
-    return raised.select("doc_id", "tokens", *[(F.col(f"e{k}") / total).alias(f"p{k}") for k in range(len(names))])
+    return raised.select(*own, *[(F.col(f"e{k}") / total).alias(f"p{k}") for k in range(len(names))])
 
 
 def rates(scored: DataFrame, goals: list[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> Column:
@@ -166,25 +168,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
 
 def sampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` in the mixture, all columns as they are: a document of rate r is there floor(r) times, and once more with
-    the probability that is left, decided by a hash of its id and text. One pass over ``docs`` after the fit: rates are
-    expressions of the text, so nothing is joined."""
+    the probability that is left, decided by a hash of its id and text. The rows are stored with their posteriors, of
+    which rates are expressions, so nothing is joined."""
     model = fit(docs, labelled, id_col, text_col)
     if model is None:
         return docs
-    scored = written(predict(docs, model, id_col, text_col), "posteriors")
+    scored = written(predict(docs, model, id_col, text_col, keep_row=True), "posteriors")
     whole = sum(targets.values()) or 1.0
     rate = rates(scored, [targets.get(d, 0.0) / whole for d in model.domains], iterations, tolerance)
-    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held)
-    logs = _features(rows).select("_row", *[c.alias(f"l{k}") for k, c in enumerate(model.posteriors())])
-    names = [F.col(f"l{k}") for k in range(len(model.domains))]
-    most = F.greatest(*names) if len(names) > 1 else names[0]
-    raised = logs.select("_row", *[F.exp(n - most).alias(f"e{k}") for k, n in enumerate(names)])
-    total = sum((F.col(f"e{k}") for k in range(1, len(names))), F.col("e0"))
-    out = raised.select("_row", *[(F.col(f"e{k}") / total).alias(f"p{k}") for k in range(len(names))]).select("_row", rate.alias("_rate"))
-    draw = F.pmod(F.xxhash64(F.lit(11), F.col(f"_row.{id_col}"), F.col(f"_row.{text_col}")), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(F.col("_rate") + draw).cast("int")
-    return out.where(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row.*")
+    draw = F.pmod(F.xxhash64(F.lit(11), F.col(f"kept_row.`{id_col}`"), F.col(f"kept_row.`{text_col}`")), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(rate + draw).cast("int")
+    return scored.select("kept_row", times.alias("times")).where("times > 0").select("kept_row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("kept_row.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
