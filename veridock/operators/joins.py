@@ -35,8 +35,8 @@ def overlapping(intervals: DataFrame, key: str, id_col: str, start: str, end: st
 
 
 def closest_above(blocks: DataFrame, headings: DataFrame, page: str = "page") -> DataFrame:
-    """The heading above each block (bottom not below its top by more than 2) that overlaps it sideways, of smallest gap,
-    the first of equal ones. ``blocks``: page, id, x0, x1, top; ``headings``: page, hid, hx0, hx1, bottom."""
+    """The heading above each block (y grows upward; its bottom at most 2 below the block's top) that overlaps it sideways,
+    of smallest gap, the first of equal ones. ``blocks``: page, id, x0, x1, top; ``headings``: page, hid, hx0, hx1, bottom."""
     pairs = blocks.join(headings, page).where((F.col("bottom") >= F.col("top") - 2) & (F.least("x1", "hx1") > F.greatest("x0", "hx0")))
     gap = F.abs(F.col("bottom") - F.col("top"))
     return pairs.withColumn("_rank", F.row_number().over(W.partitionBy("id").orderBy(gap, "hid"))).where("_rank = 1").drop("_rank")
