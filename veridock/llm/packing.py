@@ -19,6 +19,7 @@ an empty result. Other columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -117,12 +118,15 @@ class Tokenize:
 
     def __init__(self, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False):
         self.tokenizer, self.capacity, self.separator, self.keep_ids = tokenizer, capacity, separator, keep_ids
-        parsed = json.loads(tokenizer)
+        # all but the vocabulary, which stands last and is large
+        at = tokenizer.index('"model"')
+        parsed = json.loads(tokenizer[:at].rstrip().removesuffix(",") + "}")
         kind = parsed.get("normalizer") or {}
         steps = [p.get("type") for p in kind.get("normalizers", [kind])]
-        #: by word only if case and white space are dropped before the ids are made, as word_bpe_49k has it
         self.special = [t["content"].lower() for t in parsed.get("added_tokens") or []]
-        self.by_word = "Replace" in steps and "Lowercase" in steps and "Removed" in str(parsed.get("pre_tokenizer")) and (parsed["model"].get("end_of_word_suffix") == "</w>")
+        #: by word only if case and white space are dropped before the ids are made, as word_bpe_49k has it
+        suffix = re.search(r'"end_of_word_suffix"\s*:\s*"</w>"', tokenizer[at:]) is not None
+        self.by_word = "Replace" in steps and "Lowercase" in steps and "Removed" in str(parsed.get("pre_tokenizer")) and suffix
 
     def _state(self) -> tuple:
         key = zlib.crc32(self.tokenizer.encode())
