@@ -47,10 +47,10 @@ def test_quotes(spark, quote, text, expected):
     assert one(spark, t.quoted_in("a", "b"), a=quote, b=text) is expected
 
 
-ALIASES = {"P1": ["optima secure"], "P2": ["optima secure+", "titanium"]}
+ALIASES = {"P1": ["golden shield"], "P2": ["golden shield+", "bluecare"]}
 
 
-@pytest.mark.parametrize("text, found", [("Optima Secure is", ["P1"]), ("Optima Secure+ is", ["P2"]), ("xtitanium", []), ("titanium and optima secure", ["P1", "P2"])])
+@pytest.mark.parametrize("text, found", [("Golden Shield is", ["P1"]), ("Golden Shield+ is", ["P2"]), ("xbluecare", []), ("bluecare and golden shield", ["P1", "P2"])])
 def test_names(spark, text, found):
     assert one(spark, t.names(ALIASES, t.normalised("x")), x=text) == found
 
@@ -70,7 +70,7 @@ def test_other_text(spark):
     assert one(spark, t.clean_title("x", "s"), x="", s="site") == "site"
     assert tuple(one(spark, t.backtick_kinds("x"), x="`500 and [`] or 4` years, it`s")) == (2, 1, 1)
     assert one(spark, t.rupees_shown("x"), x="`500 it`s") == "₹500 it`s"
-    assert one(spark, t.masked(["Optima"], F.col("x")), x="an Optima plan") == "an        plan"
+    assert one(spark, t.masked(["Golden"], F.col("x")), x="a Golden plan") == "a        plan"
     assert one(spark, t.marker_spans("x", F.col("k")), x="Cover(7) and Care OPD9", k=["7", "9", "5"]) == ["7", "9"]
     assert one(spark, t.precise_figures("x"), x="It has 12,345 employees, over 9,000 clients, since 1999") == ["12,345"]
     assert one(spark, t.tokens("x"), x="The Cover of 5 days, cover") == ["cover", "5", "days"]

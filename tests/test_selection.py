@@ -25,11 +25,11 @@ def test_selection(spark):
 
 
 def test_points(spark):
-    rows = [("p1", "M1", "We run 40 centres", "We run 40 centres, exactly", "It matters to 500 staff", ["exactly"], ["500 staff"], []), ("p2", "M1", "We run 40 centres", "We run 40 centres exactly", "x", [], ["f"], []), ("p3", "M2", None, "t", "x", [], ["f"], []), ("p4", "M3", "We run 40 centres", "We run 45 centres with Titanium", "for 9 people", ["exactly"], [], ["X9"])]
-    df = spark.createDataFrame(rows, "point_id string, record_id string, record_fact string, marsh_text string, link_text string, required array<string>, basis_values array<string>, unknown_exposures array<string>")
+    rows = [("p1", "M1", "We run 40 centres", "We run 40 centres, exactly", "It matters to 500 staff", ["exactly"], ["500 staff"], []), ("p2", "M1", "We run 40 centres", "We run 40 centres exactly", "x", [], ["f"], []), ("p3", "M2", None, "t", "x", [], ["f"], []), ("p4", "M3", "We run 40 centres", "We run 45 centres with Bluecare", "for 9 people", ["exactly"], [], ["X9"])]
+    df = spark.createDataFrame(rows, "point_id string, record_id string, record_fact string, capability_text string, link_text string, required array<string>, basis_values array<string>, unknown_exposures array<string>")
     num = lambda c: q.quantities(F.coalesce(c, F.lit("")), False)
-    df = df.withColumn("marsh_numbers", num(F.col("marsh_text"))).withColumn("record_numbers", num(F.col("record_fact"))).withColumn("link_numbers", num(F.col("link_text"))).withColumn("basis_numbers", num(F.array_join("basis_values", " ")))
-    got = {r.point_id: (r.problems, r.kept) for r in s.point_problems(df, {"P": ["titanium"]}).collect()}
+    df = df.withColumn("capability_numbers", num(F.col("capability_text"))).withColumn("record_numbers", num(F.col("record_fact"))).withColumn("link_numbers", num(F.col("link_text"))).withColumn("basis_numbers", num(F.array_join("basis_values", " ")))
+    got = {r.point_id: (r.problems, r.kept) for r in s.point_problems(df, {"P": ["bluecare"]}).collect()}
     assert got["p1"] == ([], True) and got["p2"] == ([], False) and got["p3"] == (["not a documented capability"], False)
     assert got["p4"][0] == ["changes a number", "keep exactly", "names a product", "needs company facts", "unknown exposures", "number not in the facts"]
 

@@ -89,7 +89,7 @@ def test_reports(spark, tmp_path):
     rows = sinks.report(results, claims, ev)
     assert [r.line for r in sinks.report_markdown(rows).orderBy("ord").collect()] == ["| c1 | VERIFIED | A / b | e2, e9 (missing) |", "| c2 | NEEDS_REVIEW | x |  |"]
     assert [r.line for r in sinks.evidence_dump(ev).orderBy("ord").collect()][0] == "BULLET 2"
-    steps = spark.createDataFrame([("r", 0, "a", None, 2.0, "ok", 1), ("r", 1, "b", None, 2.0, "ok", 1), ("r", 2, "c", "a", 9.0, "failed", 0)], "run_id string, index int, name string, parent string, seconds double, status string, gemini_calls int")
+    steps = spark.createDataFrame([("r", 0, "a", None, 2.0, "ok", 1), ("r", 1, "b", None, 2.0, "ok", 1), ("r", 2, "c", "a", 9.0, "failed", 0)], "run_id string, index int, name string, parent string, seconds double, status string, model_calls int")
     assert tuple(sinks.timing_report(steps).first()) == ("r", 4.0, "a", 2.0, 1, 2)
     sinks.write_table(ev, str(tmp_path / "t"))
     sinks.write_table(ev.limit(1), str(tmp_path / "t"))

@@ -53,7 +53,7 @@ def covered(status: Column, is_available: Column) -> Column:
 
 
 def repairable(status: Column, state: Column, slide: Column, attempts: Column, edited: Column, kind: Column) -> Column:
-    return status.isin(*FAILING) & (state != "REMOVED") & (slide != 2) & (attempts == 0) & ~edited & ~kind.isin("MARSH_STATEMENT", "NON_FACTUAL")
+    return status.isin(*FAILING) & (state != "REMOVED") & (slide != 2) & (attempts == 0) & ~edited & ~kind.isin("CAPABILITY_STATEMENT", "NON_FACTUAL")
 
 
 def summary(results: DataFrame, by: Sequence[str], status: str, live: Column) -> DataFrame:

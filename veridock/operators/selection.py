@@ -60,14 +60,14 @@ def selection_errors(selections: DataFrame, compared: DataFrame, exposures: Data
 def point_problems(points: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """What is wrong with slide points: undocumented record, changed numbers, dropped words, a product named, no basis,
     unknown exposures, numbers the facts do not have; and only the first point of a record stays. ``points`` has the
-    joined texts: point_id, record_id, record_fact (null if undocumented), marsh_text, link_text, required (array),
-    basis_values (array), unknown_exposures (array), and the parsed numbers marsh_numbers, record_numbers, link_numbers,
+    joined texts: point_id, record_id, record_fact (null if undocumented), capability_text, link_text, required (array),
+    basis_values (array), unknown_exposures (array), and the parsed numbers capability_numbers, record_numbers, link_numbers,
     basis_numbers."""
     fails = lambda c: ~c.isin("PASS", "NA")
-    dropped = F.filter("required", lambda w: ~F.contains(F.lower("marsh_text"), w))
-    both = t.normalised(F.concat_ws(" ", "marsh_text", "link_text"))
+    dropped = F.filter("required", lambda w: ~F.contains(F.lower("capability_text"), w))
+    both = t.normalised(F.concat_ws(" ", "capability_text", "link_text"))
     rules = [
-        F.when(fails(q.number_check(F.col("marsh_numbers"), F.col("record_numbers"))), "changes a number"),
+        F.when(fails(q.number_check(F.col("capability_numbers"), F.col("record_numbers"))), "changes a number"),
         F.when(F.size(dropped) > 0, F.concat(F.lit("keep "), F.array_join(dropped, ", "))),
         F.when(F.size(t.names(aliases, both)) > 0, "names a product"),
         F.when(F.size("basis_values") == 0, "needs company facts"),

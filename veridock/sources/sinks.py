@@ -48,5 +48,5 @@ def timing_report(steps: DataFrame) -> DataFrame:
     """Total, slowest step and number of failed steps of each run."""
     top = steps.where("parent is null")
     slow = top.groupBy("run_id").agg(F.max_by(F.struct("name", "seconds"), F.struct("seconds", -F.col("index"))).alias("s"), F.sum("seconds").alias("total"))
-    fails = steps.groupBy("run_id").agg(F.count_if(F.col("status") != "ok").alias("n_failed"), F.sum("gemini_calls").alias("n_calls"))
+    fails = steps.groupBy("run_id").agg(F.count_if(F.col("status") != "ok").alias("n_failed"), F.sum("model_calls").alias("n_calls"))
     return slow.join(fails, "run_id").select("run_id", "total", F.col("s.name").alias("slowest"), F.col("s.seconds").alias("slowest_seconds"), "n_failed", "n_calls")
