@@ -34,9 +34,9 @@ from veridock.llm.common import arrow_map, id_and_text, table, written
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Pieces of a shard, and words of a generation whose ids a worker remembers.
+#: Pieces of a shard, and parts of words of a generation whose ids a worker remembers.
 SHARD = 50_000
-REMEMBERED = 400_000
+REMEMBERED = 180_000
 
 _CLOSING = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -51,15 +51,15 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """Ids of words, each encoded once and remembered; the words of two generations are kept, so memory is bounded and
-    frequent ones stay. A word that ends in ASCII punctuation behind a letter is looked up as two parts, as the
-    vocabulary's own splitting has it."""
+    """Ids of words, each encoded once and remembered. A word that ends in ASCII punctuation behind a letter is looked up
+    as two parts, as the vocabulary's own splitting has it; what is remembered for long are parts, of which there are
+    fewer. Memory is bounded: of parts two generations are kept, so frequent ones stay, of words one."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -85,32 +85,31 @@ class Words:
 
     def __call__(self, words: list[str]) -> list[bytes]:
         """The ids of different words."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+        if len(self.words) > REMEMBERED // 2:
+            self.words = {}
         if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        young, old, parts = self.young, self.old, self.parts
+            self.old, self.parts = self.parts, {}
+        known, parts, old = self.words, self.parts, self.old
+        parts[""] = b""
         cut, wanted = [], set()
-        for w in [w for w in words if w not in young]:
-            if w in old:
-                young[w] = old[w]
-                continue
+        for w in [w for w in words if w not in known]:
             stem, rest = w.rstrip(_CLOSING), ""
             if len(stem) == len(w) or not stem or not stem[-1].isalpha():
                 stem = w
             else:
                 rest = w[len(stem) :]
-                if rest not in parts:
-                    wanted.add(rest)
-            if stem not in parts:
-                wanted.add(stem)
+            for part in (stem, rest):
+                if part not in parts:
+                    if part in old:
+                        parts[part] = old[part]
+                    else:
+                        wanted.add(part)
             cut.append((w, stem, rest))
         if wanted:
             self._encode(list(wanted))
-        parts[""] = b""
         for w, stem, rest in cut:
-            young[w] = parts[stem] + parts[rest]
-        return list(map(young.__getitem__, words))
+            known[w] = parts[stem] + parts[rest] if rest else parts[stem]
+        return list(map(known.__getitem__, words))
 
 
 class Tokenize:
@@ -160,8 +159,8 @@ class Tokenize:
         word = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(ids))
         count = size[word]
         stop = np.cumsum(count)
-        at = np.repeat(first[word] - (stop - count), count)
-        at += np.arange(len(at))
+        at = np.repeat((first[word] - (stop - count)).astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
         return table[at], stop[ends + np.arange(len(ends))]
 
     @staticmethod
@@ -174,7 +173,7 @@ class Tokenize:
         return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) else []
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             ids, ends = self.flat(batch.column("text"))
             data = memoryview(ids).cast("B")
             rows, a = [], 0
