@@ -171,3 +171,29 @@ def test_company_verdict(spark):
     verdict = claims.company_verdict(F.col("text"), F.lit("COMPANY_FACT"), F.lit(1), F.col("facts"), F.lit(True), F.lit(True), F.col("web"), F.col("cn"), F.col("fn"), F.lit("Acme"))
     assert [r[0] for r in df.select(verdict).collect()] == ["VERIFIED", "CONTRADICTED", "LABELLED_ASSUMPTION", "NEEDS_REVIEW", "NEEDS_REVIEW"]
     assert t is not None
+
+
+def test_policy_verdicts(spark):
+    ev = spark.createDataFrame([("E1", "P", True, "Room rent is paid up to ₹5,000 a day after 24 months"), ("E2", "Q", True, "Room rent is paid"), ("E3", "P", False, "Room rent")], "evidence_id string, document_id string, citable boolean, text string")
+    quote = [("E1", "room rent is paid up to INR 5,000")]
+    rows = [
+        ("ok", "Room rent up to ₹5,000 after 2 years", "VERIFIED", ["E1"], quote, None),
+        ("qualified", "Room rent is paid", "VERIFIED", ["E1"], quote, "after 24 months"),
+        ("badqualifier", "Room rent is paid", "VERIFIED", ["E1"], quote, "after 36 months"),
+        ("foreign", "Room rent is paid", "VERIFIED", ["E1", "E2"], quote, None),
+        ("noitem", "Room rent is paid", "VERIFIED", ["E3"], [], None),
+        ("noquote", "Room rent is paid", "VERIFIED", ["E1"], [], None),
+        ("misquoted", "Room rent is paid", "VERIFIED", ["E1"], [("E1", "all rent is paid")], None),
+        ("contradicted", "Room rent up to ₹9,000", "VERIFIED", ["E1"], quote, None),
+        ("missing", "Room rent at 80%", "VERIFIED", ["E1"], quote, None),
+        ("named", "Bluecare pays room rent", "VERIFIED", ["E1"], quote, None),
+        ("absolute", "All room rent is paid", "VERIFIED", ["E1"], quote, None),
+        ("kept", "Room rent is paid", "CONTRADICTED", ["E1"], quote, None),
+    ]
+    claims_ = spark.createDataFrame([(i, "P", x) for i, x, *_ in rows] + [("none", "P", "x")], "claim_id string, policy_id string, text string")
+    verdicts = spark.createDataFrame([(i, *rest) for i, _, *rest in rows], "claim_id string, status string, supporting_evidence_ids array<string>, quotes array<struct<evidence_id:string,quote:string>>, required_qualifier string")
+    got = {r.claim_id: r.status for r in claims.policy_verdicts(claims_, verdicts, ev, {"Q": ["bluecare"]}).collect()}
+    assert got == {
+        "ok": "VERIFIED", "qualified": "VERIFIED_WITH_QUALIFIER", "badqualifier": "NEEDS_REVIEW", "foreign": "UNSUPPORTED", "noitem": "UNSUPPORTED", "noquote": "NEEDS_REVIEW",
+        "misquoted": "NEEDS_REVIEW", "contradicted": "CONTRADICTED", "missing": "UNSUPPORTED", "named": "UNSUPPORTED", "absolute": "NEEDS_REVIEW", "kept": "CONTRADICTED", "none": "NEEDS_REVIEW",
+    }

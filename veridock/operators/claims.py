@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from veridock.functions import predicates as p
 from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
+from veridock.operators import rules as r
 
 
 def company_claims(drafts: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("claim_id", "text")) -> DataFrame:
@@ -89,3 +91,41 @@ def repaired(attempts: DataFrame, most: int = 2) -> DataFrame:
     every = attempts.groupBy("claim_id").agg(F.bool_or("material").alias("material")).join(done, "claim_id", "left")
     fixed = F.coalesce(F.col("_ok") == 1, F.lit(False))
     return every.select("claim_id", F.when(fixed, F.col("r.text")).alias("text"), F.when(fixed, "REPAIRED").when(F.col("material"), "REPAIR_FAILED").otherwise("REMOVED").alias("outcome"), F.col("r.attempt").alias("attempts"))
+
+
+def policy_verdicts(claims: DataFrame, verdicts: DataFrame, evidence: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Audit of statements about a policy: a reviewer's status, lowered by every check that fails.
+
+    ``claims``: claim_id, policy_id, text; ``verdicts``: claim_id, status, supporting_evidence_ids, quotes (array of
+    struct<evidence_id, quote>), required_qualifier; ``evidence``: evidence_id, document_id, citable, text. Checks: the
+    evidence is the policy's own, quotes stand in it, numbers agree with it, no other product is named, no absolute word
+    goes beyond it, and a qualifier states no number that it does not. A statement without a verdict needs review."""
+    v = claims.join(verdicts, "claim_id", "left")
+    items = evidence.withColumn("found", q.quantities(F.col("text"))).select("evidence_id", "document_id", "citable", F.col("text").alias("shown"), "found")
+    cited = v.select("claim_id", "policy_id", F.explode(F.array_distinct("supporting_evidence_ids")).alias("evidence_id")).join(items, "evidence_id", "left")
+    own = F.coalesce((F.col("document_id") == F.col("policy_id")) & F.col("citable"), F.lit(False))
+    foreign = F.coalesce(F.col("document_id") != F.col("policy_id"), F.lit(False))
+    by_item = cited.groupBy("claim_id").agg(F.bool_or(foreign).alias("foreign"), F.count_if(own).alias("n_own"), F.flatten(F.collect_list(F.when(own, F.col("found")))).alias("numbers"), F.concat_ws(" ", F.array_sort(F.collect_list(F.when(own, F.col("shown"))))).alias("body"))
+    said = v.select("claim_id", "policy_id", F.explode("quotes").alias("_q")).select("claim_id", "policy_id", "_q.evidence_id", "_q.quote").join(items, "evidence_id", "left")
+    stands = own & F.coalesce(t.quoted_in("quote", F.coalesce("shown", F.lit(""))), F.lit(False))
+    by_quote = said.groupBy("claim_id").agg(F.bool_and(stands).alias("quoted"))
+    numbered = v.withColumn("claimed", q.quantities(F.col("text"), False)).withColumn("qualified", q.quantities(F.coalesce("required_qualifier", F.lit(""))))
+    d = numbered.join(by_item, "claim_id", "left").join(by_quote, "claim_id", "left")
+    none = F.array().cast(d.schema["numbers"].dataType)
+    d = d.withColumn("numbers", F.coalesce("numbers", none)).withColumn("body", F.coalesce("body", F.lit("")))
+    good = F.col("status").isin("VERIFIED", "VERIFIED_WITH_QUALIFIER")
+    check = q.number_check(F.col("claimed"), F.col("numbers"))
+    other = F.array_remove(t.names(aliases, t.normalised("text")), F.col("policy_id"))
+    unowned = F.coalesce("foreign", F.lit(False)) | (good & (F.coalesce("n_own", F.lit(0)) == 0))
+    rules = {
+        "ownership": (unowned, "UNSUPPORTED"),
+        "quotes": (good & (F.coalesce("n_own", F.lit(0)) > 0) & ~F.coalesce("quoted", F.lit(False)), "NEEDS_REVIEW"),
+        "numbers": (check.isin("FAIL_CONTRADICTED", "FAIL_MISSING"), F.when(check == "FAIL_CONTRADICTED", "CONTRADICTED").otherwise("UNSUPPORTED")),
+        "policy_name": (F.size(other) > 0, "UNSUPPORTED"),
+        "absolute": ((F.col("body") != "") & p.overstates(F.col("text"), F.col("body")), "NEEDS_REVIEW"),
+        "qualifier": (F.size(q.unstated(F.col("qualified"), F.col("numbers"))) > 0, "NEEDS_REVIEW"),
+    }
+    failed = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("check"), (F.lit(s) if isinstance(s, str) else s).alias("capped_at"))) for n, (c, s) in rules.items()]))
+    d = d.withColumn("failed", failed)
+    status = r.capped(F.coalesce("status", F.lit("NEEDS_REVIEW")), F.transform("failed", lambda x: x["capped_at"]))
+    return d.select("claim_id", r.with_qualifier(status, F.coalesce("required_qualifier", F.lit(""))).alias("status"), F.col("status").alias("llm_status"), check.alias("number_check"), "failed")
