@@ -36,7 +36,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces of a shard, and parts of words of a generation whose ids a worker remembers.
 SHARD = 50_000
-REMEMBERED = 180_000
+REMEMBERED = 400_000
 
 _CLOSING = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -173,7 +173,7 @@ class Tokenize:
         return [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) else []
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
+        for batch in (b.slice(a, 2000) for b in batches for a in range(0, b.num_rows, 2000)):
             ids, ends = self.flat(batch.column("text"))
             data = memoryview(ids).cast("B")
             rows, a = [], 0
