@@ -123,3 +123,29 @@ def test_components(spark):
     out = {r.id: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {x: root(x) for e in edges if e[0] != e[1] for x in e}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def edited(n, seed, pairs):
+    """Texts of one template with six changed words each; those of a pair (2i, 2i + 1) have one change in common."""
+    rng = random.Random(seed)
+    base, slots = [f"w{i}" for i in range(1500)], rng.sample(range(5, 1495, 5), 298)
+    edits = [{slots[(6 * i + j) % 298]: f"e{i}x{j}" for j in range(6)} for i in range(n)]
+    for i in pairs:
+        p, q = next(iter(edits[i])), next(iter(edits[i + 1]))
+        del edits[i + 1][q]
+        edits[i + 1][p] = edits[i][p]
+    return [" ".join(e.get(k, w) for k, w in enumerate(base)) for e in edits]
+
+
+def assert_classes(spark, texts, threshold):
+    found, label = [sets(t) for t in texts], {i: i for i in range(len(texts))}
+    for a, b in itertools.combinations(label, 2):
+        if len(found[a] & found[b]) >= threshold * len(found[a] | found[b]):
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
+    out = neardup.classes(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA), threshold)
+    assert {r.doc_id: r.class_id for r in out.collect()} == label
+
+
+def test_pairs_beyond_the_leaders_of_a_large_bucket(spark):
+    assert_classes(spark, edited(60, 1, range(0, 60, 2)), 0.932)

@@ -8,11 +8,13 @@ slowly with its count (1 + ln(count) / 4): a text that repeats one phrase is not
 2. Signatures of 192 registers in 32 bands of 6: a pair of similarity 0.8 shares no band with probability 6e-5.
 3. Pairs whose numbers of shingles rule the threshold out are never compared. No bucket is paired with itself: each names
    leaders, first the members that share most buckets with others, which in a group of copies with different changes are
-   those closest to the original. Every member is compared with the first leader, and in later rounds with several
-   further leaders, but only across components that are still apart and never twice. Rounds end when the leaders are
-   used up, or when a round from the second on finds nothing. So a large group of near copies, whose members need one
-   link each, joins after few comparisons a member, and small buckets are compared in full if need be.
-4. Links are verified on whole texts; components are found by star contraction.
+   those closest to the original. Every member is compared with the first leader, and in later rounds with
+   further leaders, but only across components that are still apart and never twice. So a large group of near copies,
+   whose members need one link each, joins after few comparisons a member.
+4. A larger bucket that still spans several components is settled: all its pairs across components that sizes allow and
+   that were not compared before are verified, cell by cell: texts are dealt into blocks, and a cell holds the pairs
+   between two blocks, so that a text travels once a cell and not once a pair.
+5. Links are verified on whole texts; components are found by star contraction.
 
 Defined cases: null or wordless texts have no shingles and are classes of their own, never linked; texts of one to four
 words have one shingle; rows that repeat a doc_id are one document and one result row; rows without a doc_id come back
@@ -36,10 +38,13 @@ from veridock.llm.graph import components
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
-#: Leaders of a bucket that the rounds use up.
+#: Leaders of a bucket that the rounds use up; larger buckets are settled afterwards.
 ROUNDS = ((0, 1), (1, 7), (7, 15))
+#: Texts and characters of a block, on average, and members of a bucket that one task pairs with all others.
+BLOCK_TEXTS, BLOCK_CHARS, PART = 256, 2 << 20, 512
 
 _SIGNATURE = "doc_id long, c1 long, c2 long, size long, bands array<long>"
+_PAIR = "a long, b long"
 _LINK = "a long, b long, probability double, jaccard double, linked boolean"
 
 
@@ -47,6 +52,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def normal(text: str | None) -> str:
+    """The words with one blank between them; digests, sizes, signatures and verification all read this form."""
+    return " ".join((text or "").lower().split())
+
+
 class Signatures:
     """Batches of texts to content digest and band keys; equal texts of a batch are signed once."""
 
@@ -65,7 +75,7 @@ class Signatures:
                 ids = part.column("doc_id").to_pylist()
                 digests, unique = [], {}
                 for i, text in zip(ids, part.column("text").to_pylist(), strict=True):
-                    plain = " ".join((text or "").lower().split())
+                    plain = normal(text)
                     d = xxhash.xxh3_128_intdigest(plain.encode("utf-8", "replace")) if plain else None
                     digests.append((i, -1) if d is None else (_signed(d >> 64), _signed(d & ((1 << 64) - 1))))
                     if d is not None:
@@ -106,6 +116,84 @@ class Verify:
             )
 
 
+def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``, as products of incidence matrices."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)))
+    if not len(shared):
+        return out
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner, element = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        column = np.minimum(np.searchsorted(shared, element), len(shared) - 1)
+        fit = shared[column] == element
+        order = np.argsort(column[fit], kind="stable")
+        return owner[fit][order], column[fit][order]
+
+    sides = [(len(s), *placed(s)) for s in (x, y)]
+    for low in range(0, len(shared), columns):
+        dense = []
+        for n, owner, column in sides:
+            a, b = np.searchsorted(column, [low, low + columns])
+            dense.append(np.zeros((n, min(columns, len(shared) - low)), np.float32))
+            dense[-1][owner[a:b], column[a:b] - low] = 1
+        out += dense[0] @ dense[1].T
+    return out
+
+
+class Cell:
+    """Pairs between two blocks and the blocks' texts to the pairs that are linked."""
+
+    def __init__(self, threshold: float = THRESHOLD):
+        self.threshold = threshold
+
+    def __call__(self, pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for d, text in zip(texts.column("d").to_pylist(), texts.column("text").to_pylist(), strict=True):
+            _, element, _ = sh.shingles([normal(text)])
+            if len(element):
+                sets.setdefault(d, []).append(element)
+        linked = self.linked(list(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)), sets)
+        return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
+
+    def linked(self, pairs: list[tuple[int, int]], sets: dict[int, list[np.ndarray]]) -> list[tuple[int, int]]:
+        pairs = [(a, b) for a, b in pairs if a in sets and b in sets]
+        if len(pairs) <= 4 * len(sets):
+            similar = lambda s, t: (n := len(np.intersect1d(s, t, assume_unique=True))) / (len(s) + len(t) - n)
+            return [(a, b) for a, b in pairs if any(similar(s, t) >= self.threshold for s in sets[a] for t in sets[b])]
+        left, right = ([(d, s) for d in sorted({p[k] for p in pairs}) for s in sets[d]] for k in (0, 1))
+        common = intersections([s for _, s in left], [s for _, s in right])
+        total = np.array([len(s) for _, s in left])[:, None] + np.array([len(s) for _, s in right])[None, :]
+        close = {(left[i][0], right[j][0]) for i, j in zip(*np.nonzero(common / (total - common) >= self.threshold), strict=True)}
+        return [p for p in pairs if p in close]
+
+
+def settled(known: DataFrame, compared: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """The links (a, b) across components in buckets that the leaders did not exhaust; none if there is no such bucket.
+    ``known``: key, d, size, label."""
+    spans = known.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    spans = spans.where((F.col("n") > ROUNDS[-1][1] + 1) & (F.col("low") != F.col("high"))).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    left = written(known.join(spans, "key"), "open")
+    involved = texts.join(left.select(F.col("d").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("d"), "text")
+    volume = involved.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    if not volume["n"]:
+        return None
+    x = left.select("key", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), F.col("d").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
+    y = left.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("d").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
+    fit = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb"))
+    pairs = x.join(y, ["key", "part"]).where(fit).select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
+    blocks = max(1, -(-volume["n"] // BLOCK_TEXTS), -(-(volume["chars"] or 0) // BLOCK_CHARS))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(blocks))
+    cells = written(pairs.select("a", "b", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y")), "pairs")
+    wanted = cells.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("a", "b")).alias("d")).distinct()
+    work = Cell(threshold)
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        return work(pairs, texts)
+
+    return written(cells.groupBy("x", "y").cogroup(wanted.join(involved, "d").groupBy("u", "v")).applyInArrow(run, _PAIR), "links")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), exact_id (smallest doc_id with the same words), n_links (verified
     links of its exact group to other texts) and kept (it is its class's representative), one row per document."""
@@ -126,9 +214,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     labels: DataFrame | None = None
     links: DataFrame | None = None
     compared: DataFrame | None = None
-    for number, (low, high) in enumerate(ROUNDS):
+
+    def labelled() -> DataFrame:
         known = members if labels is None else members.join(labels.select(F.col("id").alias("d"), "label"), "d", "left")
-        known = known.select("key", "d", "size", (F.col("d") if labels is None else F.coalesce("label", "d")).alias("label"))
+        return known.select("key", "d", "size", (F.col("d") if labels is None else F.coalesce("label", "d")).alias("label"))
+
+    for number, (low, high) in enumerate(ROUNDS):
+        known = labelled()
         led = known.join(leaders.where(F.col("rank").between(low + 1, high)).select("key", "d"), ["key", "d"])
         led = led.groupBy("key").agg(F.collect_list(F.struct("d", "size", "label")).alias("led"))
         # sets whose sizes differ by more than the threshold cannot be that similar
@@ -147,6 +239,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
             labels = components(links)
         elif number:
             break
+    rest = settled(labelled(), compared, texts, threshold)
+    if rest is not None and not rest.isEmpty():
+        links = links.unionByName(rest)
+        labels = components(links)
 
     degree = links.select(F.col("a").alias("exact_id")).unionByName(links.select(F.col("b").alias("exact_id"))).groupBy("exact_id").agg(F.count("*").alias("n_links"))
     facts = groups.where("n > 1").select("c1", "c2", "exact_id")
