@@ -149,3 +149,7 @@ def assert_classes(spark, texts, threshold):
 
 def test_pairs_beyond_the_leaders_of_a_large_bucket(spark):
     assert_classes(spark, edited(60, 1, range(0, 60, 2)), 0.932)
+
+
+def test_no_early_stop_when_a_round_finds_nothing(spark):
+    assert_classes(spark, edited(16, 49, [14]), 0.932)

@@ -8,9 +8,10 @@ slowly with its count (1 + ln(count) / 4): a text that repeats one phrase is not
 2. Signatures of 192 registers in 32 bands of 6: a pair of similarity 0.8 shares no band with probability 6e-5.
 3. Pairs whose numbers of shingles rule the threshold out are never compared. No bucket is paired with itself: each names
    leaders, first the members that share most buckets with others, which in a group of copies with different changes are
-   those closest to the original. Every member is compared with the first leader, and in later rounds with
+   those closest to the original. Every member is compared with the first leader, and in the second round with the
    further leaders, but only across components that are still apart and never twice. So a large group of near copies,
-   whose members need one link each, joins after few comparisons a member.
+   whose members need one link each, joins after few comparisons a member, and a bucket with one member more than
+   leaders is compared in full.
 4. A larger bucket that still spans several components is settled: all its pairs across components that sizes allow and
    that were not compared before are verified, cell by cell: texts are dealt into blocks, and a cell holds the pairs
    between two blocks, so that a text travels once a cell and not once a pair.
@@ -39,7 +40,7 @@ from veridock.llm.graph import components
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 #: Leaders of a bucket that the rounds use up; larger buckets are settled afterwards.
-ROUNDS = ((0, 1), (1, 7), (7, 15))
+ROUNDS = ((0, 1), (1, 15))
 #: Texts and characters of a block, on average, and members of a bucket that one task pairs with all others.
 BLOCK_TEXTS, BLOCK_CHARS, PART = 256, 2 << 20, 512
 
@@ -219,7 +220,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         known = members if labels is None else members.join(labels.select(F.col("id").alias("d"), "label"), "d", "left")
         return known.select("key", "d", "size", (F.col("d") if labels is None else F.coalesce("label", "d")).alias("label"))
 
-    for number, (low, high) in enumerate(ROUNDS):
+    for low, high in ROUNDS:
         known = labelled()
         led = known.join(leaders.where(F.col("rank").between(low + 1, high)).select("key", "d"), ["key", "d"])
         led = led.groupBy("key").agg(F.collect_list(F.struct("d", "size", "label")).alias("led"))
@@ -237,8 +238,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         links = new if links is None else links.unionByName(new)
         if labels is None or not new.isEmpty():
             labels = components(links)
-        elif number:
-            break
     rest = settled(labelled(), compared, texts, threshold)
     if rest is not None and not rest.isEmpty():
         links = links.unionByName(rest)
