@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from veridock.llm import graph, neardup, shingles
 
@@ -153,3 +154,11 @@ def test_pairs_beyond_the_leaders_of_a_large_bucket(spark):
 
 def test_no_early_stop_when_a_round_finds_nothing(spark):
     assert_classes(spark, edited(16, 49, [14]), 0.932)
+
+
+def test_verification_reads_all_white_space_as_the_signatures_do():
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), "\u3000".join([*words[:-1], "z"])
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "ta": [a], "tb": [b]})
+    out = next(neardup.Verify()([batch]))
+    assert out.column("linked").to_pylist() == [True]

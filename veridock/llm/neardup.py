@@ -104,7 +104,7 @@ class Verify:
             if key not in kept:
                 if len(kept) >= 64:
                     kept.pop(next(iter(kept)))
-                _, element, count = sh.shingles([text])
+                _, element, count = sh.shingles([normal(text)])
                 kept[key] = (element, sh.weights(count))
             return kept[key]
 
