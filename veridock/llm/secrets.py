@@ -75,7 +75,7 @@ def novelty(text: str, start: int, end: int) -> float:
 def _mixed(token: str) -> bool:
     """Words and plain numbers are no secrets: digits and letters, or both cases inside."""
     digits, lower, upper = (any(a <= c <= b for c in token) for a, b in ("09", "az", "AZ"))
-    return digits and (lower or upper)
+    return digits and (lower or upper) or lower and upper
 
 
 def scan(text: str) -> list[tuple[str, int, int, float]]:
