@@ -45,3 +45,24 @@ def test_entry(spark):
 def test_runs(spark, name):
     spark.sparkContext.setCheckpointDir("/tmp/veridock-tests")
     assert QUERIES[name](spark, DATA).columns
+
+
+def test_greedy_statements_match_a_fold_by_the_reference_rule(spark, tmp_path):
+    import re
+
+    from veridock.functions.textnorm import SEARCH_STOP_WORDS
+    from veridock.plans import text
+
+    texts = ["red green blue", "red yellow black", "red green blue red", "日本語の文章です。これは長い文章の例として書かれました", "前置き 日本語の文章です。これは長い文章の例として書かれました", "вот", "вот", "да", "one two three four five", "one two three four"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def same(x, y):
+        a, b = (re.sub(r"\s+", " ", s.lower()) for s in (x, y))
+        u, v = (set(re.findall("[a-z0-9]+", s.lower())) - set(SEARCH_STOP_WORDS) for s in (x, y))
+        return a == b or min(len(a), len(b)) > 20 and (a in b or b in a) or bool(u and v) and len(u & v) / len(u | v) >= 0.8
+
+    kept = []
+    for i, s in enumerate(texts):
+        if not any(same(s, texts[k]) for k in kept):
+            kept.append(i)
+    assert sorted(r["ord"] for r in text.greedy_statements(spark, str(tmp_path)).collect()) == kept

@@ -69,26 +69,48 @@ def exact_dup_first_copy(spark, sf_dir):
 _TOKENS = "[w FOR w IN list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')) IF NOT list_contains([" + ", ".join(f"'{w}'" for w in t.SEARCH_STOP_WORDS) + "], w)]"
 
 
-@query(f"""WITH b AS (SELECT item_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS s, {_TOKENS.format('text')} AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS shared FROM b a JOIN b ON a.item_id < b.item_id
-WHERE a.s = b.s OR (least(length(a.s), length(b.s)) > 20 AND (contains(a.s, b.s) OR contains(b.s, a.s)))
-   OR len(list_intersect(a.w, b.w)) >= 0.1 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
-def duplicate_statements(spark, sf_dir):
-    """Pairs of statements that are equal, contained, or share a tenth of their words; candidates share a word, so
-    the join is on equality: E6 J16."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("s"), t.tokens("text").alias("w"))
+def duplicates(benchmark: DataFrame, overlap: float, wordless: bool) -> DataFrame:
+    """(a, b, shared): pairs of statements that are equal, contained, or share the given part of their words. Candidates
+    share a word, the whole text, or the first 21 characters of one, so every join is on equality. ``wordless``: two
+    statements without words count as sharing all of them."""
+    items = benchmark.select("item_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("s"), t.tokens("text").alias("w"))
     words = items.select("item_id", F.explode("w").alias("word"))
     pairs = words.alias("x").join(words.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.item_id") < F.col("y.item_id"))).groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("shared"))
+    long = items.where(F.length("s") > 20)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - 20), lambda i: F.substring(F.col("s"), i, F.lit(21))))
+    inner = long.select(F.col("item_id").alias("x"), F.explode(grams).alias("k")).join(long.select(F.col("item_id").alias("y"), F.left("s", F.lit(21)).alias("k")), "k")
+    alike = items.select(F.col("item_id").alias("x"), F.col("s").alias("k")).join(items.select(F.col("item_id").alias("y"), F.col("s").alias("k")), "k")
+    other = inner.select("x", "y").unionByName(alike.select("x", "y"))
+    if wordless:
+        none = items.where(F.size("w") == 0).select("item_id", F.lit(0).alias("k"))
+        other = other.unionByName(none.select(F.col("item_id").alias("x"), "k").join(none.select(F.col("item_id").alias("y"), "k"), "k").select("x", "y"))
+    other = other.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).cast("long").alias("shared"))
+    pairs = pairs.unionByName(other).groupBy("a", "b").agg(F.max("shared").alias("shared"))
     of = lambda c: items.select(F.col("item_id").alias(c), F.col("s").alias(f"s{c}"), F.size("w").alias(f"n{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     contained = (F.least(F.length("sa"), F.length("sb")) > 20) & (F.contains("sa", F.col("sb")) | F.contains("sb", F.col("sa")))
-    return both.where((F.col("sa") == F.col("sb")) | contained | (F.col("shared") >= 0.1 * (F.col("na") + F.col("nb") - F.col("shared")))).select("a", "b", "shared")
+    near = (F.col("shared") >= overlap * (F.col("na") + F.col("nb") - F.col("shared"))) & (F.lit(wordless) | (F.col("shared") > 0))
+    return both.where((F.col("sa") == F.col("sb")) | contained | near).select("a", "b", "shared")
+
+
+@query(f"""WITH b AS (SELECT item_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS s, {_TOKENS.format('text')} AS w FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS shared FROM b a JOIN b ON a.item_id < b.item_id
+WHERE a.s = b.s OR (least(length(a.s), length(b.s)) > 20 AND (contains(a.s, b.s) OR contains(b.s, a.s)))
+   OR len(list_intersect(a.w, b.w)) >= 0.1 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
+def duplicate_statements(spark, sf_dir):
+    """Pairs of statements that are equal, contained, or share a tenth of their words, as its SQL has it: E6 J16."""
+    return duplicates(table(spark, sf_dir, "benchmark"), 0.1, wordless=True)
+
+
+#: The reference's share of words (DUPLICATE_OVERLAP) from which a statement is a duplicate.
+OVERLAP = 0.8
 
 
 @query()
 def greedy_statements(spark, sf_dir):
-    """Statements in order without those that duplicate one kept before: O5."""
-    return ordered.greedy_conflicts(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), "text"), duplicate_statements(spark, sf_dir).select("a", "b"))
+    """Statements in order without those that duplicate one kept before, by the reference's threshold: O5."""
+    items = table(spark, sf_dir, "benchmark")
+    return ordered.greedy_conflicts(items.select(F.col("item_id").alias("ord"), "text"), duplicates(items, OVERLAP, wordless=False).select("a", "b"))
 
 
 _URL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[#?].*$', ''), '^www\.', ''), '/+$', '')"
