@@ -62,6 +62,19 @@ def mod97(iban: str) -> bool:
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans whose checksum fits: of each match the longest one that ends at a blank or at the match's end."""
+    found, at = [], 0
+    while m := _IBAN.search(text, at):
+        end = m.end()
+        while end > m.start() and not mod97(text[m.start() : end]):
+            end = text.rfind(" ", m.start(), end)
+        if end > m.start():
+            found.append((m.start(), end))
+        at = end if end > m.start() else m.start() + 1
+    return found
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     found, end, at = [], 0, text.find("@")
     while at >= 0:
@@ -95,7 +108,7 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
     if "+" in text:
         found += [("phone", m.start(), m.end(), False) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     spans = [(kind, s, e, score(kind, text, s, e, checked)) for kind, s, e, checked in found]
-    own = [("iban", m.start(), m.end(), True) for m in _IBAN.finditer(text) if mod97(m[0])]
+    own = [("iban", s, e, True) for s, e in ibans(text)]
     own += [("ssn", m.start(), m.end(), False) for m in _SSN.finditer(text)]
     return spans + [x for kind, s, e, checked in own if (x := (kind, s, e, score(kind, text, s, e, checked)))[3] >= LEAST]
 
