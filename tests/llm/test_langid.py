@@ -1,5 +1,8 @@
 """Language ID: held-out accuracy, learning only from the given rows, defined cases."""
 
+import re
+
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -32,6 +35,42 @@ def test_defined_cases(spark):
     assert kept.count() == len(ROWS) + 3
 
 
+def plain(texts, dictionaries):
+    """The method one text and one language at a time: (language, margin) by the smallest sum of compressed blocks."""
+    out = []
+    for text in texts:
+        words = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        sizes = {}
+        for lang, content in dictionaries.items():
+            primed = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            squeeze = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(squeeze.compress(words[a : a + langid.BLOCK])) for a in range(0, len(words), langid.BLOCK))
+        first, second = sorted(sizes.values())[:2]
+        out.append((min(lang for lang, n in sizes.items() if n == first), (second - first) / second))
+    return out
+
+
+def test_predictions_equal_plain_compression(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null")
+    model = langid.fit(docs.where(~langid.held_out()))
+    assert sorted(model.dictionaries) == sorted(r.lang for r in docs.select("lang").distinct().collect())
+    texts = {r.doc_id: r.text for r in docs.collect() if re.search(r"[^\W\d_]", r.text)}
+    found = {r.doc_id: (r.lang_pred, r.margin) for r in langid.identify(docs, model).collect() if r.doc_id in texts}
+    want = dict(zip(texts, plain(texts.values(), model.dictionaries), strict=True))
+    assert {i: w for i, (w, _) in found.items()} == {i: w for i, (w, _) in want.items()}
+    assert all(abs(found[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
+def test_every_language_is_learned_and_from_all_over_the_texts(spark):
+    word = lambda k, i: "".join(chr(97 + (k * 7 + i * 3 + j * (k % 5 + 1)) % 26) for j in range(6))
+    rows = [(k, " ".join(word(k, i % 9) for i in range(60)), f"l{k:03}", 0.0, None) for k in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert len(model.dictionaries) == 300
+    long = "x " * 40_000 + " ".join(f"tail{c}" for c in "abcdefghij" * 4000)
+    model = langid.fit(spark.createDataFrame([(1, long, "en", 0.0, None)], SCHEMA))
+    assert b"tailc" in model.dictionaries["en"]
+
+
 def test_prediction_sees_only_the_text(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     model = langid.fit(df)

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,6 +69,57 @@ def test_novel_secret_is_reported_and_words_are_not():
     assert not secrets.scan('a value "q7Zt0Xv9Lm2Kp4Rw8Ys1" far from anything')
 
 
+def plain_novel(text, dictionary):
+    """Candidates one by one: what patterns leave over, close to a sensitive word, whose marginal size is that of noise."""
+    primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    squeeze = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    base = plain_secrets(text)
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        s, e = m.span()
+        has = [bool(re.search(p, m[0])) for p in ("[0-9]", "[a-z]", "[A-Z]")]
+        near = text[max(0, s - 48) : e + 48].lower()
+        if sum(has) < 2 or any(a < e and s < b for _, a, b in base) or not re.search("passw|secret|token|api.?key|credential|private|auth|bearer|access|signature|client|login", near):
+            continue
+        around = text[max(0, s - 256) : s].encode(), text[e : e + 256].encode()
+        most, at = 0.0, s
+        while at < e:
+            to = at + 512 if e - at >= 1024 else e
+            part = text[at:to].encode()
+            most, at = max(most, (len(squeeze(around[0] + part + around[1])) - len(squeeze(around[0] + around[1]))) / len(part)), to
+        if most >= 0.62:
+            out.append((s, e, min(1.0, most)))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["the private ", "Bearer ", "client ", " far from anything here and there, ", "q7Zt0Xv9Lm2Kp4Rw8Ys1", "connection_timeout_retry_1", "aB1" * 300, "qZrXvBnKwTyLpMdHsGfJcRaW", "zX9" + "Qw3rT7yU1iO5pA8sD2fG6hJ4kL0" * 45, "token=abcdefg", " ", "\n", "é"]), max_size=8).map("".join))
+def test_novel_spans_by_plain_measurement(text):
+    for scanner in (secrets.scan, secrets.Scanner(b"q7Zt0Xv9 connection timeout retry private client login " * 3)):
+        found = [s[1:] for s in scanner(text) if s[0] == "novel"]
+        want = plain_novel(text, scanner.dictionary)
+        assert [f[:2] for f in found] == [w[:2] for w in want] and all(abs(f[2] - w[2]) < 1e-12 for f, w in zip(found, want, strict=True))
+
+
+def test_the_tail_of_a_long_candidate_is_measured():
+    flat, noise = "aB1" * 171, "Zq8Xw2Ev5"  # 513 flat characters, then nine that are not
+    both = secrets.scan.novelty(f"token {flat}{noise}", 6, 6 + len(flat) + len(noise))
+    assert both > secrets.scan.novelty(f"token {flat}", 6, 6 + len(flat))
+    assert secrets.parts(0, 1100) == [(0, 512), (512, 1100)] and secrets.parts(5, 8) == [(5, 8)] and secrets.parts(0, 600) == [(0, 600)]
+
+
+def test_dictionary_holds_the_identifiers_of_all_documents(spark):
+    rows = [(i, f"handleRequest connectionPool word{i}xyz q7Zt0Xv9Lm2Kp4Rw8Ys1abcdefgh-secretpart/zzzzz", "s") for i in range(5)] + [(9, "rareword", "s"), (10, None, "s"), (11, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    words = secrets.fit(df)[: -len(secrets.CODE)].decode().split()
+    assert words == ["rareword", "handleRequest", "connectionPool"]
+    assert secrets.fit(df, words=1)[: -len(secrets.CODE)] == b"connectionPool "
+    assert secrets.fit(df.limit(0)) == secrets.CODE
+    # the corpus's own words make its identifiers cheap
+    text = "the private handleRequestconnectionPool1 value"
+    assert secrets.Scanner(secrets.fit(df)).novelty(text, 12, 40) < secrets.scan.novelty(text, 12, 40)
+
+
 def test_long_texts_are_linear():
     for text in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "+1" * 100_000, "token " * 40_000, "f" * 200_000):
         pii.scan(text)

@@ -40,6 +40,51 @@ def test_many_rules_and_collisions(tmp_path, monkeypatch):
     assert [b and b[0] for b in index.longest([h for h, _, _ in probes], [p for _, p, _ in probes])] == [r for _, _, r in probes]
 
 
+def test_keys_are_sparks_own(spark):
+    from pyspark.sql import functions as F
+
+    for text in ("", "a.b/", "spam-farm.example.org/", "x" * 100, "é/ß"):
+        key = spark.range(1).select(F.xxhash64(F.lit(text)).alias("k")).first().k
+        assert key % (1 << 64) == u.xxhash.xxh64_intdigest(text.encode(), u.SEED)
+
+
+def test_listed_hosts_cover_each_family(spark):
+    for family in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"):
+        assert all(f"{family}.example.{top}/" in u.LISTED for top in ("com", "net", "org"))
+
+
+def test_long_lists_give_the_same_verdicts(spark, monkeypatch):
+    """The sharded way against the mapped one: every rule, repeated entries and rows, and many shards."""
+    rules = [*u.RULES, (u.ALLOW, "example.org/es/"), (u.BLOCK, "x.net/")]
+    rows = [(i, x, "h", "p") for i, x in enumerate(URLS + URLS[:3])]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, asked string")
+    as_table = spark.createDataFrame([(i, v, e) for i, (v, e) in enumerate(rules)] + [(99, u.BLOCK, None), (98, u.BLOCK, "nopath")], "ord int, verdict string, entry string")
+    listed = spark.createDataFrame(list(enumerate(u.LISTED)), "ord int, entry string")
+    want = sorted(map(tuple, u.judge(df, rules, u.LISTED).collect()))
+    for shard in (1 << 18, 2):
+        monkeypatch.setattr(u, "SHARD", shard)
+        assert sorted(map(tuple, u.judge_by_table(df, as_table, listed).collect())) == want
+    assert u.judge_by_table(df.limit(0), as_table, listed).count() == 0
+    assert {r.verdict for r in u.judge_by_table(df, as_table.limit(0), listed.limit(0)).collect()} == {u.ALLOW}
+
+
+def test_a_million_entries(spark):
+    """A list of 2^20 + 2 hosts, too long to be shipped, in shards; hot hosts among the pages."""
+    from pyspark.sql import functions as F
+
+    n = u.MAPPED + 2
+    host = lambda c: F.concat(F.lit("h"), c.cast("string"), F.lit(".net"))
+    listed = spark.range(n).select(F.col("id").alias("ord"), F.concat(host(F.col("id")), F.lit("/")).alias("entry"))
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www."), F.when(F.col("id") % 3 == 0, F.lit("h7.net")).otherwise(host(F.col("id") * 700)), F.lit("/x")).alias("url"))
+    out = u.judge_by_table(pages, spark.createDataFrame([], "ord long, verdict string, entry string"), listed)
+    blocked = {r.page_id for r in out.where(f"verdict = '{u.BLOCK}'").collect()}
+    assert blocked == {i for i in range(3000) if i % 3 == 0 or i * 700 < n}
+    import pytest
+
+    with pytest.raises(ValueError):
+        u.judge(pages, (), (f"h{i}/" for i in range(n)))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert u.judge(df, u.RULES).count() == 0

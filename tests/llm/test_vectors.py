@@ -1,8 +1,13 @@
 """Vector searches against brute force."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from veridock.llm import ann, topk
 
 SCHEMA = "vec_id long, embedding array<float>, score string, ids int"
@@ -15,7 +20,7 @@ def rows(n, dim, seed=1, equal=0):
     return [(i, v.tolist(), "x", 0) for i, v in enumerate(data)]
 
 
-ODD = [(1000, None, "x", 0), (1001, [], "x", 0), (1002, [float("nan")] * 8, "x", 0), (1003, [None] + [1.0] * 7, "x", 0), (1004, [float("inf")] * 8, "x", 0), (None, [1.0] * 8, "x", 0), (1005, [0.0] * 8, "x", 0), (1006, [1.0, 2.0], "x", 0), (1050, [1.0, 3.0], "x", 0), (1007, [3e38] * 8, "x", 0)]
+ODD = [(1000, None, "x", 0), (1001, [], "x", 0), (1002, [float("nan")] * 8, "x", 0), (1003, [None] + [1.0] * 7, "x", 0), (1004, [float("inf")] * 8, "x", 0), (None, [1.0] * 8, "x", 0), (1005, [0.0] * 8, "x", 0), (1006, [1.0, 2.0], "x", 0), (1050, [1.0, 3.0], "x", 0)]
 
 
 def brute(data, every, k, score, smallest, zero):
@@ -43,15 +48,53 @@ def dot(a, b):
 
 
 def test_topk_is_exact(spark):
-    for data in (rows(700, 8) + ODD[:-1] + [rows(1, 8, 9)[0]], rows(300, 8, 2, equal=150), rows(3, 8)):
+    for data in (rows(700, 8) + ODD + [rows(1, 8, 9)[0]], rows(300, 8, 2, equal=150), rows(3, 8)):
         df = spark.createDataFrame(data, SCHEMA).repartition(3)
         out = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
         assert out == brute(data, 50, 5, dot, False, True)
 
 
-def test_topk_leaves_out_what_has_no_32_bits(spark):
-    df = spark.createDataFrame(rows(60, 8) + ODD, SCHEMA)
-    assert not any(1007 in (r.query_id, r.vec_id) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+def test_topk_scores_of_any_size(spark):
+    """Components beyond 32 bits, products beyond 53 and beyond 63 bits, and products that cancel."""
+    small = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [1e7, 1.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    out = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(small, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert out == [(0, 1, 2, 256 * 2560000000 + 512 * 256), (0, 2, 1, 256 * 768 + 512 * 256), (0, 3, 3, 256 * 128 + 512 * 128)]
+    rng = np.random.default_rng(5)
+    for top in (1e4, 1e6):  # sums of up to 2^53 and up to 2^63
+        data = [(i, [float(x) for x in rng.uniform(-top, top, 4)], "x", 0) for i in range(120)]
+        df = spark.createDataFrame(data, SCHEMA.replace("float", "double")).repartition(3)
+        exact = lambda a, b: sum(int(math.floor(256 * x)) * int(math.floor(256 * y)) for x, y in zip(a, b, strict=True))
+        want = []
+        for q in (0, 50, 100):
+            best = sorted((-exact(data[q][1], v), c) for c, v, *_ in data if c != q)[:5]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+        assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == want
+    huge = [(0, [1e300, -1e300, 1.0]), (1, [1e300, 1e300, 5.0]), (2, [0.0, 0.0, 2.0]), (3, [-1e308, 1e308, 0.0])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, k=2).orderBy("rank").collect()] == [(0, 1, 1, 256 * 1280), (0, 2, 2, 256 * 512)]
+
+
+def test_topk_refuses_scores_that_no_long_holds(spark):
+    df = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OverflowError"):
+        topk.top_k(df, F.col("vec_id") == 0).collect()
+
+
+def test_topk_holds_few_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HELD", 1)
+    search, found = topk.Search(5), []
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(400, 6))
+    pack = lambda rows: (np.array(rows, "<i8").tobytes(), data[rows].tobytes())
+    parts = [list(range(a, a + 100)) for a in range(0, 400, 100)]
+    pairs = [(6, *pack(p), *pack(q)) for p in parts for q in ([0, 50, 100], [150, 200], [350])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs, strict=True)], names=["dim", "ids", "vectors", "q_ids", "q_vectors"])
+    for out in search(iter([batch])):
+        found += list(zip(*(c.to_pylist() for c in out.columns), strict=True))
+    fine = np.floor(256 * data)
+    for q in (0, 50, 100, 150, 200, 350):
+        got = sorted({(-s, c) for a, c, _, s in found if a == q})[:5]
+        assert got == sorted((-int(fine[q] @ fine[c]), c) for c in range(400) if c != q)[:5]
 
 
 def test_ranges_below_the_kth_are_not_scored():
@@ -69,7 +112,7 @@ def test_ranges_below_the_kth_are_not_scored():
 
 def test_nearest_on_small_tables_is_exact(spark):
     distance = lambda a, b: float(np.sqrt(((a - b) ** 2).sum()))
-    for data in (rows(400, 8) + ODD[:-1], rows(300, 8, 2, equal=120) + [rows(1, 8, 9)[0]], rows(4, 8)):
+    for data in (rows(400, 8) + ODD, rows(300, 8, 2, equal=120) + [rows(1, 8, 9)[0]], rows(4, 8)):
         df = spark.createDataFrame(data, SCHEMA).repartition(2)
         out = sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect())
         want = brute(data, 100, 10, distance, True, False)
@@ -77,18 +120,56 @@ def test_nearest_on_small_tables_is_exact(spark):
         assert np.allclose([r[3] for r in out], [r[3] for r in want], rtol=1e-12)
 
 
-def test_recall_of_the_forest():
-    data = np.random.default_rng(3).normal(size=(8192, 64))
+def found_by(df, **kw):
+    out = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, **kw).collect():
+        out.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    return out
+
+
+def recall(ids, data, found):
+    """Share of the ten nearest by brute force that were found; every score must be the exact distance."""
+    hit = total = 0
+    place = {i: n for n, i in enumerate(ids)}
+    for q, near in found.items():
+        exact = np.sqrt(((data - data[place[q]]) ** 2).sum(axis=1))
+        for i, score in near.values():
+            assert np.isclose(score, exact[place[i]], rtol=1e-12)
+        exact[place[q]] = np.inf
+        tenth = np.sort(exact)[9]
+        hit += sum(exact[place[i]] <= tenth for i, _ in near.values())
+        total += 10
+    return hit / total
+
+
+def test_recall_through_the_query(spark):
+    """On the driver's table, and on points spread evenly over a sphere, the hardest case."""
+    base = DATA.replace("0.001", "0.1")
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{base}/embeddings.parquet").collect()]
+    found = {}
+    for r in ann.op10_nearest_neighbours(spark, base).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert len(found) == 20 and recall([i for i, _ in rows], np.array([v for _, v in rows], float), found) >= 0.93
+    data = np.random.default_rng(3).normal(size=(8000, 64)).astype(np.float32)
     data /= np.linalg.norm(data, axis=1)[:, None]
-    q = np.arange(0, 8192, 200)
-    found = list(ann.Block(np.arange(8192), data, 10).search(q, data[q]))
-    hit = 0
-    for i, (near, score) in zip(q, found, strict=True):
-        exact = np.sqrt(((data - data[i]) ** 2).sum(axis=1))
-        exact[i] = np.inf
-        hit += len(set(near) & set(np.argsort(exact)[:10]))
-        assert np.allclose(score, exact[near])
-    assert hit / (10 * len(q)) > 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    found = found_by(df)
+    assert len(found) == 80 and recall(range(8000), data.astype(float), found) >= 0.93
+    assert found_by(df.repartition(7, "embedding")) == found  # whatever the partitions
+
+
+def test_cells_of_a_large_leaf(spark, monkeypatch):
+    """Points and queries of a leaf in many cells, and one vector that a third of all rows have."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(600, 5))
+    data[::3] = data[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(4)
+    whole = found_by(df)
+    monkeypatch.setattr(ann, "CELL_POINTS", 50)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 2)
+    assert found_by(df) == whole
+    assert [i for i, _ in (whole[300][r] for r in range(1, 11))] == list(range(0, 30, 3))
+    assert all(s == 0 for _, s in whole[0].values()) and recall(range(600), data, {q: whole[q] for q in (100, 200, 400, 500)}) >= 0.97
 
 
 def test_empty(spark):

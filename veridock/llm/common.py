@@ -15,19 +15,23 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound what a Python worker holds at once, whatever the rows' length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, whatever the rows' length. All plans of this subpackage use the same bounds,
+    so building one plan never changes the batches of another that has not run yet."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where that is unset, a local session gets a
+    temporary one; a cluster, whose executors would not see it, gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
         if not found:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="veridock-")
             context.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -36,11 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there and a lost executor loses
-    nothing. The files stay until the cluster's own cleaning of that folder."""
+    nothing. ``discard`` deletes the files once nothing reads them any more; what a result still reads stays until the
+    cluster's own cleaning of that folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridock/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.veridock_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``written`` made; others are passed over."""
+    for df in tables:
+        path = getattr(df, "veridock_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,12 +1,13 @@
 """Language identification by compression.
 
-A text belongs to the language whose dictionary helps zstandard to make it smallest. For each language a raw-content
-dictionary is cut from a bounded sample of labelled rows; prediction compresses the whole text, in short blocks so
-that the dictionary and not the text's own repetitions decides, once per language.
+A text belongs to the language whose dictionary helps zstandard to make it smallest. For each language that the labels
+have, a raw-content dictionary is made of pieces from all over a bounded sample of its rows; prediction compresses the
+whole text, in short blocks so that the dictionary and not the text's own repetitions decides, once per language.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; rows without a language label
 are never learned from but are predicted; equal sizes go to the language that sorts first and count as rejected; repeated
-rows are predicted alike; with no labelled row everything is ``und``. Other columns of the input are ignored.
+rows are predicted alike; a language whose sampled texts have no letter gets no dictionary; with no labelled row
+everything is ``und``; an empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from veridock.llm.common import arrow_map, id_and_text, table
 
@@ -25,10 +27,11 @@ from veridock.llm.common import arrow_map, id_and_text, table
 DICTIONARY_BYTES = 131_072
 LEVEL = 3
 BLOCK = 1024
-#: Bound of the sample: so many labelled rows per language are expected (at most four times as many over all), so many
-#: characters of each are used.
-SAMPLE_ROWS = 160
-SAMPLE_CHARS = 2000
+#: Bound of the sample: labelled rows of each language that are read, characters of a piece, and pieces of each language that
+#: are learned from; rows and pieces are chosen by a hash, pieces from anywhere in the texts.
+SAMPLE_ROWS, PIECE_CHARS, PIECES = 640, 1000, 192
+#: Bytes that all dictionaries have together at most: with very many languages each gets less.
+ALL_BYTES = 64 << 20
 #: Languages closer than this share of the second-best size are not told apart.
 REJECT_MARGIN = 0.002
 UNDETERMINED = "und"
@@ -86,24 +89,25 @@ class Classifier:
             )
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """Dictionaries from a bounded sample of labelled rows, chosen by a hash so that reruns learn the same."""
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not counts:
-        return Classifier({})
-    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * 2.0 * sample_rows / n) + 1))).otherwise(share)
-    sample = rows.where(draw < share).where("text is not null").select("lang", draw.alias("draw"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    kept: dict[str, list[bytes]] = {}
-    sizes: dict[str, int] = {}
-    for r in sorted(sample.orderBy("draw", "doc_id", "text").limit(4 * sample_rows * len(counts)).collect(), key=lambda r: (r["lang"], r["draw"], r["doc_id"] or 0, r["text"])):
-        if sizes.get(r["lang"], 0) < DICTIONARY_BYTES and any(map(str.isalpha, r["text"])):
-            kept.setdefault(r["lang"], []).append(letters(r["text"]))
-            sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(kept[r["lang"]][-1])
-    return Classifier({lang: b"".join(parts)[:DICTIONARY_BYTES] for lang, parts in kept.items()})
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, pieces: int = PIECES) -> Classifier:
+    """Dictionaries for all languages of the labelled rows. Of each language ``sample_rows`` rows are read in whole, cut into
+    pieces, and ``pieces`` of these are learned from; what comes to the driver is bounded by languages x pieces. Hashes
+    choose, so that reruns learn the same."""
+    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    draw = F.xxhash64(F.lit(17), "doc_id", "text")
+    # texts stay where they are until the rows are chosen: only their keys are ranked
+    keys = rows.select("lang", "doc_id", draw.alias("draw"))
+    chosen = keys.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("n") <= sample_rows).select("lang", "draw").distinct()
+    texts = rows.withColumn("draw", draw).join(chosen, ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"])
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PIECE_CHARS))
+    cut = texts.select("lang", "draw", F.posexplode(F.transform(starts, lambda a: F.substring(F.col("text"), a + 1, F.lit(PIECE_CHARS)))).alias("at", "piece")).where(F.col("piece").rlike(r"\p{L}"))
+    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(19), "draw", "at"), "draw", "at")
+    best = cut.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pieces).select("lang", "n", "piece")
+    learned: dict[str, list[tuple[int, bytes]]] = {}
+    for r in best.toLocalIterator():
+        learned.setdefault(r["lang"], []).append((r["n"], letters(r["piece"])))
+    most = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(learned)))
+    return Classifier({lang: b"".join(x for _, x in sorted(parts))[:most] for lang, parts in learned.items()})
 
 
 def identify(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,8 @@ squares compromise.
 
 Defined cases: a null text is read as empty and has no tokens; rows that repeat a doc_id are documents of their own; rows
 without one are never learned from; labelled ids that are missing or null, or have no domain, are passed over, and of an
-id labelled twice the first domain in order counts; with no usable label or no token every rate is 1 and no posterior is
+id labelled twice the first domain in order counts; every domain that the labels have is kept (there is one posterior
+column each, so they are meant to be a closed list of tens); with no usable label or no token every rate is 1 and no posterior is
 known; an empty table gives an empty result. Other columns of the input are ignored.
 """
 
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_rows)  # bounded, so broadcast
     known = written(_features(id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")), "labelled")
     sums = [f(m).alias(f"{n}_{m}") for m in _MEASURES for n, f in (("avg", F.avg), ("sd", F.stddev_pop))]
-    rows = {r["domain"]: r for r in known.groupBy("domain").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "domain").limit(32).collect()}
+    rows = {r["domain"]: r for r in known.groupBy("domain").agg(F.count("*").alias("n"), *sums).collect()}
     if not rows:
         return None
     domains = sorted(rows)

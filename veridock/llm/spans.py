@@ -72,9 +72,10 @@ class Spans:
 
 
 class Redact:
-    """The same rows with every span's text replaced by ``[KIND]``; overlapping spans are replaced once, by the first kind."""
+    """The same rows with every span's text replaced by ``[KIND]``; overlapping spans are replaced once, by the first kind.
+    ``length_col`` names the column that holds the text's length, if any; no other column changes."""
 
-    def __init__(self, scan: Callable[[str], list], kinds: Sequence[str], text_col: str = "text", length_col: str | None = "n_chars"):
+    def __init__(self, scan: Callable[[str], list], kinds: Sequence[str], text_col: str = "text", length_col: str | None = None):
         self.scan, self.kinds, self.text_col, self.length_col = scan, tuple(kinds), text_col, length_col
 
     def text(self, text: str | None) -> str | None:

@@ -6,14 +6,21 @@ term maxima (the larger of query weight times maximum and times minimum, summed
 forward index range by range until the next bound falls below the k-th best score. Bounds that equal the k-th best are
 still scored, as ties go to smaller ids. The result is exact.
 
-Defined cases: rows without an id or with a null vector, an empty one, null or non-finite components, or components that
-leave 32 bits when scaled take no part; vectors are compared with those of their own length only; a vec_id that repeats
-is one row with its best score and is never its own candidate; with fewer candidates than k all are returned; an empty
-table gives an empty result. Other columns of the input are ignored.
+Scores are exact integers whatever the components' size: a pair of blocks is scored in double precision if none of its sums
+can leave 53 bits, in 64-bit integers if none can leave 63, and in Python's integers otherwise.
+
+How much is pruned depends on the vectors: ranges of vectors that point into one direction are passed over as a whole, while
+vectors spread evenly over a sphere of many dimensions have no range whose maxima fall below a k-th best score.
+
+Defined cases: rows without an id or with a null vector, an empty one, null or non-finite components take no part; vectors
+are compared with those of their own length only; a vec_id that repeats is one row with its best score and is never its
+own candidate; with fewer candidates than k all are returned; a score among the k best that leaves 64 bits, which the
+result could not hold, is an OverflowError; an empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +33,15 @@ from veridock.llm.vectors import ROWS, blocks, opened, query_blocks, results, se
 
 K = 5
 SCALE = 256
-#: Rows of a range within a block.
-RANGE = 256
+#: Rows of a range within a block, and query blocks whose best a task holds.
+RANGE, HELD = 256, 64
 
 
 def gathered(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that are alike next to each other, so that the maxima of a range are tight: by the halves of their span that
     the components that vary most are in."""
-    chosen = np.argsort(-vectors.astype(float).var(axis=0), kind="stable")[:16]
-    middle = (vectors.max(axis=0).astype(float) + vectors.min(axis=0)) / 2
+    chosen = np.argsort(-np.minimum(np.ptp(vectors / 4, axis=0), 1e300), kind="stable")[:16]
+    middle = vectors.max(axis=0) / 2 + vectors.min(axis=0) / 2
     order = np.lexsort([ids, *(vectors[:, c] > middle[c] for c in chosen[::-1])])
     return ids[order], vectors[order]
 
@@ -42,7 +49,7 @@ def gathered(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def merge(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of both, best first, ties by id, each id once."""
     i, s = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
-    order = np.lexsort((i, -s))
+    order = np.lexsort((i, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], i[j])), np.int64)
     i, s = i[order], s[order]
     _, first = np.unique(i, return_index=True)
     if len(first) < len(i):
@@ -51,6 +58,33 @@ def merge(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarr
     return i[:k], s[:k]
 
 
+def scaled(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): doubles, which hold it exactly, or Python integers if a product leaves the doubles."""
+    with np.errstate(over="ignore"):
+        out = np.floor(vectors * scale)
+    if np.isfinite(out).all():
+        return out
+    whole = [int(x) * scale if abs(x) >= 1 << 53 else math.floor(x * scale) for x in vectors.ravel().tolist()]
+    return np.array(whole, dtype=object).reshape(vectors.shape)
+
+
+#: Types of scores, from the narrowest.
+KINDS = (np.float64, np.int64, object)
+
+
+def exact_type(a: np.ndarray, b: np.ndarray) -> type:
+    """The type in which all inner products of rows of ``a`` and ``b`` are exact."""
+    most = [int(max(abs(x.max()), abs(x.min()))) if x.size else 0 for x in (a, b)]
+    largest = most[0] * most[1] * a.shape[1]
+    return np.float64 if largest < 1 << 53 else np.int64 if largest < 1 << 63 and max(most) < 1 << 62 else object
+
+
+def converted(x: np.ndarray, kind: type) -> np.ndarray:
+    if kind is object and x.dtype != object:
+        return np.array([int(c) for c in x.ravel().tolist()], dtype=object).reshape(x.shape)
+    return x.astype(kind)
+
+
 class Ranges:
     """A block's ranges: bounds and forward index."""
 
@@ -62,20 +96,21 @@ class Ranges:
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, held: list, k: int) -> int:
         """Bring the best of each query up to date; returns how many (query, range) were scored."""
-        bound = np.maximum(q, 0) @ self.most.T + np.minimum(q, 0) @ self.least.T
+        zero = q.dtype.type(0) if q.dtype != object else 0
+        bound = np.maximum(q, zero) @ self.most.T + np.minimum(q, zero) @ self.least.T
         order = np.argsort(-bound, axis=1, kind="stable")
-        floor = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in held])
+        floor = np.array([s[k - 1] if len(s) >= k else -math.inf for _, s in held], dtype=None if q.dtype != object else object)
         alive, scored = np.arange(len(q)), 0
         for step in range(order.shape[1]):
             at = order[alive, step]
-            alive, at = (x[bound[alive, at] >= floor[alive]] for x in (alive, at))
+            alive, at = (x[(bound[alive, at] >= floor[alive]).astype(bool)] for x in (alive, at))
             if not len(alive):
                 break
             for r in np.unique(at):
                 asked = alive[at == r]
                 scored += len(asked)
                 for j, scores in zip(asked, q[asked] @ self.forward[r].T, strict=True):
-                    fit = np.flatnonzero((scores >= floor[j]) & (self.ids[r] != q_ids[j]))
+                    fit = np.flatnonzero((scores >= floor[j]).astype(bool) & (self.ids[r] != q_ids[j]))
                     if len(fit):
                         held[j] = merge(held[j], self.ids[r][fit], scores[fit], k)
                         if len(held[j][1]) >= k:
@@ -84,37 +119,49 @@ class Ranges:
 
 
 class Search:
-    def __init__(self, k: int = K):
-        self.k = k
+    """Pairs of blocks to the best of each query. The best of the last ``HELD`` query blocks are held, so that later blocks of a
+    task are pruned by what earlier ones gave; those of a block that falls out are given out as they are, and the final
+    ranking brings all parts together."""
+
+    def __init__(self, k: int = K, scale: int = SCALE):
+        self.k, self.scale = k, scale
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[np.ndarray, list]] = {}
+        raw: tuple = (None, None)
         block: tuple = (None, None)
         for batch in batches:
             for dim, ids, vectors, q_ids, q_vectors in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "vectors", "q_ids", "q_vectors")), strict=True):
-                i, v = opened(ids, vectors, dim, "<i4")
-                asked, q = opened(q_ids, q_vectors, dim, "<i4")
-                largest = int(np.abs(v.astype(np.int64)).max()) * int(np.abs(q.astype(np.int64)).max()) * dim
-                kind = np.float64 if largest < 1 << 53 else np.int64  # products and sums are exact either way
-                if block[0] != (ids, kind):
-                    block = ((ids, kind), Ranges(i, v.astype(kind)))
-                best = held.setdefault(q_ids, (asked, [(np.zeros(0, np.int64), np.zeros(0, kind)) for _ in asked]))[1]
-                block[1].search(asked, q.astype(kind), best, self.k)
-        for asked, best in held.values():
-            yield results([(np.full(len(i), a), i, s.astype(np.int64)) for a, (i, s) in zip(asked, best, strict=True)], pa.int64())
-
-
-def scaled(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """Components to floor(scale * x), rows that leave 32 bits left out."""
-    out = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
-    return out.where(F.forall("v", lambda x: F.abs(x) < float(1 << 31)))
+                asked, q = opened(q_ids, q_vectors, dim, "<f8")
+                if raw[0] != (ids, vectors):
+                    i, v = opened(ids, vectors, dim, "<f8")
+                    raw, block = ((ids, vectors), (i, scaled(v, self.scale))), (None, None)
+                i, v = raw[1]
+                q = scaled(q, self.scale)
+                key = q_ids + q_vectors
+                best = held.pop(key, None) or (asked, [(np.zeros(0, np.int64), np.zeros(0, np.float64)) for _ in asked], np.float64)
+                kind = max(exact_type(v, q), best[2], key=KINDS.index)
+                if block[0] is not kind:
+                    block = (kind, Ranges(i, converted(v, kind)))
+                if kind is not best[2]:
+                    best = (asked, [(a, converted(s, kind)) for a, s in best[1]], kind)
+                held[key] = best
+                block[1].search(asked, converted(q, kind), best[1], self.k)
+                if len(held) > HELD:
+                    yield self.given(held.pop(next(iter(held))))
+        for best in held.values():
+            yield self.given(best)
+
+    @staticmethod
+    def given(best: tuple[np.ndarray, list, type]) -> pa.RecordBatch:
+        return results([(a, i, s) for a, (i, s) in zip(*best[:2], strict=True)])
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest integer inner product for each query but itself.
     ``is_query`` is a condition on ``vec_id``."""
-    rows = scaled(usable(embeddings, id_col, vector_col, zero_too=True), scale)
-    return searched(blocks(rows, ROWS, "<i4", "rows", gathered), query_blocks(rows, is_query, "<i4"), Search(k), "long", k, smallest=False)
+    rows = usable(embeddings, id_col, vector_col, zero_too=True)
+    return searched(blocks(rows, ROWS, "<f8", "rows", gathered), query_blocks(rows, is_query, "<f8"), Search(k, scale), k)
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

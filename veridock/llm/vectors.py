@@ -1,4 +1,4 @@
-"""Blocks of vectors, and pairs of query blocks with them, as both vector searches use them.
+"""Usable rows of a vector table, blocks of them, and pairs of query blocks with these.
 
 A search compares a stated set of queries with all rows. Rows and queries are packed into blocks of bounded size, both
 are stored in the shared folder, and each pair of blocks is one row of work: no pair of vectors is ever a row, no side is
@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from veridock.llm.common import arrow_batches, written
 
-#: Rows of a block, queries of a block.
+#: Rows of a block, queries of a block: a pair of blocks is at most 8 MB at 128 components.
 ROWS, QUERIES = 8192, 256
 
 BLOCK = "dim int, n int, ids binary, vectors binary"
@@ -85,26 +85,32 @@ def query_blocks(rows: DataFrame, is_query: Column, kind: str) -> DataFrame:
     return blocks(asked.repartition(max(1, -(-n // QUERIES)), "vec_id"), QUERIES, kind, "queries")
 
 
-def searched(rows: DataFrame, queries: DataFrame, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], score: str, k: int, smallest: bool) -> DataFrame:
-    """The k best of what ``search`` finds in each pair of blocks: query_id, rank, vec_id, score. Ties go to the smaller
-    vec_id; a vec_id that repeats counts once, with its best score."""
+def searched(rows: DataFrame, queries: DataFrame, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], k: int) -> DataFrame:
+    """The k highest scores of what ``search`` finds in each pair of blocks: query_id, rank, vec_id, score. Ties go to the
+    smaller vec_id; a vec_id that repeats counts once, with its best score."""
     asked = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     pairs = rows.crossJoin(asked).where("dim = q_dim").select("dim", "ids", "vectors", "q_ids", "q_vectors")
-    arrow_batches(rows.sparkSession, rows=4)
+    arrow_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return search(batches)
 
-    found = pairs.mapInArrow(run, f"query_id long, vec_id long, score {score}")
-    best = found.groupBy("query_id", "vec_id").agg((F.min if smallest else F.max)("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.asc("score") if smallest else F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, beyond int, score long")
+    best = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("beyond", "score")).alias("s"))
+    order = W.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.when(F.col("s.beyond") == 0, F.col("s.score")).otherwise(F.raise_error(F.lit("OverflowError: a score leaves 64 bits")).cast("long"))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def opened(ids: bytes, vectors: bytes, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, kind).reshape(-1, dim)
 
 
-def results(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 3
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]).cast(kind)], names=["query_id", "vec_id", "score"])
+def results(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(query, ids, scores) as rows; a score that leaves 64 bits keeps its side only."""
+    query = np.concatenate([np.zeros(0, np.int64), *(np.full(len(i), q) for q, i, _ in rows)])
+    ids = np.concatenate([np.zeros(0, np.int64), *(i for _, i, _ in rows)])
+    scores = [int(x) for _, _, s in rows for x in s.tolist()]
+    beyond = [(x >= 1 << 63) - (x < -(1 << 63)) for x in scores]
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(beyond, pa.int32()), pa.array([0 if o else x for o, x in zip(beyond, scores, strict=True)], pa.int64())], names=["query_id", "vec_id", "beyond", "score"])
