@@ -77,6 +77,48 @@ def test_classes_match_all_pairs(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted([-1, -1, *set(want.values())])
 
 
+def template(pairs=500, shared=884):
+    """Pairs of exact similarity 0.81 among texts that all share a template and are 0.79 alike otherwise."""
+    rng = random.Random(1)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(shared)]
+    docs = []
+    for k in range(pairs):
+        both = [f"p{k}x{j}" for j in range(13)]
+        for side in range(2):
+            docs.append((2 * k + side, " ".join([*base, *both, *[f"u{k}s{side}x{j}" for j in range(102)]])))
+    return docs
+
+
+def test_pairs_in_a_crowd_just_below_the_threshold(spark):
+    """Every bucket holds hundreds of texts, no two of which are linked but for one pair each: none may be lost."""
+    docs = template()
+    first = [sets(t) for _, t in docs[:3]]
+    near, far = (len(first[0] & x) / len(first[0] | x) for x in first[1:])
+    assert near >= 0.8 > far > 0.78
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
+    out = {r.doc_id: r for r in neardup.classes(df).collect()}
+    assert all(out[i].class_id == i - i % 2 and out[i].n_links == 1 for i in range(len(docs)))
+
+
+def test_cells_against_all_pairs(monkeypatch):
+    docs = [(i, t) for i, t in template(12, 150)] + [(100 + i, "w1 w2 w3 w4 w5 w6 w7 w8 " * 3 + str(i)) for i in range(6)]
+    for limit in (4, 0):  # pair by pair, and as matrices
+        rows = [{"d": i, "text": t, "size": len(sets(t)), "label": i, "keys": [1, i % 3 + 10], "block": 0} for i, t in docs]
+        cell = neardup.Cell(0.8)
+        got = cell.linked(pa.Table.from_pylist(rows), pa.Table.from_pylist(rows if limit else rows[::-1]))
+        want = sorted((a, b) for (a, s), (b, t) in itertools.combinations(docs, 2) if len(sets(s) & sets(t)) >= 0.8 * len(sets(s) | sets(t)) and min(len(sets(s)), len(sets(t))) >= 0.8 * max(len(sets(s)), len(sets(t))))
+        assert got == want and want
+    assert cell.linked(pa.Table.from_pylist([r | {"keys": [1]} for r in rows]), pa.Table.from_pylist([r | {"keys": [2]} for r in rows])) == []
+
+
+def test_representatives_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "1", 1), (1, None, "2", 2), (1, None, "0", 2), (2, "A b  c d e f", "3", 3), (3, "x", "4", 4), (None, "x", "5", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, row int")
+    out = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.gone, r.row) for r in neardup.representatives(df).collect())
+    assert neardup.representatives(df).columns == df.columns
+    assert out == [(-1, "x", "5", 5), (1, None, "0", 2), (3, "x", "4", 4)]
+
+
 def test_empty(spark):
     assert neardup.classes(spark.createDataFrame([], SCHEMA)).count() == 0
 

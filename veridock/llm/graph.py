@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridock.llm.common import written
+from veridock.llm.common import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
     seen = None
     while True:
-        now = written(_small(_large(now)), "edges")
+        before, now = now, written(_small(_large(now)), "edges")
+        discard(before)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (state["n"], state["s"]) == seen or not state["n"]:
             break

@@ -12,14 +12,17 @@ slowly with its count (1 + ln(count) / 4): a text that repeats one phrase is not
    further leaders, but only across components that are still apart and never twice. So a large group of near copies,
    whose members need one link each, joins after few comparisons a member, and a bucket with one member more than
    leaders is compared in full.
-4. A larger bucket that still spans several components is settled: all its pairs across components that sizes allow and
-   that were not compared before are verified, cell by cell: texts are dealt into blocks, and a cell holds the pairs
-   between two blocks, so that a text travels once a cell and not once a pair.
+4. A larger bucket that still spans several components is settled in full, but its pairs are never rows: the texts of all
+   such buckets are dealt into blocks, and each two blocks with a bucket in common are a cell. A cell gets both blocks'
+   texts once, finds its pairs that share a bucket, lie in different components and fit in size, compares them by a
+   product of incidence matrices, and gives out links only.
 5. Links are verified on whole texts; components are found by star contraction.
 
 Defined cases: null or wordless texts have no shingles and are classes of their own, never linked; texts of one to four
 words have one shingle; rows that repeat a doc_id are one document and one result row; rows without a doc_id come back
-as a class of their own with null ids; an empty table gives an empty result. Other columns are ignored.
+as a class of their own with null ids; an empty table gives an empty result. Other columns are ignored, whatever their
+names; ``representatives`` carries them along, and of rows that repeat an id keeps the one whose text comes first in
+order (null before all), then the one that is first when the whole row is written as JSON.
 """
 
 from __future__ import annotations
@@ -34,15 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veridock.llm import shingles as sh
-from veridock.llm.common import arrow_map, id_and_text, table, written
+from veridock.llm.common import arrow_map, discard, id_and_text, table, written
 from veridock.llm.graph import components
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 #: Leaders of a bucket that the rounds use up; larger buckets are settled afterwards.
 ROUNDS = ((0, 1), (1, 15))
-#: Texts and characters of a block, on average, and members of a bucket that one task pairs with all others.
-BLOCK_TEXTS, BLOCK_CHARS, PART = 256, 2 << 20, 512
+#: Texts and characters of a block, on average.
+BLOCK_TEXTS, BLOCK_CHARS = 512, 2 << 20
 
 _SIGNATURE = "doc_id long, c1 long, c2 long, size long, bands array<long>"
 _PAIR = "a long, b long"
@@ -143,56 +146,77 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096)
 
 
 class Cell:
-    """Pairs between two blocks and the blocks' texts to the pairs that are linked."""
+    """Two blocks of open texts (d, text, size, label, keys) to the pairs between them that are linked."""
 
     def __init__(self, threshold: float = THRESHOLD):
         self.threshold = threshold
 
-    def __call__(self, pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = {}
-        for d, text in zip(texts.column("d").to_pylist(), texts.column("text").to_pylist(), strict=True):
-            _, element, _ = sh.shingles([normal(text)])
-            if len(element):
-                sets.setdefault(d, []).append(element)
-        linked = self.linked(list(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)), sets)
+    def __call__(self, left: pa.Table, right: pa.Table) -> pa.Table:
+        linked = self.linked(left, right) if len(left) and len(right) else []
         return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
 
-    def linked(self, pairs: list[tuple[int, int]], sets: dict[int, list[np.ndarray]]) -> list[tuple[int, int]]:
-        pairs = [(a, b) for a, b in pairs if a in sets and b in sets]
-        if len(pairs) <= 4 * len(sets):
-            similar = lambda s, t: (n := len(np.intersect1d(s, t, assume_unique=True))) / (len(s) + len(t) - n)
-            return [(a, b) for a, b in pairs if any(similar(s, t) >= self.threshold for s in sets[a] for t in sets[b])]
-        left, right = ([(d, s) for d in sorted({p[k] for p in pairs}) for s in sets[d]] for k in (0, 1))
-        common = intersections([s for _, s in left], [s for _, s in right])
-        total = np.array([len(s) for _, s in left])[:, None] + np.array([len(s) for _, s in right])[None, :]
-        close = {(left[i][0], right[j][0]) for i, j in zip(*np.nonzero(common / (total - common) >= self.threshold), strict=True)}
-        return [p for p in pairs if p in close]
-
+    def candidates(self, left: pa.Table, right: pa.Table) -> np.ndarray:
+        """Which pairs share a bucket, lie in different components and are near enough in size; each pair once."""
+        out = np.zeros((len(left), len(right)), bool)
+        where: list[dict[int, list[int]]] = [{}, {}]
+        for side, rows in zip(where, (left, right), strict=True):
+            for i, keys in enumerate(rows.column("keys").to_pylist()):
+                for key in keys:
+                    side.setdefault(key, []).append(i)
+        for key in where[0].keys() & where[1].keys():
+            out[np.ix_(where[0][key], where[1][key])] = True
+        (d, e), (m, n), (x, y) = ([t.column(c).to_numpy() for t in (left, right)] for c in ("d", "size", "label"))
+        out &= (x[:, None] != y[None, :]) & (np.minimum(m[:, None], n[None, :]) >= self.threshold * np.maximum(m[:, None], n[None, :]))
+        if left.column("block")[0] == right.column("block")[0]:
+            out &= d[:, None] < e[None, :]
+        return out
 
-def settled(known: DataFrame, compared: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    def linked(self, left: pa.Table, right: pa.Table) -> list[tuple[int, int]]:
+        wanted = self.candidates(left, right)
+        rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+        if not len(rows):
+            return []
+        wanted = wanted[np.ix_(rows, columns)]
+        sets = [[sh.shingles([normal(t)])[1] for t in side.column("text").take(pa.array(chosen)).to_pylist()] for side, chosen in ((left, rows), (right, columns))]
+        size = [np.array([len(s) for s in side]) for side in sets]
+        if np.count_nonzero(wanted) <= 4 * (len(rows) + len(columns)):
+            common = np.zeros(wanted.shape)
+            for i, j in zip(*np.nonzero(wanted), strict=True):
+                common[i, j] = len(np.intersect1d(sets[0][i], sets[1][j], assume_unique=True))
+        else:
+            common = intersections(*sets)
+        close = wanted & (common >= self.threshold * (size[0][:, None] + size[1][None, :] - common))
+        d, e = (t.column("d").to_numpy()[chosen] for t, chosen in ((left, rows), (right, columns)))
+        return sorted({(int(min(d[i], e[j])), int(max(d[i], e[j]))) for i, j in zip(*np.nonzero(close), strict=True)})
+
+
+def settled(known: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
     """The links (a, b) across components in buckets that the leaders did not exhaust; none if there is no such bucket.
     ``known``: key, d, size, label."""
     spans = known.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    spans = spans.where((F.col("n") > ROUNDS[-1][1] + 1) & (F.col("low") != F.col("high"))).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    left = written(known.join(spans, "key"), "open")
-    involved = texts.join(left.select(F.col("d").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("d"), "text")
+    spans = spans.where((F.col("n") > ROUNDS[-1][1] + 1) & (F.col("low") != F.col("high"))).select("key")
+    left = known.join(spans, "key").groupBy("d").agg(F.first("size").alias("size"), F.first("label").alias("label"), F.collect_set("key").alias("keys"))
+    involved = written(texts.join(left.withColumnRenamed("d", "doc_id"), "doc_id").select(F.col("doc_id").alias("d"), "text", "size", "label", "keys"), "open")
     volume = involved.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     if not volume["n"]:
+        discard(involved)
         return None
-    x = left.select("key", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), F.col("d").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
-    y = left.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("d").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
-    fit = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb"))
-    pairs = x.join(y, ["key", "part"]).where(fit).select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
     blocks = max(1, -(-volume["n"] // BLOCK_TEXTS), -(-(volume["chars"] or 0) // BLOCK_CHARS))
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(blocks))
-    cells = written(pairs.select("a", "b", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y")), "pairs")
-    wanted = cells.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("a", "b")).alias("d")).distinct()
+    rows = involved.withColumn("block", F.pmod(F.xxhash64("d", F.lit(7)), F.lit(blocks)))
+    at = rows.select("block", F.explode("keys").alias("key")).distinct()
+    cells = at.select("key", F.col("block").alias("x")).join(at.select("key", F.col("block").alias("y")), "key").where("x <= y").select("x", "y").distinct()
+    cells = written(cells, "cells")
+    left = cells.join(rows, F.col("x") == F.col("block"))
+    other = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of its own, as a cogroup needs them
+    right = cells.select(F.col("x").alias("u"), F.col("y").alias("v")).join(other, F.col("v") == F.col("block"))
     work = Cell(threshold)
 
-    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        return work(pairs, texts)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return work(left, right)
 
-    return written(cells.groupBy("x", "y").cogroup(wanted.join(involved, "d").groupBy("u", "v")).applyInArrow(run, _PAIR), "links")
+    found = written(left.groupBy("x", "y").cogroup(right.groupBy("u", "v")).applyInArrow(run, _PAIR).distinct(), "links")
+    discard(involved, cells)
+    return found
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,6 +239,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     labels: DataFrame | None = None
     links: DataFrame | None = None
     compared: DataFrame | None = None
+    used: list[DataFrame] = [members, leaders, texts]
 
     def labelled() -> DataFrame:
         known = members if labels is None else members.join(labels.select(F.col("id").alias("d"), "label"), "d", "left")
@@ -231,6 +256,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        used.append(pairs)
         compared = pairs if compared is None else compared.unionByName(pairs)
         text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
         checked = arrow_map(pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb"), Verify(threshold), _LINK)
@@ -238,10 +264,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         links = new if links is None else links.unionByName(new)
         if labels is None or not new.isEmpty():
             labels = components(links)
-    rest = settled(labelled(), compared, texts, threshold)
+    rest = settled(labelled(), texts, threshold)
     if rest is not None and not rest.isEmpty():
-        links = links.unionByName(rest)
+        links = links.unionByName(rest).distinct()
         labels = components(links)
+    discard(*used)
 
     degree = links.select(F.col("a").alias("exact_id")).unionByName(links.select(F.col("b").alias("exact_id"))).groupBy("exact_id").agg(F.count("*").alias("n_links"))
     facts = groups.where("n > 1").select("c1", "c2", "exact_id")
@@ -254,17 +281,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, all columns as they are; rows without an id stay. Of rows that repeat an
-    id one stays."""
+    """``docs`` with one document of each class, all columns as they are; rows without an id stay, of rows that repeat an id
+    one does."""
     verdict = classes(docs, threshold, id_col, text_col).where("doc_id is not null")
-    gone = written(verdict.where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    order = W.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text_col)))
-    rest = kept.where(F.col(id_col).isNotNull()).withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return rest.unionByName(kept.where(F.col(id_col).isNull()))
+    gone = written(verdict.where("not kept").select(F.col("doc_id").alias("gone")), "gone")
+    # the rows' own columns are one struct, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count()
+    if repeated:
+        order = W.partitionBy("id").orderBy(F.asc_nulls_first("text"), F.to_json("row"))
+        rest = kept.where("id is not null").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+        kept = rest.unionByName(kept.where("id is null"))
+    return kept.select("row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
