@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridock.functions import hashing as h
+from veridock.functions import markers as m
 from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
 
@@ -71,7 +72,7 @@ def test_other_text(spark):
     assert tuple(one(spark, t.backtick_kinds("x"), x="`500 and [`] or 4` years, it`s")) == (2, 1, 1)
     assert one(spark, t.rupees_shown("x"), x="`500 it`s") == "₹500 it`s"
     assert one(spark, t.masked(["Golden"], F.col("x")), x="a Golden plan") == "a        plan"
-    assert one(spark, t.marker_spans("x", F.col("k")), x="Cover(7) and Care OPD9", k=["7", "9", "5"]) == ["7", "9"]
+    assert one(spark, m.distinct(m.spans(F.col("x"), F.col("k"))), x="Cover(7) and Care OPD9", k=["7", "9", "5"]) == ["7", "9"]
     assert one(spark, t.precise_figures("x"), x="It has 12,345 employees, over 9,000 clients, since 1999") == ["12,345"]
     assert one(spark, t.tokens("x"), x="The Cover of 5 days, cover") == ["cover", "5", "days"]
     assert one(spark, h.map_key(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))), x="") == '{"a":2,"b":1}'

@@ -113,14 +113,7 @@ def test_cells(spark):
     assert got["foreign"].errors == ["E4: foreign"] and got["unknown"].errors == ["E9: unknown"] and got["none"].limitations == []
 
 
-def test_absence_exposures_labels(spark):
-    cells = spark.createDataFrame([("a", "NOT_STATED", False, "not_stated"), ("b", "EXCLUDED", True, "excluded"), ("b", "EXCLUDED", True, "excluded"), ("c", "NOT_STATED", False, "excluded"), ("d", "FULLY_COVERED", False, "excluded"), ("e", "FULLY_COVERED", False, "not_stated"), ("f", "COVERED_VIA_ADDON", True, "excluded")], "claim_id string, status string, evidenced boolean, w string")
-    assert {r.claim_id: r.status for r in rules.absence_verdict(cells, "claim_id", F.col("w")).collect()} == {"a": "VERIFIED", "b": "VERIFIED", "c": "UNSUPPORTED", "d": "CONTRADICTED", "e": "CONTRADICTED", "f": "VERIFIED_WITH_QUALIFIER"}
-    taxonomy = spark.createDataFrame([("B1", 0, True), ("X1", 1, False), ("X2", 2, False), ("X3", 3, False)], "exposure_id string, ord int, baseline boolean")
-    picks = spark.createDataFrame([("X2", 0, ["f1"]), ("ZZ", 1, ["f1"]), ("X1", 2, ["f2", "f9"]), ("X2", 3, ["f2"]), ("X3", 4, [])], "exposure_id string, ord int, fact_ids array<string>")
-    facts = spark.createDataFrame([("f1", "WEB_SOURCED"), ("f2", "ASSUMPTION")], "fact_id string, status string")
-    got = {r.exposure_id: (r.place, r.assumption_based) for r in rules.selected_exposures(picks, taxonomy, facts, 3).collect()}
-    assert got == {"B1": (1, False), "X2": (2, False), "X1": (3, True)}
+def test_labels(spark):
     items = spark.createDataFrame([("e1", None, None, "UNKNOWN"), ("e2", "Gold", None, "BASE"), ("e3", None, None, "UNKNOWN")], "evidence_id string, variant string, si_condition string, tier string")
     answers = spark.createDataFrame([("e1", 0, "Gold", "s" * 90, "ADDON"), ("e1", 1, "Silver", "x", "BASE"), ("e2", 2, "Silver", "ok", "ADDON"), ("zz", 3, "Gold", "x", "BASE"), ("e3", 4, "Bronze", None, None)], "evidence_id string, ord int, variant string, si_condition string, tier string")
     got = {r.evidence_id: tuple(r)[1:] for r in rules.merged_labels(items, answers, ["Gold", "Silver"]).collect()}
@@ -147,53 +140,7 @@ def test_claims(spark):
     assert got == {"a": ("Web only", "COMPANY_FACT", ["f1"]), "b": ("Mixed*", "ASSUMPTION", ["f2", "f1"])}
     split = claims.split_by_provenance(drafts.withColumn("ord", F.lit(1)), facts).orderBy("claim_id", "place").collect()
     assert [(r.claim_id, r.text) for r in split] == [("a", "Web only"), ("b", "Many travel*"), ("b", "Offices in Pune"), ("c", "None")] or [(r.claim_id, r.text) for r in split][:1] == [("a", "Web only")]
-    pages = spark.createDataFrame([("W1", "The firm has offices in Pune and Delhi.")], "source_id string, content string")
-    quotes = spark.createDataFrame([("f1", "W1", "has offices in Pune"), ("f3", "W1", "offices in London and Paris"), ("f4", "W9", "has offices in Pune"), ("f5", "W1", "in Pune")], "fact_id string, source_id string, quote string")
-    said = spark.createDataFrame([(f"f{i}", "WEB_SOURCED") for i in (1, 3, 4, 5, 6)] + [("f7", "ASSUMPTION")], "fact_id string, status string")
-    assert {r.fact_id: (r.status, r.problem) for r in claims.verified_facts(said, pages, quotes).collect()} == {"f1": ("WEB_SOURCED", None), "f3": ("MODEL_KNOWLEDGE", "quote not in its source"), "f4": ("MODEL_KNOWLEDGE", "unknown source"), "f5": ("MODEL_KNOWLEDGE", "quote not in its source"), "f6": ("MODEL_KNOWLEDGE", "no quote"), "f7": ("ASSUMPTION", None)}
-    fields = spark.createDataFrame([("industry", "A", "ASSUMPTION", 0), ("industry", "B", "WEB_SOURCED", 1), ("size", "large", "WEB_SOURCED", 2), ("headcount", "500", "ASSUMPTION", 3)], "field string, value string, status string, ord int")
-    assert tuple(claims.profile_fields(fields).first()) == ("B", None, "500")
-    words = spark.createDataFrame([("A", "ambulance"), ("B", "air ambulance")], "exposure_id string, keyword string")
-    texts = spark.createDataFrame([(1, "An air ambulance"), (2, "An ambulance")], "id int, text string")
-    assert {(r.id, r.exposure_id) for r in claims.specific_mentions(texts, words).collect()} == {(1, "B"), (2, "A")}
     deck = spark.createDataFrame([("r", 1, ["x"], [("b1", "c1"), ("b2", "c2")], ["l"])], "run_id string, slide_number int, bullets array<string>, rows array<struct<benefit:string,condition:string>>, limitations array<string>")
     assert [(r.claim_id, r.text) for r in claims.flattened(deck).orderBy("ord").collect()] == [("CL-001", "x"), ("CL-002", "b1"), ("CL-003", "c1"), ("CL-004", "b2"), ("CL-005", "c2"), ("CL-006", "l")]
     tries = spark.createDataFrame([("a", 1, "t1", "UNSUPPORTED", True), ("a", 2, "t2", "VERIFIED", True), ("b", 1, None, "UNSUPPORTED", False), ("b", 2, "t", "VERIFIED", False), ("c", 1, "t", "CONTRADICTED", True), ("d", 1, "t", "VERIFIED", False), ("d", 2, "u", "VERIFIED", False)], "claim_id string, attempt int, text string, status string, material boolean")
     assert {r.claim_id: (r.text, r.outcome) for r in claims.repaired(tries).collect()} == {"a": ("t2", "REPAIRED"), "b": (None, "REMOVED"), "c": (None, "REPAIR_FAILED"), "d": ("t", "REPAIRED")}
-
-
-def test_company_verdict(spark):
-    from veridock.functions import quantity as q
-
-    rows = [("Acme has offices in Pune", True), ("Acme has 600 staff in Pune", True), ("Acme has offices in Pune*", False), ("Acme has offices in Berlin", True), ("Acme has offices in Pune", False)]
-    df = spark.createDataFrame([(t_, w, ["Acme has offices in Pune with 500 staff"]) for t_, w in rows], "text string, web boolean, facts array<string>")
-    df = df.withColumn("cn", q.quantities(F.col("text"), False)).withColumn("fn", q.quantities(F.array_join("facts", " ")))
-    verdict = claims.company_verdict(F.col("text"), F.lit("COMPANY_FACT"), F.lit(1), F.col("facts"), F.lit(True), F.lit(True), F.col("web"), F.col("cn"), F.col("fn"), F.lit("Acme"))
-    assert [r[0] for r in df.select(verdict).collect()] == ["VERIFIED", "CONTRADICTED", "LABELLED_ASSUMPTION", "NEEDS_REVIEW", "NEEDS_REVIEW"]
-    assert t is not None
-
-
-def test_policy_verdicts(spark):
-    ev = spark.createDataFrame([("E1", "P", True, "Room rent is paid up to ₹5,000 a day after 24 months"), ("E2", "Q", True, "Room rent is paid"), ("E3", "P", False, "Room rent")], "evidence_id string, document_id string, citable boolean, text string")
-    quote = [("E1", "room rent is paid up to INR 5,000")]
-    rows = [
-        ("ok", "Room rent up to ₹5,000 after 2 years", "VERIFIED", ["E1"], quote, None),
-        ("qualified", "Room rent is paid", "VERIFIED", ["E1"], quote, "after 24 months"),
-        ("badqualifier", "Room rent is paid", "VERIFIED", ["E1"], quote, "after 36 months"),
-        ("foreign", "Room rent is paid", "VERIFIED", ["E1", "E2"], quote, None),
-        ("noitem", "Room rent is paid", "VERIFIED", ["E3"], [], None),
-        ("noquote", "Room rent is paid", "VERIFIED", ["E1"], [], None),
-        ("misquoted", "Room rent is paid", "VERIFIED", ["E1"], [("E1", "all rent is paid")], None),
-        ("contradicted", "Room rent up to ₹9,000", "VERIFIED", ["E1"], quote, None),
-        ("missing", "Room rent at 80%", "VERIFIED", ["E1"], quote, None),
-        ("named", "Bluecare pays room rent", "VERIFIED", ["E1"], quote, None),
-        ("absolute", "All room rent is paid", "VERIFIED", ["E1"], quote, None),
-        ("kept", "Room rent is paid", "CONTRADICTED", ["E1"], quote, None),
-    ]
-    claims_ = spark.createDataFrame([(i, "P", x) for i, x, *_ in rows] + [("none", "P", "x")], "claim_id string, policy_id string, text string")
-    verdicts = spark.createDataFrame([(i, *rest) for i, _, *rest in rows], "claim_id string, status string, supporting_evidence_ids array<string>, quotes array<struct<evidence_id:string,quote:string>>, required_qualifier string")
-    got = {r.claim_id: r.status for r in claims.policy_verdicts(claims_, verdicts, ev, {"Q": ["bluecare"]}).collect()}
-    assert got == {
-        "ok": "VERIFIED", "qualified": "VERIFIED_WITH_QUALIFIER", "badqualifier": "NEEDS_REVIEW", "foreign": "UNSUPPORTED", "noitem": "UNSUPPORTED", "noquote": "NEEDS_REVIEW",
-        "misquoted": "NEEDS_REVIEW", "contradicted": "CONTRADICTED", "missing": "UNSUPPORTED", "named": "UNSUPPORTED", "absolute": "NEEDS_REVIEW", "kept": "CONTRADICTED", "none": "NEEDS_REVIEW",
-    }

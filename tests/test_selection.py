@@ -74,6 +74,6 @@ def test_predicates(spark):
     assert one(p.states_figure(F.lit("size"), F.lit("1,200"))) and not one(p.states_figure(F.lit("size"), F.lit("over 1,000")))
     assert one(p.states_money(F.lit("₹5 crore"))) and not one(p.states_money(F.lit("crores")))
     assert one(p.priced_in_context(F.lit("age 35, family floater, sum insured 5L"))) and not one(p.priced_in_context(F.lit("age 35")))
-    assert one(p.overstates(F.lit("Covers all rooms"), F.lit("covers rooms"))) and not one(p.overstates(F.lit("Covers all rooms"), F.lit("All rooms")))
-    assert one(p.restrictive_sentences(F.lit("Only after a wait of years. Fine words here."), F.lit("Covers rooms"))) == ["Only after a wait of years."]
-    assert one(p.complete_sentence(F.lit("This is a whole sentence."))) and not one(p.complete_sentence(F.lit("But this is not a sentence.")))
+    assert one(p.overstatements(F.lit("Covers rooms always"), F.lit("covers rooms"))) == ["always"] and one(p.overstatements(F.lit("Covers rooms always"), F.lit("rooms, always"))) == []
+    assert one(p.missing_restriction(F.lit("Only after a wait of years. Fine words here."), F.lit("Covers rooms"), F.lit("Covers rooms"))) == "Only after a wait of years."
+    assert one(p.complete_sentence(F.lit("This is a whole sentence."))) and not one(p.complete_sentence(F.lit("Which is not a sentence at all.")))

@@ -18,6 +18,16 @@ STOP_WORDS = (
 ).split()
 SEARCH_STOP_WORDS = "a an and are as at be by for from in is it of on or the to up upto with your you per any all this that".split()
 STEM = 5
+#: Names that extraction breaks, in the normal form.
+SPACED_NAMES = {"t itanium+": "titanium+", "platinum +": "platinum+", "optima secure +": "optima secure+"}
+#: Sections whose texts do not go on from their heading.
+APART = ("Footnotes", "Page header", "Page footer")
+HEADCOUNT = r"\b(?:employees?|workforce|staff|people|headcount|professionals|workers|personnel)\b"
+REVENUE = r"\b(?:revenues?|turnover|sales|income|earnings|profits?|market cap\w*)\b|[$€£]|\busd\b"
+FIGURE = r"[$₹€£]?\s?\d[\d,]*(?:\.\d+)?(?:\s?(?:k|mn|m|million|bn|billion|cr|crores?|lakhs?|lacs?)\b)?"
+BAND_BEFORE = r"over|more than|above|at least|nearly|almost|around|about|approximately|approx\.?|roughly|some|close to|upwards of|in excess of|between|under|below|less than|up to|~|≈"
+BAND_AFTER = r"\s*(?:\+|plus\b|or more\b|and above\b|(?:-|–|to)\s*[$₹]?\d)"
+SCALED = r"(?i)[$₹€£]|k\b|mn|million|bn|billion|cr|crore|lakh|lac"
 WORD = r"[A-Za-z][A-Za-z'’-]*"
 
 
@@ -45,7 +55,7 @@ def backtick_kinds(c: Column | str) -> Column:
 
 def normalised(c: Column | str, keep_paren: bool = False) -> Column:
     """The form in which quotes and evidence are compared: one currency token, unified quotes and dashes, lower case,
-    footnote markers removed, single spaces. ``keep_paren`` keeps "(7)" as it is."""
+    footnote markers removed, single spaces, broken names joined. ``keep_paren`` keeps "(7)" as it is."""
     s = F.replace(rupees_shown(F.replace(_c(c), F.lit("�"), F.lit(""))), F.lit("`"), F.lit(""))
     s = F.lower(F.translate(F.replace(s, F.lit("™"), F.lit(" TM")), *QUOTES))
     s = F.replace(s, F.lit("ß"), F.lit("ss"))
@@ -56,8 +66,10 @@ def normalised(c: Column | str, keep_paren: bool = False) -> Column:
         s = F.regexp_replace(s, r"\(\d{1,2}\)", " ")
     s = F.regexp_replace(s, r"(?<=[a-z]{2})\d{1,2}\b", "")
     s = F.regexp_replace(s, SYMBOLS, "")
-    s = F.regexp_replace(s, r"(?<=[a-z])\s?%(?=[\s,.;:)\]]|$)", "")
-    return squeezed(s)
+    s = squeezed(F.regexp_replace(s, r"(?<=[a-z])\s?%(?=[\s,.;:)\]]|$)", ""))
+    for broken, name in SPACED_NAMES.items():
+        s = F.replace(s, F.lit(broken), F.lit(name))
+    return s
 
 
 def bounded_pattern(needle: Column) -> Column:
@@ -84,6 +96,14 @@ def quoted_in(quote: Column | str, evidence: Column | str) -> Column:
     return bounded_in(wanted, normalised(evidence))
 
 
+def quoted_in_item(quote: Column | str, text: Column | str, section: Column | str, unmarked: Column | str) -> Column:
+    """Whether an evidence item has a quote: in its text, in its text without the footnote markers it records (``unmarked``,
+    see ``markers.masked``), or, where the text goes on from its heading in lower case, in both together."""
+    goes_on = _c(text).rlike(r"^\p{Ll}") & ~_c(section).isin(*APART)
+    both = F.concat_ws(" ", _c(section), _c(text))
+    return quoted_in(quote, text) | quoted_in(quote, unmarked) | F.when(goes_on, quoted_in(quote, both)).otherwise(F.lit(False))
+
+
 def names(aliases: dict[str, list[str]], text: Column) -> Column:
     """Which of the named things a normalised text names in whole: sorted array of their ids."""
     parts = []
@@ -178,16 +198,17 @@ def required_words(c: Column | str) -> Column:
 
 
 def bullets(c: Column | str) -> Column:
-    """The pieces of a bulleted or piped line that have three letters or digits."""
+    """The pieces, with three letters or digits, of a line that has bullets or, if it has none, two or more spaced pipes."""
     c = _c(c)
-    piped = F.length(F.regexp_replace(c, r"[^|]", "")) >= 2
-    parts = F.when(piped, F.split(c, r"\s*[|•▪●]\s*")).otherwise(F.split(c, r"\s*[•▪●]\s*"))
+    bulleted, piped = c.rlike("[•●▪]"), F.regexp_count(c, F.lit(r"\s+\|\s+")) >= 2
+    parts = F.when(bulleted, F.split(c, r"\s*[•●▪]\s*")).when(piped, F.split(c, r"\s+\|\s+")).otherwise(F.array(c))
     return F.filter(F.transform(parts, squeezed), lambda p: F.length(F.regexp_replace(p, r"[^\p{L}\p{N}]", "")) >= 3)
 
 
 def footnotes(c: Column | str) -> Column:
     """Packed footnotes split where a sentence ends and a marker follows."""
-    return F.split(_c(c), r"(?<=[.;])\s+(?=(?:\(\d{1,2}\)|\d{1,2}|[*#^~]{1,2})\s*[A-Z])")
+    lead = r"(?:(?:\(\d{1,2}\)|\*{1,4}|#{1,2}|\^{1,2}|~{1,2}|°{1,2}|@{1,2}|\$|!|%|\+|`)(?=\s*[A-Z(])|\d{1,2}(?=\s*[A-Z][a-z]|\s+\d))"
+    return F.split(_c(c), rf"(?<=[.;:!?'’\"])\s+(?={lead})")
 
 
 def at_word_start(keyword: str, text: Column) -> Column:
@@ -200,25 +221,51 @@ def tokens(c: Column | str) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(_c(c)), F.lit("([a-z0-9]+)")), lambda w: ~w.isin(SEARCH_STOP_WORDS)))
 
 
-def marker_spans(c: Column | str, known: Column) -> Column:
-    """The footnote markers of a text that its document has, in order: "(7)", glued digits and symbols."""
-    found = F.concat(
-        F.regexp_extract_all(_c(c), F.lit(r"\((\d{1,2})\)")),
-        F.regexp_extract_all(_c(c), F.lit(r"(?<=[A-Za-z]{2})(\d{1,2})\b")),
-        F.regexp_extract_all(_c(c), F.lit(r"(?<=[A-Za-z0-9)])\s?([*#^~@]{1,4})(?=[\s,.;:)\]]|$)")),
-        F.regexp_extract_all(_c(c), F.lit(r"(?<=[A-Za-z] )(\d{1,2})(?= [A-Z]|$)")),
-    )
-    return F.array_sort(F.array_intersect(F.array_distinct(found), known))
+def precise_figures(c: Column | str) -> Column:
+    """Figures of head counts and revenue written as exact numbers: no bands, years, shares, nor numbers below 1000 without a
+    currency or scale."""
+    c = _c(c)
+    # an atomic group takes the figure whole; a start inside one is none
+    exact = rf"(?i)(?<![\w.])(?<!\d,)(?<![$₹€£])(?<![$₹€£]\s)(?<!(?:{BAND_BEFORE})\s{{0,5}})((?>{FIGURE}))(?!%)(?!{BAND_AFTER})"
+    found = F.transform(F.regexp_extract_all(c, F.lit(exact)), lambda x: F.trim(x))
+    small = lambda n: (F.regexp_replace(n, r"[^\d.]", "").try_cast("double") < 1000) & ~n.rlike(SCALED)
+    real = F.filter(found, lambda n: ~n.rlike(r"^(?:18|19|20)\d\d$") & ~small(n))
+    return F.when(c.rlike(f"(?i){HEADCOUNT}|{REVENUE}"), real).otherwise(F.array().cast("array<string>"))
 
 
-def precise_figures(c: Column | str) -> Column:
-    """Figures of head counts and revenue that are no bands, years, shares or small numbers."""
-    context = _c(c).rlike(r"(?i)\b(?:employees|headcount|staff|workforce|revenue|turnover)\b")
-    found = F.regexp_extract_all(_c(c), F.lit(r"(?i)(?<!over |above |around |about |nearly |[\d,.])(\d{1,3}(?:,\d{2,3})+|\d{4,})(?![\d,.]*\s*(?:%|\+|or more|plus))"))
-    real = F.filter(found, lambda n: ~n.rlike(r"^(?:18|19|20)\d\d$"))
-    return F.when(context, real).otherwise(F.array().cast("array<string>"))
+def opening(c: Column | str, most: int = 300) -> Column:
+    """How a page begins, whatever its case and punctuation: pages with one opening are the same text."""
+    return F.left(F.array_join(F.regexp_extract_all(F.lower(_c(c)), F.lit("([a-z0-9]+)")), " "), F.lit(most))
+
+
+# Wordings of lines that say nothing, and the shortest line that is kept.
+BOILERPLATE = r"(?i)\b(?:cookies?|privacy policy|terms of use|subscribe|sign in|log ?in|newsletter|all rights reserved|skip to (?:main )?content|javascript)\b"
+SHORTEST_LINE, LONGEST_TEXT = 30, 4000
+
+
+def page_text(excerpt: Column | str, raw: Column | str, most: int = LONGEST_TEXT) -> Column:
+    """A page's excerpt, then its lines that are long enough, no boilerplate and not in the excerpt, each once, in order."""
+    head = squeezed(F.coalesce(_c(excerpt), F.lit("")))
+    lines = F.transform(F.split(F.coalesce(_c(raw), F.lit("")), r"\r\n|[\n\r]"), squeezed)
+    body = F.array_distinct(F.filter(lines, lambda s: (F.length(s) >= SHORTEST_LINE) & ~s.rlike(BOILERPLATE) & ~F.contains(head, s)))
+    return F.left(F.array_join(F.concat(F.when(head != "", F.array(head)).otherwise(F.array().cast("array<string>")), body), "\n"), F.lit(most))
+
+
+# Words of a company's name that do not tell it apart.
+NAME_FILLERS = "ltd limited inc corp plc llp pvt private the and group company".split()
+
+
+def name_tokens(name: Column | str) -> Column:
+    """The words of a company's name that tell it apart, else the whole name."""
+    found = F.filter(F.regexp_extract_all(F.lower(_c(name)), F.lit("([a-z0-9]+)")), lambda w: (F.length(w) >= 3) & ~w.isin(NAME_FILLERS))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lower(_c(name))))
 
 
-def hedges(c: Column | str) -> Column:
-    """Absence wordings: (says something is not covered, says it is not stated)."""
-    return F.struct(_c(c).rlike(r"(?i)\bdoes not cover\b|\bexcludes\b|\bnot covered\b").alias("absence"), F.contains(F.lower(_c(c)), F.lit("not stated in the")).alias("not_stated"))
+def is_official(url: Column | str, tokens: Column) -> Column:
+    """Whether a site is the company's own: the label before its top domain is a word of the name, all of them joined, their
+    initials, or begins with the joined ones if these are four letters or more."""
+    parts = F.split(site_name(url), r"\.")
+    label = F.when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(F.element_at(parts, 1))
+    joined = F.array_join(tokens, "")
+    initials = F.array_join(F.transform(tokens, lambda w: F.left(w, F.lit(1))), "")
+    return F.array_contains(tokens, label) | (label == joined) | (label == initials) | ((F.length(joined) >= 4) & F.startswith(label, joined))

@@ -1,15 +1,12 @@
-"""Statements and company facts: construction, splitting, checks of wording and numbers."""
+"""Statements and company facts: construction, splitting, profiles, decks and repairs. ``audit`` judges them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veridock.functions import predicates as p
-from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
-from veridock.operators import rules as r
 
 
 def company_claims(drafts: DataFrame, facts: DataFrame, keys: tuple[str, ...] = ("claim_id", "text")) -> DataFrame:
@@ -30,44 +27,13 @@ def split_by_provenance(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return whole.unionByName(parts)
 
 
-def company_verdict(text: Column, kind: Column, slide: Column, facts: Column, has_profile: Column, basis_ok: Column, all_web: Column, claim_numbers: Column, fact_numbers: Column, company: Column) -> Column:
-    """Audit of a statement about the company against the texts (array) and numbers of its facts."""
-    numbers = q.number_check(claim_numbers, fact_numbers)
-    words = F.array_except(t.stems(text, company), F.flatten(F.transform(facts, t.stems)))
-    review = ((kind == "BUSINESS_RISK") & (slide != 1)) | ((slide == 1) & (F.size(words) > 0)) | (~all_web & (F.size(t.precise_figures(text)) > 0)) | (~all_web & ~F.endswith(F.rtrim(text), F.lit("*")))
-    return (
-        F.when(~has_profile, "NEEDS_REVIEW").when(~basis_ok, "UNSUPPORTED").when(numbers == "FAIL_CONTRADICTED", "CONTRADICTED").when(numbers == "FAIL_MISSING", "UNSUPPORTED").when(review, "NEEDS_REVIEW").when(all_web, "VERIFIED").otherwise("LABELLED_ASSUMPTION")
-    )
-
-
-def verified_facts(facts: DataFrame, pages: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Facts said to be from the web: every source must exist and every quote of four words or more stand verbatim in one of
-    them; otherwise the fact is model knowledge. ``quotes``: fact_id, source_id, quote."""
-    checked = quotes.join(pages.select("source_id", "content"), "source_id", "left")
-    fine = (F.size(F.split(F.trim("quote"), r"\s+")) >= 4) & F.coalesce(t.quoted_in("quote", F.coalesce("content", F.lit(""))), F.lit(False))
-    by_quote = checked.groupBy("fact_id", "quote").agg(F.bool_or(fine).alias("found"), F.bool_and(F.col("content").isNotNull()).alias("known"))
-    by_fact = by_quote.groupBy("fact_id").agg(F.bool_and("found").alias("all_found"), F.bool_and("known").alias("all_known"))
-    rows = facts.join(by_fact, "fact_id", "left")
-    reason = F.when(F.col("all_known").isNull(), "no quote").when(~F.col("all_known"), "unknown source").when(~F.col("all_found"), "quote not in its source")
-    claimed = F.col("status") == "WEB_SOURCED"
-    return rows.select(*[c for c in facts.columns if c != "status"], F.when(claimed & reason.isNotNull(), "MODEL_KNOWLEDGE").otherwise(F.col("status")).alias("status"), F.when(claimed, reason).alias("problem"))
-
-
 def profile_fields(facts: DataFrame) -> DataFrame:
-    """For each field the first value, web-sourced ones before others; the size is a head count if there is one."""
-    w = W.partitionBy("field").orderBy(F.when(F.col("status") == "WEB_SOURCED", 0).otherwise(1), "ord")
-    first = facts.withColumn("_n", F.row_number().over(w)).where("_n = 1").groupBy().pivot("field", ["industry", "geography", "headcount", "size"]).agg(F.first("value"))
-    return first.select("industry", "geography", F.coalesce("headcount", "size", F.lit("Not available")).alias("size"))
-
-
-def specific_mentions(texts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(id, exposure_id) of exposures that a text names by a keyword, without hits that lie strictly inside a longer hit of
-    another exposure. ``keywords`` is a closed list."""
-    k = F.broadcast(keywords.select("exposure_id", F.lower("keyword").alias("k")))
-    hits = texts.select("id", F.lower("text").alias("s")).join(k, F.contains("s", F.col("k"))).select("id", "exposure_id", F.length("k").alias("n"), F.expr("instr(s, k)").alias("a"))
-    o = hits.select(F.col("id").alias("_i"), F.col("exposure_id").alias("_e"), F.col("n").alias("_n"), F.col("a").alias("_a"))
-    inside = (F.col("id") == F.col("_i")) & (F.col("exposure_id") != F.col("_e")) & (F.col("_n") > F.col("n")) & (F.col("_a") <= F.col("a")) & (F.col("_a") + F.col("_n") >= F.col("a") + F.col("n"))
-    return hits.join(o, inside, "left_anti").select("id", "exposure_id").distinct()
+    """For each run and field the first value, web-sourced ones before others; the size is a head count if there is one.
+    ``facts``: run_id, field, value, status, ord."""
+    w = W.partitionBy("run_id", "field").orderBy(F.when(F.col("status") == "WEB_SOURCED", 0).otherwise(1), "ord")
+    first = facts.withColumn("_n", F.row_number().over(w)).where("_n = 1").groupBy("run_id").pivot("field", ["industry", "headcount_band", "size"]).agg(F.first("value"))
+    none = F.lit("Not available")
+    return first.select("run_id", F.coalesce("industry", none).alias("industry"), F.coalesce("headcount_band", "size", none).alias("size"))
 
 
 def flattened(slides: DataFrame) -> DataFrame:
@@ -91,41 +57,3 @@ def repaired(attempts: DataFrame, most: int = 2) -> DataFrame:
     every = attempts.groupBy("claim_id").agg(F.bool_or("material").alias("material")).join(done, "claim_id", "left")
     fixed = F.coalesce(F.col("_ok") == 1, F.lit(False))
     return every.select("claim_id", F.when(fixed, F.col("r.text")).alias("text"), F.when(fixed, "REPAIRED").when(F.col("material"), "REPAIR_FAILED").otherwise("REMOVED").alias("outcome"), F.col("r.attempt").alias("attempts"))
-
-
-def policy_verdicts(claims: DataFrame, verdicts: DataFrame, evidence: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """Audit of statements about a policy: a reviewer's status, lowered by every check that fails.
-
-    ``claims``: claim_id, policy_id, text; ``verdicts``: claim_id, status, supporting_evidence_ids, quotes (array of
-    struct<evidence_id, quote>), required_qualifier; ``evidence``: evidence_id, document_id, citable, text. Checks: the
-    evidence is the policy's own, quotes stand in it, numbers agree with it, no other product is named, no absolute word
-    goes beyond it, and a qualifier states no number that it does not. A statement without a verdict needs review."""
-    v = claims.join(verdicts, "claim_id", "left")
-    items = evidence.withColumn("found", q.quantities(F.col("text"))).select("evidence_id", "document_id", "citable", F.col("text").alias("shown"), "found")
-    cited = v.select("claim_id", "policy_id", F.explode(F.array_distinct("supporting_evidence_ids")).alias("evidence_id")).join(items, "evidence_id", "left")
-    own = F.coalesce((F.col("document_id") == F.col("policy_id")) & F.col("citable"), F.lit(False))
-    foreign = F.coalesce(F.col("document_id") != F.col("policy_id"), F.lit(False))
-    by_item = cited.groupBy("claim_id").agg(F.bool_or(foreign).alias("foreign"), F.count_if(own).alias("n_own"), F.flatten(F.collect_list(F.when(own, F.col("found")))).alias("numbers"), F.concat_ws(" ", F.array_sort(F.collect_list(F.when(own, F.col("shown"))))).alias("body"))
-    said = v.select("claim_id", "policy_id", F.explode("quotes").alias("_q")).select("claim_id", "policy_id", "_q.evidence_id", "_q.quote").join(items, "evidence_id", "left")
-    stands = own & F.coalesce(t.quoted_in("quote", F.coalesce("shown", F.lit(""))), F.lit(False))
-    by_quote = said.groupBy("claim_id").agg(F.bool_and(stands).alias("quoted"))
-    numbered = v.withColumn("claimed", q.quantities(F.col("text"), False)).withColumn("qualified", q.quantities(F.coalesce("required_qualifier", F.lit(""))))
-    d = numbered.join(by_item, "claim_id", "left").join(by_quote, "claim_id", "left")
-    none = F.array().cast(d.schema["numbers"].dataType)
-    d = d.withColumn("numbers", F.coalesce("numbers", none)).withColumn("body", F.coalesce("body", F.lit("")))
-    good = F.col("status").isin("VERIFIED", "VERIFIED_WITH_QUALIFIER")
-    check = q.number_check(F.col("claimed"), F.col("numbers"))
-    other = F.array_remove(t.names(aliases, t.normalised("text")), F.col("policy_id"))
-    unowned = F.coalesce("foreign", F.lit(False)) | (good & (F.coalesce("n_own", F.lit(0)) == 0))
-    rules = {
-        "ownership": (unowned, "UNSUPPORTED"),
-        "quotes": (good & (F.coalesce("n_own", F.lit(0)) > 0) & ~F.coalesce("quoted", F.lit(False)), "NEEDS_REVIEW"),
-        "numbers": (check.isin("FAIL_CONTRADICTED", "FAIL_MISSING"), F.when(check == "FAIL_CONTRADICTED", "CONTRADICTED").otherwise("UNSUPPORTED")),
-        "policy_name": (F.size(other) > 0, "UNSUPPORTED"),
-        "absolute": ((F.col("body") != "") & p.overstates(F.col("text"), F.col("body")), "NEEDS_REVIEW"),
-        "qualifier": (F.size(q.unstated(F.col("qualified"), F.col("numbers"))) > 0, "NEEDS_REVIEW"),
-    }
-    failed = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("check"), (F.lit(s) if isinstance(s, str) else s).alias("capped_at"))) for n, (c, s) in rules.items()]))
-    d = d.withColumn("failed", failed)
-    status = r.capped(F.coalesce("status", F.lit("NEEDS_REVIEW")), F.transform("failed", lambda x: x["capped_at"]))
-    return d.select("claim_id", r.with_qualifier(status, F.coalesce("required_qualifier", F.lit(""))).alias("status"), F.col("status").alias("llm_status"), check.alias("number_check"), "failed")

@@ -142,29 +142,30 @@ def validated_cells(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
     return d.select("cell_id", "policy_id", F.col("s6").alias("status"), ok.alias("validated"), "errors", F.when(ok & stated, F.array_compact(F.array(*notes))).otherwise(none).alias("notes"), F.when(ok & stated, F.transform("k1", lambda x: x["kind"])).otherwise(none).alias("limitations"))
 
 
-def absence_verdict(cells: DataFrame, by: str, wording: Column) -> DataFrame:
-    """Statements of absence against the cells they speak of (status, has exclusion evidence): verified only if all cells
-    say so."""
-    all_not = F.bool_and(F.col("status") == "NOT_STATED")
-    excluded = F.bool_and((F.col("status") == "EXCLUDED") & F.col("evidenced"))
-    addon = F.bool_and((F.col("status") == "COVERED_VIA_ADDON") & F.col("evidenced"))
-    some_not = F.bool_or(F.col("status") == "NOT_STATED")
-    rows = cells.groupBy(by).agg(all_not.alias("a"), excluded.alias("e"), addon.alias("v"), some_not.alias("n"), F.first(wording).alias("w"))
-    said = F.when(F.col("w") == "not_stated", F.when(F.col("a"), "VERIFIED").otherwise("CONTRADICTED")).when(F.col("e"), "VERIFIED").when(F.col("v"), "VERIFIED_WITH_QUALIFIER").when(F.col("n"), "UNSUPPORTED").otherwise("CONTRADICTED")
-    return rows.select(by, said.alias("status"))
+#: Fields that say too little about a company to base an exposure on.
+GENERIC_FIELDS = ("industry", "size", "headcount_band")
 
 
 def selected_exposures(picks: DataFrame, taxonomy: DataFrame, facts: DataFrame, most: int = 8) -> DataFrame:
-    """Exposures of a run: known ones only, baselines first, then picks in order, at most ``most``; one rests on assumptions
-    if all facts it is based on do (also with none, unless it is a baseline)."""
-    base = taxonomy.where("baseline").select("exposure_id", "ord", F.lit(True).alias("baseline"))
-    chosen = picks.join(taxonomy.where("not baseline").select("exposure_id"), "exposure_id").groupBy("exposure_id").agg(F.min("ord").alias("ord")).withColumn("baseline", F.lit(False))
-    every = base.unionByName(chosen.select("exposure_id", "ord", "baseline"))
-    basis = picks.select("exposure_id", F.explode("fact_ids").alias("fact_id")).distinct().join(facts, "fact_id")
-    solid = basis.groupBy("exposure_id").agg(F.bool_and(F.col("status") == "ASSUMPTION").alias("all_assumed"), F.count("*").alias("n_facts"))
-    out = every.join(solid, "exposure_id", "left")
-    place = F.row_number().over(W.orderBy(F.desc("baseline"), "ord", "exposure_id"))  # a closed list of a few dozen
-    return out.select("exposure_id", "baseline", place.alias("place"), (~F.col("baseline") & F.coalesce("all_assumed", F.lit(True))).alias("assumption_based"), F.coalesce("n_facts", F.lit(0)).alias("n_facts")).where(F.col("place") <= most)
+    """The exposures of each run: run_id, exposure_id, place, baseline, basis, assumption_based. Picks must be known, are taken
+    once, in order, and keep the facts that exist and are no business risk; a pick without one is dropped. Baseline
+    exposures come first, picked or not: a baseline that is not picked rests on the facts about size. A baseline is
+    assumption-based if all its facts are, another one if all those are that say more than industry and size, also
+    with none. At most ``most`` stay. ``picks``: run_id, ord, exposure_id, fact_ids; ``taxonomy`` (a closed list):
+    exposure_id, ord, baseline; ``facts``: run_id, fact_id, ord, field, status."""
+    known = F.broadcast(taxonomy.select("exposure_id", F.col("ord").alias("entry"), "baseline"))
+    rows = picks.join(known, "exposure_id").select("run_id", "exposure_id", "entry", "baseline", "ord", F.posexplode(F.array_distinct("fact_ids")).alias("at", "fact_id"))
+    good = rows.join(facts.where("field <> 'business_risk'").select("run_id", "fact_id", "field", "status"), ["run_id", "fact_id"])
+    first = good.withColumn("least", F.min("ord").over(W.partitionBy("run_id", "exposure_id"))).where("ord = least")
+    size = facts.where(F.col("field").isin("size", "headcount_band")).select("run_id", F.col("ord").alias("at"), "fact_id", "field", "status")
+    runs = facts.select("run_id").distinct().crossJoin(known.where("baseline"))  # a closed list of a few entries
+    missing = runs.join(first.select("run_id", "exposure_id").distinct(), ["run_id", "exposure_id"], "left_anti").join(size, "run_id", "left").select("run_id", "exposure_id", "entry", "baseline", F.lit(0).alias("ord"), "at", "fact_id", "field", "status")
+    every = first.select(*missing.columns).unionByName(missing)
+    assumed, counts = F.col("status") == "ASSUMPTION", F.col("baseline") | ~F.col("field").isin(*GENERIC_FIELDS)
+    g = every.groupBy("run_id", "exposure_id", "entry", "baseline", "ord").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("fact_id").isNotNull(), F.struct("at", "fact_id")))), lambda x: x["fact_id"]).alias("basis"), F.count_if(counts & ~assumed & F.col("fact_id").isNotNull()).alias("solid"))
+    order = F.when(F.col("baseline"), F.col("entry")).otherwise(F.col("ord"))
+    place = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("baseline"), order, "exposure_id"))
+    return g.select("run_id", "exposure_id", place.alias("place"), "baseline", "basis", (F.col("solid") == 0).alias("assumption_based")).where(F.col("place") <= most)
 
 
 def merged_labels(items: DataFrame, answers: DataFrame, variants: Sequence[str], longest: int = 80) -> DataFrame:

@@ -1,0 +1,313 @@
+"""Cases of reading texts: quantities, ranges, markers, names, quotes, predicates, topics."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from veridock.functions import markers as m
+from veridock.functions import predicates as p
+from veridock.functions import quantity as q
+from veridock.functions import textnorm as t
+from veridock.functions import topics as tp
+from veridock.operators import rules
+from veridock.plans import cases as c
+from veridock.plans.golden import Cases, golden, joined
+from veridock.plans.registry import query
+from veridock.session import table
+
+ALIASES = {"POL-A": ["golden shield"], "POL-B": ["golden shield+", "bluecare"]}
+EXPOSURES = (("EXP-AMB", "Road ambulance", ("ambulance",)), ("EXP-AIR", "Air ambulance", ("air ambulance",)), ("EXP-MAT", "Maternity", ("maternity", "newborn")), ("EXP-ROOM", "Room upgrades", ("suite",)))
+TERMS = tp.terms(EXPOSURES)
+
+
+def _quantities(rows, strict):
+    values = [(i, n, float(v), u) for i, (_, found) in enumerate(rows) for n, (v, u) in enumerate(found)]
+
+    def run(g: Cases):
+        texts = g.table("k int, text string", [(i, x) for i, (x, _) in enumerate(rows)])
+        plain = F.col("text") if strict else F.regexp_replace("text", c.PRODUCTS, " ")
+        found = texts.select("run", "k", F.posexplode(q.quantities(plain, strict)).alias("place", "q"))
+        return found.select("run", "k", "place", F.round("q.value", 6).alias("value"), F.col("q.unit").alias("unit"))
+
+    return values, run
+
+
+_values, _run = _quantities(c.QUANTITIES, True)
+
+
+@golden("k long, place long, value double, unit string", _values)
+def evidence_quantities(g):
+    """All quantities of evidence texts with their units: N1."""
+    return _run(g)
+
+
+_claimed, _run_claimed = _quantities(c.CLAIMED, False)
+
+
+@golden("k long, place long, value double, unit string", _claimed)
+def claimed_quantities(g):
+    """The same for claims, where little is passed over: N1 F5."""
+    return _run_claimed(g)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice) AS DOUBLE) AS amount, CAST(l_quantity AS DOUBLE) * CASE l_linenumber % 3 WHEN 0 THEN 24 WHEN 1 THEN 1 ELSE 12 END AS span,
+ CASE l_linenumber % 3 WHEN 0 THEN 'HOURS' WHEN 1 THEN 'MONTHS' ELSE 'MONTHS' END AS family, round(l_discount * 100) AS share, 3 AS n FROM lineitem""")
+def stated_amounts(spark, sf_dir):
+    """Amounts, spans and shares written into sentences and read back, spans in base units: N1 N4."""
+    lines = table(spark, sf_dir, "lineitem")
+    unit = F.element_at(F.array(F.lit("days"), F.lit("months"), F.lit("years")), F.expr("cast(l_linenumber % 3 + 1 as int)"))
+    amount = F.format_string("%.0f", F.round("l_extendedprice"))
+    text = F.concat(F.lit("Cover up to INR "), amount, F.lit(" after "), F.format_string("%.0f", F.col("l_quantity").cast("double")), F.lit(" "), unit, F.lit(" of waiting, with "), F.format_string("%.0f", F.round(F.col("l_discount") * 100)), F.lit("% co-payment"))
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", q.quantities(text).alias("q"))
+    one = lambda i: F.get("q", F.lit(i))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", one(0)["value"].alias("amount"), q.in_base(one(1)["unit"], one(1)["value"]).alias("span"), q.family(one(1)["unit"]).alias("family"), one(2)["value"].alias("share"), F.size("q").alias("n"))
+
+
+_HEADERS = [("Claim Amount [`]", "INR", 1.0), ("Admissible Claim Amount [₹]", "INR", 1.0), ("Sum Insured 4 (SI) - on Annual Basis (in `)", "INR", 1.0), ("Base Sum Insured (in Lakhs)", "INR", 100000.0), ("No. of days in a year", "DAYS", 1.0), ("Renewal Discount", None, None), ("Deductible Amount", "INR", 1.0), ("Cover (in crores)", "INR", 10000000.0), ("Tenure in months", "MONTHS", 1.0)]
+
+
+@golden("k long, unit string, scale double", [(i, u, s) for i, (_, u, s) in enumerate(_HEADERS)])
+def header_units(g):
+    """Units that table headers declare: N2."""
+    return g.table("k int, label string", [(i, x) for i, (x, _, _) in enumerate(_HEADERS)]).withColumn("h", q.header_unit(F.col("label"))).select("run", "k", "h.unit", "h.scale")
+
+
+@golden("k long, text string", [(0, "Pre-Hospitalisation (60 days)"), (0, "10 L"), (1, "Base SI <25 Lakhs"), (2, "Plan A"), (2, "Plan B")])
+def label_parts(g):
+    """The parts of a cell's labels whose numbers count for it: N3."""
+    rows = g.table("k int, row string, col string, text string", [(0, "Pre-Hospitalisation (60 days)", "10 L", "Covered"), (1, "270", "Base SI <25 Lakhs", "270 30%"), (2, None, "Plan A | Plan B", "Yes"), (3, "same", None, "same")])
+    return rows.select("run", "k", F.explode(q.label_segments(F.col("row"), F.col("col"), F.col("text"))).alias("text"))
+
+
+_RANGES = [
+    ("For SI below `15 lac - up to `10,000", [(0, 1500000, False, True)]),
+    ("3 100% of SI available only for `15 Lakh and above SI on road ambulance", [(1500000, float("inf"), False, False)]),
+    ("Available for SI of 5 lakh, 7 lakh and 10 lakh", [(500000, 500000, False, False), (700000, 700000, False, False), (1000000, 1000000, False, False)]),
+    ("cover for sum insured above ₹25 lakh", [(2500000, float("inf"), True, False)]),
+    ("room rent up to ₹5,000", []),
+]
+
+
+@golden("k long, low double, high double, low_ex boolean, high_ex boolean", [(i, float(a), 1e18 if b == float("inf") else float(b), x, y) for i, (_, found) in enumerate(_RANGES) for a, b, x, y in found])
+def insured_ranges(g):
+    """Ranges of the sum insured that texts state: N8."""
+    rows = g.table("k int, text string", [(i, x) for i, (x, _) in enumerate(_RANGES)]).select("run", "k", F.explode(q.sum_insured_ranges(F.col("text"))).alias("r"))
+    return rows.select("run", "k", "r.low", F.least("r.high", F.lit(1e18)).alias("high"), "r.low_ex", "r.high_ex")
+
+
+@golden("k long, least double, available boolean", [(0, 0.0, True), (1, 1500000.0, False), (2, 500000.0, True), (3, 2500000.0, False)])
+def least_insured(g):
+    """The smallest sum insured that a text states, and whether a cover holds at 10 lakh: A10 N10."""
+    rows = g.table("k int, text string", [(i, x) for i, (x, found) in enumerate(_RANGES) if found]).withColumn("r", q.sum_insured_ranges(F.col("text")))
+    return rows.select("run", "k", q.minimum_si(F.col("r")).alias("least"), q.available(F.lit(True), F.lit(True), F.col("r"), F.lit(1e6)).alias("available"))
+
+
+@golden("k long, held boolean, unstated string", [(0, True, ""), (1, False, "₹6,000"), (2, True, ""), (3, False, "36 months")])
+def bounds_and_unstated(g):
+    """Lower bounds that evidence meets, and numbers it does not state: N7 X4."""
+    rows = g.table("k int, claim string, evidence string", [(0, "over 300,000 people", "317,000 people work here"), (1, "₹6,000 a day", "₹5,000 a day"), (2, "2 years", "after 24 months"), (3, "36 months", "after 24 months or 30 days")])
+    rows = rows.withColumn("c", q.quantities(F.col("claim"), False)).withColumn("e", q.quantities(F.col("evidence")))
+    missing = q.unstated(F.col("c"), F.col("e"))
+    at_least = F.exists("c", lambda x: q.at_least(x, F.col("e")))
+    return rows.select("run", "k", F.when(F.col("k") == 0, at_least).otherwise(F.size(missing) == 0).alias("held"), F.when(F.col("k") == 0, "").otherwise(joined(missing)).alias("unstated"))
+
+
+_MARKED = [
+    ("Lock the Clock(1) and (7) Annual", ["1", "7"], "14-17 1|22-25 7"), ("Care OPD9 is not 24X7", ["9", "7"], "8-9 9"), ("Care OPD9, it", ["9"], ""), ("Care OPD 9", ["9"], "9-10 9"), ("Zone 1 North", ["1"], ""),
+    ("cover * and 30% or 10,000+ of it", ["*", "%", "+"], "6-7 *"), ("Cover % here", ["%"], "6-7 %"), ("VIP+ plan", ["+"], ""), ("Tadaa! and Crores !", ["!"], "18-19 !"), ("Tenure 4`/5` years", ["`"], "8-9 `|11-12 `"),
+    ("OPD9 of 30 days 5", ["9"], "3-4 9"), ("30 days 5 For all", ["5"], "8-9 5"), ("up to 5 Lac", ["5"], ""),
+]
+
+
+@golden("k long, places string, masked string", [(i, places, "".join(" " if any(int(s.split("-")[0]) <= j < int(s.split("-")[1].split()[0]) for s in places.split("|") if s) else ch for j, ch in enumerate(text))) for i, (text, _, places) in enumerate(_MARKED)])
+def marker_places(g):
+    """Footnote markers with their places, and texts without them: F7."""
+    rows = g.table("k int, text string, known array<string>", [(i, x, k) for i, (x, k, _) in enumerate(_MARKED)]).withColumn("m", m.spans(F.col("text"), F.col("known")))
+    shown = F.transform("m", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(" "), x["marker"]))
+    return rows.select("run", "k", joined(shown).alias("places"), m.masked(F.col("text"), F.col("m")).alias("masked"))
+
+
+_TICKS = [("up to `500 a day", 1, 0, 0), ("Amount [`] and (in `)", 2, 0, 0), ("4`/5` years", 0, 2, 0), ("` Option", 0, 1, 0), ("a ` b", 0, 0, 1)]
+
+
+@golden("k long, rupee long, marker long, other long", [(i, *n) for i, (_, *n) in enumerate(_TICKS)])
+def backticks(g):
+    """What backticks stand for: F6."""
+    rows = g.table("k int, text string", [(i, x) for i, (x, *_) in enumerate(_TICKS)]).withColumn("b", t.backtick_kinds("text"))
+    return rows.select("run", "k", F.col("b.rupee").alias("rupee"), F.col("b.marker").alias("marker"), F.col("b.unclassified").alias("other"))
+
+
+_NAMED = [("Golden Shield is here", "POL-A", True), ("Golden Shield+ is here", "POL-B", False), ("GOLDEN  SHIELD and BlueCare", "POL-A|POL-B", False), ("xbluecare", "", False), ("Golden Shield2", "POL-A", True), ("no name", "", False)]
+
+
+@golden("k long, named string, only_a boolean, masked string", [(i, n, o, re.sub("(?i)golden shield|bluecare", lambda x: " " * len(x[0]), x)) for i, (x, n, o) in enumerate(_NAMED)])
+def product_names(g):
+    """Products that a text names in whole, and texts without them: F4 F5 J21."""
+    rows = g.table("k int, text string", [(i, x) for i, (x, *_) in enumerate(_NAMED)])
+    norm = t.normalised("text")
+    return rows.select("run", "k", joined(t.names(ALIASES, norm)).alias("named"), t.names_only(ALIASES, norm, F.lit("POL-A")).alias("only_a"), t.masked(["golden shield", "bluecare"], F.col("text")).alias("masked"))
+
+
+_QUOTED = [
+    ("6 months", "a wait of 36 months", "S", [], False), ("6 months", "a wait of 6 months.", "S", [], True), ("1,700 cr.", "21,700 cr. of claims", "S", [], False), ("50,000", "up to 2,50,000", "S", [], False),
+    ("5%", "7.5% of it", "S", [], False), ("20%", "10-20% of it", "S", [], False), ("INR 2,50", "₹2,50,000", "S", [], False), ("up to ₹500", "Up to Rs.500 a day", "S", [], True), ("Pre-Hospitalisation (90)", "Pre-Hospitalisation (60 days)", "S", [], False),
+    ("Lock (7) plan", "Lock (7) plan", "S", [], True), ("within 30 days For all", "within 30 days 5 For all", "S", ["5"], True), ("within 30 days For all", "within 30 days 5 For all", "S", [], False), ("Room rent is paid in full", "is paid in full", "Room rent", [], True),
+    ("Room rent Is paid in full", "Is paid in full", "Room rent", [], False), ("Footnotes is paid", "is paid", "Footnotes", [], False), ("Titanium+ plan", "the T itanium+ plan", "S", [], True), ("", "anything", "S", [], False),
+]
+
+
+@golden("k long, found boolean", [(i, x[-1]) for i, x in enumerate(_QUOTED)])
+def quotes_in_items(g):
+    """Quotes that an item has: in its text, without its markers, or going on from its heading: F1 F2 F3."""
+    rows = g.table("k int, quote string, text string, section string, known array<string>", [(i, *x[:-1]) for i, x in enumerate(_QUOTED)])
+    rows = rows.withColumn("unmarked", m.masked(F.col("text"), m.spans(F.col("text"), F.col("known"))))
+    return rows.select("run", "k", t.quoted_in_item("quote", "text", "section", "unmarked").alias("found"))
+
+
+_FIGURES = [
+    ("Revenue of $5.2 billion in sales", "$5.2 billion"), ("It has 343,234 employees", "343,234"), ("over 200,000 employees", ""), ("200,000+ employees worldwide", ""), ("founded in 1981 with 250 people", ""), ("10,000 to 50,000 staff", "50,000"),
+    ("grew sales by 1200% on 5000 sites", "5000"), ("12,345 clients", ""), ("profit of ₹500 crore", "₹500 crore"), ("nearly 90,000 workers and 70,500 contractors", "70,500"),
+]
+
+
+@golden("k long, figures string", [(i, f) for i, (_, f) in enumerate(_FIGURES)])
+def exact_figures(g):
+    """Exact head counts and revenue: F19."""
+    return g.table("k int, text string", [(i, x) for i, (x, _) in enumerate(_FIGURES)]).select("run", "k", joined(t.precise_figures("text")).alias("figures"))
+
+
+_CLEAN = [("annual-report_2025.pdf", "x.com", "annual report 2025"), ("", "x.com", "x.com"), ("About Acme |", "x.com", "About Acme"), ("Acme Industries annual overview | Investors and media relations centre", "x.com", "Acme Industries annual overview")]
+
+
+@golden("k long, title string, words string, pieces long", [(0, _CLEAN[0][2], "may|subject", 2), (1, _CLEAN[1][2], "", 3), (2, _CLEAN[2][2], "one", 1), (3, _CLEAN[3][2], "", 1)])
+def labels_and_conditions(g):
+    """Page titles, words that a condition keeps, packed footnotes: F10 F16 F17."""
+    extra = [("Preserve 'may' and \"subject\"", "(1) Part of it. (2) More of it"), ("nothing to hold", "Base of it; *More here! 3 100% of SI"), ("keep *One*", "One note only"), (None, "a.b")]
+    rows = g.table("k int, title string, site string, condition string, note string", [(i, a, b, *extra[i]) for i, (a, b, _) in enumerate(_CLEAN)])
+    return rows.select("run", "k", t.clean_title("title", "site").alias("title"), joined(F.coalesce(t.required_words("condition"), F.array().cast("array<string>"))).alias("words"), F.size(t.footnotes("note")).alias("pieces"))
+
+
+_BENEFITS = [
+    ("covers room rent", "Benefits", "BASE", "EXP-ROOM", True), ("covers room rent", "Contact and disclaimer", "BASE", "EXP-ROOM", False), ("covers room rent", "About us", "BASE", "EXP-ROOM", False), ("covers children", "Eligibility", "UNKNOWN", "EXP-DEPENDENTS", True),
+    ("covers children", "Eligibility", "UNKNOWN", "EXP-MAT", False), ("a 10% discount", "Benefits", "BASE", "EXP-WELLNESS", True), ("Discounts on rent", "Benefits", "BASE", "EXP-ROOM", False), ("covers it", "Page header", "BASE", "EXP-ROOM", False),
+]
+
+
+@golden("k long, shows boolean", [(i, x[-1]) for i, x in enumerate(_BENEFITS)])
+def benefit_quotes(g):
+    """Quotes that can show a cover: P7."""
+    return g.table("k int, quote string, section string, tier string, exposure string", [(i, *x[:-1]) for i, x in enumerate(_BENEFITS)]).select("run", "k", p.shows_benefit(F.col("quote"), F.col("section"), F.col("tier"), F.col("exposure")).alias("shows"))
+
+
+_DEFINED = [("60 Days.", "Pre-Hospitalisation", True, False), ("60 Days.", "Room", False, False), ("covered up to Sum Insured", "", True, False), ("up to the base sum insured, 2 rooms", "", False, False), ("Not payable", "General", False, True), ("rooms", "Exclusions", False, True), ("will not be covered", "x", False, True)]
+
+
+@golden("k long, defines boolean, excludes boolean", [(i, *x[2:]) for i, x in enumerate(_DEFINED)])
+def benefit_terms(g):
+    """Limits that only say what a benefit is, and items that read as exclusions: P8 R1."""
+    rows = g.table("k int, text string, context string", [(i, *x[:2]) for i, x in enumerate(_DEFINED)])
+    return rows.select("run", "k", p.defines_benefit(F.col("text"), F.col("context")).alias("defines"), p.reads_as_exclusion(F.col("context"), F.col("text")).alias("excludes"))
+
+
+_SAID = [
+    ("It does not provide dental care", True, False), ("The plan excludes it", True, False), ("no coverage for travel", True, False), ("Dental is not stated in the Bluecare brochure", False, True), ("It covers dental care", False, False), ("doesn't pay for it", True, False),
+    ("nothing is offered", False, False), ("exclusive rooms", False, False), ("is not offered here", True, False),
+]
+
+
+@golden("k long, absent boolean, silent boolean", [(i, *x[1:]) for i, x in enumerate(_SAID)])
+def absence_wordings(g):
+    """Statements of absence and of silence: P9."""
+    return g.table("k int, text string", [(i, x[0]) for i, x in enumerate(_SAID)]).select("run", "k", p.says_absence(F.col("text")).alias("absent"), p.says_not_stated(F.col("text")).alias("silent"))
+
+
+_MONEY = [("industry", "revenue of 500", True, True), ("size", "over 10,000 people", False, False), ("size", "317,000 people", False, True), ("headcount_band", "1,000-5,000", False, False), ("geography", "42 countries", False, False), ("industry", "a million things", False, False), ("size", "10,000+ and €5", True, True), ("industry", "market cap 9", True, True)]
+
+
+@golden("k long, money boolean, figure boolean", [(i, *x[2:]) for i, x in enumerate(_MONEY)])
+def money_and_figures(g):
+    """Values that state money or an exact head count: P10."""
+    rows = g.table("k int, field string, value string", [(i, *x[:2]) for i, x in enumerate(_MONEY)])
+    return rows.select("run", "k", p.states_money(F.col("value")).alias("money"), p.states_figure(F.col("field"), F.col("value")).alias("figure"))
+
+
+_SENTENCES = [("The plan covers all rooms.", True), ("Which ensures that all rooms are covered.", False), ("the plan covers all rooms.", False), ("The plan covers all rooms", False), ("Covers rooms.", False), ("The plan covers all rooms.*", True), ("While, in short, the plan covers rooms.", False), ("Élan covers all of the rooms!", True), ("And so the plan covers rooms.", False)]
+
+
+@golden("k long, complete boolean", [(i, x[1]) for i, x in enumerate(_SENTENCES)])
+def complete_sentences(g):
+    """Complete sentences: P12."""
+    return g.table("k int, text string", [(i, x[0]) for i, x in enumerate(_SENTENCES)]).select("run", "k", p.complete_sentence(F.col("text")).alias("complete"))
+
+
+_NOTES = [
+    ("(8) Minimum 48 hrs of continuous stay required. Rooms are large.", "Continuous stay is paid", "Continuous stay is paid", "Minimum 48 hrs of continuous stay required."),
+    ("(8) Minimum 48 hrs of continuous stay required.", "Stay of minimum 48 hrs", "A continuous stay of minimum 48 hrs is required", None), ("Rooms are large. Windows open.", "Rooms", "Rooms", None), ("* Only in network hospitals.", "Pays room rent", "Pays room rent", "Only in network hospitals."),
+    ("Beds are soft. Cover is subject to review.", "Cover is given", "Cover is given", "Cover is subject to review."),
+]
+
+
+@golden("k long, sentence string", [(i, x[3]) for i, x in enumerate(_NOTES)])
+def dropped_restrictions(g):
+    """The footnote sentence that fits a claim best, if it restricts and the claim's row does not reflect it: P17 O11."""
+    rows = g.table("k int, note string, claim string, scope string", [(i, *x[:3]) for i, x in enumerate(_NOTES)])
+    return rows.select("run", "k", p.missing_restriction(F.col("note"), F.col("claim"), F.col("scope")).alias("sentence"))
+
+
+_PRICES = [("₹9,000 for a family, ages 35 and 30, ₹10L base cover", True), ("₹9,000 for a family at sum insured ₹10L", False), ("₹9,000, aged 30, sum insured 10L", False), ("2 adults aged 30, SI 5 lakh: ₹9,000", True), ("members aged 30, design costs", False)]
+_LOUD = [("limitless cover", "unlimited cover", ""), ("limitless cover", "large cover", "limitless"), ("All rooms", "rooms", ""), ("It guarantees rooms, always", "rooms are guaranteed", "always"), ("cover without any limit", "no limits here", ""), ("Unlimited rooms", "no limit on rooms", ""), ("guaranteed, Guaranteed", "rooms", "guaranteed")]
+
+
+@golden("k long, priced boolean", [(i, x[1]) for i, x in enumerate(_PRICES)])
+def price_contexts(g):
+    """Prices that say for whom, which ages and what sum insured: X3."""
+    return g.table("k int, text string", [(i, x[0]) for i, x in enumerate(_PRICES)]).select("run", "k", p.priced_in_context(F.col("text")).alias("priced"))
+
+
+@golden("k long, missing string", [(i, x[2]) for i, x in enumerate(_LOUD)])
+def absolute_wordings(g):
+    """Absolute wordings that evidence does not use: R2."""
+    return g.table("k int, text string, evidence string", [(i, *x[:2]) for i, x in enumerate(_LOUD)]).select("run", "k", joined(p.overstatements(F.col("text"), t.normalised("evidence"))).alias("missing"))
+
+
+_TWINS = [("Room rent is paid.", "room rent is paid", True), ("Covers room rent in full", "It covers room rent in full for all", True), ("red green blue", "red yellow black", False), ("a b c d e", "v w x y z", False), ("one two three four five", "one two three four", True), ("red green blue black", "red green blue white", False), ("rent", "rental", False)]
+
+
+@golden("k long, same boolean", [(i, x[2]) for i, x in enumerate(_TWINS)])
+def duplicate_tests(g):
+    """Whether two statements say the same: E6."""
+    return g.table("k int, a string, b string", [(i, *x[:2]) for i, x in enumerate(_TWINS)]).select("run", "k", p.duplicate(F.col("a"), F.col("b")).alias("same"))
+
+
+_TOPICAL = [
+    ("An air ambulance is paid", "EXP-AIR|EXP-AMB", "EXP-AIR"), ("An ambulance, or an air ambulance", "EXP-AIR|EXP-AMB", "EXP-AMB|EXP-AIR"), ("Waiting period for maternity", "EXP-MAT|waiting_period", "EXP-MAT"), ("Room rent and newborns", "EXP-MAT|room", "EXP-MAT"),
+    ("mushroom", "", ""), ("SI of members", "members|sum_insured", ""), ("Golden Shield", "", ""),
+]
+
+
+@golden("k long, topics string, exposures string", [(i, *x[1:]) for i, x in enumerate(_TOPICAL)])
+def topic_mentions(g):
+    """Topics of a text, and exposures named for themselves, by all places: X1 F18."""
+    rows = g.table("k int, text string", [(i, x[0]) for i, x in enumerate(_TOPICAL)]).withColumn("h", tp.hits(t.normalised("text"), TERMS, ("golden shield",)))
+    return rows.select("run", "k", joined(tp.distinct(F.col("h"))).alias("topics"), joined(tp.specific(F.col("h"))).alias("exposures"))
+
+
+_BOUND = [
+    ("Maternity after 24 months, room rent ₹5,000 a day", [("24 months", "room"), ("₹5,000", "room")]), ("A premium of ₹9,000. Room rent differs", [("₹9,000", "premium")]), ("₹5,000" + " and so on" * 8 + " room rent", [("₹5,000", "")]), ("30% discount; 5 members", [("30%", "discount"), ("5", "members")]),
+    ("ambulance 7 newborn", [("7", "EXP-AMB|EXP-MAT")]),
+]
+
+
+@golden("k long, raw string, topics string", [(i, r, x) for i, (_, found) in enumerate(_BOUND) for r, x in found])
+def bound_numbers(g):
+    """The topics nearest to each number of a claim, in its sentence: O10 N12."""
+    rows = g.table("k int, text string", [(i, x) for i, (x, _) in enumerate(_BOUND)]).select("run", "k", F.explode(tp.bindings(F.col("text"), TERMS)).alias("b"))
+    return rows.select("run", "k", "b.raw", joined("b.topics").alias("topics"))
+
+
+@golden("k long, covered boolean", [(0, True), (1, False), (2, False), (3, True)])
+def covered_cells(g):
+    """Covered by status and available: P6."""
+    return g.table("k int, status string, here boolean", [(0, "FULLY_COVERED", True), (1, "FULLY_COVERED", False), (2, "EXCLUDED", True), (3, "COVERED_VIA_ADDON", True)]).select("run", "k", rules.covered(F.col("status"), F.col("here")).alias("covered"))
