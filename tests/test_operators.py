@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from veridock.functions import textnorm as t
 from veridock.operators import claims, joins, ordered, rules
+from veridock.session import scratch
 
 
 def test_greedy_two_keys(spark):
@@ -17,7 +17,7 @@ def test_greedy_two_keys(spark):
             want.append(i)
             seen_a.add(a)
             seen_b.add(b)
-    spark.sparkContext.setCheckpointDir("/tmp/veridock-tests")
+    scratch(spark)
     got = ordered.greedy_two_keys(spark.createDataFrame(rows, "o int, a string, b string"), "o", "a", "b")
     assert sorted(r.o for r in got.collect()) == want
     assert ordered.greedy_two_keys(got.limit(0), "o", "a", "b").count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from veridock.functions import predicates as p
 from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
 
@@ -58,15 +59,54 @@ def tolerant(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float
 
 
 def quotes(texts: DataFrame, passages: DataFrame, text_id: str, text: str, passage_id: str, passage: str) -> DataFrame:
-    """(text_id, passage_id) of passages that a text quotes verbatim. Passages of five words or more are found by their
-    second to fourth word, which stand in the text as they are, so the join is on equality; shorter ones, which could
-    be anywhere, are compared with every text. Either way the exact test decides."""
+    """(text_id, passage_id) of passages that a text quotes verbatim.
+
+    Passages of five words or more are found by their second to fourth word, which stand in the text as they are; shorter ones
+    by their first run of letters and digits, which has edges and so is a run of the text too. Of the texts only ids and the
+    digests of their word triples, or runs, meet the passages; then the texts of the candidates, and no others, are joined
+    back for the exact test. Only passages without any letter or digit are compared with every text."""
     known = texts.select(text_id, t.normalised(text).alias("_text"))
-    wanted = passages.select(passage_id, t.normalised(passage).alias("_quote")).where("_quote <> ''").withColumn("_words", F.split("_quote", " "))
-    gram = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, 3), " "))
-    long = wanted.where(F.size("_words") >= 5).select(passage_id, "_quote", gram(F.col("_words"), F.lit(2)).alias("_gram"))
-    words = known.withColumn("_words", F.split("_text", " ")).where(F.size("_words") >= 5)
-    grams = words.select(text_id, "_text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("_words") - 3), lambda i: gram(F.col("_words"), i)))).alias("_gram"))
-    found = grams.join(long, "_gram").where(t.bounded_in("_quote", "_text")).select(text_id, passage_id)
-    short = wanted.where(F.size("_words") < 5).select(passage_id, "_quote")
-    return found.unionByName(known.join(short, t.bounded_in("_quote", "_text")).select(text_id, passage_id))
+    wanted = passages.select(passage_id, t.normalised(passage).alias("_quote")).where("_quote <> ''")
+    triple = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, 3), " "))
+    run = r"([\p{L}\p{N}]+)"
+    parts = wanted.withColumn("_words", F.split("_quote", " ")).withColumn("_run", F.regexp_extract("_quote", run, 1))
+    by_words = parts.where(F.size("_words") >= 5).select(passage_id, "_quote", triple(F.col("_words"), F.lit(2)).alias("_key"))
+    by_run = parts.where((F.size("_words") < 5) & (F.col("_run") != "")).select(passage_id, "_quote", F.xxhash64(F.lit(1), "_run").alias("_key"))
+    words = F.split("_text", " ")
+    triples = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(2), F.size(words) - 3), lambda i: triple(words, i))).otherwise(F.array().cast("array<bigint>"))
+    short = by_run.limit(1).count() > 0
+    runs = F.transform(F.regexp_extract_all("_text", F.lit(run)), lambda r: F.xxhash64(F.lit(1), r)) if short else F.array().cast("array<bigint>")
+    keys = known.select(text_id, F.explode(F.array_distinct(F.concat(triples, runs))).alias("_key"))
+    near = keys.join(by_words.unionByName(by_run), "_key").select(text_id, passage_id, "_quote").distinct()
+    # the normal form is taken again of the candidates' texts alone
+    found = near.join(texts.select(text_id, F.col(text).alias("_raw")), text_id).where(t.bounded_in("_quote", t.normalised("_raw"))).select(text_id, passage_id)
+    signs = parts.where((F.size("_words") < 5) & (F.col("_run") == "")).select(passage_id, "_quote")
+    if signs.limit(1).count():
+        found = found.unionByName(known.join(signs, t.bounded_in("_quote", "_text")).select(text_id, passage_id))
+    return found
+
+
+def duplicates(items: DataFrame, key: str, text: str, overlap: float = p.OVERLAP) -> DataFrame:
+    """(a, b) of statements that say the same (``predicates.duplicate``), a before b.
+
+    No word that many have makes pairs: statements that share the given part of their words share one of their rarest, so
+    only the rarest of each (a fifth of them, and one more) are joined on. Equal statements meet by the whole, contained ones
+    by the first 21 characters of the shorter, all as digests; the exact test decides."""
+    rows = items.select(F.col(key).alias("k"), F.regexp_replace(t.normalised(text), r"^[ .]+|[ .]+$", "").alias("s"), p.overlap_tokens(F.col(text)).alias("w"))
+    words = rows.select("k", F.size("w").alias("n"), F.explode("w").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("k").orderBy("df", "word"))
+    rare = words.join(counts, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(overlap) * F.col("n")) + 1).select("k", F.xxhash64(F.lit(1), "word").alias("h"))
+    whole = rows.select("k", F.xxhash64(F.lit(2), "s").alias("h"))
+    met = rare.unionByName(whole)
+    pairs = met.select(F.col("k").alias("a"), "h").join(met.select(F.col("k").alias("b"), "h"), "h").where("a < b").select("a", "b")
+    long = rows.where(F.length("s") > 20)
+    inner = long.select(F.col("k").alias("x"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - 20), lambda i: F.xxhash64(F.substring(F.col("s"), i, F.lit(21)))))).alias("h"))
+    heads = long.select(F.col("k").alias("y"), F.xxhash64(F.left("s", F.lit(21))).alias("h"))
+    inside = inner.join(heads, "h").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    candidates = pairs.unionByName(inside).distinct()
+    of = lambda c: rows.select(F.col("k").alias(c), F.col("s").alias(f"s{c}"), F.col("w").alias(f"w{c}"))
+    both = candidates.join(of("a"), "a").join(of("b"), "b")
+    contained = (F.least(F.length("sa"), F.length("sb")) > 20) & (F.contains("sa", F.col("sb")) | F.contains("sb", F.col("sa")))
+    near = (F.size("wa") > 0) & (F.size("wb") > 0) & (F.size(F.array_intersect("wa", "wb")) >= overlap * F.size(F.array_union("wa", "wb")))
+    return both.where((F.col("sa") == F.col("sb")) | contained | near).select("a", "b")

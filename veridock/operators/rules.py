@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from veridock.functions import textnorm as t
+
 # Fixed values.
 SEVERITY = {"VERIFIED": 0, "VERIFIED_WITH_QUALIFIER": 1, "NEEDS_REVIEW": 2, "UNSUPPORTED": 3, "CONTRADICTED": 4}
 FAILING = ("UNSUPPORTED", "CONTRADICTED")
@@ -102,15 +104,25 @@ def validated_cells(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
         F.collect_set(F.when(good, F.col("evidence_id"))).alias("good"),
         F.collect_set(F.when(good & (F.col("tier") == "BASE"), F.col("evidence_id"))).alias("base"),
         F.collect_set(F.when(good & F.col("tier").isin("ADDON", "OPTIONAL"), F.col("evidence_id"))).alias("addon"),
+        F.collect_set(F.when(good & (F.col("tier") == "OPTIONAL"), F.col("evidence_id"))).alias("optional"),
         F.collect_set(F.when(good & F.col("excludes"), F.col("evidence_id"))).alias("excluding"),
         F.collect_set(F.when(good & F.col("benefit"), F.col("evidence_id"))).alias("benefits"),
     )
     none = F.array().cast("array<string>")
     d = drafts.join(facts, "cell_id", "left")
-    d = d.select(*drafts.columns, *[F.coalesce(F.col(c), none).alias(c) for c in ("bad", "good", "base", "addon", "excluding", "benefits")])
+    d = d.select(*drafts.columns, *[F.coalesce(F.col(c), none).alias(c) for c in ("bad", "good", "base", "addon", "optional", "excluding", "benefits")])
     has = lambda a, b: F.arrays_overlap(F.col(a), F.col(b))
     kinds = F.transform("limits", lambda x: x["kind"])
-    d = d.withColumn("kept", F.filter("limits", lambda x: (x["kind"] != "OTHER_CONDITION") | x["quoted"]))
+    fields = drafts.schema["limits"].dataType.elementType.names
+    defining = lambda x: x["kind"].isin("OTHER_CONDITION", "SUBLIMIT") & x["defines"] if "defines" in fields else F.lit(False)
+    d = d.withColumn("kept", F.filter("limits", lambda x: ~defining(x) & ((x["kind"] != "OTHER_CONDITION") | x["quoted"])))
+    if "variants" in drafts.columns and "variant" in evidence.columns:
+        # a limit to one variant is none if the cited items have them all
+        canonical = lambda c: F.array_distinct(F.transform(c, t.canonical))
+        of_limits = d.select("cell_id", F.explode(F.array_union("benefit_ids", F.flatten(F.transform("kept", lambda x: x["ids"])))).alias("evidence_id")).join(evidence.select("evidence_id", "variant"), "evidence_id").groupBy("cell_id").agg(F.collect_set("variant").alias("seen_variants"))
+        d = d.join(of_limits, "cell_id", "left")
+        all_there = (F.size("variants") > 0) & (F.size(F.array_except(canonical(F.col("variants")), canonical(F.coalesce("seen_variants", none)))) == 0)
+        d = d.withColumn("kept", F.transform("kept", lambda x: x.withField("kind", F.when(all_there & (x["kind"] == "VARIANT_ONLY"), "SUBLIMIT").otherwise(x["kind"]))))
     is_covered = F.col("status").isin(*COVERED)
     rules = [
         F.when(F.size(F.array_intersect("quote_ids", "good")) == 0, "no verified quote"),
@@ -139,7 +151,11 @@ def validated_cells(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
     note = lambda a, b, text: F.when(F.col(a) != F.col(b), F.lit(text))
     notes = [F.when(ok & (F.size("kept") < F.size("limits")), "condition without a quote dropped"), note("s1", "s2", "a base item covers it"), note("s2", "s3", "no limitation left"), note("s3", "s4", "no add-on evidence"), note("s4", "s5", "only add-on evidence"), note("s5", "s6", "has limitations")]
     stated = F.col("status") != "NOT_STATED"
-    return d.select("cell_id", "policy_id", F.col("s6").alias("status"), ok.alias("validated"), "errors", F.when(ok & stated, F.array_compact(F.array(*notes))).otherwise(none).alias("notes"), F.when(ok & stated, F.transform("k1", lambda x: x["kind"])).otherwise(none).alias("limitations"))
+    # cover by add-on or optional items alone says so among its limitations
+    kept_kinds = F.transform("k1", lambda x: x["kind"])
+    of_tier = {"ADDON_REQUIRED": F.size(F.array_intersect("benefit_ids", F.array_except("addon", "optional"))) > 0, "OPTIONAL_EXTRA_PREMIUM": has("benefit_ids", "optional")}
+    more = F.array_compact(F.array(*[F.when(only_addon & holds & ~F.array_contains(kept_kinds, kind), F.lit(kind)) for kind, holds in of_tier.items()]))
+    return d.select("cell_id", "policy_id", F.col("s6").alias("status"), ok.alias("validated"), "errors", F.when(ok & stated, F.array_compact(F.array(*notes))).otherwise(none).alias("notes"), F.when(ok & stated, F.concat(kept_kinds, more)).otherwise(none).alias("limitations"))
 
 
 #: Fields that say too little about a company to base an exposure on.
@@ -232,3 +248,52 @@ def linked(items: DataFrame, notes: DataFrame, by: str, marker: str, order: str)
     ids = items.select(by, "id", F.posexplode(marker).alias("_p", "marker")).join(notes.select(by, "marker", F.col("id").alias("_note"), F.col(order).alias("_o")), [by, "marker"])
     found = ids.groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_o", "_note"))), lambda x: x["_note"])).alias("linked"))
     return items.join(found, "id", "left").withColumn("linked", F.coalesce("linked", F.array().cast(found.schema["linked"].dataType)))
+
+
+def peers(items: DataFrame, scope: str) -> DataFrame:
+    """(evidence_id, peer): the items that an item's context is read from. ``row``: those of its page, table and row label;
+    ``section``: those of its page and section; ``item``, or without a row label: itself."""
+    own = items.select("evidence_id", F.col("evidence_id").alias("peer"))
+    if scope == "item":
+        return own
+    by = ["document_id", "page", *(["table_id", "row_label"] if scope == "row" else ["section"])]
+    grouped = items.where("row_label is not null") if scope == "row" else items
+    keyed = grouped.select("evidence_id", F.xxhash64(*by).alias("_k"), *by)
+    other = keyed.select(F.col("evidence_id").alias("peer"), F.col("_k"), *[F.col(c).alias(f"_{c}") for c in by])
+    same = keyed.join(other, "_k")
+    for c in by:
+        same = same.where(F.col(c).eqNullSafe(F.col(f"_{c}")))
+    found = same.select("evidence_id", "peer")
+    return found.unionByName(own.join(found, "evidence_id", "left_anti"))
+
+
+def cache_state(asked: DataFrame, cached: DataFrame, by: str, key: str, now: Column, most_days: int) -> DataFrame:
+    """HIT, STALE (made with another key, or too old) or MISS for each entry asked for. ``cached``: by, key, fetched."""
+    rows = asked.select(by).distinct().join(cached, by, "left")
+    old = now - F.col("fetched") > F.make_dt_interval(days=F.lit(most_days))
+    return rows.select(by, F.when(F.col("key").isNull(), "MISS").when((F.col("key") != key) | old, "STALE").otherwise("HIT").alias("state"))
+
+
+def uncached(files: DataFrame, known: DataFrame, version: str) -> DataFrame:
+    """Files with whether they still are work: no extraction of this version is known for their content."""
+    done = known.where(F.col("extraction_version") == version).select("sha256").distinct().withColumn("_done", F.lit(True))
+    return files.join(done, "sha256", "left").withColumn("work", F.col("_done").isNull()).drop("_done")
+
+
+def rolled_up(steps: DataFrame, depth: int = 6) -> DataFrame:
+    """Steps with the calls of all steps inside them; ``steps``: run_id, step, parent, seconds, calls, nested at most so deep."""
+    up = steps.select("run_id", F.col("step").alias("at"), F.col("parent").alias("_up"))
+    rows, every = steps.select("run_id", F.col("step").alias("at"), "calls"), None
+    for _ in range(depth):
+        every = rows if every is None else every.unionByName(rows)
+        rows = rows.join(up, ["run_id", "at"]).where("_up is not null").select("run_id", F.col("_up").alias("at"), "calls")
+    total = every.groupBy("run_id", "at").agg(F.sum("calls").alias("_calls"))
+    return steps.join(total.withColumnRenamed("at", "step"), ["run_id", "step"]).withColumn("calls", F.col("_calls")).drop("_calls")
+
+
+def evaluated(rows: DataFrame, by: Sequence[str], least: float = 0.8) -> DataFrame:
+    """False statements that did not pass, the share of true ones that did, and whether all of the first and enough of the second
+    did. ``rows``: truth, status."""
+    passed, true = F.col("status").isin("VERIFIED", "VERIFIED_WITH_QUALIFIER"), F.col("truth")
+    g = rows.groupBy(*by).agg(F.count_if(~true & ~passed).alias("false_caught"), F.count_if(~true).alias("_false"), (F.count_if(true & passed) / F.nullif(F.count_if(true), F.lit(0))).alias("true_rate"))
+    return g.withColumn("met", (F.col("false_caught") == F.col("_false")) & F.coalesce(F.col("true_rate") >= least, F.lit(False))).drop("_false")

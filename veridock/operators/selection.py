@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
+from veridock.operators.rules import COVERED
 
 
 def retrieved(queries: DataFrame, evidence: DataFrame, most: int = 15) -> DataFrame:
@@ -146,3 +147,10 @@ def attention(items: DataFrame, by: str = "run_id") -> DataFrame:
     """What an advisor is told: numbers of blocking and open items, and the message that goes with them."""
     n = items.groupBy(by).agg(F.count_if(F.col("kind") == "fail").alias("n_blocking"), F.count_if(F.col("kind") == "review").alias("n_review"))
     return n.withColumn("message", F.when(F.col("n_blocking") > 0, F.concat("n_blocking", F.lit(" statement(s) must be changed"))).when(F.col("n_review") > 0, F.concat("n_review", F.lit(" item(s) to review"))).otherwise("Ready"))
+
+
+def unavailable(selections: DataFrame, cells: DataFrame) -> DataFrame:
+    """(run_id, match_id) of the selected policy's cells for the relevant exposures that are covered by status, but do not hold at
+    the sum insured. ``cells``: run_id, match_id, exposure_id, policy_id, status, available."""
+    asked = selections.select("run_id", F.col("selected_policy_id").alias("policy_id"), F.explode(F.array_distinct("relevant_exposure_ids")).alias("exposure_id"))
+    return cells.where(F.col("status").isin(*COVERED) & ~F.col("available")).join(asked, ["run_id", "policy_id", "exposure_id"], "left_semi").select("run_id", "match_id")

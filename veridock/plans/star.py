@@ -127,10 +127,12 @@ def stale_keys(spark, sf_dir):
 SELECT x.p_brand AS a, y.p_brand AS b, len(list_intersect(x.terms, y.terms)) AS shared, len(x.terms) + len(y.terms) - 2 * len(list_intersect(x.terms, y.terms)) AS differing FROM b x JOIN b y ON x.p_brand < y.p_brand""")
 def symmetric_terms(spark, sf_dir):
     """Terms that two brands share or only one has: J16 E3."""
-    terms = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set(F.concat_ws("/", "p_type", "p_size")).alias("terms"))
-    a, b = terms.toDF("a", "ta"), terms.toDF("b", "tb")
-    pairs = a.join(b, F.col("a") < F.col("b"))  # brands are a closed list
-    return pairs.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"), (F.size(F.array_except("ta", "tb")) + F.size(F.array_except("tb", "ta"))).cast("long").alias("differing"))
+    terms = table(spark, sf_dir, "part").select("p_brand", F.xxhash64(F.concat_ws("/", "p_type", "p_size")).alias("term")).distinct()
+    size = terms.groupBy("p_brand").agg(F.count("*").alias("n"))
+    both = terms.select(F.col("p_brand").alias("a"), "term").join(terms.select(F.col("p_brand").alias("b"), "term"), "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    of = lambda c: size.select(F.col("p_brand").alias(c), F.col("n").alias(f"n{c}"))
+    pairs = of("a").crossJoin(of("b")).where("a < b").join(both, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))  # a closed list of brands
+    return pairs.select("a", "b", "shared", (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("differing"))
 
 
 _LINKS = "SELECT c_custkey, string_agg(s_suppkey, ',' ORDER BY s_suppkey) AS linked FROM customer JOIN (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal < 2000) ON c_nationkey = s_nationkey GROUP BY c_custkey"
@@ -244,13 +246,6 @@ def forward_fill(spark, sf_dir):
     return ordered.filled(rows, ["user_id"], ["event_id"], "own", "heading").select("user_id", "event_id", "heading")
 
 
-@query()
-def row_clusters(spark, sf_dir):
-    """Values of a page clustered from the first of each cluster on: O4 O14."""
-    pages = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_list("p_retailprice")).alias("y"))
-    return pages.select("p_brand", "p_type", F.array_max(ordered.anchored(F.col("y"), 2.0)).alias("rows"), F.size("y").alias("n"))
-
-
 @query("SELECT l_partkey, l_orderkey, l_linenumber, p_size FROM (SELECT l_partkey, l_orderkey, l_linenumber, CAST(round(l_extendedprice / l_quantity / 100) AS INTEGER) AS unit FROM lineitem) JOIN (SELECT DISTINCT p_size FROM part) ON abs(unit - p_size) <= 0.005 * greatest(abs(unit), abs(p_size))")
 def tolerant_price_match(spark, sf_dir):
     """Numbers that are equal within half a percent, by logarithmic buckets: N5 X4."""
@@ -293,21 +288,6 @@ def run_ids(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rid.alias("run_id"), (age > 7 * 86400 * 1000000).alias("stale"))
 
 
-@query("SELECT c_custkey, CASE WHEN length(trim(c_name)) < 2 THEN 'TOO_SHORT' WHEN length(trim(c_name)) > 18 THEN 'TOO_LONG' WHEN c_acctbal < 0 THEN 'EMPTY' END AS code FROM customer")
-def input_validation(spark, sf_dir):
-    """Ordered validation with a code for the first rule broken: P18 S9 X16 X22."""
-    n = F.length(F.trim("c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(n < 2, "TOO_SHORT").when(n > 18, "TOO_LONG").when(F.col("c_acctbal") < 0, "EMPTY").alias("code"))
-
-
-@query("""WITH f AS (SELECT o_custkey, bool_and(o_orderstatus = 'O') AS allo, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey, coalesce(allo, true) AND c_mktsegment <> 'BUILDING' AS assumption_based, coalesce(n, 0) AS n_facts FROM customer LEFT JOIN f ON o_custkey = c_custkey""")
-def assumption_vacuous(spark, sf_dir):
-    """All facts of a basis are assumptions, which holds for none too: R9 X12 X23."""
-    facts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_and(F.col("o_orderstatus") == "O").alias("allo"), F.count("*").alias("n"))
-    c = table(spark, sf_dir, "customer").join(facts, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return c.select("c_custkey", (F.coalesce("allo", F.lit(True)) & (F.col("c_mktsegment") != "BUILDING")).alias("assumption_based"), F.coalesce("n", F.lit(0)).alias("n_facts"))
-
-
 @query("SELECT l_orderkey, l_partkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey, l_extendedprice) - 1) // 4 AS chunk FROM lineitem")
 def chunks(spark, sf_dir):
     """Rows in groups of four, in order: X18."""
@@ -315,50 +295,12 @@ def chunks(spark, sf_dir):
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", F.floor((F.col("n") - 1) / 4).alias("chunk"))
 
 
-@query("SELECT l_orderkey, l_partkey, count(*) AS n, bool_or(o_orderstatus = 'O') AS owned FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_totalprice > 50000 GROUP BY ALL HAVING count(o_orderkey) > 0 AND NOT bool_or(o_orderstatus = 'F')")
-def role_filter(spark, sf_dir):
-    """Cited ids split into unknown, foreign and good ones; the good ones stay: P14 E7 J12 C4."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_totalprice > 50000")
-    rows = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    role = F.when(F.col("o_orderkey").isNull(), "unknown").when(F.col("o_orderstatus") == "F", "foreign").otherwise("good")
-    kept = rows.withColumn("role", role).groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"), F.bool_or(F.col("o_orderstatus") == "O").alias("owned"), F.min("role").alias("r"), F.max("role").alias("r2"))
-    return kept.where("r = 'good' and r2 = 'good'").select("l_orderkey", "l_partkey", "n", "owned")
-
-
-@query("SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, count(DISTINCT b.l_partkey) AS siblings FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linestatus = b.l_linestatus GROUP BY ALL")
+@query("SELECT a.l_orderkey, a.l_linestatus, a.l_linenumber, a.l_partkey, count(DISTINCT b.l_partkey) AS siblings FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linestatus = b.l_linestatus GROUP BY ALL")
 def sibling_rows(spark, sf_dir):
-    """Items with how many different ones share their row: J6 J7 J23. A window instead of a self-join."""
+    """Items with how many different ones share their row: J6 J7 J23."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus", "l_linenumber", "l_partkey")
-    own = rows.select("l_orderkey", "l_linestatus", "l_linenumber", "l_partkey").distinct()
-    size = rows.groupBy("l_orderkey", "l_linestatus").agg(F.collect_set("l_partkey").alias("parts"))
-    both = own.join(size, ["l_orderkey", "l_linestatus"]).groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.size(F.array_distinct(F.flatten(F.collect_list("parts")))).cast("long").alias("siblings"))
-    return both
-
-
-@query("SELECT p_partkey, p_type, p_name, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN true WHEN p_size > 40 THEN len(string_split(p_name, ' ')) >= 3 OR p_brand IN (SELECT p_brand FROM part WHERE p_size <= 40 AND p_type IN ('ECONOMY', 'SMALL') AND p_retailprice > 999) ELSE p_name LIKE '% %' AND len(string_split(p_name, ' ')) >= 3 OR p_retailprice > 950 END AS citable FROM part")
-def citable_rule(spark, sf_dir):
-    """Which items may be cited; headings need words or a citable item in their section: P1 P2."""
-    part = table(spark, sf_dir, "part")
-    sections = part.where("p_size <= 40 and p_type in ('ECONOMY', 'SMALL') and p_retailprice > 999").select("p_brand").distinct().withColumn("has", F.lit(True))
-    words = F.size(F.split("p_name", " "))
-    citable = F.when(F.col("p_type").isin("ECONOMY", "SMALL"), True).when(F.col("p_size") > 40, (words >= 3) | F.col("has").isNotNull()).otherwise((words >= 3) | (F.col("p_retailprice") > 950))
-    return part.join(sections, "p_brand", "left").select("p_partkey", "p_type", "p_name", citable.alias("citable"))
-
-
-@query("""SELECT s.s_suppkey, count(p_partkey) AS n, CASE WHEN count(p_partkey) = 1 THEN 'ok' WHEN count(p_partkey) = 0 THEN 'none' ELSE 'several' END AS resolved FROM supplier s LEFT JOIN part p ON p.p_size = s.s_suppkey % 50 + 1 AND p.p_brand = 'Brand#' || (s.s_nationkey + 1) AND starts_with(lower(p.p_name), 'small') GROUP BY s.s_suppkey""")
-def selector_resolution(spark, sf_dir):
-    """Selectors must match exactly one item: P3 P4 J5."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("s_suppkey % 50 + 1").alias("size"), F.concat(F.lit("Brand#"), (F.col("s_nationkey") + 1).cast("string")).alias("brand"))
-    p = table(spark, sf_dir, "part").where("startswith(lower(p_name), 'small')")
-    n = s.join(p, (F.col("p_size") == F.col("size")) & (F.col("p_brand") == F.col("brand")), "left").groupBy("s_suppkey").agg(F.count("p_partkey").alias("n"))
-    return n.withColumn("resolved", F.when(F.col("n") == 1, "ok").when(F.col("n") == 0, "none").otherwise("several"))
-
-
-@query("SELECT l_returnflag, count(*) FILTER (l_discount < 0.05 AND l_linestatus = 'F') AS false_caught, count(*) FILTER (l_linestatus = 'O' AND l_discount >= 0.05) / count(*) FILTER (l_linestatus = 'O') AS true_rate, bool_and(l_linestatus = 'O' OR l_discount < 0.09) AS met FROM lineitem GROUP BY l_returnflag")
-def eval_metrics(spark, sf_dir):
-    """Caught false statements and share of true ones that pass: A15 A13."""
-    true, passing = F.col("l_linestatus") == "O", F.col("l_discount") >= 0.05
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(~true & ~passing).alias("false_caught"), (F.count_if(true & passing) / F.count_if(true)).alias("true_rate"), F.bool_and(true | (F.col("l_discount") < 0.09)).alias("met"))
+    size = rows.groupBy("l_orderkey", "l_linestatus").agg(F.countDistinct("l_partkey").alias("siblings"))
+    return rows.distinct().join(size, ["l_orderkey", "l_linestatus"]).select("l_orderkey", "l_linestatus", "l_linenumber", "l_partkey", "siblings")
 
 
 @query(f"SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS ids FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders JOIN ({_ITEMS_SQL}) ON l_orderkey = o_orderkey WHERE kind = 'fail' AND o_orderstatus <> 'F') GROUP BY o_custkey")
@@ -380,10 +322,3 @@ def result_carry_over(spark, sf_dir):
     return rules.carried_over(now, before, "k", ["status", "number"], ["attempts"])
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'code' WHEN n = 1 THEN 'policy' WHEN n > 1 THEN 'review' ELSE 'non_factual' END AS route FROM (SELECT o_orderkey, o_orderstatus, count(DISTINCT l_suppkey % 3) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)")
-def routing(spark, sf_dir):
-    """Where a statement is judged; a product is inferred if exactly one is named: R5 R7 X5."""
-    named = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct(F.expr("l_suppkey % 3")).alias("n"))
-    rows = table(spark, sf_dir, "orders").join(named, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    route = F.when(F.col("o_orderstatus") == "F", "code").when(F.col("n") == 1, "policy").when(F.col("n") > 1, "review").otherwise("non_factual")
-    return rows.select("o_orderkey", route.alias("route"))

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veridock.functions import hashing as h
-from veridock.functions import quantity as q
+from veridock.functions import predicates as p
 from veridock.functions import textnorm as t
 from veridock.operators import joins, ordered
 from veridock.plans.registry import query
-from veridock.session import table
+from veridock.session import scratch, spread, table
+from veridock.sources import evidence
 
 #: The normal form in DuckDB, whose regular expressions cannot look around: what stands around is captured instead.
-NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+NORM = r"""replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(regexp_replace(replace(lower(translate(replace(replace(replace({0}, '�', ''), '`', ''), '™', ' TM'), '’‘‛′“”″–—‑‒−', '''''''''"""+"\"\"\""+r"""-----')), 'ß', 'ss'),
   '₹\s*', ' inr ', 'g'), '(^|[^a-z0-9_à-öø-ÿ])inr\.?([^a-z]|$)', '\1 inr \2', 'g'), '(^|[^a-z0-9_à-öø-ÿ])rs\.?\s*([0-9])', '\1 inr \2', 'g'), '([0-9]) (st|nd|rd|th)([^a-z0-9_à-öø-ÿ]|$)', '\1\2\3', 'g'),
   '\([0-9]{{1,2}}\)', ' ', 'g'), '([a-z][a-z])[0-9]{{1,2}}([^a-z0-9_à-öø-ÿ]|$)', '\1\2', 'g'),
-  '([a-z0-9)])[ \n\t]?(\*{{1,4}}|#{{1,2}}|\^{{1,2}}|~{{1,2}}|°{{1,2}}|@{{1,2}}|\$|!)([\s,.;:)\]]|$)', '\1\3', 'g'), '([a-z])[ \n\t]?%([\s,.;:)\]]|$)', '\1\2', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g'))"""
+  '([a-z0-9)])[ \n\t]?(\*{{1,4}}|#{{1,2}}|\^{{1,2}}|~{{1,2}}|°{{1,2}}|@{{1,2}}|\$|!)([\s,.;:)\]]|$)', '\1\3', 'g'), '([a-z])[ \n\t]?%([\s,.;:)\]]|$)', '\1\2', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g')), 't itanium+', 'titanium+'), 'platinum +', 'platinum+'), 'optima secure +', 'optima secure+')"""
 
 
 def _norm(column: str) -> str:
@@ -26,7 +27,8 @@ def _norm(column: str) -> str:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.quotes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joins.quotes(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 _HITS = f"""WITH d AS (SELECT doc_id, lang, {_norm('text')} AS s FROM documents), b AS (SELECT item_id, {_norm('text')} AS s FROM benchmark),
@@ -56,7 +58,7 @@ def quote_confidence_score(spark, sf_dir):
 def normalised_texts(spark, sf_dir):
     """The normal form of every document: F1 C5."""
     s = t.normalised("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.left(h.content_hash(s), F.lit(16)).alias("digest"), F.length(s).alias("n"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.left(h.content_hash(s), F.lit(16)).alias("digest"), F.length(s).alias("n"))
 
 
 @query("SELECT first_id, digest, count(*) AS copies FROM (SELECT sha256(text) AS digest, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents) GROUP BY ALL")
@@ -69,48 +71,32 @@ def exact_dup_first_copy(spark, sf_dir):
 _TOKENS = "[w FOR w IN list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')) IF NOT list_contains([" + ", ".join(f"'{w}'" for w in t.SEARCH_STOP_WORDS) + "], w)]"
 
 
-def duplicates(benchmark: DataFrame, overlap: float, wordless: bool) -> DataFrame:
-    """(a, b, shared): pairs of statements that are equal, contained, or share the given part of their words. Candidates
-    share a word, the whole text, or the first 21 characters of one, so every join is on equality. ``wordless``: two
-    statements without words count as sharing all of them."""
-    items = benchmark.select("item_id", F.regexp_replace(F.lower("text"), r"\s+", " ").alias("s"), t.tokens("text").alias("w"))
-    words = items.select("item_id", F.explode("w").alias("word"))
-    pairs = words.alias("x").join(words.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.item_id") < F.col("y.item_id"))).groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("shared"))
-    long = items.where(F.length("s") > 20)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - 20), lambda i: F.substring(F.col("s"), i, F.lit(21))))
-    inner = long.select(F.col("item_id").alias("x"), F.explode(grams).alias("k")).join(long.select(F.col("item_id").alias("y"), F.left("s", F.lit(21)).alias("k")), "k")
-    alike = items.select(F.col("item_id").alias("x"), F.col("s").alias("k")).join(items.select(F.col("item_id").alias("y"), F.col("s").alias("k")), "k")
-    other = inner.select("x", "y").unionByName(alike.select("x", "y"))
-    if wordless:
-        none = items.where(F.size("w") == 0).select("item_id", F.lit(0).alias("k"))
-        other = other.unionByName(none.select(F.col("item_id").alias("x"), "k").join(none.select(F.col("item_id").alias("y"), "k"), "k").select("x", "y"))
-    other = other.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).cast("long").alias("shared"))
-    pairs = pairs.unionByName(other).groupBy("a", "b").agg(F.max("shared").alias("shared"))
-    of = lambda c: items.select(F.col("item_id").alias(c), F.col("s").alias(f"s{c}"), F.size("w").alias(f"n{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    contained = (F.least(F.length("sa"), F.length("sb")) > 20) & (F.contains("sa", F.col("sb")) | F.contains("sb", F.col("sa")))
-    near = (F.col("shared") >= overlap * (F.col("na") + F.col("nb") - F.col("shared"))) & (F.lit(wordless) | (F.col("shared") > 0))
-    return both.where((F.col("sa") == F.col("sb")) | contained | near).select("a", "b", "shared")
-
-
-@query(f"""WITH b AS (SELECT item_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS s, {_TOKENS.format('text')} AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS shared FROM b a JOIN b ON a.item_id < b.item_id
-WHERE a.s = b.s OR (least(length(a.s), length(b.s)) > 20 AND (contains(a.s, b.s) OR contains(b.s, a.s)))
-   OR len(list_intersect(a.w, b.w)) >= 0.1 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
-def duplicate_statements(spark, sf_dir):
-    """Pairs of statements that are equal, contained, or share a tenth of their words, as its SQL has it: E6 J16."""
-    return duplicates(table(spark, sf_dir, "benchmark"), 0.1, wordless=True)
+def _statements(spark, sf_dir):
+    """The passages, and of each a copy in capitals, one with words added and one with a word changed."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    made = [F.col("text"), F.upper("text"), F.concat("text", F.lit(" So much more.")), F.regexp_replace("text", r"^\S+", "Another")]
+    return items.select(F.posexplode(F.array(*made)).alias("k", "text"), "item_id").select((F.col("item_id") * 4 + F.col("k")).alias("ord"), "text")
+
 
+_MADE = """SELECT item_id * 4 AS ord, text FROM benchmark UNION ALL SELECT item_id * 4 + 1, upper(text) FROM benchmark UNION ALL SELECT item_id * 4 + 2, text || ' So much more.' FROM benchmark
+ UNION ALL SELECT item_id * 4 + 3, regexp_replace(text, '^[^ \t\n]+', 'Another') FROM benchmark"""
+_STOPS = "[" + ", ".join(f"'{w}'" for w in p.OVERLAP_STOP_WORDS) + "]"
 
-#: The reference's share of words (DUPLICATE_OVERLAP) from which a statement is a duplicate.
-OVERLAP = 0.8
+
+@query(f"""WITH m AS ({_MADE}), n AS (SELECT ord, regexp_replace({_norm('text')}, '^[ .]+|[ .]+$', '', 'g') AS s, [w FOR w IN list_distinct(regexp_extract_all({_norm('text')}, '[a-z0-9]+')) IF length(w) > 1 AND NOT list_contains({_STOPS}, w)] AS w FROM m)
+SELECT a.ord AS a, b.ord AS b FROM n a JOIN n b ON a.ord < b.ord WHERE a.s = b.s OR (least(length(a.s), length(b.s)) > 20 AND (contains(a.s, b.s) OR contains(b.s, a.s)))
+ OR (len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= {p.OVERLAP} * len(list_distinct(a.w || b.w)))""")
+def duplicate_statements(spark, sf_dir):
+    """Pairs of statements that say the same: E6 J16."""
+    return joins.duplicates(_statements(spark, sf_dir), "ord", "text")
 
 
 @query()
 def greedy_statements(spark, sf_dir):
-    """Statements in order without those that duplicate one kept before, by the reference's threshold: O5."""
-    items = table(spark, sf_dir, "benchmark")
-    return ordered.greedy_conflicts(items.select(F.col("item_id").alias("ord"), "text"), duplicates(items, OVERLAP, wordless=False).select("a", "b"))
+    """Statements in order without those that duplicate one kept before: O5."""
+    scratch(spark)
+    items = _statements(spark, sf_dir)
+    return ordered.greedy_conflicts(items, joins.duplicates(items, "ord", "text"))
 
 
 _URL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[#?].*$', ''), '^www\.', ''), '/+$', '')"
@@ -126,19 +112,24 @@ def url_key_dedupe(spark, sf_dir):
 @query()
 def greedy_dual_key(spark, sf_dir):
     """Pages in order without those whose URL key or opening 300 characters a page kept before has: O6."""
+    scratch(spark)
     body = F.regexp_replace(F.regexp_replace("html", r"(?s)^.*?<body[^>]*>", ""), r"<[^>]+>", " ")
-    pages = table(spark, sf_dir, "pages").select("page_id", t.url_key("url").alias("key"), F.left(t.squeezed(body), F.lit(300)).alias("opening"))
+    pages = table(spark, sf_dir, "pages").select("page_id", t.url_key("url").alias("key"), t.opening(body).alias("opening"))
     return ordered.greedy_two_keys(pages, "page_id", "key", "opening").select("page_id", "key")
 
 
-@query(r"""WITH line AS (SELECT doc_id, trim(regexp_replace(u.s, '\s+', ' ', 'g')) AS s, u.ord FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(s, ord)),
-kept AS (SELECT doc_id, s, min(ord) AS ord FROM line WHERE length(s) >= 30 AND NOT regexp_matches(s, '(?i)cookie|privacy|licen[cs]e|copyright|subscribe') GROUP BY doc_id, s)
-SELECT doc_id, count(*) AS n_lines, left(string_agg(s, chr(10) ORDER BY ord), 4000) AS body FROM kept GROUP BY doc_id""")
+_BOILER = "(?i)(^|[^a-z0-9_])(cookies?|privacy policy|terms of use|subscribe|sign in|log ?in|newsletter|all rights reserved|skip to (main )?content|javascript)([^a-z0-9_]|$)"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')) AS head, text FROM documents),
+line AS (SELECT doc_id, head, trim(regexp_replace(u.s, '\s+', ' ', 'g')) AS s, u.ord FROM d, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) WITH ORDINALITY AS u(s, ord)),
+kept AS (SELECT doc_id, s, min(ord) AS ord FROM line WHERE length(s) >= 30 AND NOT regexp_matches(s, '{_BOILER}') AND NOT contains(head, s) GROUP BY doc_id, s),
+body AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY ord) AS b FROM kept GROUP BY doc_id)
+SELECT doc_id, left(CASE WHEN head = '' THEN coalesce(b, '') WHEN b IS NULL THEN head ELSE head || chr(10) || b END, 4000) AS body FROM d LEFT JOIN body USING (doc_id)""")
 def page_text_clean(spark, sf_dir):
-    """Lines of 30 characters or more that are no boilerplate, each once, in order, cut to 4000 characters: P16."""
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), t.squeezed), lambda s: (F.length(s) >= 30) & ~s.rlike("(?i)cookie|privacy|licen[cs]e|copyright|subscribe")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).where("size(lines) > 0")
-    return docs.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.left(F.array_join("lines", "\n"), F.lit(4000)).alias("body"))
+    """An excerpt and the lines that say something, each once, in order, cut to 4000 characters: P16."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", t.page_text(F.left("text", F.lit(60)), "text").alias("body"))
 
 
 @query(f"""WITH qs AS (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark), qw AS (SELECT item_id, unnest(w) AS word FROM qs),
@@ -167,7 +158,7 @@ def keyword_hits_pivot(spark, sf_dir):
  IF length(w) >= 4 AND NOT list_contains([""" + ", ".join(f"'{w}'" for w in t.STOP_WORDS) + r"""], lower(w))])) AS n_stems FROM documents""")
 def content_stems(spark, sf_dir):
     """Distinct stems of content words: F8."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t.stems("text")).cast("long").alias("n_stems"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(t.stems("text")).cast("long").alias("n_stems"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;:])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents),
@@ -175,28 +166,29 @@ w AS (SELECT doc_id, unnest(list_slice(regexp_extract_all(s, '[A-Za-z][A-Za-z''
 SELECT doc_id, count(DISTINCT w) AS n_names FROM w WHERE regexp_matches(w, '^[A-Z]') AND upper(w) <> w GROUP BY doc_id""")
 def proper_name_counts(spark, sf_dir):
     """Capitalised words inside sentences: F9."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t.proper_names("text")).cast("long").alias("n_names")).where("n_names > 0")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(t.proper_names("text")).cast("long").alias("n_names")).where("n_names > 0")
+
+
+#: For SQL, whose letters, digits and edges of words are ASCII: documents have accented letters beside the words in question.
+_LATIN = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9_]"
 
 
-@query(r"""SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)(^|[^a-z0-9_])(does not cover|excludes|not covered)([^a-z0-9_]|$)')) AS n_absence,
- count(*) FILTER (contains(lower(text), 'not stated in the')) AS n_not_stated, count(*) FILTER (regexp_matches(text, '[0-9]') AND regexp_matches(text, '(?i)₹|\$|€|million|billion|crore|lakh')) AS n_money,
- count(*) FILTER (regexp_matches(text, '^[A-ZÀ-Ý]') AND regexp_matches(text, '[.!?]$') AND len(regexp_extract_all(trim(text), '[^ \n\t]+')) >= 5 AND NOT regexp_matches(text, '^(And|But|Or|So|Because)[^A-Za-z]')) AS n_complete FROM documents GROUP BY lang""")
+@query(r"""SELECT lang, count(*) FILTER (regexp_matches(lower(text), '\b(does not|doesn''t|do not|don''t|will not|won''t|cannot|can''t)\s+(cover|provide|include|offer|pay)\b|\bexclud(es|ed|ing|e)\b|\bno\s+(coverage|cover|benefit)s?\s+(for|of)\b|\bnot\s+(covered|provided|included|offered)\b')) AS n_absence,
+ count(*) FILTER (regexp_matches(lower(text), '\bnot stated in the\b')) AS n_not_stated,
+ count(*) FILTER (regexp_matches(text, '[0-9]') AND regexp_matches(lower(text), '[$₹€£]|\b(usd|inr|rs\.?|eur|gbp|revenue|turnover|profit|valuation|market cap|billion|million|bn|mn|crores?|lakhs?)\b')) AS n_money,
+ count(*) FILTER (regexp_matches(text, '[0-9]\s*days?\b')) AS n_days FROM documents GROUP BY lang""")
 def statement_predicates(spark, sf_dir):
-    """Absence, money and complete-sentence tests: P7 P9 P10 P12."""
+    """Documents that state absence, silence, money and spans of days, by language: P9 P10."""
     c = F.col("text")
-    money = c.rlike("[0-9]") & c.rlike(r"(?i)₹|\$|€|million|billion|crore|lakh")
-    complete = c.rlike(r"^[A-ZÀ-Ý]") & c.rlike(r"[.!?]\z") & (F.size(F.regexp_extract_all(F.trim(c), F.lit(r"([^ \n\t]+)"))) >= 5) & ~c.rlike(r"^(And|But|Or|So|Because)[^A-Za-z]")
-    tests = {"n_absence": t.hedges(c)["absence"], "n_not_stated": t.hedges(c)["not_stated"], "n_money": money, "n_complete": complete}
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.count_if(x).alias(n) for n, x in tests.items()])
+    tests = {"n_absence": p.says_absence(c), "n_not_stated": p.says_not_stated(c), "n_money": p.states_money(c), "n_days": c.rlike(r"[0-9]\s*days?\b")}
+    return spread(table(spark, sf_dir, "documents").select("lang", "text")).groupBy("lang").agg(*[F.count_if(x).alias(n) for n, x in tests.items()])
 
 
-@query("""SELECT doc_id, list_contains(kinds, 1) AS piped, CAST(len(pieces) AS INTEGER) AS n_pieces FROM (
- SELECT doc_id, [CASE WHEN length(regexp_replace(text, '[^|]', '', 'g')) >= 2 THEN 1 ELSE 0 END] AS kinds,
- [p FOR p IN regexp_split_to_array(text, CASE WHEN length(regexp_replace(text, '[^|]', '', 'g')) >= 2 THEN '\\s*[|•▪●]\\s*' ELSE '\\s*[•▪●]\\s*' END) IF length(regexp_replace(p, '[^\\p{L}\\p{N}]', '', 'g')) >= 3] AS pieces FROM documents)""")
+@query(r"""SELECT doc_id, CAST(len(pieces) AS INTEGER) AS n_pieces FROM (SELECT doc_id, [q FOR q IN CASE WHEN regexp_matches(text, '[•▪●]') THEN regexp_split_to_array(text, '\s*[•▪●]\s*')
+ WHEN len(regexp_extract_all(text, '\s+\|\s+')) >= 2 THEN regexp_split_to_array(text, '\s+\|\s+') ELSE [text] END IF length(regexp_replace(q, '[^\p{L}\p{N}]', '', 'g')) >= 3] AS pieces FROM documents)""")
 def bullet_pieces(spark, sf_dir):
     """Bulleted and piped texts split into pieces of three letters or digits: F17."""
-    piped = F.length(F.regexp_replace("text", r"[^|]", "")) >= 2
-    return table(spark, sf_dir, "documents").select("doc_id", piped.alias("piped"), F.size(t.bullets("text")).alias("n_pieces"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(t.bullets("text")).alias("n_pieces"))
 
 
 @query(r"""WITH g AS (SELECT conv_id, turn, CASE WHEN row_number() OVER w = 1 OR NOT regexp_matches(text, '^[a-zà-öø-ÿ]') THEN 1 ELSE 0 END AS s, length(text) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
@@ -238,64 +230,16 @@ def clean_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.slug(F.concat("p_name", F.lit(" #"), "p_brand")).alias("slug"), t.canonical(F.concat_ws(" ", "p_type", "p_brand")).alias("variant"), t.unlabelled(marked).alias("statement"))
 
 
-@query(f"""SELECT page_id, site, official, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY official DESC, score DESC, page_id) AS rank FROM (
- SELECT page_id, regexp_replace(regexp_extract({_URL}, '^([^/]*)', 1), '^(?:www\\d*|en|m)\\.', '') AS site, contains(url, '.org/') AS official, length(html) AS score FROM pages WHERE contains(lower(html), 'the') OR contains(lower(html), 'der'))) WHERE rank <= 6""")
-def official_first_rank(spark, sf_dir):
-    """Relevant pages of a site, official ones first, then by score, six at most: P15 T2."""
-    tokens = F.array(F.lit("the"), F.lit("der"))
-    pages = table(spark, sf_dir, "pages").where(F.exists(tokens, lambda w: F.contains(F.lower("html"), w)))
-    pages = pages.select("page_id", t.site_name("url").alias("site"), F.contains("url", F.lit(".org/")).alias("official"), F.length("html").cast("long").alias("score"))
-    return ordered.quota(pages, ["site"], [F.desc("official"), F.desc("score"), "page_id"], 6, "rank").select("page_id", "site", "official", "score", "rank")
-
-
-@query()
-def quantity_extract(spark, sf_dir):
-    """All quantities of all documents: N1. Golden cases carry the grammar."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(q.quantities(F.col("text"))).alias("q"))
-    return found.select("doc_id", F.col("q.value").alias("value"), F.col("q.unit").alias("unit"), F.col("q.raw").alias("raw"), F.col("q.start").alias("start"))
-
-
-@query()
-def stated_ranges(spark, sf_dir):
-    """Sum-insured ranges that documents state: N8."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(q.sum_insured_ranges(F.col("text"))).alias("r"))
-    return found.select("doc_id", "r.low", "r.high", "r.low_ex", "r.high_ex")
-
-
-@query(r"""WITH s AS (SELECT conv_id, turn, u.s, u.o FROM conversations, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) WITH ORDINALITY AS u(s, o)),
-q AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) WHERE n = 1),
-x AS (SELECT conv_id, turn, s, o, len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')), w)) AS shared FROM s JOIN q USING (conv_id))
-SELECT conv_id, turn, CAST(o AS INTEGER) AS place, shared FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, o) AS n FROM x) WHERE n = 1""")
-def best_sentence(spark, sf_dir):
-    """The sentence of each turn that shares most words with the conversation's first: O11 P17."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)")))
-    turns = table(spark, sf_dir, "conversations")
-    first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("f")).select("conv_id", words(F.col("f.text")).alias("w"))
-    cut = turns.select("conv_id", "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("place", "s")).join(first, "conv_id")
-    scored = cut.select("conv_id", "turn", (F.col("place") + 1).cast("int").alias("place"), F.size(F.array_intersect(words(F.col("s")), "w")).cast("long").alias("shared"))
-    return ordered.quota(scored, ["conv_id", "turn"], [F.desc("shared"), "place"], 1, "n").drop("n")
-
-
-@query(r"""WITH k AS (SELECT doc_id, instr(lower(text), 'token') AS a, instr(lower(text), 'license') AS b, regexp_extract(text, '[0-9]+', 0) AS num, instr(text, regexp_extract(text, '[0-9]+', 0)) AS pos FROM documents WHERE regexp_matches(text, '[0-9]'))
-SELECT doc_id, num, CASE WHEN a = 0 AND b = 0 THEN NULL WHEN b = 0 OR (a > 0 AND abs(a - pos) < abs(b - pos)) THEN 'token' WHEN a = 0 OR abs(b - pos) < abs(a - pos) THEN 'license' ELSE 'both' END AS topic FROM k""")
-def nearest_topic(spark, sf_dir):
-    """The topic word nearest to a document's first number, ties to both: O10 N12."""
-    num = F.regexp_extract("text", "[0-9]+", 0)
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", num.alias("num"), F.expr("instr(text, regexp_extract(text, '[0-9]+', 0))").alias("at"), F.expr("instr(lower(text), 'token')").alias("token"), F.expr("instr(lower(text), 'license')").alias("license"))
-    gap = lambda c: F.when(F.col(c) > 0, F.abs(F.col(c) - F.col("at")))
-    a, b = gap("token"), gap("license")
-    topic = F.when(a.isNull() & b.isNull(), F.lit(None)).when(b.isNull() | (a < b), "token").when(a.isNull() | (b < a), "license").otherwise("both")
-    return docs.select("doc_id", "num", topic.alias("topic"))
-
-
 @query("SELECT doc_id, left(sha256(concat_ws(chr(31), '=' || CAST(doc_id AS VARCHAR), '=' || lang, '=' || source, '=' || CAST(n_chars AS VARCHAR))), 16) AS item_hash FROM documents")
 def item_hashes(spark, sf_dir):
     """Canonical item hashes: C5 N14 U1."""
     return table(spark, sf_dir, "documents").select("doc_id", h.short_hash(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("item_hash"))
 
 
-@query("SELECT doc_id, coalesce(replace(replace(lang, '|', '/'), chr(10), ' '), '-') || ' | ' || coalesce(replace(source, '|', '/'), '-') || ' | ' || coalesce(nullif(left(replace(replace(text, '|', '/'), chr(10), ' '), 80), ''), '-') AS line FROM documents")
+@query("""SELECT doc_id, doc_id || ' | ' || coalesce(n_chars::VARCHAR, '-') || ' | ' || coalesce(nullif(replace(replace(source, '|', '/'), chr(10), ' '), ''), '-') || ' | - | - | ' || coalesce(lang, '-') || ' | - | - | - | '
+ || coalesce(nullif(replace(replace(regexp_replace(text, '`([0-9])', '₹\\1', 'g'), '|', '/'), chr(10), ' '), ''), '-') AS line FROM documents""")
 def evidence_lines(spark, sf_dir):
-    """Pipe-delimited lines with safe fields: S11 K5."""
-    safe = lambda c: F.coalesce(F.nullif(F.translate(c, "|\n", "/ "), F.lit("")), F.lit("-"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" | ", safe(F.col("lang")), safe(F.col("source")), F.coalesce(F.nullif(F.left(F.translate("text", "|\n", "/ "), F.lit(80)), F.lit("")), F.lit("-"))).alias("line"))
+    """Documents as evidence lines, texts whole: S11 K5."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("evidence_id"), F.col("n_chars").alias("page"), F.col("source").alias("section"), none.alias("row_label"), none.alias("column_label"), F.col("lang").alias("tier"), none.alias("variant"), none.alias("si_condition"), F.array().cast("array<string>").alias("linked"), "text")
+    return rows.select("doc_id", evidence.line(rows).alias("line"))

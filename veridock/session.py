@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,26 @@ def local_session(cores: int | None = None, app: str = "veridock", memory: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; Spark reads only the columns and row groups that a plan needs."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``), which is also where checkpoints go.
+    Where none is named, a local session gets a temporary one; a cluster gets an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="veridock-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/veridock/{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out over all cores where it has fewer tasks than that, as expensive expressions over a small file would all
+    run in one. Plans with a shuffle of their own, and large tables, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan" or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from veridock.functions import textnorm as t
 
 EVIDENCE = (
     "evidence_id string, document_id string, ord int, page int, section string, item_type string, text string, table_id string,"
@@ -125,3 +128,47 @@ def profile(rows: DataFrame, column: str = "value") -> DataFrame:
     p = rows.select(F.from_json(column, f"struct<profile:struct<facts:{fact}>,exposures:{exposure},facts:{fact}>").alias("p"))
     p = p.select(F.coalesce("p.profile.facts", "p.facts").alias("facts"), F.coalesce("p.exposures", F.from_json(F.lit("[]"), exposure)).alias("exposures"))
     return p.withColumn("missing", F.array_except(F.flatten(F.transform("exposures", lambda e: e["basis_fact_ids"])), F.transform("facts", lambda f: f["fact_id"])))
+
+
+# Fixed values.
+ALWAYS_CITABLE = ("FOOTNOTE", "BULLET", "TABLE_CELL")
+LEAST_WORDS, LOW_TEXT_WORDS = 4, 20
+NAME_LENGTHS = (2, 120)
+
+
+def with_citable(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Items with whether they may be cited: footnotes, bullets and cells may, other items with a label or enough words, headings
+    with enough words or a citable item of their document in their section."""
+    words = F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"))) >= least
+    labelled = (F.coalesce("row_label", F.lit("")) != "") | (F.coalesce("column_label", F.lit("")) != "")
+    heading = F.col("item_type") == "HEADING"
+    own = F.when(F.col("item_type").isin(*ALWAYS_CITABLE), True).when(heading, words).otherwise(labelled | words)
+    d = rows.withColumn("_own", own).withColumn("_content", ~heading & own)
+    filled = F.max("_content").over(W.partitionBy("document_id", "section"))
+    return d.withColumn("citable", F.when(heading, F.col("_own") | F.coalesce(filled, F.lit(False))).otherwise(F.col("_own"))).drop("_own", "_content")
+
+
+def line(rows: DataFrame) -> Column:
+    """An item as one line for a prompt: fields between pipes, none of them with a pipe or line break, texts whole."""
+    cell = lambda c: F.coalesce(F.nullif(F.translate(t.rupees_shown(c.cast("string")), "|\n", "/ "), F.lit("")), F.lit("-"))
+    names = ["evidence_id", "page", "section", "row_label", "column_label", "tier", "variant", "si_condition"]
+    return F.concat_ws(" | ", *[cell(rows[c]) for c in names], cell(F.array_join(rows["linked"], ",")), cell(rows["text"]))
+
+
+def low_text(pages: DataFrame, words: DataFrame, by: str, least: int = LOW_TEXT_WORDS) -> DataFrame:
+    """Pages with fewer words in their text layer than that, also those with none."""
+    n = words.groupBy(by, "page").agg(F.count("*").alias("words"))
+    return pages.join(n, [by, "page"], "left").withColumn("words", F.coalesce("words", F.lit(0))).where(F.col("words") < least)
+
+
+def checked_name(given: Column) -> Column:
+    """struct<name, code>: a company's name without blanks around it, or the code of the first rule it breaks."""
+    name = F.trim(F.coalesce(given, F.lit("")))
+    code = F.when(name == "", "MISSING_COMPANY_NAME").when(F.length(name) < NAME_LENGTHS[0], "COMPANY_NAME_TOO_SHORT").when(F.length(name) > NAME_LENGTHS[1], "COMPANY_NAME_TOO_LONG")
+    return F.struct(F.when(code.isNull(), name).alias("name"), code.alias("code"))
+
+
+def checked_choice(ids: Column, known: Sequence[str]) -> Column:
+    """The code of the first rule that a choice from the library breaks: known entries, one of them, not more."""
+    chosen = F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (F.trim(x) != "")))
+    return F.when(F.exists(chosen, lambda x: ~x.isin(*known)), "UNKNOWN_POLICY").when(F.size(chosen) == 0, "NO_BUNDLED_POLICY").when(F.size(chosen) > 1, "TOO_MANY_BUNDLED_POLICIES")
