@@ -56,29 +56,43 @@ def corpus(seed, passages=3):
     return docs
 
 
-@pytest.mark.parametrize("contexts", [2000, 5])
-def test_bytes(spark, monkeypatch, contexts):
-    monkeypatch.setattr(suffixdup, "SEGMENT", 1 << 20)
-    docs = corpus(contexts)
+@pytest.mark.parametrize("seed, contexts, segment, block, sampled", [(2000, 2000, 1 << 20, 1 << 20, 64), (5, 5, 1 << 20, 1 << 20, 64), (6, 2000, 256, 1 << 20, 64), (7, 5, 300, 500, 64), (8, 3, 1 << 20, 400, 1)])
+def test_bytes(spark, monkeypatch, seed, contexts, segment, block, sampled):
+    """Few contexts of an anchor in a chunk, short segments with anchors across their borders, small blocks, common anchors."""
+    for name, value in {"CONTEXTS": contexts, "SEGMENT": segment, "BLOCK": block, "SAMPLED": sampled, "COMMON": 3}.items():
+        monkeypatch.setattr(suffixdup, name, value)
+    docs = corpus(seed)
     df = spark.createDataFrame([(i, t, 0, "k") for i, t in docs], SCHEMA).repartition(3)
     out = {r.doc_id: tuple(r)[1:] for r in suffixdup.remove_repeats(df).collect()}
     assert out == brute(docs)
 
 
+def test_anchors_do_not_depend_on_segments(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data, ends = rng.integers(97, 105, 9000).astype(np.uint8), np.array([40, 4000, 4100, 4101, 9000])
+    want = [x.tolist() for x in suffixdup.anchors(data, ends)]
+    for segment in (150, 256, 4096):
+        monkeypatch.setattr(suffixdup, "SEGMENT", segment)
+        assert [x.tolist() for x in suffixdup.anchors(data, ends)] == want
+
+
 def test_spread_anchor():
-    """One anchor with many contexts, resolved in chunks and brought together by digests."""
+    """One anchor with many contexts, resolved in chunks and brought together by digests; the same if it is known as common."""
     import numpy as np
     import pyarrow as pa
 
     n = 7000
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.zeros(n, bool))], names=["k", "context", "doc_id", "at", "sides", "repeat"])
-    out = [r for cut in (batch.slice(a, 900) for a in range(0, n, 900)) for r in [cut]]
-    rows = [r for b in suffixdup._Resolve()(iter(out)) for r in b.to_pylist()]
-    assert len(rows) == n and all(r["hot"] and not r["repeat"] for r in rows)
-    sizes = {}
-    for r in rows:
-        sizes[r["chunk"]] = sizes.get(r["chunk"], 0) + 1
-    assert max(sizes.values()) <= suffixdup.CONTEXTS and len(sizes) >= 4
+    names = ["k", "context", "doc_id", "at", "sides", "repeat", "hot"]
+    for hot in (False, True):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), *[pa.array(np.arange(n))] * 4, pa.array(np.zeros(n, bool)), pa.array(np.full(n, hot))], names=names)
+        rows = [r for b in suffixdup._Resolve(5)(batch.slice(a, 900) for a in range(0, n, 900)) for r in b.to_pylist()]
+        assert len(rows) == n and all(r["hot"] and not r["repeat"] for r in rows)
+        sizes = {}
+        for r in rows:
+            sizes[r["chunk"]] = sizes.get(r["chunk"], 0) + 1
+        assert max(sizes.values()) <= suffixdup.CONTEXTS and len(sizes) >= 4
     held = [(True, i, 0, bytes([i]) * 76 + b"s" * 100) for i in range(3)]
     found = [r for b in suffixdup._Expand().block(held) for r in b.to_pylist()]
     assert [(r["doc_id"], r["n"]) for r in found if r["d1"] is None] == [(1, 1), (2, 1)]

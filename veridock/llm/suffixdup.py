@@ -4,17 +4,21 @@ Each 100-byte string that also starts earlier is found, byte by byte and across
 
 1. Anchors. Of the 77 24-byte strings within any 100 bytes the one of smallest hash is an anchor; equal 100-byte strings
    have equal anchors at equal places. An anchor is one row: its hash, a hash of its context (the bytes of all 100-byte
-   strings that have it) and its place. Anchors with equal context in a batch are settled before the shuffle.
-2. Rows meet by anchor and pass through sorted. Of equal contexts all but the first are repeats as a whole. Contexts that
-   are alone with their anchor, or share neither side of it with another, have nothing that repeats. The rest, mostly the edges of repeated passages, are candidates.
+   strings that have it), hashes of its two sides and its place. Anchors with equal context in a batch are settled before
+   the shuffle.
+2. Rows meet by anchor and pass through sorted. Of equal contexts all but the first are repeats as a whole: they are equal in
+   178 bits of hashes (64 of the anchor, 50 of the context, 32 of either side). Contexts that are alone with their anchor, or
+   share neither side of it with another, have nothing that repeats. The rest, mostly the edges of repeated passages, are
+   candidates. Anchors that a sample of the documents shows to be common are dealt out by anchor and context, so that no
+   task gets one common anchor as a whole, and all their contexts are candidates of a spread anchor.
 3. Candidates' contexts are cut from the texts and go through the interval expansion of ``bwt``, in blocks of bounded
-   size; it finds which of their 100-byte strings are equal, and all but the earliest of each class are repeats. An anchor
-   with very many different contexts is spread over several blocks; the classes these find are then brought together by
-   a digest of their strings.
+   size; it finds which of their 100-byte strings are equal, and all but the earliest of each class are repeats. A spread
+   anchor's contexts lie in several blocks; the classes these find are then brought together by a digest of their strings.
 4. Each document's repeats are united, and its remaining bytes are the result.
 
-Texts are only shuffled for documents that have candidates or repeats; a bitmap of fixed size tells which. Digests decide
-equality in steps 2 and 3 (64 bits within an anchor, 128 bits across blocks).
+Texts are only shuffled for documents that have candidates or repeats; bitmaps of fixed size tell which, and which anchors are
+common. Digests decide equality in step 2 (178 bits) and across blocks in step 3 (128 bits); putting every copy through the
+expansion instead would take several times the processor time, for the same result.
 
 Defined cases: a null text is read as empty; documents shorter than the threshold lose nothing; rows without a doc_id
 come before all others; rows that repeat a doc_id with one text are the same document and are not repeats of each other,
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridock.llm import bwt
-from veridock.llm.common import arrow_batches, table, written
+from veridock.llm.common import arrow_batches, discard, table, written
 from veridock.llm.shingles import _BASE, _BYTE, _INVERSE, mix, powers
 
 LEAST, GRAM = 100, 24
@@ -42,6 +46,8 @@ WINDOW = LEAST - GRAM + 1
 SIDE = (LEAST - GRAM) // 2
 #: Bytes that are hashed at once, contexts of an anchor in one block, bytes of contexts in one block, bits of the bitmap.
 SEGMENT, CONTEXTS, BLOCK, BITS = 1 << 20, 2000, 1 << 20, 1 << 24
+#: One in so many documents is looked at for common anchors, and an anchor with so many places there is one.
+SAMPLED, COMMON = 64, 16
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -64,8 +70,8 @@ def _slide(values: np.ndarray, width: int, of) -> np.ndarray:
 
 
 @cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    return powers(_BASE, SEGMENT + 4 * LEAST), powers(_INVERSE, SEGMENT + 4 * LEAST)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(_BASE, size), powers(_INVERSE, size)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +79,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     that have the anchor cover; its hash holds its reach to the left and right in its low 14 bits. The side hashes are 32 bits each for the anchor with half
     of the other bytes of a string to its left and to its right, 0 where the document does not reach that far."""
     starts = np.concatenate([[0], ends[:-1]])
-    up, down = _powers()
+    up, down = _powers(SEGMENT + 4 * LEAST)
     found = []
     for s in range(0, len(data), SEGMENT):  # anchors from s on, with all strings around them
         e = min(len(data), s + SEGMENT)
@@ -125,21 +131,58 @@ def _place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return data, ends, batch.column("doc_id").to_numpy(), check << 32
 
 
-_ANCHOR = "k long, context long, doc_id long, at long, sides long, repeat boolean"
+_ANCHOR = "k long, context long, doc_id long, at long, sides long, repeat boolean, hot boolean"
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to anchors; those that repeat a context of their batch are marked and dealt out by themselves."""
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to the hashes of their anchors."""
     for batch in batches:
-        data, ends, ids, check = _place(batch)
-        doc, x, gram, context, sides = anchors(data, ends)
-        own, at = ids[doc], check[doc] + x
-        order = np.lexsort((at, own, context, gram))
-        order = order[_heads(gram[order], context[order], own[order], at[order])]  # a repeated row is not its own repeat
-        gram, context, own, at, sides = gram[order], context[order], own[order], at[order], sides[order]
-        repeat = ~_heads(gram, context)
-        k = np.where(repeat, mix(own.view(np.uint64) ^ mix(at.view(np.uint64))), gram)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(context.view(np.int64)), pa.array(own), pa.array(at), pa.array(sides.view(np.int64)), pa.array(repeat)], names=["k", "context", "doc_id", "at", "sides", "repeat"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchors(*flat(batch.column("text")))[2].view(np.int64))], names=["k"])
+
+
+def _inside(bits: bytes, hashed: np.ndarray) -> np.ndarray:
+    """Whether a bitmap has the slots of hashes."""
+    slot = (mix(hashed.view(np.uint64)) % _U(BITS)).astype(np.int64)
+    return ((np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _packed(hashes: DataFrame, column: str) -> bytes:
+    """Hashes as a bitmap of their slots; as many rows as the bitmap has bytes come to no task, and 512 of 4 KB to the driver."""
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = batch.column(column).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique((mix(hashed) % _U(BITS)).astype(np.int64)))], names=["s"])
+
+    return _bits(_mapped(hashes.select(column), slots, "s long"))
+
+
+def _bits(slots: DataFrame) -> bytes:
+    parts = slots.groupBy(F.expr("s div 32768").alias("b")).agg(F.bitmap_construct_agg(F.expr("s % 32768")).alias("m")).collect()
+    out = bytearray(BITS // 8)
+    for r in parts:
+        out[r["b"] * 4096 : r["b"] * 4096 + len(r["m"])] = r["m"]
+    return bytes(out)
+
+
+class _Find:
+    """Texts to anchors; those that repeat a context of their batch are marked and dealt out by themselves, those of common
+    anchors are marked too."""
+
+    def __init__(self, common: bytes):
+        self.common = common
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends, ids, check = _place(batch)
+            doc, x, gram, context, sides = anchors(data, ends)
+            own, at = ids[doc], check[doc] + x
+            order = np.lexsort((at, own, sides, context, gram))
+            order = order[_heads(gram[order], context[order], sides[order], own[order], at[order])]  # a repeated row is not its own repeat
+            gram, context, own, at, sides = gram[order], context[order], own[order], at[order], sides[order]
+            repeat = ~_heads(gram, context, sides)
+            k = np.where(repeat, mix(own.view(np.uint64) ^ mix(at.view(np.uint64))), gram)
+            hot = _inside(self.common, gram) & ~repeat
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(context.view(np.int64)), pa.array(own), pa.array(at), pa.array(sides.view(np.int64)), pa.array(repeat), pa.array(hot)], names=["k", "context", "doc_id", "at", "sides", "repeat", "hot"])
 
 
 _RESOLVED = "doc_id long, at long, context long, k long, sides long, chunk int, hot boolean, repeat boolean"
@@ -156,26 +199,37 @@ def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 class _Resolve:
-    """Anchors sorted by hash, context and place to repeats and candidates; holds one anchor's contexts up to a bound."""
+    """Anchors sorted by hash, context and place to repeats and candidates; holds one anchor's contexts up to a bound. Those of
+    common anchors are dealt into ``chunks`` by their context."""
+
+    def __init__(self, chunks: int = 1):
+        self.chunks = chunks
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, flushed = (None,) * 4, None, 0
+        last, held, flushed = (None,) * 5, None, 0
         for batch in batches:
-            k, context, own, at, sides, repeat = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "context", "doc_id", "at", "sides", "repeat"))
+            k, context, own, at, sides, repeat, hot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "context", "doc_id", "at", "sides", "repeat", "hot"))
             if repeat.any():
                 yield self.rows(own[repeat], at[repeat], context[repeat], k[repeat], sides[repeat], 0, False, True)
-                k, context, own, at, sides = (c[~repeat] for c in (k, context, own, at, sides))
-            once = _heads(k, context, own, at)
-            if len(k) and (k[0], context[0], own[0], at[0]) == last:
+                k, context, own, at, sides, hot = (c[~repeat] for c in (k, context, own, at, sides, hot))
+            once = _heads(k, context, sides, own, at)
+            if len(k) and (k[0], context[0], sides[0], own[0], at[0]) == last:
                 once[0] = False
-            k, context, own, at, sides = (c[once] for c in (k, context, own, at, sides))
+            k, context, own, at, sides, hot = (c[once] for c in (k, context, own, at, sides, hot))
             if not len(k):
                 continue
-            new = _heads(k, context)
-            new[0] = (k[0], context[0]) != last[:2]
-            last = (k[-1], context[-1], own[-1], at[-1])
+            new = _heads(k, context, sides)
+            new[0] = (k[0], context[0], sides[0]) != last[:3]
+            last = (k[-1], context[-1], sides[-1], own[-1], at[-1])
             if not new.all():
                 yield self.rows(own[~new], at[~new], context[~new], k[~new], sides[~new], 0, False, True)
+            spread = new & hot
+            if spread.any():
+                chunk = (mix(context[spread].view(np.uint64)) % _U(self.chunks)).astype(np.int32)
+                yield self.rows(own[spread], at[spread], context[spread], k[spread], sides[spread], chunk, True, False)
+            new &= ~hot
+            if not new.any():
+                continue
             rows = tuple(c[new] for c in (own, at, context, k, sides))
             held = rows if held is None else tuple(np.concatenate(c) for c in zip(held, rows, strict=True))
             if not len(held[3]):
@@ -311,12 +365,18 @@ class _Bitmap:
 
 def _bitmap(places: DataFrame) -> bytes:
     """Which slots documents with ``places`` have: at most 512 rows of 4 KB come to the driver."""
-    slots = places.select("doc_id").distinct().select(_slot().alias("s"))
-    parts = slots.groupBy(F.expr("s div 32768").alias("b")).agg(F.bitmap_construct_agg(F.expr("s % 32768")).alias("m")).collect()
-    out = bytearray(BITS // 8)
-    for r in parts:
-        out[r["b"] * 4096 : r["b"] * 4096 + len(r["m"])] = r["m"]
-    return bytes(out)
+    return _bits(places.select("doc_id").distinct().select(_slot().alias("s")))
+
+
+class _Sharing:
+    """Contexts of spread anchors that share a side with another one, as two bitmaps of sides tell."""
+
+    def __init__(self, left: bytes, right: bytes):
+        self.left, self.right = left, right
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_inside(self.left, batch.column("left").to_numpy()) | _inside(self.right, batch.column("right").to_numpy())))
 
 
 def _slot():
@@ -367,8 +427,11 @@ def _mapped(df: DataFrame, work, schema: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every document."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    found = _mapped(rows, _find, _ANCHOR).repartition("k").sortWithinPartitions("k", "context", "doc_id", "at")
-    resolved = written(_mapped(found, _Resolve(), _RESOLVED), "resolved")
+    common = _mapped(rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), _grams, "k long").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    chunks = max(1, rows.count() // (3 * CONTEXTS))
+    dealt = F.when(F.col("hot"), F.xxhash64("k", "context")).otherwise(F.col("k"))
+    found = _mapped(rows, _Find(_packed(common, "k")), _ANCHOR).repartition(dealt).sortWithinPartitions("k", "context", "sides", "doc_id", "at")
+    resolved = written(_mapped(found, _Resolve(chunks), _RESOLVED), "resolved")
     # a repeated context: each of its starts is one
     whole = resolved.where("repeat").select("doc_id", (F.col("at") - F.expr("shiftright(context, 7) & 127")).alias("start"), F.expr("(shiftright(context, 7) & 127) + (context & 127) - 99").cast("long").alias("n"))
 
@@ -376,11 +439,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     checked = F.crc32("text").bitwiseAND(F.lit(0x7FFFFFFF))
     kept = "doc_id long, text binary, slot long"
     candidates = resolved.where("not repeat and not hot")
-    spread = resolved.where("hot").withColumn("left", F.expr("shiftrightunsigned(sides, 32)")).withColumn("right", F.expr("sides & 4294967295"))
-    for side in ("left", "right"):  # as for other anchors, but their rows never meet in one task
-        many = spread.where(F.col(side) != 0).groupBy("k", side).agg((F.count("*") > 1).alias(f"by_{side}")).where(f"by_{side}")
-        spread = spread.join(many, ["k", side], "left")
-    candidates = written(candidates.unionByName(spread.where("by_left or by_right").select(candidates.columns)), "candidates")
+    # a side of a spread anchor counts with the anchor, and only if it is there; 0 stands for none
+    side = lambda c: F.when(c == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("k", c))
+    spread = resolved.where("hot").select("*", side(F.expr("shiftrightunsigned(sides, 32)")).alias("left"), side(F.expr("sides & 4294967295")).alias("right"))
+    shared = [_packed(spread.where(F.col(c) != 0).groupBy(c).agg(F.count("*").alias("n")).where("n > 1"), c) for c in ("left", "right")]
+    chosen = _mapped(spread.select(*candidates.columns, "left", "right"), _Sharing(*shared), _RESOLVED + ", left long, right long").select(candidates.columns)
+    candidates = written(candidates.unionByName(chosen), "candidates")
     asked = candidates.groupBy("doc_id", F.expr("shiftright(at, 32)").alias("check")).agg(F.collect_list(F.struct("at", "context", "k", "chunk", "hot")).alias("found"))
     some = _mapped(slotted, _Bitmap(_bitmap(candidates), True), kept).select("doc_id", "text", checked.alias("check")).dropDuplicates(["doc_id", "check"])
     contexts = _mapped(some.join(asked, ["doc_id", "check"]).select("doc_id", "check", "text", "found"), _cut, _CONTEXT)
@@ -390,6 +454,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = across.join(first, ["d1", "d2"]).where("struct(doc_id, start) > first").select("doc_id", "start", F.lit(1).cast("long").alias("n"))
     places = written(whole.unionByName(expanded.where("d1 is null").select("doc_id", "start", "n")).unionByName(more), "places")
 
+    discard(resolved, candidates, expanded)
     bits = _bitmap(places)
     schema = _REST + ", kept binary" * with_text
     runs = places.groupBy("doc_id", F.expr("shiftright(start, 32)").alias("check")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
