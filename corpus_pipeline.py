@@ -9,6 +9,13 @@ Each stage takes the documents its predecessor kept and decides on all of them:
 4. ``source_mixing`` brings the domains that the labels table teaches to their target shares of tokens: documents are
    left out or repeated by their fitted rates.
 5. ``best_fit_packing`` tokenises what is left and places every piece in a sequence.
+
+Defined cases, for all stages: documents with a null text, or one without a letter, have no language and go in stage 1; texts
+of any length are read whole; of rows that repeat a doc_id, and of texts that are the same or near copies, one document
+stays after stage 2 (the smallest id, of one id the text that comes first); rows without a doc_id are never compared, and
+stay, until packing, which carries a null id along; ties of rates and places are broken by hashes of id and text, so a rerun
+gives the same rows; an empty table passes all stages and gives an empty result; with no usable label every document stays
+once in stage 4. Further columns are carried through stages 1 to 4 whatever their names; ``n_chars`` follows the redacted text.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veridock.llm import langid, mixing, neardup, packing, secrets
-from veridock.llm.common import table, written
+from veridock.llm.common import discard, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+    return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage keeps is written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = written(docs, name)
+        out = stage(spark, docs, sf_dir)
+        if number == len(STAGES):
+            return out
+        docs, before = written(out, name), docs
+        discard(before)
     return docs
