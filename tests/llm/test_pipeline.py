@@ -27,5 +27,59 @@ def test_stages(spark):
     assert ids["source_mixing"] <= ids["secret_scan"] and ids["best_fit_packing"] == ids["source_mixing"]
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept_row string, tokens int, row string, gone string, p0 double"
+
+
+def odd_rows():
+    """Null, empty, wordless, repeated, near-copied and very long texts, ids that are null or repeat, columns that clash."""
+    import random
+
+    rng = random.Random(5)
+    words = {"en": "the of and to house water they which people other time".split(), "de": "der und die nicht haus wasser auch welche leute andere zeit".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) + str(rng.randrange(3)) for _ in range(n))
+    rows = [(i, text(lang, 60), lang) for i, lang in enumerate(["en", "de"] * 15)]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "123 !", None), (103, rows[0][1], "en"), (104, rows[1][1] + " ende", "de"), (105, text("en", 30_000), "en"), (106, rows[2][1] + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', None)]
+    rows += [(3, text("en", 50), "en"), rows[4], (None, text("de", 40), "de"), (None, text("de", 40), None)]
+    return [(i, t, lang, "s", len(t or ""), "a", 1, "b", "c", 0.5) for i, t, lang in rows]
+
+
+def stages(spark, folder, docs, labels):
+    """What each stage keeps of ``docs``."""
+    labels.write.parquet(f"{folder}/labels.parquet")
+    kept = []
+    for name, stage in c.STAGES:
+        out = written(stage(spark, docs, str(folder)), name)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+        kept.append(out.collect())
+        docs = out
+    return kept
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_odd_rows(spark, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 0), (5, None, None), (6, 0, 1)], LABELS)
+    lang, near, secret, mixed, packed = stages(spark, tmp_path, docs, labels)
+    ids = lambda rows: {r.doc_id for r in rows}
+    assert ids(lang).isdisjoint({100, 101, 102}) and {103, 104, 105, None} <= ids(lang)
+    assert ids(near).isdisjoint({103, 104}) and len([r for r in near if r.doc_id == 3]) == 1 and len([r for r in near if r.doc_id is None]) == 2
+    assert [r.n_chars for r in secret] == [len(r.text) for r in secret] and not any("04dbebab" in r.text for r in secret)
+    assert ids(mixed) <= ids(secret) and all((r.kept_row, r.row, r.gone, r.p0) == ("a", "b", "c", 0.5) for r in mixed)
+    assert ids(packed) == ids(mixed)
+
+
+def test_without_labels(spark, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    kept = stages(spark, tmp_path, docs, spark.createDataFrame([], LABELS))
+    assert sorted(str(r.doc_id) for r in kept[3]) == sorted(str(r.doc_id) for r in kept[2])
+
+
+def test_empty_table(spark, tmp_path):
+    assert [len(k) for k in stages(spark, tmp_path, spark.createDataFrame([], ODD), spark.createDataFrame([], LABELS))] == [0] * 5
+
+
 def test_run(spark):
     assert c.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
