@@ -143,6 +143,19 @@ def not_stated_verdicts(claims: DataFrame, cells: DataFrame, aliases: dict[str,
     return d.select("claim_id", _settled(F.lit("VERIFIED"), failed).alias("status"), failed.alias("failed"))
 
 
+def with_quoted(said: DataFrame) -> DataFrame:
+    """Quotes (quote, shown, unmarked, section) with whether their item has them, as ``textnorm.quoted_in_item`` says; every
+    normal form is a column, and so taken once."""
+    forms = said.withColumns({
+        "_plain": t.normalised("quote"), "_kept": t.normalised("quote", keep_paren=True), "_t": t.normalised("shown"), "_u": t.normalised("unmarked"), "_b": t.normalised(F.concat_ws(" ", "section", "shown")),
+        "_goes_on": F.col("shown").rlike(r"^\p{Ll}") & ~F.coalesce("section", F.lit("")).isin(*t.APART),
+    })
+    missing = lambda c: F.exists(F.regexp_extract_all("quote", F.lit(r"(\(\d{1,2}\))")), lambda m: ~F.contains(F.col(c), m))
+    wanted = lambda c: F.when(missing(c), F.col("_kept")).otherwise(F.col("_plain"))
+    stands = t.bounded_in(wanted("shown"), "_t") | t.bounded_in(wanted("unmarked"), "_u") | (F.col("_goes_on") & t.bounded_in(wanted("shown"), "_b"))
+    return forms.withColumn("stands", stands).drop("_plain", "_kept", "_t", "_u", "_b", "_goes_on")
+
+
 def policy_verdicts(claims: DataFrame, verdicts: DataFrame, evidence: DataFrame, aliases: dict[str, list[str]], cells: DataFrame | None = None, policies: DataFrame | None = None, known: tp.Terms = (), names: tuple[str, ...] = ()) -> DataFrame:
     """Audit of statements about a policy: claim_id, status, llm_status, number_check, qualifier, failed.
 
@@ -174,8 +187,7 @@ def policy_verdicts(claims: DataFrame, verdicts: DataFrame, evidence: DataFrame,
     strangers = cited.groupBy("claim_id").agg(F.bool_or(foreign).alias("foreign"))
     said = v.select("claim_id", "policy_id", F.explode("quotes").alias("x")).select("claim_id", "policy_id", "x.evidence_id", "x.quote")
     said = said.join(good.select("claim_id", "evidence_id", "shown", "unmarked", "section"), ["claim_id", "evidence_id"], "left")
-    stands = F.col("shown").isNotNull() & F.coalesce(t.quoted_in_item("quote", F.coalesce("shown", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce("unmarked", F.lit(""))), F.lit(False))
-    by_quote = said.groupBy("claim_id").agg(F.bool_and(stands).alias("quoted"))
+    by_quote = with_quoted(said).groupBy("claim_id").agg(F.bool_and(F.col("shown").isNotNull() & F.coalesce("stands", F.lit(False))).alias("quoted"))
 
     d = v.join(by_item, "claim_id", "left").join(strangers, "claim_id", "left").join(by_quote, "claim_id", "left").join(notes, "claim_id", "left")
     kind = evidence.schema["stated"].dataType.simpleString()
@@ -189,38 +201,37 @@ def policy_verdicts(claims: DataFrame, verdicts: DataFrame, evidence: DataFrame,
         d = d.join(absence_checks(cells_of(c, cells)), "claim_id", "left")
     has_cell, caps, via = (F.coalesce("has_cell", F.lit(False)), _array("absence_caps"), F.coalesce("via_addon", F.lit(False))) if cells is not None else (F.lit(False), F.array().cast(STRINGS), F.lit(False))
 
-    supported = F.col("status").isin(*GOOD)
-    check = number_status(F.col("claimed"), F.col("stated"), F.col("topics"))
-    others = F.array_remove(t.names(aliases, t.normalised(text)), policy)
     corpus = F.concat("bodies", "notes")
-    absolute = p.overstatements(text, t.normalised(F.array_join(corpus, " ")))
-    hedges = F.filter(corpus, lambda x: x.rlike(p.HEDGE))
-    hedge = F.when((F.size(absolute) > 0) & (F.size(hedges) > 0), p.best_sentence(F.get(hedges, F.lit(0)), text))
     wanted = F.trim(F.coalesce("required_qualifier", F.lit("")))
-    misstated = F.when(wanted != "", F.size(q.unstated(F.col("qualified"), F.concat("stated", "note_stated"))) > 0).otherwise(False)
-    of_notes = F.array_compact(F.transform("notes", lambda n: p.missing_restriction(n, text, F.col("scope"))))
-    absent = p.says_absence(text) & ~p.says_not_stated(text)
+    d = d.withColumns({
+        "check": number_status(F.col("claimed"), F.col("stated"), F.col("topics")), "named": t.names(aliases, t.normalised(text)), "corpus": t.normalised(F.array_join(corpus, " ")),
+        "hedges": F.filter(corpus, lambda x: x.rlike(p.HEDGE)), "wanted": wanted, "misstated": (wanted != "") & (F.size(q.unstated(F.col("qualified"), F.concat("stated", "note_stated"))) > 0),
+        "of_notes": F.when(wanted == "", F.array_compact(F.transform("notes", lambda n: p.missing_restriction(n, text, F.col("scope"))))).otherwise(F.array().cast(STRINGS)),
+        "loose": F.size(unbound(F.col("claimed"), F.col("stated"))) > 0, "worst": F.array_max(F.transform(caps, r.severity)), "absent": p.says_absence(text) & ~p.says_not_stated(text),
+    })
+    d = d.withColumn("absolute", p.overstatements(text, F.col("corpus")))
+    d = d.withColumn("hedge", F.when((F.size("absolute") > 0) & (F.size("hedges") > 0), p.best_sentence(F.get(F.col("hedges"), F.lit(0)), text)))
+    supported, check, absent, misstated = F.col("status").isin(*GOOD), F.col("check"), F.col("absent"), F.col("misstated")
+    others, worst, given = F.array_remove("named", policy), F.col("worst"), F.col("wanted") != ""
     parts = F.concat(
-        F.array_compact(F.array(hedge)),
+        F.array_compact(F.array("hedge")),
         structured_qualifiers(F.col("scope"), F.col("scope_topics"), F.col("item_variants"), F.col("all_variants"), F.col("tiers"), F.col("conditions"), F.col("ranges")),
-        F.when((wanted != "") & ~misstated, F.array(wanted)).when(wanted == "", of_notes).otherwise(F.array().cast(STRINGS)),
+        F.when(given & ~misstated, F.array("wanted")).otherwise(F.col("of_notes")),
         F.array_compact(F.array(F.when(absent & via & ~text.rlike(p.ADDON), ADDON_TEXT))),
     )
     qualifier = F.array_join(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(t.rupees_shown(x))), lambda x: x != "")), "; ")
     money = F.exists("claimed", lambda n: n["unit"] == "INR")
     priced = F.coalesce(F.col("claim_type") == "POLICY_PRICING", F.lit(False)) | (text.rlike(p.PRICE_WORD) & money)
-    compared = (F.size(t.names(aliases, t.normalised(text))) >= 2) | text.rlike(p.COMPARISON)
-    explained = p.priced_in_context(text) | ((wanted != "") & ~misstated & p.priced_in_context(F.concat_ws(" ", text, wanted)))
-    loose = F.size(unbound(F.col("claimed"), F.col("stated"))) > 0
+    compared = (F.size("named") >= 2) | text.rlike(p.COMPARISON)
+    explained = p.priced_in_context(text) | (given & ~misstated & p.priced_in_context(F.concat_ws(" ", text, "wanted")))
     apart = ~F.arrays_overlap("topics", "item_topics")
-    worst = F.array_max(F.transform(caps, r.severity))
     failed = _failed({
         "ownership": (F.coalesce("foreign", F.lit(False)) | (supported & (F.col("n_own") == 0)), "UNSUPPORTED"),
         "quotes": (supported & (F.col("n_own") > 0) & ~F.coalesce("quoted", F.lit(False)), "NEEDS_REVIEW"),
         "numbers": (check.isin("FAIL_CONTRADICTED", "FAIL_MISSING"), F.when(check == "FAIL_CONTRADICTED", "CONTRADICTED").otherwise("UNSUPPORTED")),
         "policy_name": (F.size(others) > 0, "UNSUPPORTED"),
-        "topic_anchor": ((F.size("topics") > 0) & (F.col("n_own") > 0) & (apart | loose), "UNSUPPORTED"),
-        "absolute": (F.size(absolute) > 0, "NEEDS_REVIEW"),
+        "topic_anchor": ((F.size("topics") > 0) & (F.col("n_own") > 0) & (apart | F.col("loose")), "UNSUPPORTED"),
+        "absolute": (F.size("absolute") > 0, "NEEDS_REVIEW"),
         "qualifier": (misstated, "NEEDS_REVIEW"),
         "absence": (absent & (~has_cell | (worst > 0)) if cells is not None else F.lit(False), F.when(~has_cell, "NEEDS_REVIEW").otherwise(F.element_at(F.array(*[F.lit(s) for s in r.SEVERITY]), worst + 1))),
         "pricing": (priced & (compared | ~explained), F.when(compared, "UNSUPPORTED").otherwise("NEEDS_REVIEW")),

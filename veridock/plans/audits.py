@@ -10,7 +10,8 @@ from veridock.operators import audit as au
 from veridock.operators import claims as cl
 from veridock.operators import rules as r
 from veridock.plans.golden import Cases, back, bare, golden, joined
-from veridock.plans.readings import ALIASES, EXPOSURES, TERMS
+from veridock.plans.readings import ALIASES, TERMS
+from veridock.session import stored
 
 NAMES = ("golden shield", "bluecare")
 EVIDENCE = "evidence_id string, document_id string, citable boolean, item_type string, section string, row_label string, column_label string, text string, tier string, variant string, si_condition string, markers array<string>, linked array<string>"
@@ -66,7 +67,7 @@ POLICY = [
 
 def read_items(g: Cases):
     items = g.table(EVIDENCE, ITEMS, "evidence_id linked")
-    return au.with_referrers(au.read_evidence(items, TERMS, NAMES))
+    return stored(au.with_referrers(stored(au.read_evidence(items, TERMS, NAMES))))
 
 
 @golden("claim_id string, status string, number_check string, qualifier string, failed string", [(x[0], *x[9:]) for x in POLICY])

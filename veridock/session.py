@@ -49,6 +49,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/veridock/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table below the shared folder and read it back: what was read from texts once is not read again by every plan
+    that uses it, and plans stay short."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan dealt out over all cores where it has fewer tasks than that, as expensive expressions over a small file would all
     run in one. Plans with a shuffle of their own, and large tables, stay as they are."""
