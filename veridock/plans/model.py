@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veridock.functions import hashing as h
 from veridock.functions import predicates as p
+from veridock.functions import prompts
 from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
 from veridock.operators import audit as au
@@ -514,3 +515,25 @@ def replaced_table(g):
     sinks.write_table(g.runs.withColumn("value", F.lit("old")), path)
     sinks.write_table(g.runs.withColumn("value", F.lit("new")), path)
     return g.spark.read.parquet(path)
+
+
+_TEMPLATES = [("Audit {{claims}} of {{ policy }}; {{claims}}", {"claims": "a {{policy}}", "policy": "P"}, "Audit a {{policy}} of P; a {{policy}}", "", ""), ("For {{a}} and {{b}}", {"a": "x", "c": "y", "d": "z"}, None, "b", "c|d"), ("No mark, {b}", {}, "No mark, {b}", "", "")]
+
+
+@golden("k long, text string, missing string, unused string", [(i, *x[2:]) for i, x in enumerate(_TEMPLATES)])
+def filled_templates(g):
+    """Templates filled in one pass; missing and unused variables are told: C7."""
+    rows = g.table("k int, template string, variables map<string,string>", [(i, *x[:2]) for i, x in enumerate(_TEMPLATES)]).withColumn("f", prompts.filled(F.col("template"), F.col("variables")))
+    return rows.select("run", "k", "f.text", joined("f.missing").alias("missing"), joined("f.unused").alias("unused"))
+
+
+_SCHEMAS = [
+    ({"type": "object", "additionalProperties": False, "default": 1, "properties": {"const": {"type": "string", "const": "x", "maxLength": 3}, "n": {"anyOf": [{"type": "integer", "exclusiveMinimum": 0}, {"type": "null"}]}}, "required": ["const"]}, {"type": "object", "additionalProperties": False, "properties": {"const": {"enum": ["x"], "type": "string"}, "n": {"anyOf": [{"type": "integer"}, {"type": "null"}]}}, "required": ["const"]}),
+    ({"$defs": {"pattern": {"pattern": "a", "enum": [{"pattern": 1}], "const": 2}}, "items": {"$ref": "#/$defs/pattern"}}, {"$defs": {"pattern": {"enum": [{"pattern": 1}]}}, "items": {"$ref": "#/$defs/pattern"}}),
+]
+
+
+@golden("k long, schema string", [(i, json.dumps(x[1])) for i, x in enumerate(_SCHEMAS)])
+def reduced_schemas(g):
+    """JSON schemas with the keys that a model accepts: C6."""
+    return g.table("k int, schema string", [(i, json.dumps(x[0])) for i, x in enumerate(_SCHEMAS)]).select("run", "k", prompts.reduced_schema(F.col("schema")).alias("schema"))
