@@ -17,6 +17,8 @@ from veridock.plans.registry import query
 from veridock.session import table
 
 MARK = ":"
+#: Names of the queries of cases.
+CASES: set[str] = set()
 _TYPES = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -85,6 +87,7 @@ def golden(columns: str, expected: Sequence[tuple], name: str | None = None):
             return f(Cases(spark, sf_dir)).select("run", *[F.col(n).cast(t).alias(n) for n, t in fields])
 
         run.__name__, run.__doc__ = name or f.__name__, f.__doc__
+        CASES.add(run.__name__)
         return query(sql)(run)
 
     return add
