@@ -402,7 +402,7 @@ def qualifier_shown(policy_id: Column, wanted: Column, shown: Column, longest: i
     return F.coalesce(policy_id.isNotNull() & (wanted != "") & (F.length(wanted) <= longest) & ~wanted.rlike(r"`\s?\d") & (shown == wanted), F.lit(False))
 
 
-#: (policy, pattern, message): wordings that a brochure does not bear out.
+# Fixed values: (policy, pattern, message) of wordings that a brochure does not bear out.
 WORDING_RULES = (
     ("POL-NIVA", r"(?i)\bday[- ]?care\b", "write the hours of hospitalisation, not day care"),
     ("POL-CARE", r"(?i)\b\d+\s*(?:healthy\s*)?days?\b[^.;]{0,20}\b(?:or more|at least)\b|\b(?:at least|or more)\b[^.;]{0,20}\b\d+\s*(?:healthy\s*)?days?\b", "give the days as the grid has them"),
