@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridock.llm import bwt
-from veridock.llm.common import arrow_batches, discard, table, written
+from veridock.llm.common import arrow_batches, discard, table, tidy, written
 from veridock.llm.shingles import _BASE, _BYTE, _INVERSE, mix, powers
 
 LEAST, GRAM = 100, 24
@@ -46,8 +46,9 @@ WINDOW = LEAST - GRAM + 1
 SIDE = (LEAST - GRAM) // 2
 #: Bytes that are hashed at once, contexts of an anchor in one block, bytes of contexts in one block, bits of the bitmap.
 SEGMENT, CONTEXTS, BLOCK, BITS = 1 << 20, 2000, 1 << 20, 1 << 24
-#: One in so many documents is looked at for common anchors, and an anchor with so many places there is one.
-SAMPLED, COMMON = 64, 16
+#: One in so many documents is looked at for common anchors: those with more than twice ``CONTEXTS`` different contexts, by what
+#: these documents have of them.
+SAMPLED = 64
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -135,9 +136,10 @@ _ANCHOR = "k long, context long, doc_id long, at long, sides long, repeat boolea
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to the hashes of their anchors."""
+    """Texts to the hashes of their anchors and contexts."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(anchors(*flat(batch.column("text")))[2].view(np.int64))], names=["k"])
+        _, _, gram, context, _ = anchors(*flat(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=["k", "context"])
 
 
 def _inside(bits: bytes, hashed: np.ndarray) -> np.ndarray:
@@ -427,7 +429,8 @@ def _mapped(df: DataFrame, work, schema: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every document."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    common = _mapped(rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), _grams, "k long").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    looked_at = _mapped(rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), _grams, "k long, context long")
+    common = looked_at.distinct().groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CONTEXTS / SAMPLED)
     chunks = max(1, rows.count() // (3 * CONTEXTS))
     dealt = F.when(F.col("hot"), F.xxhash64("k", "context")).otherwise(F.col("k"))
     found = _mapped(rows, _Find(_packed(common, "k")), _ANCHOR).repartition(dealt).sortWithinPartitions("k", "context", "sides", "doc_id", "at")
@@ -455,6 +458,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = written(whole.unionByName(expanded.where("d1 is null").select("doc_id", "start", "n")).unionByName(more), "places")
 
     discard(resolved, candidates, expanded)
+    tidy(docs.sparkSession)
     bits = _bitmap(places)
     schema = _REST + ", kept binary" * with_text
     runs = places.groupBy("doc_id", F.expr("shiftright(start, 32)").alias("check")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
