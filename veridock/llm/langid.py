@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veridock.llm.common import arrow_map, id_and_text, table
+from veridock.llm.common import arrow_map, id_and_text, table, tidy
 
 #: Bytes of a language's dictionary, compression level and bytes of the blocks that are compressed on their own.
 DICTIONARY_BYTES = 131_072
@@ -90,15 +90,14 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, pieces: int = PIECES) -> Classifier:
-    """Dictionaries for all languages of the labelled rows. Of each language ``sample_rows`` rows are read in whole, cut into
-    pieces, and ``pieces`` of these are learned from; what comes to the driver is bounded by languages x pieces. Hashes
-    choose, so that reruns learn the same."""
+    """Dictionaries for all languages of the labelled rows. Of each language about ``sample_rows`` rows are drawn by a hash and
+    read in whole, cut into pieces, and ``pieces`` of these, again by a hash, are learned from. So what any task or the
+    driver gets is bounded by the languages, not by their rows, and reruns learn the same; only the number of rows of each
+    language, one row a language, is broadcast."""
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    draw = F.xxhash64(F.lit(17), "doc_id", "text")
-    # texts stay where they are until the rows are chosen: only their keys are ranked
-    keys = rows.select("lang", "doc_id", draw.alias("draw"))
-    chosen = keys.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("n") <= sample_rows).select("lang", "draw").distinct()
-    texts = rows.withColumn("draw", draw).join(chosen, ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"])
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    drawn = rows.withColumn("draw", F.xxhash64(F.lit(17), "doc_id", "text")).join(F.broadcast(counts), "lang")
+    texts = drawn.where(F.pmod("draw", F.lit(1 << 40)) < F.lit(float(sample_rows) * (1 << 40)) / F.col("n")).dropDuplicates(["lang", "draw"])
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PIECE_CHARS))
     cut = texts.select("lang", "draw", F.posexplode(F.transform(starts, lambda a: F.substring(F.col("text"), a + 1, F.lit(PIECE_CHARS)))).alias("at", "piece")).where(F.col("piece").rlike(r"\p{L}"))
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(19), "draw", "at"), "draw", "at")
@@ -106,6 +105,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     learned: dict[str, list[tuple[int, bytes]]] = {}
     for r in best.toLocalIterator():
         learned.setdefault(r["lang"], []).append((r["n"], letters(r["piece"])))
+    tidy(labelled.sparkSession)
     most = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(learned)))
     return Classifier({lang: b"".join(x for _, x in sorted(parts))[:most] for lang, parts in learned.items()})
 
