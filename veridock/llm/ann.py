@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from veridock.llm.common import arrow_map, discard, table, written
@@ -39,8 +40,8 @@ K = 10
 #: Trees, points of a leaf that depth aims at, deepest level, and points that the forest is fitted on.
 TREES, LEAF, DEPTH, SAMPLE = 8, 256, 11, 16_384
 #: Points that the leaves given to a query hold: WANTED * n ** GROWTH. On points spread evenly over a sphere of 64 dimensions,
-#: the hardest case, recall is 0.96 or more at 2,000, 10,000 and 51,000 points.
-WANTED, GROWTH = 10.0, 0.75
+#: the hardest case, recall is 0.97 at 2,000, 10,000 and 51,000 points.
+WANTED, GROWTH = 7.5, 0.8
 #: Points and queries of a cell: a matrix of at most 32 MB.
 CELL_POINTS, CELL_QUERIES = 4096, 1024
 
@@ -116,43 +117,43 @@ def _by_length(vectors: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndar
 class _Route:
     """Points to their leaves."""
 
-    def __init__(self, forests: dict[int, Forest]):
-        self.forests = forests
+    def __init__(self, forests: dict[int, Forest], kind: str):
+        self.forests, self.kind = forests, kind
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, rows, points in _by_length(batch.column("v")):
                 leaves = self.forests[dim].route(points)
                 ids = batch.column("ids").take(pa.array(rows))
-                columns = [pa.array(np.full(len(rows), dim, np.int32)), ids, pa.array([p.tobytes() for p in points.astype("<f8")], pa.binary()), pa.array(leaves.tolist(), pa.list_(pa.int32()))]
+                columns = [pa.array(np.full(len(rows), dim, np.int32)), ids, pa.array([p.tobytes() for p in points.astype(self.kind)], pa.binary()), pa.array(leaves.tolist(), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["dim", "ids", "v", "leaves"])
 
 
 class _Walk:
     """Queries to the leaves that they look into."""
 
-    def __init__(self, forests: dict[int, Forest], sizes: dict[int, np.ndarray]):
-        self.forests, self.sizes = forests, sizes
+    def __init__(self, forests: dict[int, Forest], sizes: dict[int, np.ndarray], kind: str):
+        self.forests, self.sizes, self.kind = forests, sizes, kind
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, rows, queries in _by_length(batch.column("v")):
                 leaves = [self.forests[dim].walk(q, self.sizes[dim]) for q in queries]
-                columns = [pa.array(np.full(len(rows), dim, np.int32)), batch.column("vec_id").take(pa.array(rows)), pa.array([q.tobytes() for q in queries.astype("<f8")], pa.binary()), pa.array(leaves, pa.list_(pa.int32()))]
+                columns = [pa.array(np.full(len(rows), dim, np.int32)), batch.column("vec_id").take(pa.array(rows)), pa.array([q.tobytes() for q in queries.astype(self.kind)], pa.binary()), pa.array(leaves, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["dim", "query_id", "v", "leaves"])
 
 
 class Cell:
     """Queries and points of a cell to the k nearest ids of each query."""
 
-    def __init__(self, k: int = K):
-        self.k = k
+    def __init__(self, k: int = K, kind: str = "<f8"):
+        self.k, self.kind = k, kind
 
     def __call__(self, queries: pa.Table, points: pa.Table) -> pa.Table:
         asked, ids = queries.column("query_id").to_pylist(), points.column("ids").to_pylist()
         found: list[tuple[int, int, float]] = []
         if asked and ids:
-            q, p = (np.frombuffer(b"".join(t.column("v").to_pylist()), "<f8").reshape(len(t), -1) for t in (queries, points))
+            q, p = (np.frombuffer(b"".join(t.column("v").to_pylist()), self.kind).reshape(len(t), -1).astype(np.float64) for t in (queries, points))
             found = [(a, i, s) for a, near in zip(asked, self.nearest(asked, q, ids, p), strict=True) for s, i in near]
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
@@ -192,14 +193,16 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, id_col: str = "
     """query_id, rank, vec_id, score (Euclidean distance): the k nearest rows found for each query but itself.
     ``is_query`` is a condition on ``vec_id``."""
     rows = usable(embeddings, id_col, vector_col, zero_too=False)
+    held = embeddings.schema[vector_col].dataType
+    kind = "<f4" if isinstance(held, T.ArrayType) and isinstance(held.elementType, T.FloatType) else "<f8"  # vectors travel as they are held
     place = F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))
     points = written(rows.withColumn("n", place).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "points")
     forests = _fitted(points)
-    routed = written(arrow_map(points.select("ids", "v"), _Route(forests), _ROUTED), "routed")
+    routed = written(arrow_map(points.select("ids", "v"), _Route(forests, kind), _ROUTED), "routed")
     sizes = {d: np.zeros(TREES << f.depth, np.int64) for d, f in forests.items()}
     for r in routed.select("dim", F.explode("leaves").alias("leaf")).groupBy("dim", "leaf").agg(F.count("*").alias("n")).collect():
         sizes[r["dim"]][r["leaf"]] = r["n"]
-    walked = written(arrow_map(rows.where(is_query), _Walk(forests, sizes), _WALKED), "walked")
+    walked = written(arrow_map(rows.where(is_query), _Walk(forests, sizes, kind), _WALKED), "walked")
     discard(points)
 
     # cells: a leaf's points in so many parts, its queries in so many
@@ -212,7 +215,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, id_col: str = "
     x = x.select("dim", "leaf", F.pmod(F.xxhash64("v"), "ps").cast("int").alias("p"), upto("qs").alias("q"), "ids", "v")
     y = walked.select("dim", "query_id", "v", F.explode("leaves").alias("leaf")).join(parts, ["dim", "leaf"])
     y = y.select("dim", "leaf", F.pmod(F.xxhash64("query_id"), "qs").cast("int").alias("q"), upto("ps").alias("p"), "query_id", "v")
-    work = Cell(k)
+    work = Cell(k, kind)
 
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
         return work(queries, points)
