@@ -60,6 +60,12 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect what finished jobs left: Spark drops shuffle files and broadcasts, on all nodes, only once their
+    handles are collected, which a driver that is not short of heap may put off for long."""
+    spark._jvm.System.gc()
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the key and the text under fixed names, so that no other column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

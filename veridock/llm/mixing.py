@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridock.llm.common import id_and_text, table, written
+from veridock.llm.common import id_and_text, table, tidy, written
 
 #: Labelled rows that the classifier is fitted on at most, and words of each domain that it counts.
 SAMPLE_ROWS, WORDS = 6000, 64
@@ -177,6 +177,7 @@ def sampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_
     scored = written(predict(docs, model, id_col, text_col, keep_row=True), "posteriors")
     whole = sum(targets.values()) or 1.0
     rate = rates(scored, [targets.get(d, 0.0) / whole for d in model.domains], iterations, tolerance)
+    tidy(docs.sparkSession)
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(f"kept_row.`{id_col}`"), F.col(f"kept_row.`{text_col}`")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(rate + draw).cast("int")
     return scored.select("kept_row", times.alias("times")).where("times > 0").select("kept_row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("kept_row.*")

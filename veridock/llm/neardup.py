@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veridock.llm import shingles as sh
-from veridock.llm.common import arrow_map, discard, id_and_text, table, written
+from veridock.llm.common import arrow_map, discard, id_and_text, table, tidy, written
 from veridock.llm.graph import components
 
 THRESHOLD = 0.8
@@ -269,6 +269,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         links = links.unionByName(rest).distinct()
         labels = components(links)
     discard(*used)
+    tidy(docs.sparkSession)
 
     degree = links.select(F.col("a").alias("exact_id")).unionByName(links.select(F.col("b").alias("exact_id"))).groupBy("exact_id").agg(F.count("*").alias("n_links"))
     facts = groups.where("n > 1").select("c1", "c2", "exact_id")
