@@ -73,7 +73,8 @@ def fit(docs: DataFrame, text_col: str = "text", words: int = IDENTIFIERS) -> by
     then ``CODE``. Counted over all documents with partial aggregation; the dictionary's words alone reach the driver."""
     found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(_IDENTIFIER)))).alias("w"))
     counts = found.groupBy("w").agg(F.count("*").alias("n"))
-    best = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(words).collect()]
+    # a last shuffle, so that the best of all partitions are brought together in a task and not on the driver
+    best = [r["w"] for r in sorted(counts.orderBy(F.desc("n"), "w").limit(words).repartition(1).collect(), key=lambda r: (-r["n"], r["w"]))]
     tidy(docs.sparkSession)
     return " ".join([*best[::-1], ""]).encode() + CODE
 
