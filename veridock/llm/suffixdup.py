@@ -46,9 +46,9 @@ WINDOW = LEAST - GRAM + 1
 SIDE = (LEAST - GRAM) // 2
 #: Bytes that are hashed at once, contexts of an anchor in one block, bytes of contexts in one block, bits of the bitmap.
 SEGMENT, CONTEXTS, BLOCK, BITS = 1 << 20, 2000, 1 << 20, 1 << 24
-#: One in so many documents is looked at for common anchors: those with more than twice ``CONTEXTS`` different contexts, by what
-#: these documents have of them.
-SAMPLED = 64
+#: One in so many documents is looked at for common anchors: those with more than ``SPREAD`` times ``CONTEXTS`` different contexts,
+#: by what these documents have of them.
+SAMPLED, SPREAD = 64, 25
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -430,7 +430,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every document."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     looked_at = _mapped(rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), _grams, "k long, context long")
-    common = looked_at.distinct().groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CONTEXTS / SAMPLED)
+    common = looked_at.distinct().groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > SPREAD * CONTEXTS / SAMPLED)
     chunks = max(1, rows.count() // (3 * CONTEXTS))
     dealt = F.when(F.col("hot"), F.xxhash64("k", "context")).otherwise(F.col("k"))
     found = _mapped(rows, _Find(_packed(common, "k")), _ANCHOR).repartition(dealt).sortWithinPartitions("k", "context", "sides", "doc_id", "at")
