@@ -1,0 +1,175 @@
+"""Conversation repair against exhaustive search over edits."""
+
+import hashlib
+import heapq
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import DATA
+from veridock.llm import convrepair as cr
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+SPACE = " \t\n\x0b\f\r"
+
+
+def plain_damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        code = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if code == 0:
+            continue
+        text = "" if code == 1 else re.sub("[.!?]", "", text) if code == 2 else text
+        role = "user" if code == 4 else role
+        out += [(conv, turn, role, text)] * (2 if code == 3 else 1)
+    return out
+
+
+def plain_faults(rows):
+    seen, out = set(), []
+    for _, _, role, text in rows:
+        bare = text.strip(SPACE)
+        out.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def replayed(rows, audit):
+    """The repaired rows of an audit, or None where it does not give the form."""
+    left, out, pending = list(rows), [], []
+    for letter in audit:
+        last = out[-1][0][:1] if out else ""
+        role = "assistant" if last == "u" else "user"
+        if letter == "I":
+            out.append((role, ""))
+        else:
+            _, _, own, text = left.pop(0)
+            if letter != "D":
+                out.append((own if letter == "K" else role, text))
+    return out if re.fullmatch("(s?(ua)+)?", "".join(r[:1] or "-" for r, _ in out)) else None
+
+
+def cost_of(audit, faults):
+    total, left = 0, list(faults)
+    for letter in audit:
+        if letter == "I":
+            total += 2
+            continue
+        fault = left.pop(0)
+        if fault in ("blank", "duplicate") and letter != "D":
+            return None
+        total += {"K": 0, "R": 2, "D": 3}[letter] + (fault == "truncated" and letter != "D")
+    return total
+
+
+def exhaustive(rows):
+    faults, best = plain_faults(rows), None
+    for letters in itertools.product("DKR", repeat=len(rows)):
+        if cost_of("".join(letters), faults) is None:
+            continue
+        for puts in itertools.product(range(3), repeat=len(rows) + 1):
+            audit = "".join("I" * n + x for n, x in zip(puts, [*letters, ""], strict=True))
+            cost = cost_of(audit, faults)
+            if (best is None or (cost, audit) < best) and replayed(rows, audit) is not None:
+                best = (cost, audit)
+    return best
+
+
+def searched(rows):
+    """Best first over (rows read, last role); for conversations too long to try everything."""
+    faults, heap, done = plain_faults(rows), [(0, "", 0, "")], set()
+    while heap:
+        cost, audit, at, last = heapq.heappop(heap)
+        if (at, last) in done:
+            continue
+        done.add((at, last))
+        if at == len(rows) and last in ("", "a"):
+            return cost, audit
+        put = "a" if last == "u" else "u"
+        heapq.heappush(heap, (cost + 2, audit + "I", at, put))
+        if at < len(rows):
+            role, fault = rows[at][2][:1], faults[at]
+            heapq.heappush(heap, (cost + 3, audit + "D", at + 1, last))
+            if fault not in ("blank", "duplicate"):
+                extra = fault == "truncated"
+                heapq.heappush(heap, (cost + 2 + extra, audit + "R", at + 1, put))
+                if role == put or (role == "s" and last == ""):
+                    heapq.heappush(heap, (cost + extra, audit + "K", at + 1, role))
+
+
+def plain(originals, rows, search):
+    out = {}
+    for conv in {r[0] for r in originals}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.sha256(r[3].encode()).digest()))
+        faults = plain_faults(own)
+        turns = [r[1] for r in own if r[1] is not None]
+        cost, audit = search(own)
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(own))
+        text = "\n".join(f"{r}:{t}" for r, t in replayed(own, audit))
+        out[conv] = (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest())
+    return out
+
+
+def rows_of(df):
+    return {r[0]: tuple(r[1:]) for r in df.collect()}
+
+
+ROLES = ["system", "user", "user", "assistant", "assistant", "tool", "", None, "usher"]
+TEXTS = ["Hi.", "So?", "no end", "cut, \n", "Yes!\t", "", " ", None, "Hi.", "日本", "\x0b.\x0b"]
+
+
+def made(dice, convs, turns):
+    return [(c, dice.choice([t, t, t, t + 2, None]), dice.choice(ROLES), dice.choice(TEXTS)) for c in convs for t in range(dice.randrange(1, turns))]
+
+
+def test_small_conversations_against_all_edits(spark):
+    dice = random.Random(3)
+    originals = made(dice, [*range(120), None], 5)
+    rows = plain_damage(originals)
+    df = spark.createDataFrame(originals, SCHEMA)
+    assert sorted(map(repr, map(tuple, cr.damaged(df).collect()))) == sorted(map(repr, rows))
+    small = {c for c in {r[0] for r in originals} if sum(r[0] == c for r in rows) <= 5}
+    want = plain([r for r in originals if r[0] in small], [r for r in rows if r[0] in small], exhaustive)
+    assert {k: v for k, v in rows_of(cr.audits(cr.damaged(df), df)).items() if k in small} == want
+
+
+@pytest.mark.parametrize("size", [3, 128])
+def test_long_conversations_over_many_parts(spark, size):
+    dice = random.Random(size)
+    originals = [(c, t, dice.choice(ROLES), dice.choice(TEXTS) or f"text {t}" + dice.choice(".,")) for c in (1, 2, 3) for t in range(70)] + made(dice, range(4, 20), 30)
+    df = spark.createDataFrame(originals, SCHEMA).repartition(7)
+    got = rows_of(cr.audits(cr.damaged(df), df, size))
+    assert got == plain(originals, plain_damage(originals), searched)
+
+
+def test_query_on_the_tables(spark):
+    originals = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = rows_of(cr.op12_conversation_repair(spark, DATA))
+    assert got == plain(originals, plain_damage(originals), searched)
+
+
+def test_repaired_rows_have_the_form(spark):
+    dice = random.Random(5)
+    originals = made(dice, range(40), 9)
+    df = spark.createDataFrame(originals, SCHEMA)
+    got = cr.repaired(cr.damaged(df)).orderBy("conv_id", "place").collect()
+    for _, own in itertools.groupby(got, key=lambda r: r["conv_id"]):
+        own = list(own)
+        assert [r["place"] for r in own] == list(range(len(own)))
+        assert re.fullmatch("s?(ua)+", "".join(r["role"][:1] for r in own))
+    audits = rows_of(cr.audits(cr.damaged(df)))
+    assert sum(r[6].count("I") + r[6].count("K") + r[6].count("R") for r in audits.values()) == len(got)
+
+
+def test_empty_table_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert cr.audits(cr.damaged(df), df).count() == 0
+    rows = [(1, 1, "user", "Hi.")] * 300 + [(1, 2, "assistant", "Yes.")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_k", F.lit(1)).withColumn("tag", F.lit("x")).withColumn("digest", F.lit(2)).withColumn("n", F.lit(3))
+    got = rows_of(cr.audits(df))[1]
+    assert got[:4] == (0, 0, 299, 0) and got[6] == "K" + "D" * 299 + "K" and got[5] == 897
