@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _name in ("urlfilter", "secrets", "langid", "pii", "neardup", "packing", "topk", "ann", "suffixdup", "mixing", "convrepair", "survivor"):
+for _name in ("urlfilter", "secrets", "langid", "pii", "neardup", "packing", "topk", "ann", "suffixdup", "mixing", "licenses", "convrepair", "survivor"):
     _module = importlib.import_module(f"veridock.llm.{_name}")
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
