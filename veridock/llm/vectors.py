@@ -89,7 +89,10 @@ def searched(rows: DataFrame, queries: DataFrame, search: Callable[[Iterator[pa.
     """The k highest scores of what ``search`` finds in each pair of blocks: query_id, rank, vec_id, score. Ties go to the
     smaller vec_id; a vec_id that repeats counts once, with its best score."""
     asked = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = rows.crossJoin(asked).where("dim = q_dim").select("dim", "ids", "vectors", "q_ids", "q_vectors")
+    # a stated set of queries against all rows, block by block. An equality would be a join on one key, the length, with both sides in
+    # one partition; as a difference it stays a condition on pairs of blocks, which Spark deals out by pairs of partitions (or
+    # takes from a broadcast, where the query blocks are below its limit)
+    pairs = rows.crossJoin(asked).where("dim - q_dim = 0").select("dim", "ids", "vectors", "q_ids", "q_vectors")
     arrow_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
