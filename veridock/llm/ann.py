@@ -179,13 +179,15 @@ def _fitted(points: DataFrame) -> dict[int, Forest]:
     """A forest for each length of vector, on a sample chosen by a hash: at most SAMPLE points of each length come to the
     driver. Lengths are meant to be few."""
     counts = {r["dim"]: r["n"] for r in points.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    order = W.partitionBy(F.size("v")).orderBy(F.xxhash64(F.lit(3), "v"), "v")
-    sample = points.select("v", F.row_number().over(order).alias("n")).where(F.col("n") <= SAMPLE).select("v").toArrow()
     forests = {}
-    if len(sample):
-        for dim, _, matrix in _by_length(sample.column("v").combine_chunks()):
+    for dim, n in counts.items():
+        # a threshold on the hash leaves little more than the sample to rank, whatever the table's size
+        low = F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(1 << 40))
+        few = points.select("v", low.alias("low")).where((F.size("v") == dim) & (F.col("low") < math.ceil((1 << 40) * min(1.0, 1.25 * SAMPLE / n))))
+        sample = few.orderBy("low", "v").limit(SAMPLE).select("v").toArrow()
+        for _, _, matrix in _by_length(sample.column("v").combine_chunks()):
             order = np.lexsort(matrix.T[::-1])  # rows arrive in any order
-            forests[dim] = Forest(matrix[order], counts[dim])
+            forests[dim] = Forest(matrix[order], n)
     return forests
 
 
