@@ -59,7 +59,7 @@ def corpus(seed, passages=3):
 @pytest.mark.parametrize("seed, contexts, segment, block, sampled", [(2000, 2000, 1 << 20, 1 << 20, 64), (5, 5, 1 << 20, 1 << 20, 64), (6, 2000, 256, 1 << 20, 64), (7, 5, 300, 500, 64), (8, 2, 1 << 20, 400, 1)])
 def test_bytes(spark, monkeypatch, seed, contexts, segment, block, sampled):
     """Few contexts of an anchor in a chunk, short segments with anchors across their borders, small blocks, common anchors."""
-    for name, value in {"CONTEXTS": contexts, "SEGMENT": segment, "BLOCK": block, "SAMPLED": sampled, "SPREAD": 2}.items():
+    for name, value in {"CONTEXTS": contexts, "SEGMENT": segment, "BLOCK": block, "SAMPLED": sampled, "SPREAD": 2, "CHUNK_BYTES": 3000}.items():
         monkeypatch.setattr(suffixdup, name, value)
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, 0, "k") for i, t in docs], SCHEMA).repartition(3)

@@ -49,6 +49,9 @@ SEGMENT, CONTEXTS, BLOCK, BITS = 1 << 20, 2000, 1 << 20, 1 << 24
 #: One in so many documents is looked at for common anchors: those with more than ``SPREAD`` times ``CONTEXTS`` different contexts,
 #: by what these documents have of them.
 SAMPLED, SPREAD = 64, 25
+#: Bytes of input for each of the chunks that a spread anchor's contexts are dealt out to: an anchor has at most one context in 77
+#: bytes, so a chunk has a bounded number of them whether documents are many or long.
+CHUNK_BYTES = 12 << 20
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -431,7 +434,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     looked_at = _mapped(rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(SAMPLED)) == 0), _grams, "k long, context long")
     common = looked_at.distinct().groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > SPREAD * CONTEXTS / SAMPLED)
-    chunks = max(1, rows.count() // (3 * CONTEXTS))
+    chunks = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES
     dealt = F.when(F.col("hot"), F.xxhash64("k", "context")).otherwise(F.col("k"))
     found = _mapped(rows, _Find(_packed(common, "k")), _ANCHOR).repartition(dealt).sortWithinPartitions("k", "context", "sides", "doc_id", "at")
     resolved = written(_mapped(found, _Resolve(chunks), _RESOLVED), "resolved")
