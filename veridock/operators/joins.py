@@ -1,4 +1,4 @@
-"""Joins on more than equality: intervals, containment, nearest, tolerant numbers, quotes."""
+"""Joins on more than equality: intervals, containment, nearest, tolerant numbers, duplicates."""
 
 from __future__ import annotations
 
@@ -58,34 +58,6 @@ def tolerant(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float
     return mine.join(cells, "_cell").where(q.close(F.col(a), F.col(b), tolerance)).drop("_cell")
 
 
-def quotes(texts: DataFrame, passages: DataFrame, text_id: str, text: str, passage_id: str, passage: str) -> DataFrame:
-    """(text_id, passage_id) of passages that a text quotes verbatim.
-
-    Passages of five words or more are found by their second to fourth word, which stand in the text as they are; shorter ones
-    by their first run of letters and digits, which has edges and so is a run of the text too. Of the texts only ids and the
-    digests of their word triples, or runs, meet the passages; then the texts of the candidates, and no others, are joined
-    back for the exact test. Only passages without any letter or digit are compared with every text."""
-    known = texts.select(text_id, t.normalised(text).alias("_text"))
-    wanted = passages.select(passage_id, t.normalised(passage).alias("_quote")).where("_quote <> ''")
-    triple = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, 3), " "))
-    run = r"([\p{L}\p{N}]+)"
-    parts = wanted.withColumn("_words", F.split("_quote", " ")).withColumn("_run", F.regexp_extract("_quote", run, 1))
-    by_words = parts.where(F.size("_words") >= 5).select(passage_id, "_quote", triple(F.col("_words"), F.lit(2)).alias("_key"))
-    by_run = parts.where((F.size("_words") < 5) & (F.col("_run") != "")).select(passage_id, "_quote", F.xxhash64(F.lit(1), "_run").alias("_key"))
-    words = F.split("_text", " ")
-    triples = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(2), F.size(words) - 3), lambda i: triple(words, i))).otherwise(F.array().cast("array<bigint>"))
-    short = by_run.limit(1).count() > 0
-    runs = F.transform(F.regexp_extract_all("_text", F.lit(run)), lambda r: F.xxhash64(F.lit(1), r)) if short else F.array().cast("array<bigint>")
-    keys = known.select(text_id, F.explode(F.array_distinct(F.concat(triples, runs))).alias("_key"))
-    near = keys.join(by_words.unionByName(by_run), "_key").select(text_id, passage_id, "_quote").distinct()
-    # the normal form is taken again of the candidates' texts alone
-    found = near.join(texts.select(text_id, F.col(text).alias("_raw")), text_id).where(t.bounded_in("_quote", t.normalised("_raw"))).select(text_id, passage_id)
-    signs = parts.where((F.size("_words") < 5) & (F.col("_run") == "")).select(passage_id, "_quote")
-    if signs.limit(1).count():
-        found = found.unionByName(known.join(signs, t.bounded_in("_quote", "_text")).select(text_id, passage_id))
-    return found
-
-
 def duplicates(items: DataFrame, key: str, text: str, overlap: float = p.OVERLAP) -> DataFrame:
     """(a, b) of statements that say the same (``predicates.duplicate``), a before b.
 

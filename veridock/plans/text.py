@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from veridock.functions import hashing as h
 from veridock.functions import predicates as p
 from veridock.functions import textnorm as t
-from veridock.operators import joins, ordered
+from veridock.operators import joins, ordered, quoting
 from veridock.plans.registry import query
 from veridock.session import scratch, spread, table
 from veridock.sources import evidence
@@ -28,7 +28,7 @@ def _norm(column: str) -> str:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return joins.quotes(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return quoting.quotes(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 _HITS = f"""WITH d AS (SELECT doc_id, lang, {_norm('text')} AS s FROM documents), b AS (SELECT item_id, {_norm('text')} AS s FROM benchmark),
@@ -54,6 +54,35 @@ def quote_confidence_score(spark, sf_dir):
     return out.withColumn("confidence", F.col("n_verified") / F.nullif("n_counted", F.lit(0)))
 
 
+def _lines(df: DataFrame, key: str) -> DataFrame:
+    """The lines of texts that have letters: key, place, line, and the line before as ``heading``."""
+    cut = df.select(key, F.split("text", "\n").alias("all"))
+    each = cut.select(key, F.explode(F.transform("all", lambda x, i: F.struct(i.alias("place"), x.alias("line"), F.when(i > 0, F.element_at("all", i)).alias("heading")))).alias("l"))
+    return each.select(key, "l.*").where(F.col("line").rlike(r"\p{L}"))
+
+
+_EDGES = r"""CASE WHEN regexp_matches(q.s, '^[0-9]') THEN '(^|[^\p{L}\p{N},.\-]|(^|[^0-9])[,.\-])' WHEN regexp_matches(q.s, '^[\p{L}\p{N}]') THEN '(^|[^\p{L}\p{N}])' ELSE '' END || regexp_escape(q.s) ||
+  CASE WHEN regexp_matches(q.s, '[0-9]$') THEN '($|[^\p{L}\p{N},.\-]|[,.\-]($|[^0-9]))' WHEN regexp_matches(q.s, '[\p{L}\p{N}]$') THEN '($|[^\p{L}\p{N}])' ELSE '' END"""
+
+
+def _sql_lines(of: str, key: str) -> str:
+    return f"SELECT {key}, place, line, CASE WHEN place > 0 THEN ls[place] END AS heading FROM (SELECT {key}, ls, unnest(ls) AS line, unnest(range(len(ls))) AS place FROM (SELECT {key}, string_split(text, chr(10)) AS ls FROM {of})) WHERE regexp_matches(line, '\\p{{L}}')"
+
+
+@query(f"""WITH d AS ({_sql_lines("documents", "doc_id")}), views AS (SELECT doc_id, place, {_norm("line")} AS s FROM d UNION ALL SELECT doc_id, place, {_norm("heading || ' ' || line")} FROM d WHERE heading IS NOT NULL AND regexp_matches(line, '^\\p{{Ll}}')),
+  q AS (SELECT item_id, place, {_norm("line")} AS s FROM ({_sql_lines("benchmark", "item_id")})),
+  kinds AS (SELECT DISTINCT s FROM q WHERE s <> ''), seen AS (SELECT DISTINCT s FROM views), hit AS (SELECT q.s AS quote, v.s AS s FROM kinds q JOIN seen v ON contains(v.s, q.s) WHERE regexp_matches(v.s, {_EDGES})),
+  pair AS (SELECT DISTINCT q.item_id, q.place, v.doc_id, v.place AS line FROM q JOIN hit ON q.s = hit.quote JOIN views v ON v.s = hit.s)
+  SELECT item_id, place, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM pair GROUP BY ALL""")
+def quoted_lines(spark, sf_dir):
+    """In how many lines, and documents, each line of a passage stands verbatim; a line in lower case is read with the one before it as
+    its heading too: F2 F3 J1."""
+    docs = _lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").withColumn("item", F.struct("doc_id", "place"))
+    lines = _lines(table(spark, sf_dir, "benchmark"), "item_id").select(F.struct("item_id", "place").alias("quote"), F.col("line").alias("wanted"))
+    pairs = quoting.quotes(docs, lines, "item", "line", "quote", "wanted", heading="heading")
+    return pairs.groupBy("quote.item_id", "quote.place").agg(F.count("*").alias("n_lines"), F.count_distinct("item.doc_id").alias("n_docs"))
+
+
 @query(f"SELECT doc_id, left(sha256({_norm('text')}), 16) AS digest, CAST(length({_norm('text')}) AS INTEGER) AS n FROM documents")
 def normalised_texts(spark, sf_dir):
     """The normal form of every document: F1 C5."""
