@@ -44,6 +44,8 @@ TREES, LEAF, DEPTH, SAMPLE = 8, 256, 11, 16_384
 WANTED, GROWTH = 7.5, 0.8
 #: Points and queries of a cell: a matrix of at most 32 MB.
 CELL_POINTS, CELL_QUERIES = 4096, 1024
+#: Leaves that a query is to look into, about, however large the table is: with the points it looks at, leaves grow.
+LOOKED_INTO = 64
 
 _ROUTED = "dim int, ids array<long>, v binary, leaves array<int>"
 _WALKED = "dim int, query_id long, v binary, leaves array<int>"
@@ -57,7 +59,8 @@ class Forest:
         """``points``: the sample; ``n``: how many there are in all."""
         dim = points.shape[1]
         rng = np.random.default_rng(seed)
-        self.n, self.depth = n, min(DEPTH, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
+        leaf = max(LEAF, WANTED * n**GROWTH / LOOKED_INTO)
+        self.n, self.depth = n, min(DEPTH, max(0, math.ceil(math.log2(max(1, n) / leaf))))
         self.inner = (1 << self.depth) - 1
         self.normals, self.offsets = np.zeros((TREES, self.inner, dim)), np.zeros((TREES, self.inner))
         for t in range(TREES):
