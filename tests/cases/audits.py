@@ -9,8 +9,8 @@ from veridock.functions import topics as tp
 from veridock.operators import audit as au
 from veridock.operators import claims as cl
 from veridock.operators import rules as r
-from veridock.plans.golden import Cases, back, bare, golden, joined
-from veridock.plans.readings import ALIASES, TERMS
+from tests.cases.golden import Cases, back, bare, golden, joined
+from tests.cases.readings import ALIASES, TERMS
 from veridock.session import stored
 
 NAMES = ("golden shield", "bluecare")

@@ -1,4 +1,4 @@
-"""Queries of worked cases: small tables of inputs dealt out over all runs (the driver's suppliers), through the operators, with
+"""Worked cases: small tables of inputs dealt out over all runs (the driver's suppliers), through the operators, with
 the results that the described rules ask for as SQL.
 
 Every run has all the inputs under ids of its own, so an operator works on as many claims, items and facts as runs times
@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridock.plans.registry import query
 from veridock.session import table
 
 MARK = ":"
-#: Names of the queries of cases.
-CASES: set[str] = set()
+#: The cases by name, and the SQL that states their results.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 _TYPES = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -75,7 +75,7 @@ def _literal(x: object) -> str:
 
 
 def golden(columns: str, expected: Sequence[tuple], name: str | None = None):
-    """Register a query of cases: the function takes ``Cases`` and returns run and ``columns``; ``expected`` are the rows of
+    """Register cases: the function takes ``Cases`` and returns run and ``columns``; ``expected`` are the rows of
     each run."""
     fields = [tuple(c.strip().split()) for c in columns.split(",")]
     values = ", ".join("(" + ", ".join(_literal(x) for x in row) + ")" for row in expected)
@@ -87,7 +87,7 @@ def golden(columns: str, expected: Sequence[tuple], name: str | None = None):
             return f(Cases(spark, sf_dir)).select("run", *[F.col(n).cast(t).alias(n) for n, t in fields])
 
         run.__name__, run.__doc__ = name or f.__name__, f.__doc__
-        CASES.add(run.__name__)
-        return query(sql)(run)
+        CASES[run.__name__], SQL[run.__name__] = run, sql
+        return run
 
     return add

@@ -15,8 +15,8 @@ from veridock.operators import audit as au
 from veridock.operators import claims as cl
 from veridock.operators import joins, ordered, rules
 from veridock.operators import selection as s
-from veridock.plans.golden import Cases, back, bare, golden, joined
-from veridock.plans.readings import ALIASES
+from tests.cases.golden import Cases, back, bare, golden, joined
+from tests.cases.readings import ALIASES
 from veridock.session import scratch
 from veridock.sources import evidence as ev
 from veridock.sources import sinks

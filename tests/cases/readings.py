@@ -12,10 +12,8 @@ from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
 from veridock.functions import topics as tp
 from veridock.operators import rules
-from veridock.plans import cases as c
-from veridock.plans.golden import Cases, golden, joined
-from veridock.plans.registry import query
-from veridock.session import table
+from tests.cases import sentences as c
+from tests.cases.golden import Cases, golden, joined
 
 ALIASES = {"POL-A": ["golden shield"], "POL-B": ["golden shield+", "bluecare"]}
 EXPOSURES = (("EXP-AMB", "Road ambulance", ("ambulance",)), ("EXP-AIR", "Air ambulance", ("air ambulance",)), ("EXP-MAT", "Maternity", ("maternity", "newborn")), ("EXP-ROOM", "Room upgrades", ("suite",)))
@@ -52,19 +50,6 @@ def claimed_quantities(g):
     return _run_claimed(g)
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice) AS DOUBLE) AS amount, CAST(l_quantity AS DOUBLE) * CASE l_linenumber % 3 WHEN 0 THEN 24 WHEN 1 THEN 1 ELSE 12 END AS span,
- CASE l_linenumber % 3 WHEN 0 THEN 'HOURS' WHEN 1 THEN 'MONTHS' ELSE 'MONTHS' END AS family, round(l_discount * 100) AS share, 3 AS n FROM lineitem""")
-def stated_amounts(spark, sf_dir):
-    """Amounts, spans and shares written into sentences and read back, spans in base units: N1 N4."""
-    lines = table(spark, sf_dir, "lineitem")
-    unit = F.element_at(F.array(F.lit("days"), F.lit("months"), F.lit("years")), F.expr("cast(l_linenumber % 3 + 1 as int)"))
-    amount = F.format_string("%.0f", F.round("l_extendedprice"))
-    text = F.concat(F.lit("Cover up to INR "), amount, F.lit(" after "), F.format_string("%.0f", F.col("l_quantity").cast("double")), F.lit(" "), unit, F.lit(" of waiting, with "), F.format_string("%.0f", F.round(F.col("l_discount") * 100)), F.lit("% co-payment"))
-    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", q.quantities(text).alias("q"))
-    one = lambda i: F.get("q", F.lit(i))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", one(0)["value"].alias("amount"), q.in_base(one(1)["unit"], one(1)["value"]).alias("span"), q.family(one(1)["unit"]).alias("family"), one(2)["value"].alias("share"), F.size("q").alias("n"))
-
-
 _HEADERS = [("Claim Amount [`]", "INR", 1.0), ("Admissible Claim Amount [₹]", "INR", 1.0), ("Sum Insured 4 (SI) - on Annual Basis (in `)", "INR", 1.0), ("Base Sum Insured (in Lakhs)", "INR", 100000.0), ("No. of days in a year", "DAYS", 1.0), ("Renewal Discount", None, None), ("Deductible Amount", "INR", 1.0), ("Cover (in crores)", "INR", 10000000.0), ("Tenure in months", "MONTHS", 1.0)]
 
 

@@ -80,7 +80,7 @@ def test_other_text(spark):
     assert one(spark, h.short_hash(F.col("x"), F.lit(None)), x="a") != one(spark, h.short_hash(F.col("x"), F.lit("-")), x="a")
 
 
-@pytest.mark.parametrize("text, strict, expected", [
+READINGS = [
     ("Wait of 36 months", True, [(36, "MONTHS")]),
     ("INR 10/15/20 Lakhs", True, [(1e6, "INR"), (1.5e6, "INR"), (2e6, "INR")]),
     ("₹20,000 to ₹1 lakh", True, [(20000, "INR"), (100000, "INR")]),
@@ -107,9 +107,15 @@ def test_other_text(spark):
     ("1st March 2026", True, []),
     ("", True, []),
     (None, True, []),
-])
-def test_quantities(text, strict, expected):
-    assert [(x["value"], x["unit"]) for x in q.parse(text, strict)] == expected
+]
+
+
+def test_quantities(spark):
+    rows = [(i, text) for i, (text, _, _) in enumerate(READINGS)]
+    df = spark.createDataFrame(rows, "i int, text string").select("i", q.quantities(F.col("text")).alias("s"), q.quantities(F.col("text"), False).alias("c"))
+    got = {r["i"]: r for r in df.collect()}
+    for i, (text, strict, expected) in enumerate(READINGS):
+        assert [(x["value"], x["unit"]) for x in got[i]["s" if strict else "c"]] == expected, text
 
 
 @pytest.mark.parametrize("text, expected", [
@@ -121,8 +127,9 @@ def test_quantities(text, strict, expected):
     ("Maternity up to INR 1 Lac", []),
     ("", []),
 ])
-def test_ranges(text, expected):
-    assert [tuple(r.values()) for r in q.si_ranges(text)] == expected
+def test_ranges(spark, text, expected):
+    found = spark.createDataFrame([(text,)], "text string").select(q.sum_insured_ranges(F.col("text"))).first()[0]
+    assert [tuple(r) for r in found] == expected
 
 
 def test_quantity_columns(spark):

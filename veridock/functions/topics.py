@@ -1,105 +1,103 @@
-"""Topics that a text names, with their places, and the numbers bound to them.
+"""Topics that a text names, with their places, and the numbers bound to them. Column expressions.
 
-Terms are a closed list. A term of the lexicon counts as a whole word, a keyword of an exposure where a word begins. Places
-and distances decide, so this is an Arrow UDF.
+Terms are a closed list. A term of the lexicon counts as a whole word, a keyword of an exposure where a word begins. A term is
+looked for by its pattern only where it stands in the text at all.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
-from functools import cache
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veridock.functions import quantity as q
+from veridock.functions.folds import bound, places
 
 # What policies are about, besides the exposures, and how far from a number its topic may stand.
 TOPICS = {
-    "waiting_period": "waiting period, waiting periods, wait period, waiting",
-    "deductible": "deductible, deductibles",
-    "co_payment": "co-payment, copayment, co-pay, copay",
-    "sub_limit": "sub-limit, sublimit, sub limit",
-    "room": "room rent, room category, room, shared accommodation, accommodation",
-    "sum_insured": "sum insured, base sum insured, si, bsi, cover amount, base cover",
-    "premium": "premium, premiums, price, pricing",
-    "discount": "discount, discounts",
-    "payout_ratio": "claims payout ratio, payout ratio, claim settlement ratio, settlement ratio",
-    "bonus": "bonus, no claim bonus, ncb",
-    "renewal": "renewal, renew, renewable, renewability",
-    "network": "network, cashless",
-    "age": "age, ages, aged, entry age",
-    "members": "member, members, individual, family",
-    "second_opinion": "second opinion, second medical opinion, e-opinion",
-    "tax": "tax, tax benefit, 80d",
+    "waiting_period": ["waiting period", "waiting periods", "wait period", "waiting"],
+    "deductible": ["deductible", "deductibles"],
+    "co_payment": ["co-payment", "copayment", "co-pay", "copay"],
+    "sub_limit": ["sub-limit", "sublimit", "sub limit"],
+    "room": ["room rent", "room category", "room", "shared accommodation", "accommodation"],
+    "sum_insured": ["sum insured", "base sum insured", "si", "bsi", "cover amount", "base cover"],
+    "premium": ["premium", "premiums", "price", "pricing"],
+    "discount": ["discount", "discounts"],
+    "payout_ratio": ["claims payout ratio", "payout ratio", "claim settlement ratio", "settlement ratio"],
+    "bonus": ["bonus", "no claim bonus", "ncb"],
+    "renewal": ["renewal", "renew", "renewable", "renewability"],
+    "network": ["network", "cashless"],
+    "age": ["age", "ages", "aged", "entry age"],
+    "members": ["member", "members", "individual", "family"],
+    "second_opinion": ["second opinion", "second medical opinion", "e-opinion"],
+    "tax": ["tax", "tax benefit", "80d"],
 }
 REACH = 60
 
 Terms = tuple[tuple[str, str, bool], ...]
 HITS = "array<struct<start:int,end:int,topic:string>>"
-BOUND = "array<struct<value:double,unit:string,raw:string,start:int,end:int,topics:array<string>>>"
 
 
 def terms(exposures: Sequence[tuple[str, str, Sequence[str]]] = ()) -> Terms:
     """The lexicon and the exposures (id, name, keywords) as (topic, term, whole word)."""
-    known = [(topic, word, True) for topic, words in TOPICS.items() for word in words.split(", ")]
+    known = [(topic, word, True) for topic, words in TOPICS.items() for word in words]
     return tuple(known + [(key, word.lower(), False) for key, name, keywords in exposures for word in (name, *keywords)])
 
 
-@cache
-def _patterns(known: Terms, names: tuple[str, ...]) -> tuple[list[tuple[str, re.Pattern]], re.Pattern | None]:
-    own = [(topic, re.compile(rf"(?<![a-z0-9]){re.escape(word)}" + (r"(?![a-z0-9])" if whole else ""))) for topic, word, whole in known]
-    products = "|".join(re.escape(n.lower()) for n in sorted(names, key=len, reverse=True))
-    return own, re.compile(rf"(?<![a-z0-9])(?:{products})(?![a-z0-9+])") if names else None
+def _quoted(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", text)
 
 
-def find(text: str | None, known: Terms, names: tuple[str, ...] = ()) -> list[tuple[int, int, str]]:
-    """(start, end, topic) of every term of a text in lower case, product names blanked out."""
-    own, products = _patterns(known, names)
-    lowered = (text or "").lower()
-    if products:
-        lowered = products.sub(lambda m: " " * len(m[0]), lowered)
-    return sorted((m.start(), m.end(), topic) for topic, pattern in own for m in pattern.finditer(lowered))
+def _without(text: Column, names: Sequence[str], edges: tuple[str, str], fill: str = " ") -> Column:
+    """The text with names filled over, so that places stay."""
+    for name in sorted(names, key=len, reverse=True):
+        text = F.regexp_replace(text, f"{edges[0]}{_quoted(name)}{edges[1]}", fill * len(name))
+    return text
 
 
-def bound(text: str | None, known: Terms, names: tuple[str, ...] = ()) -> list[dict]:
-    """The numbers of a claim, each with the topics that stand nearest to it in its sentence, at most ``REACH`` characters off;
-    several at the same distance all count."""
-    hits, lowered = find(text, known, names), (text or "").lower()
-    out = []
-    products = re.compile("|".join(rf"(?<![A-Za-z0-9]){re.escape(n)}(?![0-9])" for n in names if re.search(r"\d", n)), re.IGNORECASE) if any(re.search(r"\d", n) for n in names) else None
-    for number in q.parse(text, strict=False, products=products):
-        a, b = number["start"], number["end"]
-        low = max(lowered.rfind(";", 0, a), lowered.rfind(". ", 0, a))
-        high = min((p for p in (lowered.find(";", b), lowered.find(". ", b)) if p >= 0), default=len(lowered))
-        gaps = [(max(0, s - b, a - e), topic) for s, e, topic in hits if low <= s <= high]
-        least = min((g for g, _ in gaps), default=REACH + 1)
-        out.append(number | {"topics": sorted({topic for g, topic in gaps if g == least}) if least <= REACH else []})
-    return out
+def _as(topic: str) -> Callable[[Column], Column]:
+    return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(topic).alias("topic"))
 
 
 def hits(text: Column, known: Terms, names: tuple[str, ...] = ()) -> Column:
-    """Places of topics; give the normal form of evidence, the plain text of a claim."""
+    """(start, end, topic) of every term, in order; give the normal form of evidence, the plain text of a claim."""
+    by: dict[tuple[str, bool], list[str]] = {}
+    for topic, word, whole in known:
+        by.setdefault((word, whole), []).append(topic)
 
-    @F.pandas_udf(HITS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[{"start": a, "end": b, "topic": t} for a, b, t in find(x, known, names)] for x in texts])
+    def found(lowered: Column) -> Column:
+        each = []
+        for (word, whole), topics in by.items():
+            at = places(lowered, rf"(?<![a-z0-9]){_quoted(word)}" + (r"(?![a-z0-9])" if whole else ""))
+            there = F.flatten(F.array(*[F.transform(at, _as(topic)) for topic in topics]))
+            each.append(F.when(F.contains(lowered, F.lit(word)), there).otherwise(F.array().cast(HITS)))
+        return F.array_sort(F.flatten(F.array(*each)))
 
-    return run(text)
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return bound(_without(lowered, [n.lower() for n in names], (r"(?<![a-z0-9])", r"(?![a-z0-9+])")), found)
 
 
 def bindings(text: Column, known: Terms, names: tuple[str, ...] = ()) -> Column:
-    """The numbers of claims with their topics."""
-
-    @F.pandas_udf(BOUND)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([bound(x, known, names) for x in texts])
+    """The numbers of claims, each with the topics that stand nearest to it in its sentence, at most ``REACH`` characters off;
+    several at the same distance all count."""
 
-    return run(text)
+    def nearest(n: Column, around: Column) -> Column:
+        lowered = around["text"]
+        head = F.left(lowered, n["start"])
+        low = F.length(head) - F.length(F.regexp_extract(head, r"(?s)((?:(?!;|\. ).)*)$", 1)) - 1
+        behind = F.regexp_extract(F.substring(lowered, n["end"] + 1, F.length(lowered)), r"(?s)^((?:(?!;|\. ).)*)", 1)
+        high = n["end"] + F.length(behind)
+        gaps = F.transform(F.filter(around["hits"], lambda h: (h["start"] >= low - 1) & (h["start"] <= high)), lambda h: F.struct(F.greatest(F.lit(0), h["start"] - n["end"], n["start"] - h["end"]).alias("gap"), h["topic"].alias("topic")))
+        return bound(gaps, lambda gs: bound(F.array_min(F.transform(gs, lambda g: g["gap"])), lambda least: F.when(least <= REACH, F.array_sort(F.array_distinct(F.transform(F.filter(gs, lambda g: g["gap"] == least), lambda g: g["topic"])))).otherwise(F.array().cast("array<string>"))))
+
+    def read(t: Column) -> Column:
+        numbered = _without(t, [n for n in names if re.search(r"\d", n)], (r"(?i)(?<![A-Za-z0-9])", r"(?![0-9])"), "·")  # no blank: a name between numbers keeps them apart
+        around = F.struct(F.lower(t).alias("text"), hits(t, known, names).alias("hits"))
+        return bound(around, lambda x: F.transform(q.quantities(numbered, False), lambda n: n.withField("topics", nearest(n, x))))
+
+    return bound(F.coalesce(text, F.lit("")), read)
 
 
 def distinct(found: Column) -> Column:
