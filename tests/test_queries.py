@@ -41,11 +41,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["greedy_statements", "greedy_dual_key"])
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
-
-
 def test_greedy_statements_match_a_fold_by_the_rule(spark):
     import re
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -56,40 +57,98 @@ def quota(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], most:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
 
 
-def greedy_two_keys(df: DataFrame, order: str, first_key: str, second_key: str) -> DataFrame:
+#: Rounds that decide many rows at once, before what is left is folded in blocks; rows or conflicts of a block.
+ROUNDS, BLOCK_ROWS = 3, 500_000
+
+
+def _folded(block: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """A block, which a limit has brought into one partition in order, through a fold; stored, as later plans refer to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fold(batches)
+
+    return block.mapInArrow(run, schema).checkpoint()
+
+
+def _fold_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first, second = set(), set()
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            new = not (a is not None and a in first) and not (b is not None and b in second)
+            keep.append(new)
+            if new:
+                first.add(a)
+                second.add(b)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keep, pa.bool_())], names=[*batch.schema.names, "keep"])
+
+
+def greedy_two_keys(df: DataFrame, order: str, first_key: str, second_key: str, rounds: int = ROUNDS, block: int = BLOCK_ROWS) -> DataFrame:
     """Rows in ``order`` (unique), each kept unless a row kept before has its first or second key. Null keys match nothing.
 
     A row that is the earliest undecided one for both of its keys is kept for certain, as whatever is before it is
-    dropped; rows that share a key with a kept one are dropped. Rounds of this decide all rows, many at once; each is a
-    few aggregates and joins of (order, keys) rows that Spark can spread, and ends in a checkpoint."""
+    dropped; rows that share a key with a kept one are dropped. A few rounds of this, a few aggregates and joins of (order,
+    keys) rows each, decide almost all rows. What is left are chains, on which a round decides little: they are folded in
+    order, so many rows at a time in one task, and what a block keeps rules out rows behind it as before."""
     left = df.select(F.col(order).alias("o"), F.col(first_key).alias("a"), F.col(second_key).alias("b")).checkpoint()
-    kept = None
-    while True:
-        lead = lambda k: left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias(f"m{k}"))  # noqa: B023, E731
-        best = left.join(lead("a"), "a", "left").join(lead("b"), "b", "left")
-        new = best.where("(a is null or ma = o) and (b is null or mb = o)").select("o", "a", "b").checkpoint()
-        if new.isEmpty():
-            break
-        kept = new if kept is None else kept.unionByName(new)
+    kept, done = None, 0
+    while not left.isEmpty():
+        if done < rounds:
+            lead = lambda k: left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias(f"m{k}"))  # noqa: B023, E731
+            best = left.join(lead("a"), "a", "left").join(lead("b"), "b", "left")
+            new = best.where("(a is null or ma = o) and (b is null or mb = o)").select("o", "a", "b").checkpoint()
+            decided = new.select("o")
+        else:
+            types = dict(left.dtypes)
+            judged = _folded(left.select("o", "a", "b").orderBy("o").limit(block), _fold_keys, f"o {types['o']}, a {types['a']}, b {types['b']}, keep boolean")
+            new, decided = judged.where("keep").select("o", "a", "b"), judged.select("o")
+        kept, done = new if kept is None else kept.unionByName(new), done + 1
         left = left.join(new.select("a").where("a is not null").distinct(), "a", "left_anti").join(new.select("b").where("b is not null").distinct(), "b", "left_anti")
-        left = left.join(new.select("o"), "o", "left_anti").checkpoint()
+        left = left.join(decided, "o", "left_anti").checkpoint()
     chosen = left.select("o") if kept is None else kept.select("o")
     return df.join(chosen.withColumnRenamed("o", order), order, "left_semi")
 
 
-def greedy_conflicts(items: DataFrame, conflicts: DataFrame, order: str = "ord") -> DataFrame:
+class _FoldConflicts:
+    """Conflicts sorted by their later item to what becomes of that item. Items without a conflict behind them are kept. The
+    last one's conflicts may go on beyond the block, so it waits for the next, unless the block is the rest."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[object, bool] = {}
+        last, rows, kind = None, 0, None
+        for batch in batches:
+            kind = batch.column("b").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                kept[b] = kept.get(b, True) and not kept.get(a, True)
+                last, rows = b, rows + 1
+        if rows == self.size and len(kept) > 1:
+            kept.pop(last)
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), kind), pa.array(list(kept.values()), pa.bool_())], names=["o", "keep"])
+
+
+def greedy_conflicts(items: DataFrame, conflicts: DataFrame, order: str = "ord", rounds: int = ROUNDS, block: int = BLOCK_ROWS) -> DataFrame:
     """Items in order, each kept unless it conflicts with one kept before. ``conflicts`` has (a, b) with a before b. As
-    above, an item with no undecided item before it in conflict is decided, and with it what it rules out."""
+    above, an item with no undecided item before it in conflict is decided, and with it what it rules out; after a few rounds the
+    conflicts that are left are folded in blocks, by their later item. In a block of one item's conflicts alone, all others are
+    free, so it falls, whatever more it has."""
     left = items.select(F.col(order).alias("o")).checkpoint()
     edges = conflicts.select("a", "b").distinct().checkpoint()
-    kept = None
-    while True:
-        new = left.join(edges.select(F.col("b").alias("o")).distinct(), "o", "left_anti").checkpoint()
-        if new.isEmpty():
-            break
-        kept = new if kept is None else kept.unionByName(new)
+    kept, done = None, 0
+    while not edges.isEmpty():
+        judged = None
+        if done >= rounds:
+            judged = _folded(edges.select("a", "b").orderBy("b", "a").limit(block), _FoldConflicts(block), f"o {dict(left.dtypes)['o']}, keep boolean")
+        free = left.join(edges.select(F.col("b").alias("o")).distinct(), "o", "left_anti")
+        new = (free if judged is None else free.unionByName(judged.where("keep").select("o"))).checkpoint()
+        kept, done = new if kept is None else kept.unionByName(new), done + 1
         out = edges.join(new.select(F.col("o").alias("a")), "a", "left_semi").select(F.col("b").alias("o")).distinct()
+        if judged is not None:
+            out = out.unionByName(judged.where("not keep").select("o"))
         left = left.join(new, "o", "left_anti").join(out, "o", "left_anti").checkpoint()
         edges = edges.join(left.select(F.col("o").alias("a")), "a", "left_semi").join(left.select(F.col("o").alias("b")), "b", "left_semi").checkpoint()
-    chosen = left if kept is None else kept
+    chosen = left if kept is None else kept.unionByName(left)
     return items.join(chosen.select(F.col("o").alias(order)), order, "left_semi")

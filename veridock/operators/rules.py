@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veridock.functions import textnorm as t
+from veridock.session import stored
 
 # Fixed values.
 SEVERITY = {"VERIFIED": 0, "VERIFIED_WITH_QUALIFIER": 1, "NEEDS_REVIEW": 2, "UNSUPPORTED": 3, "CONTRADICTED": 4}
@@ -280,15 +282,29 @@ def uncached(files: DataFrame, known: DataFrame, version: str) -> DataFrame:
     return files.join(done, "sha256", "left").withColumn("work", F.col("_done").isNull()).drop("_done")
 
 
-def rolled_up(steps: DataFrame, depth: int = 6) -> DataFrame:
-    """Steps with the calls of all steps inside them; ``steps``: run_id, step, parent, seconds, calls, nested at most so deep."""
-    up = steps.select("run_id", F.col("step").alias("at"), F.col("parent").alias("_up"))
-    rows, every = steps.select("run_id", F.col("step").alias("at"), "calls"), None
-    for _ in range(depth):
-        every = rows if every is None else every.unionByName(rows)
-        rows = rows.join(up, ["run_id", "at"]).where("_up is not null").select("run_id", F.col("_up").alias("at"), "calls")
-    total = every.groupBy("run_id", "at").agg(F.sum("calls").alias("_calls"))
-    return steps.join(total.withColumnRenamed("at", "step"), ["run_id", "step"]).withColumn("calls", F.col("_calls")).drop("_calls")
+def rolled_up(steps: DataFrame) -> DataFrame:
+    """Steps with the calls of all steps inside them, however deep; ``steps``: run_id, step, parent, seconds, calls.
+
+    Paths double: after a round, ``at`` is a step's ancestor twice as far up, and its sum covers twice as many levels below it, since
+    the levels that are new are those of the descendants just as far down as it reached. A chain of n steps takes log n rounds
+    of two joins and a sum, and no step is ever paired with all of its ancestors. A parent that is not there counts as none. Steps
+    whose parents run in a circle, and those below them, are in no tree: they have their own calls only."""
+    own = steps.select("run_id", "step", "parent", "calls")
+    there = own.select("run_id", F.col("step").alias("parent"), F.lit(True).alias("_there"))
+    own = stored(own.join(there, ["run_id", "parent"], "left").select("run_id", "step", F.when(F.col("_there"), F.col("parent")).alias("parent"), F.col("calls").cast("long").alias("calls")))
+    most = math.ceil(math.log2(max(2, own.count()))) + 1
+    sums, round_ = own.select("run_id", "step", F.col("parent").alias("at"), "calls"), 0
+    while not (going := sums.where("at is not null")).isEmpty():
+        if round_ > most:
+            lost = going.select("run_id", "step", F.lit(True).alias("_lost"))
+            kept = own.join(lost, ["run_id", "step"], "left").select("run_id", "step", F.when(F.col("_lost").isNull(), F.col("parent")).alias("parent"), "calls")
+            cut = rolled_up(stored(kept).withColumn("seconds", F.lit(0.0)))
+            return steps.drop("calls").join(cut.select("run_id", "step", "calls"), ["run_id", "step"]).select(*steps.columns)
+        below = going.groupBy("run_id", "at").agg(F.sum("calls").alias("_more")).withColumnRenamed("at", "step")
+        up = sums.select("run_id", F.col("step").alias("at"), F.col("at").alias("_next"))
+        next_ = sums.join(up, ["run_id", "at"], "left").join(below, ["run_id", "step"], "left")
+        sums, round_ = stored(next_.select("run_id", "step", F.col("_next").alias("at"), (F.col("calls") + F.coalesce("_more", F.lit(0))).alias("calls"))), round_ + 1
+    return steps.drop("calls").join(sums.select("run_id", "step", "calls"), ["run_id", "step"]).select(*steps.columns)
 
 
 def evaluated(rows: DataFrame, by: Sequence[str], least: float = 0.8) -> DataFrame:

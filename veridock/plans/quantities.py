@@ -31,7 +31,7 @@ def stated_shares(spark, sf_dir):
     """The percentages that documents and conversations state, of all quantities read in them: N1."""
     docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     turns = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), "text")
-    rows = spread(docs.unionByName(turns)).select("origin", "a", "b", F.explode(q.quantities(F.col("text"), False)).alias("q")).where("q.unit = 'PERCENT'")
+    rows = spread(docs.unionByName(turns)).select("origin", "a", "b", F.explode(q.quantities(F.col("text"), False)).alias("q")).where("q.unit = 'PERCENT' and endswith(q.raw, '%')")  # without those that a list shares
     return rows.groupBy("origin", "a", "b").agg(F.count("*").alias("n"), F.sum("q.value").alias("total"))
 
 

@@ -120,7 +120,17 @@ def duplicate_statements(spark, sf_dir):
     return joins.duplicates(_statements(spark, sf_dir), "ord", "text")
 
 
-@query()
+def _fold_sql(keep: str, state: str, start: str, source: str) -> str:
+    """The fold over ``source`` (numbered by i from 1) as a recursive query."""
+    return f"g(i, {', '.join(state.split())}) AS (SELECT CAST(0 AS BIGINT), {start} UNION ALL SELECT g.i + 1, {keep} FROM g JOIN {source} s ON s.i = g.i + 1)"
+
+
+@query(f"""WITH RECURSIVE m AS ({_MADE}), n AS (SELECT ord, regexp_replace({_norm('text')}, '^[ .]+|[ .]+$', '', 'g') AS s, [w FOR w IN list_distinct(regexp_extract_all({_norm('text')}, '[a-z0-9]+')) IF length(w) > 1 AND NOT list_contains({_STOPS}, w)] AS w FROM m),
+ pair AS (SELECT a.ord AS a, b.ord AS b FROM n a JOIN n b ON a.ord < b.ord WHERE a.s = b.s OR (least(length(a.s), length(b.s)) > 20 AND (contains(a.s, b.s) OR contains(b.s, a.s)))
+ OR (len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= {p.OVERLAP} * len(list_distinct(a.w || b.w)))),
+ item AS (SELECT ord, text, row_number() OVER (ORDER BY ord) AS i FROM m), near AS (SELECT b, list(a) AS before FROM pair GROUP BY b), step AS MATERIALIZED (SELECT i, ord, coalesce(before, []) AS before FROM item LEFT JOIN near ON ord = b),
+ {_fold_sql("CASE WHEN list_has_any(kept, s.before) THEN kept ELSE list_append(kept, s.ord) END", "kept", "CAST([] AS BIGINT[])", "step")}
+ SELECT ord, text FROM item WHERE list_contains((SELECT kept FROM g ORDER BY g.i DESC LIMIT 1), ord)""")
 def greedy_statements(spark, sf_dir):
     """Statements in order without those that duplicate one kept before: O5."""
     scratch(spark)
@@ -138,7 +148,10 @@ def url_key_dedupe(spark, sf_dir):
     return pages.groupBy("key").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"), F.min(t.site_name("url")).alias("site"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT page_id, {_URL} AS key, left(array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace(html, '(?s)^.*?<body[^>]*>', ''), '<[^>]+>', ' ', 'g')), '[a-z0-9]+'), ' '), 300) AS opening FROM pages),
+ step AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY page_id) AS i FROM p),
+ {_fold_sql("CASE WHEN coalesce(list_contains(urls, s.key), false) OR coalesce(list_contains(openings, s.opening), false) THEN urls ELSE list_append(urls, s.key) END, CASE WHEN coalesce(list_contains(urls, s.key), false) OR coalesce(list_contains(openings, s.opening), false) THEN openings ELSE list_append(openings, s.opening) END, CASE WHEN coalesce(list_contains(urls, s.key), false) OR coalesce(list_contains(openings, s.opening), false) THEN kept ELSE list_append(kept, s.page_id) END", "urls openings kept", "CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])", "step")}
+ SELECT page_id, key FROM step WHERE list_contains((SELECT kept FROM g ORDER BY g.i DESC LIMIT 1), page_id)""")
 def greedy_dual_key(spark, sf_dir):
     """Pages in order without those whose URL key or opening 300 characters a page kept before has: O6."""
     scratch(spark)
