@@ -223,6 +223,14 @@ def step_depth(spark, sf_dir):
     return out.select("k", "depth")
 
 
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS calls FROM events")
+def nested_calls(spark, sf_dir):
+    """Calls of a step and of all inside it, where every event of a user is inside the one before: K4 X19."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.lag("event_id").over(w).alias("parent"), F.lit(0.0).alias("seconds"), F.lit(1).cast("long").alias("calls"))
+    return rules.rolled_up(steps).select(F.col("step").alias("event_id"), "calls")
+
+
 @query("SELECT l_suppkey, l_partkey, l_orderkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_linenumber) AS place FROM lineitem WHERE l_quantity < 45) WHERE place <= 8")
 def quota_topn(spark, sf_dir):
     """The first eight of a category behind a filter: O15 T5 T7 O9."""

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from veridock.functions import hashing as h
 from veridock.functions import predicates as p
 from veridock.functions import textnorm as t
-from veridock.operators import joins, ordered, quoting
+from veridock.operators import joins, ordered, quoting, searching
 from veridock.plans.registry import query
 from veridock.session import scratch, spread, table
 from veridock.sources import evidence
@@ -178,12 +178,10 @@ def page_text_clean(spark, sf_dir):
 dw AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS word FROM documents), s AS (SELECT item_id, doc_id, count(*) AS score FROM qw JOIN dw USING (word) GROUP BY ALL)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 15""")
 def keyword_topk(spark, sf_dir):
-    """The 15 documents that share most search words with each passage: T1. The passages' words are the only ones that
-    are joined on."""
-    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.explode(t.tokens("text")).alias("word"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(t.tokens("text")).alias("word"))
-    score = wanted.join(docs, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
-    return ordered.quota(score, ["item_id"], [F.desc("score"), "doc_id"], 15, "rank").select("item_id", "rank", "doc_id", "score")
+    """The 15 documents that share most search words with each passage: T1."""
+    wanted = table(spark, sf_dir, "benchmark").select("item_id", t.tokens("text").alias("words"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", t.tokens("text").alias("words"))
+    return searching.top_k(wanted, docs, "item_id", "words", "doc_id", "words")
 
 
 _KEYWORDS = ("license", "token", "the", "der", "les", "los")
