@@ -45,7 +45,7 @@ QUANTITIES = [
     ("a 6-fold sum, later 8×", [(6, "MULTIPLIER"), (8, "MULTIPLIER")]),
     ("₹300K, or 12k steps", [(300000, "INR"), (12000, "COUNT")]),
     ("48 mos of waiting", [(48, "MONTHS")]),
-    ("lists 412 day care items", [(412, "COUNT")]),
+    ("covers 412 day care items", [(412, "COUNT")]),
     ("₹700 per day/₹4,900 max", [(700, "INR"), (4900, "INR")]),
     ("45 days pre/90 days post", [(45, "DAYS"), (90, "DAYS")]),
     ("Level 3 - 25% off", [(25, "PERCENT")]),
@@ -87,7 +87,7 @@ CLAIMED = [
     ("Zone 3", []),
     ("Starplan 3.5", []),
     ("Starplan 3.5 pays up to ₹3.5 lakh", [(350000, "INR")]),
-    ("Prizes 2021", []),
+    ("grown since 2021", []),
     ("24x7 help for 4 members", [(4, "COUNT")]),
 ]
 

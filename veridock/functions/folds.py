@@ -39,13 +39,14 @@ def folded(items: Column, start: Column, step: Callable[[Column, Column], Column
 PLACES = "array<struct<start:int,end:int,raw:string>>"
 
 
-def places(text: Column, pattern: str) -> Column:
+def places(text: Column, pattern: Column | str) -> Column:
     """(start, end, raw) of the matches of a pattern, left to right, in code points from 0."""
-    sizes = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.when(m.isNotNull(), F.struct(F.length(gap).alias("gap"), m.alias("raw"))))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    sizes = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.when(m.isNotNull(), F.struct(F.length(gap).alias("gap"), m.alias("raw"))))
     step = lambda at, m: at + m["gap"] + F.length(m["raw"])
     emit = lambda at, m: F.struct((at + m["gap"]).alias("start"), step(at, m).alias("end"), m["raw"].alias("raw"))
     found = folded(F.filter(sizes, lambda s: s.isNotNull()), F.lit(0), step, emit, PLACES)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(PLACES))
+    return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(PLACES))
 
 
 def between(text: Column, start: Column, end: Column) -> Column:

@@ -6,6 +6,7 @@ looked for by its pattern only where it stands in the text at all.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Sequence
 
@@ -37,7 +38,6 @@ TOPICS = {
 REACH = 60
 
 Terms = tuple[tuple[str, str, bool], ...]
-HITS = "array<struct<start:int,end:int,topic:string>>"
 
 
 def terms(exposures: Sequence[tuple[str, str, Sequence[str]]] = ()) -> Terms:
@@ -57,23 +57,17 @@ def _without(text: Column, names: Sequence[str], edges: tuple[str, str], fill: s
     return text
 
 
-def _as(topic: str) -> Callable[[Column], Column]:
-    return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(topic).alias("topic"))
-
-
 def hits(text: Column, known: Terms, names: tuple[str, ...] = ()) -> Column:
-    """(start, end, topic) of every term, in order; give the normal form of evidence, the plain text of a claim."""
-    by: dict[tuple[str, bool], list[str]] = {}
-    for topic, word, whole in known:
-        by.setdefault((word, whole), []).append(topic)
+    """(start, end, topic) of every term, in order; give the normal form of evidence, the plain text of a claim. The terms are data
+    of one expression, however many there are."""
+    rows = [{"topic": topic, "word": word, "pattern": rf"(?<![a-z0-9]){_quoted(word)}" + (r"(?![a-z0-9])" if whole else "")} for topic, word, whole in known]
+    listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<topic:string,word:string,pattern:string>>")
+
+    def of_term(lowered: Column) -> Callable[[Column], Column]:
+        return lambda term: F.transform(places(lowered, term["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), term["topic"].alias("topic")))
 
     def found(lowered: Column) -> Column:
-        each = []
-        for (word, whole), topics in by.items():
-            at = places(lowered, rf"(?<![a-z0-9]){_quoted(word)}" + (r"(?![a-z0-9])" if whole else ""))
-            there = F.flatten(F.array(*[F.transform(at, _as(topic)) for topic in topics]))
-            each.append(F.when(F.contains(lowered, F.lit(word)), there).otherwise(F.array().cast(HITS)))
-        return F.array_sort(F.flatten(F.array(*each)))
+        return F.array_sort(F.flatten(F.transform(F.filter(listed, lambda term: F.contains(lowered, term["word"])), of_term(lowered))))
 
     lowered = F.lower(F.coalesce(text, F.lit("")))
     return bound(_without(lowered, [n.lower() for n in names], (r"(?<![a-z0-9])", r"(?![a-z0-9+])")), found)

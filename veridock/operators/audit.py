@@ -15,6 +15,7 @@ from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
 from veridock.functions import topics as tp
 from veridock.operators import rules as r
+from veridock.session import stored
 
 # Fixed values.
 NOT_STATED_TEXT = "Not stated in the brochure"
@@ -44,13 +45,13 @@ def read_evidence(evidence: DataFrame, known: tp.Terms, names: tuple[str, ...] =
     ``evidence``: evidence_id, document_id, citable, item_type, section, row_label, column_label, text, tier, variant,
     si_condition, markers, linked."""
     label = lambda c: F.coalesce(c, F.lit(""))
-    e = evidence.withColumn("unmarked", m.masked(F.col("text"), m.spans(F.col("text"), _array("markers"), F.col("item_type") == "FOOTNOTE")))
+    e = stored(evidence.withColumn("unmarked", m.masked(F.col("text"), m.spans(F.col("text"), _array("markers"), F.col("item_type") == "FOOTNOTE"))))
     e = e.withColumn("context", F.concat_ws(" ", "section", label(F.col("row_label")), label(F.col("column_label")), "text"))
-    e = e.withColumn("topics", tp.distinct(tp.hits(t.normalised("context"), known, names)))
+    e = stored(e.withColumn("topics", tp.distinct(tp.hits(t.normalised("context"), known, names))))
     header = F.coalesce(q.header_unit(F.col("row_label")), q.header_unit(F.col("column_label")))
-    e = e.withColumn("header", header).withColumn("own", q.quantities(F.col("unmarked"), True, F.col("header.unit"), F.col("header.scale")))
+    e = stored(e.withColumn("header", header).withColumn("own", q.quantities(F.col("unmarked"), True, F.col("header.unit"), F.col("header.scale"))))
     segments = q.label_segments(F.col("row_label"), F.col("column_label"), F.col("text"))
-    parts = e.select("evidence_id", F.explode(segments).alias("segment")).withColumn("n", q.quantities(F.col("segment"))).withColumn("t", tp.distinct(tp.hits(t.normalised("segment"), known, names)))
+    parts = stored(e.select("evidence_id", F.explode(segments).alias("segment")).withColumn("n", q.quantities(F.col("segment"))).withColumn("t", tp.distinct(tp.hits(t.normalised("segment"), known, names))))
     stated = lambda n, topics, labelled: F.transform(n, lambda x: F.struct(x["value"].alias("value"), x["unit"].alias("unit"), x["raw"].alias("raw"), topics.alias("topics"), F.lit(labelled).alias("label")))
     labels = parts.groupBy("evidence_id").agg(F.flatten(F.collect_list(stated(F.col("n"), F.col("t"), True))).alias("by_label"))
     e = e.join(labels, "evidence_id", "left").withColumn("by_text", stated(F.col("own"), F.col("topics"), False))
@@ -132,7 +133,7 @@ def not_stated_verdicts(claims: DataFrame, cells: DataFrame, aliases: dict[str,
     """Claims that a brochure does not state something: every cell they speak of must be silent. ``claims``: claim_id,
     policy_id, text, match_id, contrary (the reviewer quotes evidence that states it)."""
     named = tuple(a for v in aliases.values() for a in v)
-    c = claims.withColumn("places", tp.hits(t.normalised("text"), known, named)).withColumn("exposures", tp.specific(F.col("places")))
+    c = stored(claims.withColumn("places", tp.hits(t.normalised("text"), known, named)).withColumn("exposures", tp.specific(F.col("places"))))
     d = c.join(absence_checks(cells_of(c, cells)), "claim_id", "left")
     other = F.size(F.array_remove(t.names(aliases, t.normalised("text")), F.col("policy_id"))) > 0
     has, stated = F.coalesce("has_cell", F.lit(False)), F.coalesce("is_stated", F.lit(False))
@@ -168,9 +169,9 @@ def policy_verdicts(claims: DataFrame, verdicts: DataFrame, evidence: DataFrame,
     extra = {"scope": text, "claim_type": F.lit(None).cast("string"), "match_id": F.lit(None).cast("string")}
     c = claims.select("claim_id", "policy_id", "text", *[F.coalesce(k, v).alias(k) if k in claims.columns else v.alias(k) for k, v in extra.items()])
     all_names = (*names, *(a for v in aliases.values() for a in v))
-    c = c.withColumn("claimed", tp.bindings(text, known, all_names)).withColumn("places", tp.hits(t.normalised("text"), known, all_names)).withColumn("scope_topics", tp.distinct(tp.hits(t.normalised("scope"), known, all_names)))
+    c = stored(c.withColumn("claimed", tp.bindings(text, known, all_names)).withColumn("places", tp.hits(t.normalised("text"), known, all_names)).withColumn("scope_topics", tp.distinct(tp.hits(t.normalised("scope"), known, all_names))))
     c = c.withColumn("topics", tp.distinct(F.col("places"))).withColumn("exposures", tp.specific(F.col("places")))
-    v = c.join(verdicts, "claim_id", "left").withColumn("qualified", q.quantities(F.coalesce("required_qualifier", F.lit(""))))
+    v = stored(c.join(verdicts, "claim_id", "left").withColumn("qualified", q.quantities(F.coalesce("required_qualifier", F.lit("")))))
 
     shown = evidence.select("evidence_id", "document_id", "citable", F.col("text").alias("shown"), "unmarked", "section", "stated", F.col("topics").alias("item_topics"), "tier", "variant", "si_condition", "linked")
     cited = v.select("claim_id", "policy_id", F.posexplode(F.array_distinct("supporting_evidence_ids")).alias("place", "evidence_id")).join(shown, "evidence_id", "left")
@@ -193,7 +194,7 @@ def policy_verdicts(claims: DataFrame, verdicts: DataFrame, evidence: DataFrame,
     kind = evidence.schema["stated"].dataType.simpleString()
     d = d.select(*[x for x in d.columns if x not in ("stated", "note_stated", "bodies", "notes", "item_variants", "tiers", "conditions", "item_topics")],
                  *[_array(x, kind).alias(x) for x in ("stated", "note_stated")], *[_array(x).alias(x) for x in ("bodies", "notes", "item_variants", "tiers", "conditions", "item_topics")])
-    d = d.withColumn("n_own", F.coalesce("n_own", F.lit(0))).withColumn("ranges", q.sum_insured_ranges(F.array_join("conditions", " ; ")))
+    d = stored(d.withColumn("n_own", F.coalesce("n_own", F.lit(0))).withColumn("ranges", q.sum_insured_ranges(F.array_join("conditions", " ; "))))
     if policies is not None:
         d = d.join(policies.select("policy_id", F.col("variants").alias("all_variants")), "policy_id", "left")
     d = d.withColumn("all_variants", _array("all_variants")) if policies is not None else d.withColumn("all_variants", F.col("item_variants"))
@@ -244,8 +245,8 @@ def policy_verdicts(claims: DataFrame, verdicts: DataFrame, evidence: DataFrame,
 def record_verdicts(claims: DataFrame, verdicts: DataFrame, records: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Audit of statements about the adviser's own capabilities: only its records count, no product may be named, and words that
     a record says to keep must be there. ``records``: evidence_id, text, required (words to keep)."""
-    c = claims.withColumn("claimed", q.quantities(F.col("text"), False)).join(verdicts, "claim_id", "left")
-    shown = records.select("evidence_id", F.col("text").alias("shown"), "required", q.quantities(F.col("text")).alias("stated"))
+    c = stored(claims.withColumn("claimed", q.quantities(F.col("text"), False)).join(verdicts, "claim_id", "left"))
+    shown = stored(records.select("evidence_id", F.col("text").alias("shown"), "required", q.quantities(F.col("text")).alias("stated")))
     cited = c.select("claim_id", F.explode(F.array_distinct("supporting_evidence_ids")).alias("evidence_id")).join(shown, "evidence_id", "left")
     known = F.col("shown").isNotNull()
     by_item = cited.groupBy("claim_id").agg(F.bool_or(~known).alias("foreign"), F.count_if(known).alias("n_own"), F.flatten(F.collect_list("stated")).alias("stated"), F.concat_ws(" ", F.array_sort(F.collect_list("shown"))).alias("body"), F.array_distinct(F.flatten(F.collect_list("required"))).alias("required"))
@@ -277,7 +278,7 @@ def web_problems(facts: DataFrame, pages: DataFrame, least_words: int = 4) -> Da
     said = facts.select(*key, F.explode("quotes").alias("quote")).withColumn("short", F.size(F.split(F.trim("quote"), r"\s+")) < least_words)
     hits = said.join(cited.where("content is not null"), key, "left").groupBy(*key, "quote").agg(F.bool_or(F.coalesce(t.quoted_in("quote", F.coalesce("content", F.lit(""))), F.lit(False))).alias("found"), F.first("short").alias("short"))
     quotes = hits.groupBy(*key).agg(F.bool_or("short").alias("short"), F.bool_or(~F.col("short") & ~F.col("found")).alias("missing"))
-    d = facts.withColumn("claimed", q.quantities(F.col("value"), False)).withColumn("given", q.quantities(F.array_join("quotes", " \n "), False)).join(unknown, key, "left").join(quotes, key, "left")
+    d = stored(facts.withColumn("claimed", q.quantities(F.col("value"), False)).withColumn("given", q.quantities(F.array_join("quotes", " \n "), False))).join(unknown, key, "left").join(quotes, key, "left")
     bound = lambda c: F.regexp_like(F.substring(F.col("value"), F.lit(1), c["start"]), F.lit(r"(?i)(?:over|more than|above|at least)\s*$")) | F.endswith(c["raw"], F.lit("+")) | F.regexp_like(F.substring(F.col("value"), c["end"] + 1, F.lit(3)), F.lit(r"^\s*\+"))
     stated = lambda c: F.exists("given", lambda g: q.equal(c, g)) | (bound(c) & q.at_least(c, F.col("given")))
     stem = lambda w: F.left(F.regexp_replace(F.replace(F.lower(w), F.lit("’"), F.lit("'")), r"^['-]+|['-]+$", ""), F.lit(t.STEM))
@@ -318,7 +319,7 @@ def company_verdicts(claims: DataFrame, facts: DataFrame, runs: DataFrame) -> Da
         F.bool_and((F.col("status") == "WEB_SOURCED") & (F.size("problems") == 0)).alias("checked"),
     )
     d = claims.join(by, key, "left").join(runs, "run_id", "left").withColumn("values", _array("values"))
-    d = d.withColumn("claimed", q.quantities(F.col("text"), False)).withColumn("given", q.quantities(F.array_join("values", " \n "), False))
+    d = stored(d.withColumn("claimed", q.quantities(F.col("text"), False)).withColumn("given", q.quantities(F.array_join("values", " \n "), False)))
     numbers = q.number_check(F.col("claimed"), F.col("given"))
     extra = F.array_except(t.stems("text", F.coalesce("company", F.lit(""))), F.flatten(F.transform("values", t.stems)))
     profile, mapped = F.coalesce("has_profile", F.lit(False)), (F.coalesce("n", F.lit(0)) > 0) & (F.coalesce("unknown", F.lit(0)) == 0)
@@ -342,7 +343,7 @@ def link_verdicts(claims: DataFrame, facts: DataFrame, aliases: dict[str, list[s
     key = ["run_id", "claim_id"]
     basis = claims.select(*key, F.explode("basis_fact_ids").alias("fact_id")).join(facts.select("run_id", "fact_id", "value"), ["run_id", "fact_id"], "left")
     by = basis.groupBy(*key).agg(F.bool_and(F.col("value").isNotNull()).alias("all_known"), F.array_compact(F.array_sort(F.collect_list("value"))).alias("values"))
-    d = claims.join(by, key, "left").withColumn("claimed", q.quantities(F.col("text"), False)).withColumn("given", q.quantities(F.array_join(_array("values"), " \n "), False))
+    d = stored(claims.join(by, key, "left").withColumn("claimed", q.quantities(F.col("text"), False)).withColumn("given", q.quantities(F.array_join(_array("values"), " \n "), False)))
     other = q.number_check(F.col("claimed"), F.col("given")).isin("FAIL_CONTRADICTED", "FAIL_MISSING") | (F.size(t.names(aliases, t.normalised("text"))) > 0)
     return d.select(*key, F.when(~F.coalesce("all_known", F.lit(False)) | other, "NEEDS_REVIEW").otherwise("NON_FACTUAL").alias("status"))
 
@@ -359,7 +360,7 @@ def routed(claims: DataFrame, policies: DataFrame, aliases: dict[str, list[str]]
     ``claims``: claim_id, slide, claim_type, policy_id, match_id, text, n_basis; ``policies``: policy_id."""
     products = "|".join(f"\\Q{n}\\E" for n in names)
     plain = F.regexp_replace("text", f"(?i){products}", " ") if names else F.col("text")
-    d = claims.withColumn("numbered", F.size(q.quantities(plain, False)) > 0).withColumn("named", t.names(aliases, t.normalised("text")))
+    d = stored(claims.withColumn("numbered", F.size(q.quantities(plain, False)) > 0).withColumn("named", t.names(aliases, t.normalised("text"))))
     d = d.withColumn("about", F.coalesce("policy_id", F.when(F.size("named") == 1, F.col("named")[0])))
     d = d.join(policies.select(F.col("policy_id").alias("about"), F.lit(True).alias("audited")), "about", "left").withColumn("audited", F.coalesce("audited", F.lit(False)))
     kind, slide = F.col("claim_type"), F.col("slide")
@@ -440,7 +441,7 @@ def claim_problems(claims: DataFrame, aliases: dict[str, list[str]], rules: tupl
 
 def cell_absence_errors(claims: DataFrame, cells: DataFrame, known: tp.Terms, names: tuple[str, ...] = ()) -> DataFrame:
     """(claim_id, errors): what the coverage cells hold against statements of absence. ``claims``: claim_id, policy_id, text."""
-    c = claims.withColumn("exposures", F.array_distinct(F.filter(F.transform(tp.hits(t.normalised("text"), known, names), lambda h: h["topic"]), lambda x: F.startswith(x, F.lit("EXP-")))))
+    c = stored(claims.withColumn("exposures", F.array_distinct(F.filter(F.transform(tp.hits(t.normalised("text"), known, names), lambda h: h["topic"]), lambda x: F.startswith(x, F.lit("EXP-"))))))
     c = c.withColumn("silent", p.says_not_stated(F.col("text"))).withColumn("absent", p.says_absence(F.col("text")))
     found = c.where("silent or absent").select("claim_id", "policy_id", "silent", F.explode("exposures").alias("exposure_id")).join(cells, ["policy_id", "exposure_id"], "left")
     fine = F.col("evidenced") & F.col("status").isin("EXCLUDED", "COVERED_VIA_ADDON")
