@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from veridock.plans import checks, quantities, star, text  # noqa: F401
+from veridock.plans import checks, logs, quantities, star, text  # noqa: F401
 from veridock.plans.registry import QUERIES, SQL  # noqa: F401
