@@ -33,7 +33,7 @@ CITED = 50
   CASE number WHEN 0 THEN 'PASS' WHEN 3 THEN 'FAIL_MISSING' ELSE 'FAIL_CONTRADICTED' END AS number_check, array_to_string([x FOR x IN [CASE WHEN f_owner THEN 'ownership' END, CASE WHEN f_quote THEN 'quotes' END, CASE WHEN f_number THEN 'numbers' END, CASE WHEN f_absolute THEN 'absolute' END] IF x IS NOT NULL], ',') AS failed FROM f""")
 def audited_statements(spark, sf_dir):
     """Statements made from turns, which cite passages and quote their first line, some with words or amounts that the passages
-    do not have: R2 R3 F2 N5 N6 N7 J1 A16 X1."""
+    do not have: R2 (ownership, quotes, numbers, absolute wordings), F2 N1 N4 N5 N6 N7 A16."""
     amount = lambda i: F.format_string("%d", 100 + i * 10)
     body = F.regexp_replace("text", "[0-9]", "")
     items = table(spark, sf_dir, "benchmark").select(
