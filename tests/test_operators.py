@@ -71,6 +71,29 @@ def test_places(spark):
     assert sorted(r.text for r in joins.not_contained(inner, boxes).collect()) == ["A cell", "other"]
 
 
+def test_not_contained_equals_all_pairs(spark):
+    rng = random.Random(9)
+
+    def made(n, most):
+        rows = []
+        for _ in range(n):
+            x, y = rng.uniform(-150, 500), rng.uniform(-150, 500)
+            rows.append((rng.choice([1, 2, None]), x, y, x + rng.uniform(0, most), y + rng.uniform(0, most), " ".join(rng.sample(["red", "green", "blue", "grey"], rng.randrange(1, 4)))))
+        return rows
+
+    inner, boxes = made(250, 20), made(60, 300)
+    inner += [(1, x0 - 3.0, y0 - 3.0, x1 + 3.0, y1 + 3.0, text) for p, x0, y0, x1, y1, text in boxes if p == 1] + [(1, None, 1.0, 2.0, 3.0, "red")]
+    schema = "page int, x0 double, y0 double, x1 double, y1 double, text string"
+
+    def lies(a, b):
+        return None not in (a[0], a[1]) and a[0] == b[0] and a[1] >= b[1] - 3 and a[2] >= b[2] - 3 and a[3] <= b[3] + 3 and a[4] <= b[4] + 3 and a[5] in b[5]
+
+    got = joins.not_contained(spark.createDataFrame(inner, schema), spark.createDataFrame(boxes, schema))
+    want = [a for a in inner if not any(lies(a, b) for b in boxes)]
+    assert got.columns == ["page", "x0", "y0", "x1", "y1", "text"] and len(want) < len(inner) - 30
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_lattice(spark):
     df = spark.createDataFrame([("VERIFIED", ["NEEDS_REVIEW", "UNSUPPORTED"]), ("CONTRADICTED", ["NEEDS_REVIEW"]), ("VERIFIED", []), ("NON_FACTUAL", [])], "s string, c array<string>")
     assert [r[0] for r in df.select(rules.capped(F.col("s"), F.col("c"))).collect()] == ["UNSUPPORTED", "CONTRADICTED", "VERIFIED", "NON_FACTUAL"]

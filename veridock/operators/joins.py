@@ -43,11 +43,18 @@ def closest_above(blocks: DataFrame, headings: DataFrame, page: str = "page") ->
     return pairs.withColumn("_rank", F.row_number().over(W.partitionBy("id").orderBy(gap, "hid"))).where("_rank = 1").drop("_rank")
 
 
-def not_contained(inner: DataFrame, boxes: DataFrame, page: str = "page", slack: float = 3.0) -> DataFrame:
-    """Rows of ``inner`` (page, x0, y0, x1, y1, text) that lie in no box of the page whose text has theirs."""
-    b = boxes.select(F.col(page).alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1", "text")])
+def not_contained(inner: DataFrame, boxes: DataFrame, page: str = "page", slack: float = 3.0, width: float = 100.0) -> DataFrame:
+    """Rows of ``inner`` (page, x0, y0, x1, y1, text) that lie in no box of the page whose text has theirs.
+
+    The page is cut into squares of ``width``; a box is in each that it reaches into, a row where its first corner is, and rows meet
+    boxes of their square only. Normal forms are columns, taken once a text. A row with a null place lies in no box."""
+    square = lambda low, high: F.explode(F.sequence(F.floor((F.col(low) - slack) / width), F.floor((F.col(high) + slack) / width)))
+    b = boxes.select(F.col(page).alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")], t.normalised("text").alias("_shown"))
+    b = b.where("_x0 <= _x1 and _y0 <= _y1").withColumn("_cx", square("_x0", "_x1")).withColumn("_cy", square("_y0", "_y1"))
+    rows = inner.withColumns({"_wanted": t.normalised("text"), "_ix": F.floor(F.col("x0") / width), "_iy": F.floor(F.col("y0") / width)})
+    meets = (F.col(page) == F.col("_p")) & (F.col("_ix") == F.col("_cx")) & (F.col("_iy") == F.col("_cy"))
     inside = (F.col("x0") >= F.col("_x0") - slack) & (F.col("y0") >= F.col("_y0") - slack) & (F.col("x1") <= F.col("_x1") + slack) & (F.col("y1") <= F.col("_y1") + slack)
-    return inner.join(b, (F.col(page) == F.col("_p")) & inside & F.contains(t.normalised("_text"), t.normalised("text")), "left_anti")
+    return rows.join(b, meets & inside & F.contains("_shown", F.col("_wanted")), "left_anti").drop("_wanted", "_ix", "_iy")
 
 
 def tolerant(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float = q.TOLERANCE) -> DataFrame:
