@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veridock.operators import claims, joins, ordered, rules
@@ -71,6 +72,25 @@ def test_places(spark):
     assert sorted(r.text for r in joins.not_contained(inner, boxes).collect()) == ["A cell", "other"]
 
 
+@pytest.mark.parametrize("height", [0.5, 3.0, 1000.0])
+def test_closest_above_equals_all_pairs(spark, height):
+    rng = random.Random(10)
+    box = lambda: (rng.choice([1, 1, 1, 2]), rng.randrange(40) * 1.0, rng.randrange(9) * 1.0)
+    blocks = [(p, i, x, x + w, rng.randrange(-20, 200) / 2) for i, (p, x, w) in enumerate(box() for _ in range(150))] + [(1, 900, None, 3.0, 1.0), (3, 901, 0.0, 5.0, 1.0), (1, 902, 0.0, 50.0, None), (1, 903, 0.0, 50.0, 99.0), (1, 904, 0.0, 50.0, 99.0)]
+    heads = [(p, i, x, x + w, rng.randrange(-20, 200) / 2) for i, (p, x, w) in enumerate(box() for _ in range(25))] + [(1, 800, 1.0, 2.0, None), (1, 801, 2.0, None, 5.0)]
+
+    def nearest(p, x0, x1, top):
+        fit = [(abs(b - top), h) for q, h, a, z, b in heads if None not in (x0, top, z, b) and q == p and b >= top - 2 and min(x1, z) > max(x0, a)]
+        return min(fit, default=(None, None))[1]
+
+    scratch(spark)
+    b = spark.createDataFrame(blocks, "page int, id int, x0 double, x1 double, top double")
+    h = spark.createDataFrame(heads, "page int, hid int, hx0 double, hx1 double, bottom double")
+    got = {r.id: r.hid for r in joins.closest_above(b, h, width=7.0, height=height).collect()}
+    assert got == {i: nearest(p, x0, x1, top) for p, i, x0, x1, top in blocks if nearest(p, x0, x1, top) is not None}
+    assert joins.closest_above(b, h.limit(0)).count() == joins.closest_above(b.limit(0), h).count() == 0
+
+
 def test_not_contained_equals_all_pairs(spark):
     rng = random.Random(9)
 

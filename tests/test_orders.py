@@ -72,3 +72,38 @@ def test_roll_up_has_no_depth(spark):
     assert got == {f"s{i}": n - i for i in range(n)}
     got = {r["step"]: r["calls"] for r in rules.rolled_up(spark.createDataFrame(odd, steps.schema)).collect()}
     assert got == {"a": 2, "b": 3, "c": 5, "d": 31, "e": 11, "f": 13}  # a, b in a circle, c below it
+
+
+def test_clusters_equal_the_fold(spark):
+    import math
+
+    rng = random.Random(12)
+    groups = {"grid": [i / 4 for i in range(300)], "dense": [rng.random() for _ in range(200)], "wide": [rng.random() * 400 for _ in range(600)], "one": [5.0], None: [3.0, 3.0, 3.5, 9.0, -math.inf, math.inf, math.inf]}
+    rows = [(k, v, i) for k, vs in groups.items() for i, v in enumerate(vs)] + [("one", None, 7), ("one", math.nan, 8), ("none", None, 0)]
+    scratch(spark)
+    df = spark.createDataFrame(rows, "g string, y double, i int").repartition(5)
+    for gap in (1.0, 0.3, 30.0):
+        got = {(r.g, r.i): r.cluster for r in ordered.clustered(df, ["g"], "y", gap).collect()}
+        assert len(got) == len(rows)
+        for k, vs in groups.items():
+            first, n = None, 0
+            for v, i in sorted((v, i) for i, v in enumerate(vs)):
+                if first is None or v - first >= gap:
+                    first, n = v, n + 1
+                assert got[k, i] == n, (gap, k, v)
+        assert got["one", 7] is None and got["one", 8] is None and got["none", 0] is None
+    assert ordered.clustered(df.limit(0), ["g"], "y", 1.0).count() == 0
+    assert ordered.clustered(df.where("g = 'wide'"), [], "y", 1.0).agg({"cluster": "max"}).first()[0] == max(v for (k, _), v in {(r.g, r.i): r.cluster for r in ordered.clustered(df, ["g"], "y", 1.0).collect()}.items() if k == "wide")
+
+
+def test_one_group_of_a_million_values(spark):
+    """All in one group: its blocks are composed, and what meets in one task is a few rows of each."""
+    scratch(spark)
+    df = spark.range(1_000_000).selectExpr("'a' as g", "cast(id * 7919 % 1000003 as double) as y")
+    got = ordered.clustered(df, ["g"], "y", 10.0).groupBy("cluster").agg({"y": "min"}).toDF("c", "y").orderBy("c").collect()
+    values = sorted(float(i * 7919 % 1000003) for i in range(1_000_000))
+    want = []
+    for v in values:
+        if not want or v - want[-1] >= 10.0:
+            want.append(v)
+    assert [(r.c, r.y) for r in got] == list(enumerate(want, 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from veridock.functions import predicates as p
 from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
+from veridock.session import stored
 
 
 def _cells(start: Column, end: Column, width: float) -> Column:
@@ -35,12 +38,36 @@ def overlapping(intervals: DataFrame, key: str, id_col: str, start: str, end: st
     return seen.where((F.col("_before") > F.col(start)) | (F.col("_next") < F.col(end))).select(id_col).distinct()
 
 
-def closest_above(blocks: DataFrame, headings: DataFrame, page: str = "page") -> DataFrame:
-    """The heading above each block (y grows upward; its bottom at most 2 below the block's top) that overlaps it sideways,
-    of smallest gap, the first of equal ones. ``blocks``: page, id, x0, x1, top; ``headings``: page, hid, hx0, hx1, bottom."""
-    pairs = blocks.join(headings, page).where((F.col("bottom") >= F.col("top") - 2) & (F.least("x1", "hx1") > F.greatest("x0", "hx0")))
-    gap = F.abs(F.col("bottom") - F.col("top"))
-    return pairs.withColumn("_rank", F.row_number().over(W.partitionBy("id").orderBy(gap, "hid"))).where("_rank = 1").drop("_rank")
+def closest_above(blocks: DataFrame, headings: DataFrame, page: str = "page", slack: float = 2.0, width: float = 100.0, height: float = 100.0) -> DataFrame:
+    """The heading above each block (y grows upward; its bottom at most ``slack`` below the block's top) that overlaps it
+    sideways, of smallest gap, of equal ones the smallest hid. ``blocks``: page, id, x0, x1, top and more; ``headings``: page, hid, hx0,
+    hx1, bottom. Blocks without one, without width or with a null place are left out.
+
+    Pages are cut into a grid, and boxes meet those of their cells only. A block first looks ``height`` far; what it finds
+    within that is its nearest. Those that find nothing look four times as far, in cells four times as high, up to the height
+    of what there is: as many rounds as that has digits to base four. Equal places are looked up once, so that a place many
+    blocks share is no hot one. ``width`` should be near that of a box, which is in as many columns as it touches."""
+    columns = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
+    place = [page, "x0", "x1", "top"]
+    heads = headings.where("hx0 < hx1").groupBy(page, "hx0", "hx1", "bottom").agg(F.min("hid").alias("hid")).withColumn("_cx", columns("hx0", "hx1"))
+    heads = stored(heads.where("bottom is not null"))
+    left = stored(blocks.where("x0 < x1 and top is not null").select(*place).distinct())
+    low, high = left.agg(F.min("top")).first()[0], heads.agg(F.max("bottom")).first()[0]
+    span = 0.0 if low is None or high is None else high - low + 2 * slack
+    reach, last, found = height, False, []
+    while not last:
+        last = reach > span
+        cells = F.explode(F.sequence(F.floor((F.col("top") - slack) / reach), F.floor((F.col("top") + reach) / reach)))
+        asking = left.withColumn("_cx", columns("x0", "x1")).withColumn("_cy", cells)
+        met = asking.join(heads.withColumn("_cy", F.floor(F.col("bottom") / reach)), [page, "_cx", "_cy"])
+        gap = F.abs(F.col("bottom") - F.col("top"))
+        near = met.where((F.col("bottom") >= F.col("top") - slack) & (gap < reach) & (F.least("x1", "hx1") > F.greatest("x0", "hx0")))
+        best = stored(near.groupBy(*place).agg(F.min(F.struct(gap.alias("gap"), "hid", "hx0", "hx1", "bottom")).alias("_best")))
+        found.append(best)
+        left = left if last else stored(left.join(best, place, "left_anti"))
+        reach *= 4
+    best = reduce(DataFrame.unionByName, found).select(*place, "_best.hid", "_best.hx0", "_best.hx1", "_best.bottom")
+    return blocks.join(best, place)
 
 
 def not_contained(inner: DataFrame, boxes: DataFrame, page: str = "page", slack: float = 3.0, width: float = 100.0) -> DataFrame:

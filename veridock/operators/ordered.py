@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from veridock.session import stored
+
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "seq") -> DataFrame:
     """A running number from 1 within each group."""
@@ -40,6 +42,104 @@ def anchored(values: Column, gap: float) -> Column:
     return F.aggregate(values, zero, step, lambda acc: acc["out"])
 
 
+def _summaries(gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each (group, block) of ascending values, what becomes of an anchor that enters it: its first value that is ``gap`` or
+    more above the anchor begins a cluster, and from there on all is settled. One row for each run of first values (``high`` is
+    the run's largest) with the same last anchor and the same number of clusters."""
+
+    def settle(key: tuple[str, int], values: list[float]) -> Iterator[tuple[str, int, float, float, int]]:
+        n, after = len(values), len(values)
+        last, count, following = [0.0] * n, [0] * n, [n] * n
+        for i in range(n - 1, -1, -1):
+            while after > i + 1 and values[after - 1] - values[i] >= gap:
+                after -= 1
+            following[i] = after
+            last[i], count[i] = (values[i], 1) if after == n else (last[after], count[after] + 1)
+        until = min(following[0], n - 1)
+        for i in range(until + 1):
+            if i == until or (last[i], count[i]) != (last[i + 1], count[i + 1]):
+                yield (*key, values[i], last[i], count[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("k", pa.string()), ("block", pa.int32()), ("high", pa.float64()), ("last", pa.float64()), ("n", pa.int64())])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        key, values = None, []
+        for batch in batches:
+            for k, b, v in zip(*(batch.column(c).to_pylist() for c in ("k", "block", "v")), strict=True):
+                if (k, b) != key and values:
+                    yield made(list(settle(key, values)))
+                    values = []
+                key = (k, b)
+                values.append(v)
+        if values:
+            yield made(list(settle(key, values)))
+
+    return run
+
+
+def _entries(gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The summaries of a group's blocks in order, to the anchor and the cluster number with which each block is entered. Only
+    these two are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, anchor, number, entered = None, None, None, 0, True
+        for batch in batches:
+            out = ([], [], [], [])
+            for k, b, high, last, n in zip(*(batch.column(c).to_pylist() for c in ("k", "block", "high", "last", "n")), strict=True):
+                if k != key:
+                    key, block, anchor, number = k, None, None, 0
+                if b != block:
+                    block, entered = b, False
+                    for column, x in zip(out, (k, b, anchor, number), strict=True):
+                        column.append(x)
+                if not entered and (anchor is None or high - anchor >= gap):
+                    anchor, number, entered = last, number + n, True
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["k", "block", "anchor", "number"])
+
+    return run
+
+
+def _numbers(gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cluster of each value, from the anchor and the number with which its block is entered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, anchor, number = None, None, 0
+        for batch in batches:
+            out = []
+            for k, b, v, first, before in zip(*(batch.column(c).to_pylist() for c in ("k", "block", "v", "anchor", "number")), strict=True):
+                if (k, b) != key:
+                    key, anchor, number = (k, b), first, before or 0
+                if anchor is None or v - anchor >= gap:
+                    anchor, number = v, number + 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.array(out, pa.int64())], names=["k", "v", "cluster"])
+
+    return run
+
+
+def clustered(df: DataFrame, by: Sequence[str], value: str, gap: float, name: str = "cluster") -> DataFrame:
+    """``anchored`` for groups of any size: rows of a group by ascending value, numbered from 1; a new cluster begins where a
+    value is ``gap`` or more above the first of the current one. Null values and NaN get a null cluster; infinite ones stand
+    at the ends, each infinity in one cluster.
+
+    Different values are sorted by range, so a large group lies in several blocks, one a partition. Where a cluster begins
+    depends on all before it, but a block's effect on whatever anchor enters it is a step function of few rows. These
+    alone are composed in order; then each block numbers its own values."""
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    v = F.col(value).cast("double")
+    rows = df.withColumns({"_k": key, "_v": F.when(v == 0, F.lit(0.0)).when(~F.isnan(v), v)})
+    parts = rows.where("_v is not null").select(F.col("_k").alias("k"), F.col("_v").alias("v")).distinct()
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stored(parts.repartitionByRange(count, "k", "v").withColumn("block", F.spark_partition_id()))
+    across = blocks.groupBy("k").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("k")
+    inside = lambda d: d.repartition("block").sortWithinPartitions("block", "k", "v")
+    effects = inside(blocks.join(across, "k", "left_semi")).mapInArrow(_summaries(gap), "k string, block int, high double, last double, n long")
+    entries = effects.repartition("k").sortWithinPartitions("k", "block", "high").mapInArrow(_entries(gap), "k string, block int, anchor double, number long")
+    numbered_values = inside(blocks.join(entries, ["k", "block"], "left")).mapInArrow(_numbers(gap), "k string, v double, cluster long")
+    found = numbered_values.select(F.col("k").alias("_k"), F.col("v").alias("_v"), F.col("cluster").alias(name))
+    return rows.join(found, ["_k", "_v"], "left").drop("_k", "_v")
+
+
 def filled(df: DataFrame, by: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
     """The last value that is there, in order."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
