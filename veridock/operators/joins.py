@@ -62,9 +62,10 @@ def closest_above(blocks: DataFrame, headings: DataFrame, page: str = "page", sl
         met = asking.join(heads.withColumn("_cy", F.floor(F.col("bottom") / reach)), [page, "_cx", "_cy"])
         gap = F.abs(F.col("bottom") - F.col("top"))
         near = met.where((F.col("bottom") >= F.col("top") - slack) & (gap < reach) & (F.least("x1", "hx1") > F.greatest("x0", "hx0")))
-        best = stored(near.groupBy(*place).agg(F.min(F.struct(gap.alias("gap"), "hid", "hx0", "hx1", "bottom")).alias("_best")))
-        found.append(best)
-        left = left if last else stored(left.join(best, place, "left_anti"))
+        best = near.groupBy(*place).agg(F.min(F.struct(gap.alias("gap"), "hid", "hx0", "hx1", "bottom")).alias("_best"))
+        asked = stored(left.join(best, place, "left"))
+        found.append(asked.where("_best is not null"))
+        left = asked.where("_best is null").select(*place)
         reach *= 4
     best = reduce(DataFrame.unionByName, found).select(*place, "_best.hid", "_best.hx0", "_best.hx1", "_best.bottom")
     return blocks.join(best, place)
