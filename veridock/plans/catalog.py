@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from veridock.plans import checks, incremental, logs, places, quantities, star, text  # noqa: F401
+from veridock.plans import checks, incremental, judged, logs, places, quantities, star, text  # noqa: F401
 from veridock.plans.registry import QUERIES, SQL  # noqa: F401
