@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from veridock.functions import predicates as p
 from veridock.functions import textnorm as t
-from veridock.operators import audit, rules
+from veridock.operators import audit, ordered, rules
 from veridock.plans.registry import query
-from veridock.plans.text import _EDGES, _norm
+from veridock.plans.text import _BOILER, _EDGES, _norm
 from veridock.session import spread, table
 
 #: Words of the driver's texts that stand for the names of two products; a third is asked about and not known.
@@ -113,3 +113,28 @@ def checked_facts(spark, sf_dir):
     )
     out = audit.resolved_facts(facts, pages.select(F.col("page_id").alias("run_id"), F.lit("W1").alias("source_id"), F.col("title").alias("content")))
     return out.select(F.col("run_id").alias("page_id"), "status", F.array_join("problems", ", ").alias("problems"))
+
+
+#: Firms that are asked about in each language; the words are of the driver's texts and hosts, whose common parent is left out.
+FIRMS = {"en": "Than Tionsh Ltd", "fr": "Pour Tionsh", "de": "Nicht Tionsh plc", "es": "Para Ththan"}
+_TOKENS_OF = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v.lower().split() if w not in t.NAME_FILLERS)}]" for k, v in FIRMS.items())
+
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract(html, 'lang="([a-z]*)"', 1) AS lang, replace(lower(url), '.example.', '.') AS url, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+', ' ', 'g')) AS head, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS raw FROM pages),
+ line AS (SELECT page_id, head, trim(regexp_replace(u.s, '\s+', ' ', 'g')) AS s, u.ord FROM p, unnest(regexp_split_to_array(raw, '\r\n|[\n\r]')) WITH ORDINALITY AS u(s, ord)),
+ kept AS (SELECT page_id, s, min(ord) AS ord FROM line WHERE length(s) >= 30 AND NOT regexp_matches(s, '{_BOILER}') AND NOT contains(head, s) GROUP BY page_id, s),
+ body AS (SELECT page_id, string_agg(s, chr(10) ORDER BY ord) AS b FROM kept GROUP BY page_id),
+ x AS (SELECT page_id, lang, CASE lang {_TOKENS_OF} END AS words, head, left(CASE WHEN head = '' THEN coalesce(b, '') WHEN b IS NULL THEN head ELSE head || chr(10) || b END, 4000) AS text, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^(www[0-9]*|en|m)\.', '') AS site, page_id * 7919 % 1000 AS score FROM p LEFT JOIN body USING (page_id)),
+ o AS (SELECT *, string_split(site, '.') AS parts, array_to_string(words, '') AS whole, parts[greatest(len(parts) - 1, 1)] AS label, list_contains(words, label) OR label = whole OR starts_with(label, whole) AS official FROM x WHERE words IS NOT NULL AND text <> ''),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY official DESC, score DESC, page_id) AS rank FROM o WHERE len([w FOR w IN words IF contains(lower(head || ' ' || text), w)]) > 0)
+ SELECT lang, CAST(rank AS INTEGER) AS rank, page_id, official, length(text) AS n_chars FROM r WHERE rank <= 6""")
+def ranked_pages(spark, sf_dir):
+    """Of the pages in a language that name the firm asked about, the six best: the firm's own ones first, then by score: T2 P15 P16 F11."""
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    lang = F.regexp_extract("html", 'lang="([a-z]*)"', 1)
+    firm = F.coalesce(*[F.when(lang == k, v) for k, v in FIRMS.items()])
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    rows = pages.select("page_id", lang.alias("lang"), t.name_tokens(firm).alias("tokens"), F.replace(F.lower("url"), F.lit(".example."), F.lit(".")).alias("url"), t.squeezed(title).alias("title"), t.page_text(title, F.regexp_replace("html", "<[^>]*>", "\n")).alias("text"), F.expr("page_id * 7919 % 1000").alias("score")).where(firm.isNotNull())
+    named = rows.where((F.col("text") != "") & F.exists("tokens", lambda w: F.contains(F.lower(F.concat_ws(" ", "title", "text")), w)))
+    found = named.select("lang", "page_id", "score", t.is_official("url", F.col("tokens")).alias("official"), F.length("text").alias("n_chars"))
+    return ordered.quota(found, ["lang"], [F.desc("official"), F.desc("score"), "page_id"], 6, "rank").select("lang", "rank", "page_id", "official", "n_chars")
