@@ -8,18 +8,20 @@ from pyspark.sql import Window as W
 
 from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
+from veridock.operators import searching
 from veridock.operators.rules import COVERED
 
 
 def retrieved(queries: DataFrame, evidence: DataFrame, most: int = 15) -> DataFrame:
-    """For each query the citable items of its policy that share most search words, with the citable footnotes they link
-    to, in document order. ``queries``: query_id, policy_id, text; ``evidence``: evidence_id, document_id, ord, section,
+    """For each query the citable items of its policy that share most search words (``searching.top_k``, of equal ones the first in
+    the document), with the citable footnotes they link to. Queries and items without a policy find nothing.
+    ``queries``: query_id (unique), policy_id, text; ``evidence``: evidence_id, document_id, ord, section,
     row_label, text, citable, linked_footnote_ids."""
     live = evidence.where("citable")
-    words = live.select("evidence_id", "document_id", "ord", F.explode(t.tokens(F.concat_ws(" ", "section", "row_label", "text"))).alias("w"))
-    asked = queries.select("query_id", F.col("policy_id").alias("document_id"), F.explode(t.tokens("text")).alias("w"))
-    score = asked.join(words, ["document_id", "w"]).groupBy("query_id", "evidence_id", "ord").agg(F.count("*").alias("score"))
-    top = score.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "ord"))).where(F.col("n") <= most).select("query_id", "evidence_id")
+    own = lambda c: F.transform(t.tokens(c), lambda w: F.concat_ws("\n", "document_id", w))  # noqa: E731  words of one policy meet no other's
+    items = live.where("document_id is not null").select(F.struct("ord", "evidence_id").alias("item"), own(F.concat_ws(" ", "section", "row_label", "text")).alias("words"))
+    asked = queries.where("policy_id is not null").withColumn("document_id", F.col("policy_id")).select("query_id", own(F.col("text")).alias("asked"))
+    top = searching.top_k(asked, items, "query_id", "asked", "item", "words", most).select("query_id", "item.evidence_id")
     notes = top.join(live.select("evidence_id", F.explode("linked_footnote_ids").alias("note")), "evidence_id").select("query_id", F.col("note").alias("evidence_id"))
     return top.unionByName(notes).distinct().join(live, "evidence_id").select("query_id", "evidence_id", "ord")
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from veridock.functions import predicates as p
 from veridock.functions import textnorm as t
-from veridock.operators import audit, ordered, rules
+from veridock.operators import audit, ordered, rules, selection
 from veridock.plans.registry import query
-from veridock.plans.text import _BOILER, _EDGES, _norm
-from veridock.session import spread, table
+from veridock.plans.text import _BOILER, _EDGES, _TOKENS, _norm
+from veridock.session import spread, stored, table
+from veridock.sources import evidence
 
 #: Words of the driver's texts that stand for the names of two products; a third is asked about and not known.
 ALIASES = {"POL-A": ["that", "pas"], "POL-B": ["with", "est", "die"]}
@@ -138,3 +139,26 @@ def ranked_pages(spark, sf_dir):
     named = rows.where((F.col("text") != "") & F.exists("tokens", lambda w: F.contains(F.lower(F.concat_ws(" ", "title", "text")), w)))
     found = named.select("lang", "page_id", "score", t.is_official("url", F.col("tokens")).alias("official"), F.length("text").alias("n_chars"))
     return ordered.quota(found, ["lang"], [F.desc("official"), F.desc("score"), "page_id"], 6, "rank").select("lang", "rank", "page_id", "official", "n_chars")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents WHERE doc_id IS NOT NULL),
+ k AS (SELECT *, place // 6 AS section, place % 6 = 0 AS heading, place % 6 = 5 OR len(regexp_extract_all(line, '\\S+')) >= {evidence.LEAST_WORDS} AS own FROM l),
+ i AS (SELECT *, own OR (heading AND bool_or(own AND NOT heading) OVER (PARTITION BY doc_id, section)) AS citable FROM k),
+ a AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+ qw AS (SELECT conv_id, turn, unnest({_TOKENS.format('text')}) AS w FROM a), iw AS (SELECT doc_id, place, unnest({_TOKENS.format("concat_ws(' ', section, line)")}) AS w FROM i WHERE citable),
+ s AS (SELECT conv_id, turn, doc_id, place, count(*) AS score FROM qw JOIN iw ON conv_id = doc_id AND qw.w = iw.w GROUP BY ALL),
+ top AS (SELECT conv_id, turn, place FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, place) <= 4)
+ SELECT conv_id, turn, place FROM top UNION SELECT conv_id, turn, place + 4 FROM top WHERE place % 6 = 1 AND EXISTS (FROM i WHERE doc_id = conv_id AND i.place = top.place + 4)""")
+def retrieved_lines(spark, sf_dir):
+    """For each turn the four lines of its document that share most words with it, and their footnotes; headings, labels and short lines
+    by the citable rule: T1 T3 T4 P1 P2 J2."""
+    docs = spread(table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    kind = F.when(F.expr("ord % 6 = 0"), "HEADING").when(F.expr("ord % 6 = 5"), "FOOTNOTE").otherwise("TEXT")
+    at = lambda n: F.struct(F.col("doc_id"), (F.col("ord") + n).alias("ord"))
+    none = F.lit(None).cast("string")
+    items = lines.select(F.col("doc_id").alias("document_id"), at(0).alias("evidence_id"), "ord", kind.alias("item_type"), F.expr("cast(ord div 6 as string)").alias("section"), none.alias("row_label"), none.alias("column_label"), "text", F.when(F.expr("ord % 6 = 1"), F.array(at(4))).otherwise(F.array().cast("array<struct<doc_id:bigint,ord:int>>")).alias("linked_footnote_ids"))
+    asked = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    queries = asked.select(F.struct("conv_id", "turn").alias("query_id"), F.col("conv_id").alias("policy_id"), "text")
+    found = selection.retrieved(queries, stored(evidence.with_citable(items)), 4)
+    return found.select("query_id.*", F.col("ord").alias("place"))
