@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veridock.operators import claims, joins, ordered, rules
+from veridock.operators import claims, joins, ordered, rules, selection
 from veridock.session import scratch
 
 
@@ -184,3 +184,20 @@ def test_claims(spark):
     assert [(r.claim_id, r.text) for r in claims.flattened(deck).orderBy("ord").collect()] == [("CL-001", "x"), ("CL-002", "b1"), ("CL-003", "c1"), ("CL-004", "b2"), ("CL-005", "c2"), ("CL-006", "l")]
     tries = spark.createDataFrame([("a", 1, "t1", "UNSUPPORTED", True), ("a", 2, "t2", "VERIFIED", True), ("b", 1, None, "UNSUPPORTED", False), ("b", 2, "t", "VERIFIED", False), ("c", 1, "t", "CONTRADICTED", True), ("d", 1, "t", "VERIFIED", False), ("d", 2, "u", "VERIFIED", False)], "claim_id string, attempt int, text string, status string, material boolean")
     assert {r.claim_id: (r.text, r.outcome) for r in claims.repaired(tries).collect()} == {"a": ("t2", "REPAIRED"), "b": (None, "REMOVED"), "c": (None, "REPAIR_FAILED"), "d": ("t", "REPAIRED")}
+
+
+def test_retrieved_equals_all_pairs(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice("amber birch cedar delta ember frost grove".split()) for _ in range(n))
+    items = [(f"e{i}", rng.choice(["P", "P", "Q", None]), i, rng.choice(["", "grove", None]), None, rng.choice([some(4), some(1), "", None]), rng.random() < 0.8, [f"e{(i * 5) % 60}"] if i % 4 == 0 else []) for i in range(60)]
+    asked = [(f"q{i}", rng.choice(["P", "Q", "Z"]), some(3)) for i in range(12)] + [("none", None, "amber"), ("blank", "P", None), ("stop", "P", "the of")]
+    scratch(spark)
+    evidence = spark.createDataFrame(items, "evidence_id string, document_id string, ord int, section string, row_label string, text string, citable boolean, linked_footnote_ids array<string>")
+    got = {(r.query_id, r.evidence_id) for r in selection.retrieved(spark.createDataFrame(asked, "query_id string, policy_id string, text string"), evidence, 3).collect()}
+    live, want = [x for x in items if x[6]], set()
+    for key, policy, text in asked:
+        score = lambda x: len(set((text or "").split()) & set(f"{x[3] or ''} {x[5] or ''}".split()))  # noqa: B023, E731
+        best = sorted((-score(x), x[2], x) for x in live if policy is not None and x[1] == policy and score(x) > 0)[:3]
+        for *_, x in best:
+            want |= {(key, x[0])} | {(key, n) for n in x[7] if any(y[0] == n for y in live)}
+    assert got == {(k, e) for k, e in want if k != "stop"} and len(got) > 20

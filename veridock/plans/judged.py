@@ -102,7 +102,7 @@ _TITLE = "regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[0-9]', '',
    CASE WHEN NOT bare AND NOT short AND NOT stands THEN 'quote not in its sources' END, CASE WHEN counted THEN 'number not in the quotes' END] IF y IS NOT NULL] AS problems FROM d)
  SELECT page_id, CASE WHEN len(problems) = 0 THEN 'WEB_SOURCED' WHEN page_id % 5 = 0 THEN 'ASSUMPTION' ELSE 'MODEL_KNOWLEDGE' END AS status, array_to_string(problems, ', ') AS problems FROM x""")
 def checked_facts(spark, sf_dir):
-    """Facts said to be from pages, against the titles that they quote, some with other words, sources or numbers: R8 X26 N6."""
+    """Facts said to be from pages, against the titles that they quote, some with other words, sources or numbers: R8 X26."""
     title = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)", 1), "[0-9]", "")
     pages = spread(table(spark, sf_dir, "pages")).select("page_id", F.coalesce(title, F.lit("")).alias("title"))
     words = F.filter(F.split("title", " +"), lambda w: w != "")
@@ -162,3 +162,15 @@ def retrieved_lines(spark, sf_dir):
     queries = asked.select(F.struct("conv_id", "turn").alias("query_id"), F.col("conv_id").alias("policy_id"), "text")
     found = selection.retrieved(queries, stored(evidence.with_citable(items)), 4)
     return found.select("query_id.*", F.col("ord").alias("place"))
+
+
+@query(f"""WITH {_CLAIMS.split(',' + chr(10) + ' cl AS')[0]}, v AS (SELECT conv_id, turn, c, u, {_norm('said')} AS s, u % 2 = 0 AS numbered, 100 + c * 10 + u % 4 AS claimed, 100 + c * 10 + u % 3 AS given, u % 5 = 4 AS unknown FROM t),
+ w AS (SELECT *, {_NAMED} FROM v) SELECT conv_id, turn, CASE WHEN unknown OR a OR b OR (numbered AND abs(claimed - given) > 0.005 * greatest(claimed, given)) THEN 'NEEDS_REVIEW' ELSE 'NON_FACTUAL' END AS status FROM w WHERE conv_id IS NOT NULL AND turn IS NOT NULL""")
+def linked_statements(spark, sf_dir):
+    """Turns as lines that say why something matters: their facts must exist, their amounts be those facts', and no product be named: R5 F4."""
+    turns = _claims(spark, sf_dir).where("conv_id is not null and turn is not null")
+    amount = lambda more: F.concat(F.lit("INR "), F.format_string("%d", F.col("conv_id") * 10 + 100 + more), F.lit(" in all. "))
+    facts = turns.select("conv_id").distinct().select(F.col("conv_id").alias("run_id"), F.explode(F.array(*[F.struct(F.lit(f"f{i}").alias("fact_id"), amount(i).alias("value")) for i in range(3)])).alias("f")).select("run_id", "f.*")
+    basis = F.array_compact(F.array(F.concat(F.lit("f"), F.expr("cast(turn % 3 as string)")), F.when(F.expr("turn % 5 = 4"), "f9")))
+    claims = turns.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("claim_id"), F.concat(F.when(F.expr("turn % 2 = 0"), amount(F.expr("turn % 4"))).otherwise(""), "said").alias("text"), basis.alias("basis_fact_ids"))
+    return audit.link_verdicts(claims, facts, ALIASES).select(F.col("run_id").alias("conv_id"), F.col("claim_id").alias("turn"), "status")
