@@ -194,7 +194,7 @@ def test_retrieved_equals_all_pairs(spark):
     scratch(spark)
     evidence = spark.createDataFrame(items, "evidence_id string, document_id string, ord int, section string, row_label string, text string, citable boolean, linked_footnote_ids array<string>")
     got = {(r.query_id, r.evidence_id) for r in selection.retrieved(spark.createDataFrame(asked, "query_id string, policy_id string, text string"), evidence, 3).collect()}
-    live, want = [x for x in items if x[6]], set()
+    live, want = [x for x in items if x[6] and x[1] in ('P', 'Q')], set()
     for key, policy, text in asked:
         score = lambda x: len(set((text or "").split()) & set(f"{x[3] or ''} {x[5] or ''}".split()))  # noqa: B023, E731
         best = sorted((-score(x), x[2], x) for x in live if policy is not None and x[1] == policy and score(x) > 0)[:3]

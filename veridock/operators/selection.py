@@ -10,16 +10,20 @@ from veridock.functions import quantity as q
 from veridock.functions import textnorm as t
 from veridock.operators import searching
 from veridock.operators.rules import COVERED
+from veridock.session import stored
 
 
 def retrieved(queries: DataFrame, evidence: DataFrame, most: int = 15) -> DataFrame:
     """For each query the citable items of its policy that share most search words (``searching.top_k``, of equal ones the first in
-    the document), with the citable footnotes they link to. Queries and items without a policy find nothing.
+    the document), with the citable footnotes they link to. Queries and items without a policy find nothing,
+    and footnotes are of a policy that is asked about.
     ``queries``: query_id (unique), policy_id, text; ``evidence``: evidence_id, document_id, ord, section,
     row_label, text, citable, linked_footnote_ids."""
-    live = evidence.where("citable")
     own = lambda c: F.transform(t.tokens(c), lambda w: F.concat_ws("\n", "document_id", w))  # noqa: E731  words of one policy meet no other's
-    items = live.where("document_id is not null").select(F.struct("ord", "evidence_id").alias("item"), own(F.concat_ws(" ", "section", "row_label", "text")).alias("words"))
+    policies = queries.select(F.col("policy_id").alias("document_id")).distinct()
+    live = evidence.where("citable").join(policies, "document_id", "left_semi")
+    live = stored(live.select("evidence_id", "ord", "linked_footnote_ids", own(F.concat_ws(" ", "section", "row_label", "text")).alias("words")))
+    items = live.select(F.struct("ord", "evidence_id").alias("item"), "words")
     asked = queries.where("policy_id is not null").withColumn("document_id", F.col("policy_id")).select("query_id", own(F.col("text")).alias("asked"))
     top = searching.top_k(asked, items, "query_id", "asked", "item", "words", most).select("query_id", "item.evidence_id")
     notes = top.join(live.select("evidence_id", F.explode("linked_footnote_ids").alias("note")), "evidence_id").select("query_id", F.col("note").alias("evidence_id"))

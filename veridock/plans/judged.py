@@ -10,7 +10,7 @@ from veridock.functions import textnorm as t
 from veridock.operators import audit, ordered, rules, selection
 from veridock.plans.registry import query
 from veridock.plans.text import _BOILER, _EDGES, _TOKENS, _norm
-from veridock.session import spread, stored, table
+from veridock.session import spread, table
 from veridock.sources import evidence
 
 #: Words of the driver's texts that stand for the names of two products; a third is asked about and not known.
@@ -160,7 +160,7 @@ def retrieved_lines(spark, sf_dir):
     items = lines.select(F.col("doc_id").alias("document_id"), at(0).alias("evidence_id"), "ord", kind.alias("item_type"), F.expr("cast(ord div 6 as string)").alias("section"), none.alias("row_label"), none.alias("column_label"), "text", F.when(F.expr("ord % 6 = 1"), F.array(at(4))).otherwise(F.array().cast("array<struct<doc_id:bigint,ord:int>>")).alias("linked_footnote_ids"))
     asked = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     queries = asked.select(F.struct("conv_id", "turn").alias("query_id"), F.col("conv_id").alias("policy_id"), "text")
-    found = selection.retrieved(queries, stored(evidence.with_citable(items)), 4)
+    found = selection.retrieved(queries, evidence.with_citable(items), 4)
     return found.select("query_id.*", F.col("ord").alias("place"))
 
 
