@@ -29,3 +29,19 @@ def test_quotes_by_lang_with_ids_that_repeat(equal):
     docs = [(1, f"So {a} now.", "en"), (1, f"So {a} now.", "en"), (1, b, "de"), (2, f"{b}, {a}", None), (2, "none", "en"), (None, a, "en"), (3, None, "de"), (4, "none", "fr")]
     items = [(1, a), (2, b), (2, a), (None, b), (3, None)]
     assert len(equal("quote_match_by_lang", {"documents": ("doc_id long, text string, lang string", docs), "benchmark": ("item_id long, text string", items)})) == 4
+
+
+NATIONS = ("c_custkey long, c_nationkey int, c_acctbal double", [(1, 1, 9000.0), (2, 1, 6000.0), (3, 2, 7000.0), (4, None, 8000.0), (5, 3, 5500.0), (6, 1, -5.0), (7, 2, None)])
+SELLERS = ("s_suppkey long, s_nationkey int, s_acctbal double", [(12, 1, 6000.0), (2, 1, 1000.0), (9, 1, 500.0), (3, 2, 9000.0), (4, None, 8000.0), (5, 4, 100.0), (6, 1, 7000.0), (10, 1, -1.0)])
+
+
+def summed_up_first(spark, query, folder):
+    """No join of the plan reads rows as they are on both sides: a group's rows meet those of the other side once, not in pairs."""
+    plan = entry.queries()[query](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+    return "Aggregate" in plan[plan.rindex("Join") :]
+
+
+@pytest.mark.parametrize("query", ["reverse_links"])
+def test_many_to_many_without_pairs(spark, equal, tmp_path, query):
+    equal(query, {"customer": NATIONS, "supplier": SELLERS})
+    assert summed_up_first(spark, query, tmp_path)

@@ -150,8 +150,9 @@ def footnote_links(spark, sf_dir):
 @query("SELECT s_suppkey, count(c_custkey) AS n_items, min(c_custkey) AS first_item FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > 0 GROUP BY s_suppkey")
 def reverse_links(spark, sf_dir):
     """Notes with the items that link to them: J4 X2."""
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    return table(spark, sf_dir, "supplier").join(c, F.col("c_nationkey") == F.col("s_nationkey"), "left").groupBy("s_suppkey").agg(F.count("c_custkey").alias("n_items"), F.min("c_custkey").alias("first_item"))
+    marked = table(spark, sf_dir, "customer").where("c_acctbal > 0").groupBy("c_nationkey").agg(F.count("c_custkey").alias("n"), F.min("c_custkey").alias("first"))
+    notes = table(spark, sf_dir, "supplier").join(marked, F.col("c_nationkey") == F.col("s_nationkey"), "left")  # items are summed up by marker first: no pairs
+    return notes.groupBy("s_suppkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.min("first").alias("first_item"))
 
 
 @query("SELECT user_id, max_by(event_id, event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
