@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -244,12 +244,15 @@ def first_of_each(drafts: DataFrame, taxonomy: DataFrame, key: str, order: str)
     return taxonomy.join(first, key, "left").select(*taxonomy.columns, F.coalesce("status", F.lit("NOT_STATED")).alias("status"), F.col("status").isNotNull().alias("validated"), *values)
 
 
-def linked(items: DataFrame, notes: DataFrame, by: str, marker: str, order: str) -> DataFrame:
+def linked(items: DataFrame, notes: DataFrame, by: str, marker: str, order: str, shape: Callable[[Column], Column] = lambda ids: ids) -> DataFrame:
     """Items with the ids of the notes that have one of their markers, in order, each once. ``items`` has an array of
-    markers."""
-    ids = items.select(by, "id", F.posexplode(marker).alias("_p", "marker")).join(notes.select(by, "marker", F.col("id").alias("_note"), F.col(order).alias("_o")), [by, "marker"])
-    found = ids.groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_o", "_note"))), lambda x: x["_note"])).alias("linked"))
-    return items.join(found, "id", "left").withColumn("linked", F.coalesce("linked", F.array().cast(found.schema["linked"].dataType)))
+    markers. Notes are looked up once for all items of the same markers; ``shape`` is applied to each such list, not to each item."""
+    sets = items.select(by, marker).distinct().select(by, F.col(marker).alias("_set"), F.posexplode(marker).alias("_p", "marker"))
+    ids = sets.join(notes.select(by, "marker", F.col("id").alias("_note"), F.col(order).alias("_o")), [by, "marker"])
+    found = ids.groupBy(by, "_set").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_o", "_note"))), lambda x: x["_note"])).alias("linked"))
+    none = F.array().cast(found.schema["linked"].dataType)
+    lists = found.select(by, F.col("_set").alias(marker), shape(F.col("linked")).alias("linked"))
+    return items.join(lists, [by, marker], "left").select(*items.columns, F.coalesce("linked", shape(none)).alias("linked"))
 
 
 def peers(items: DataFrame, scope: str) -> DataFrame:

@@ -143,8 +143,8 @@ def footnote_links(spark, sf_dir):
     """Items with the notes that have their marker: J2 J3 T3."""
     items = table(spark, sf_dir, "customer").select(F.lit(1).alias("doc"), F.col("c_custkey").alias("id"), F.array("c_nationkey").alias("markers"))
     notes = table(spark, sf_dir, "supplier").where("s_acctbal < 2000").select(F.lit(1).alias("doc"), F.col("s_nationkey").alias("marker"), F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"))
-    out = rules.linked(items, notes, "doc", "markers", "ord")
-    return out.select(F.col("id").alias("c_custkey"), F.array_join(F.transform("linked", lambda x: x.cast("string")), ",").alias("linked"))
+    shown = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    return rules.linked(items, notes, "doc", "markers", "ord", shown).select(F.col("id").alias("c_custkey"), "linked")
 
 
 @query("SELECT s_suppkey, count(c_custkey) AS n_items, min(c_custkey) AS first_item FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > 0 GROUP BY s_suppkey")
