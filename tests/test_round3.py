@@ -41,7 +41,7 @@ def summed_up_first(spark, query, folder):
     return "Aggregate" in plan[plan.rindex("Join") :]
 
 
-@pytest.mark.parametrize("query", ["reverse_links", "footnote_links"])
+@pytest.mark.parametrize("query", ["reverse_links", "footnote_links", "relevant_cells"])
 def test_many_to_many_without_pairs(spark, equal, tmp_path, query):
     equal(query, {"customer": NATIONS, "supplier": SELLERS})
     assert summed_up_first(spark, query, tmp_path)

@@ -87,8 +87,16 @@ def cell_left_join(spark, sf_dir):
 @query("SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY s_suppkey) AS place FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 5000 AND c_acctbal > 5000")
 def relevant_cells(spark, sf_dir):
     """Cells of wanted exposures in order: J9 J1 J13 P6."""
-    pairs = table(spark, sf_dir, "customer").where("c_acctbal > 5000").join(table(spark, sf_dir, "supplier").where("s_acctbal > 5000"), F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
-    return ordered.numbered(pairs, ["c_custkey"], ["s_suppkey"], "place").select("c_custkey", "s_suppkey", F.col("place").cast("long").alias("place"))
+    tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small customer has many cells
+    wanted = table(spark, sf_dir, "customer").where("c_acctbal > 5000").groupBy("c_custkey").agg(F.sort_array(F.collect_list("c_nationkey")).alias("nations"))
+    each = wanted.select("nations").distinct().select("nations", F.explode("nations").alias("s_nationkey"))
+    offered = table(spark, sf_dir, "supplier").where("s_acctbal > 5000")
+    # cells are put in order once for all that want the same, so only the result has a row for each pair
+    cells = each.join(offered, "s_nationkey").groupBy("nations").agg(F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").isNull().alias("last"), "s_suppkey"))).alias("cells"))
+    lists = cells.select("nations", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"), F.transform("cells", lambda c: c["s_suppkey"]).alias("cells"))
+    dealt = wanted.withColumn("part", F.pmod(F.hash("c_custkey"), F.lit(tasks)))
+    out = dealt.repartition(tasks, "nations", "part").join(lists.repartition(tasks, "nations", "part"), ["nations", "part"]).select("c_custkey", F.posexplode("cells").alias("at", "s_suppkey"))
+    return out.select("c_custkey", "s_suppkey", (F.col("at") + 1).cast("long").alias("place"))
 
 
 _BEFORE = "SELECT o_custkey AS k, count(*) AS n, max(o_orderstatus) AS s FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1"
