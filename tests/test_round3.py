@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.test_queries import plain
+from veridock.operators import ordered
 
 
 @pytest.fixture
@@ -45,3 +46,18 @@ def summed_up_first(spark, query, folder):
 def test_many_to_many_without_pairs(spark, equal, tmp_path, query):
     equal(query, {"customer": NATIONS, "supplier": SELLERS})
     assert summed_up_first(spark, query, tmp_path)
+
+
+def test_clusters_are_looked_up_without_a_shuffle_of_the_rows(spark):
+    """Values by cells, so that what is joined to the rows is small enough to be sent to them; odd values have theirs too."""
+    rows = [(float(i % 500) * 0.25, i) for i in range(2000)] + [(v, -1) for v in (float("inf"), float("-inf"), 1e300, 1e300 * 1.0000000000000002, 1e17, 1e17 + 16, 1e17 + 32, -0.0)]
+    df = spark.createDataFrame(rows, "y double, i int")
+    got = ordered.clustered(df, [], "y", 1.1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    first, n, want = None, 0, {}
+    for v in sorted({v for v, _ in rows}):
+        if first is None or v - first >= 1.1:
+            first, n = v, n + 1
+        want[v] = n
+    assert {r.y: r.cluster for r in got.collect()} == want and got.count() == len(rows)

@@ -117,6 +117,13 @@ def _numbers(gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _half(v: Column, gap: float) -> Column:
+    """The cell of a value, half a gap wide; values that are too far from zero for that are cells of their own."""
+    x = v / F.lit(gap / 2) if gap > 0 else F.lit(float("inf"))
+    far = F.abs(x) >= 2.0**52
+    return F.struct(far.alias("far"), F.when(far, v).otherwise(F.floor(F.when(~far, x)).cast("double")).alias("at"))
+
+
 def clustered(df: DataFrame, by: Sequence[str], value: str, gap: float, name: str = "cluster") -> DataFrame:
     """``anchored`` for groups of any size: rows of a group by ascending value, numbered from 1; a new cluster begins where a
     value is ``gap`` or more above the first of the current one. Null values and NaN get a null cluster; infinite ones stand
@@ -124,7 +131,8 @@ def clustered(df: DataFrame, by: Sequence[str], value: str, gap: float, name: st
 
     Different values are sorted by range, so a large group lies in several blocks, one a partition. Where a cluster begins
     depends on all before it, but a block's effect on whatever anchor enters it is a step function of few rows. These
-    alone are composed in order; then each block numbers its own values."""
+    alone are composed in order; then each block numbers its own values. Rows look their cluster up by cells half a gap wide, in
+    which one cluster at most begins: the cells are few where values are many, and small tables are not shuffled for."""
     key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
     v = F.col(value).cast("double")
     rows = df.withColumns({"_k": key, "_v": F.when(v == 0, F.lit(0.0)).when(~F.isnan(v), v)})
@@ -136,8 +144,10 @@ def clustered(df: DataFrame, by: Sequence[str], value: str, gap: float, name: st
     effects = inside(blocks.join(across, "k", "left_semi")).mapInArrow(_summaries(gap), "k string, block int, high double, last double, n long")
     entries = effects.repartition("k").sortWithinPartitions("k", "block", "high").mapInArrow(_entries(gap), "k string, block int, anchor double, number long")
     numbered_values = inside(blocks.join(entries, ["k", "block"], "left")).mapInArrow(_numbers(gap), "k string, v double, cluster long")
-    found = numbered_values.select(F.col("k").alias("_k"), F.col("v").alias("_v"), F.col("cluster").alias(name))
-    return rows.join(found, ["_k", "_v"], "left").drop("_k", "_v")
+    starts = numbered_values.groupBy(F.col("k").alias("_k"), _half(F.col("v"), gap).alias("_cell"), "cluster").agg(F.min("v").alias("start"))
+    cells = stored(starts.groupBy("_k", "_cell").agg(F.min("cluster").alias("_low"), F.max("cluster").alias("_high"), F.max("start").alias("_start")))
+    found = rows.withColumn("_cell", _half(F.col("_v"), gap)).join(cells, ["_k", "_cell"], "left")
+    return found.select(*df.columns, F.when(F.col("_v") >= F.col("_start"), F.col("_high")).otherwise(F.col("_low")).alias(name))
 
 
 def filled(df: DataFrame, by: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
