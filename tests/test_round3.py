@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.test_queries import plain
@@ -61,3 +62,23 @@ def test_clusters_are_looked_up_without_a_shuffle_of_the_rows(spark):
             first, n = v, n + 1
         want[v] = n
     assert {r.y: r.cluster for r in got.collect()} == want and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("at_once", [7, 1000])
+def test_headings_meet_no_more_blocks_where_there_are_more(spark, monkeypatch, at_once):
+    """Denser boxes are looked up in lower cells, a block in one cell, a crowded cell in parts; odd places are left out."""
+    from veridock.operators import joins
+
+    monkeypatch.setattr(joins, "CROWD", 4)
+    monkeypatch.setattr(joins, "AT_ONCE", at_once)
+    heads = spark.range(4000).selectExpr("1 as page", "id as hid", "double(id % 50) as hx0", "double(id % 50 + 1 + id % 7) as hx1", "double(id * 0.25) as bottom")
+    reaches = [joins._fitting_reach(heads.where(f"hid % {k} = 0"), "page", 64.0, 512.0) for k in (1, 7, 49)]
+    assert reaches[0] <= 2.0 and reaches == sorted(set(reaches))
+    same = heads.where("hid < 50").withColumn("bottom", F.lit(5.0))
+    assert joins._fitting_reach(same, "page", 64.0, 512.0) > 0
+    blocks = spark.range(300).selectExpr("1 as page", "id", "double(id % 40) as x0", "double(id % 40 + 1 + id % 5) + if(id = 7, 1e15, 0) as x1", "id * 3.5D as top")
+    odd = spark.createDataFrame([(1, 900, 0.0, 5.0, float("nan")), (1, 901, 0.0, 5.0, float("inf")), (1, 902, 0.0, float("inf"), 1.0), (None, 903, 0.0, 5.0, 1.0)], "page int, id long, x0 double, x1 double, top double")
+    got = {r.id: r.hid for r in joins.closest_above(blocks.unionByName(odd), heads.union(same.selectExpr("page", "hid", "hx0", "hx1", "double('inf')")), width=50.0, height=500.0).collect()}
+    h = [(r.bottom, r.hid, r.hx0, r.hx1) for r in heads.collect()]
+    want = {r.id: min(((abs(b - r.top), i) for b, i, a, z in h if b >= r.top - 2 and a < r.x1 and z > r.x0), default=(0, None))[1] for r in blocks.collect()}
+    assert got == {k: v for k, v in want.items() if v is not None}

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from veridock.functions import predicates as p
 from veridock.functions import quantity as q
@@ -38,37 +44,112 @@ def overlapping(intervals: DataFrame, key: str, id_col: str, start: str, end: st
     return seen.where((F.col("_before") > F.col(start)) | (F.col("_next") < F.col(end))).select(id_col).distinct()
 
 
+#: Headings that lie on average in one cell of the grid that blocks are looked up in, and the most blocks that are looked up at once.
+CROWD, AT_ONCE = 1000, 50_000
+
+
+def _power(x: float) -> float:
+    """A power of two not below x: division by it is exact, so that cells have exact edges."""
+    return 2.0 ** math.ceil(math.log2(x))
+
+
+def _fitting_reach(heads: DataFrame, page: str, width: float, reach: float) -> float:
+    """The height of cells in which headings have ``CROWD`` others around them, counted on all of them. Where many have the same
+    height, no cell is low enough for that, and the last that helped is taken."""
+    before = math.inf
+    while True:
+        cells = heads.groupBy(page, F.floor(F.col("hx0") / width), F.floor(F.col("bottom") / reach)).agg(F.count("*").cast("double").alias("n"))
+        crowd = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or CROWD
+        steps = round(math.log2(crowd / CROWD))
+        if steps <= 0 and before == math.inf:
+            return reach / 2.0**steps
+        if steps <= 0 or crowd > 0.9 * before:
+            return reach
+        reach, before = reach / 2.0**steps, crowd
+
+
+class Nearest:
+    """The nearest heading of each block of a cell, by walking up and down from the block's own height, all blocks a step at a time."""
+
+    def __init__(self, schema: pa.Schema, slack: float, reach: float):
+        self.schema, self.slack, self.reach = schema, slack, reach
+
+    def __call__(self, blocks: pa.Table, heads: pa.Table) -> pa.Table:
+        heads = heads.sort_by([("bottom", "ascending"), ("hid", "ascending")])
+        bottom, hx0, hx1 = (heads.column(c).to_numpy() for c in ("bottom", "hx0", "hx1"))
+        order = np.empty(len(heads), np.int64)
+        order[pc.sort_indices(heads.column("hid")).to_numpy()] = np.arange(len(heads))
+        x0, x1, top = (blocks.column(c).to_numpy() for c in ("x0", "x1", "top"))
+        gap, best = np.full(len(blocks), np.inf), np.full(len(blocks), -1)
+        first = np.searchsorted(bottom, top)
+        for step, at in ((1, first.copy()), (-1, first - 1)):
+            on = np.arange(len(blocks))
+            while len(on):
+                on = on[(at[on] >= 0) & (at[on] < len(heads))]
+                j = at[on]
+                far = np.abs(bottom[j] - top[on])
+                near = (far <= gap[on]) & (far < self.reach) & (bottom[j] >= top[on] - self.slack)
+                on, j, far = on[near], j[near], far[near]
+                better = (np.minimum(x1[on], hx1[j]) > np.maximum(x0[on], hx0[j])) & ((far < gap[on]) | (order[j] < order[best[on]]))
+                gap[on[better]], best[on[better]] = far[better], j[better]
+                at[on] += step
+        found = pa.array(best, pa.int64(), mask=best < 0)
+        columns = [pa.array(gap, pa.float64(), mask=best < 0), *[heads.column(c).take(found) for c in ("hid", "hx0", "hx1", "bottom")]]
+        return pa.table([*[blocks.column(c) for c in self.schema.names[:-5]], *columns], names=self.schema.names).cast(self.schema)
+
+
 def closest_above(blocks: DataFrame, headings: DataFrame, page: str = "page", slack: float = 2.0, width: float = 100.0, height: float = 100.0) -> DataFrame:
     """The heading above each block (y grows upward; its bottom at most ``slack`` below the block's top) that overlaps it
     sideways, of smallest gap, of equal ones the smallest hid. ``blocks``: page, id, x0, x1, top and more; ``headings``: page, hid, hx0,
-    hx1, bottom. Blocks without one, without width or with a null place are left out.
-
-    Pages are cut into a grid, and boxes meet those of their cells only. A block first looks ``height`` far; what it finds
-    within that is its nearest. Those that find nothing look four times as far, in cells four times as high, up to the height
-    of what there is: as many rounds as that has digits to base four. Equal places are looked up once, so that a place many
-    blocks share is no hot one. ``width`` should be near that of a box, which is in as many columns as it touches."""
-    columns = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
-    place = [page, "x0", "x1", "top"]
-    heads = headings.where("hx0 < hx1").groupBy(page, "hx0", "hx1", "bottom").agg(F.min("hid").alias("hid")).withColumn("_cx", columns("hx0", "hx1"))
-    heads = stored(heads.where("bottom is not null"))
-    left = stored(blocks.where("x0 < x1 and top is not null").select(*place).distinct())
-    low, high = left.agg(F.min("top")).first()[0], heads.agg(F.max("bottom")).first()[0]
-    span = 0.0 if low is None or high is None else high - low + 2 * slack
-    reach, last, found = height, False, []
+    hx1, bottom. Blocks without one, without width or with a place that is null or not finite are left out.
+
+    Pages are cut into a grid. A block is in one cell, and meets the headings that reach into this cell, the one beside it, or
+    one above or below; it is wider than no cell, as wide blocks have wider cells. What it finds less than a cell's height
+    away is its nearest. Blocks that find nothing, which are few, look in cells eight times as high, until these are as high as
+    what there is. The first height, near ``height`` where headings are few, falls with their number, so a cell holds as many
+    however many there are; its blocks are looked up in parts. ``width`` should be near that of a box; a heading is in as many columns as it touches, and one more."""
+    width = _power(width)
+    finite = lambda *names: reduce(lambda a, b: a & b, [F.abs(F.col(c)) < math.inf for c in names])
+    heads = headings.where(F.col(page).isNotNull() & finite("hx0", "hx1", "bottom") & (F.col("hx0") < F.col("hx1")))
+    heads = stored(heads.groupBy(page, "hx0", "hx1", "bottom").agg(F.min("hid").alias("hid")))
+    # the last level is one column, for blocks of any width
+    column = lambda x, level: F.when(level >= 40, 0).otherwise(F.floor(x / (F.lit(width) * F.pow(F.lit(2.0), level))))
+    wide = F.least(F.lit(40), F.greatest(F.lit(0), F.ceil(F.log2((F.col("x1") - F.col("x0")) / width)))).cast("int")
+    left = blocks.where(F.col(page).isNotNull() & finite("x0", "x1", "top") & (F.col("x0") < F.col("x1"))).withColumn("_level", wide)
+    more = column(F.col("x1"), F.col("_level")) > column(F.col("x0"), F.col("_level")) + 1  # rounding only
+    left = left.withColumn("_level", F.when(more, F.col("_level") + 1).otherwise(F.col("_level"))).withColumn("_column", column(F.col("x0"), F.col("_level")))
+    facts = left.groupBy("_level").agg(F.min("top").alias("low")).collect()
+    high = heads.agg(F.max("bottom")).first()[0]
+    span = 0.0 if not facts or high is None else high - min(f["low"] for f in facts) + 2 * slack
+    level = F.explode(F.array(*[F.lit(f["_level"]) for f in facts])) if facts else F.lit(0)
+    near = heads.withColumn("_level", level).withColumn("_column", F.explode(F.sequence(column(F.col("hx0"), F.col("_level")) - 1, column(F.col("hx1"), F.col("_level")))))
+    cell = [page, "_level", "_column", "_row"]
+    out = StructType([*left.schema.fields, StructField("_gap", DoubleType()), *[StructField(c, heads.schema[c].dataType) for c in ("hid", "hx0", "hx1", "bottom")]])
+    reach, last, found = _fitting_reach(heads, page, width, _power(height)), False, []
     while not last:
         last = reach > span
-        cells = F.explode(F.sequence(F.floor((F.col("top") - slack) / reach), F.floor((F.col("top") + reach) / reach)))
-        asking = left.withColumn("_cx", columns("x0", "x1")).withColumn("_cy", cells)
-        met = asking.join(heads.withColumn("_cy", F.floor(F.col("bottom") / reach)), [page, "_cx", "_cy"])
-        gap = F.abs(F.col("bottom") - F.col("top"))
-        near = met.where((F.col("bottom") >= F.col("top") - slack) & (gap < reach) & (F.least("x1", "hx1") > F.greatest("x0", "hx0")))
-        best = near.groupBy(*place).agg(F.min(F.struct(gap.alias("gap"), "hid", "hx0", "hx1", "bottom")).alias("_best"))
-        asked = stored(left.join(best, place, "left"))
-        found.append(asked.where("_best is not null"))
-        left = asked.where("_best is null").select(*place)
-        reach *= 4
-    best = reduce(DataFrame.unionByName, found).select(*place, "_best.hid", "_best.hx0", "_best.hx1", "_best.bottom")
-    return blocks.join(best, place)
+        row = F.floor(F.col("bottom") / reach)
+        listed = near.withColumn("_row", F.explode(F.sequence(row - 1, F.least(row + 1, F.floor((F.col("bottom") + 2 * slack) / reach)))))
+        asking = left.withColumn("_row", F.floor(F.col("top") / reach))
+        if found:
+            listed = listed.join(asking.select(*cell).distinct(), cell, "left_semi")
+        full = stored(asking.groupBy(*cell).agg(F.ceil(F.count("*") / AT_ONCE).cast("int").alias("_parts")).where("_parts > 1"))
+        if full.isEmpty():
+            asking, listed = asking.withColumn("_part", F.lit(0)), listed.withColumn("_part", F.lit(0))
+        else:
+            parts = lambda df: df.join(full, cell, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+            asking = parts(asking).withColumn("_part", F.pmod(F.xxhash64(*blocks.columns), "_parts").cast("int"))
+            listed = parts(listed).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        work = Nearest(to_arrow_schema(out), slack, reach)
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            return work(a, b)
+
+        asked = stored(asking.groupBy(*cell, "_part").cogroup(listed.groupBy(*cell, "_part")).applyInArrow(run, out))
+        found.append(asked.where("_gap is not null"))
+        left = asked.where("_gap is null").select(*left.columns)
+        reach *= 8
+    return reduce(DataFrame.unionByName, found).select(*blocks.columns, "hid", "hx0", "hx1", "bottom")
 
 
 def not_contained(inner: DataFrame, boxes: DataFrame, page: str = "page", slack: float = 3.0, width: float = 100.0) -> DataFrame:
