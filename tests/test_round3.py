@@ -82,3 +82,20 @@ def test_headings_meet_no_more_blocks_where_there_are_more(spark, monkeypatch, a
     h = [(r.bottom, r.hid, r.hx0, r.hx1) for r in heads.collect()]
     want = {r.id: min(((abs(b - r.top), i) for b, i, a, z in h if b >= r.top - 2 and a < r.x1 and z > r.x0), default=(0, None))[1] for r in blocks.collect()}
     assert got == {k: v for k, v in want.items() if v is not None}
+
+
+@pytest.mark.parametrize("whole", [200_000, 3])
+def test_calls_are_summed_up_in_one_shuffle(spark, monkeypatch, whole):
+    """Whole runs at once, and longer runs by joins, give the same: chains, a tree, a circle with what is below, parents of another run."""
+    from veridock.operators import rules
+
+    monkeypatch.setattr(rules, "WHOLE", whole)
+    monkeypatch.setattr(rules, "AT_ONCE", 5)
+    rows = [(r, s, s - 1 if s else None, 0.0, 1) for r in (1, 2) for s in range(9)] + [(3, 0, None, 0.5, 2), (3, 1, 0, 0.0, 3), (3, 2, 0, 0.0, 4), (3, 5, 8, 0.0, 1)]
+    rows += [(4, 1, 2, 0.0, 1), (4, 2, 1, 0.0, 1), (4, 3, 2, 0.0, 1), (4, 4, None, 0.0, 7), (5, 1, None, 0.0, 1), (5, 2, 1, 0.0, 1)]
+    got = rules.rolled_up(spark.createDataFrame(rows, "run_id long, step long, parent long, seconds double, calls long"))
+    if whole > 9:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = {(r, s): 9 - s for r in (1, 2) for s in range(9)} | {(3, 0): 9, (3, 1): 3, (3, 2): 4, (3, 5): 1, (4, 1): 1, (4, 2): 1, (4, 3): 1, (4, 4): 7, (5, 1): 2, (5, 2): 1}
+    assert sorted((r.run_id, r.step, r.calls) for r in got.collect()) == sorted((*k, v) for k, v in want.items())

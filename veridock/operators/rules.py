@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructField, StructType
 
 from veridock.functions import textnorm as t
 from veridock.session import stored
@@ -285,13 +288,68 @@ def uncached(files: DataFrame, known: DataFrame, version: str) -> DataFrame:
     return files.join(done, "sha256", "left").withColumn("work", F.col("_done").isNull()).drop("_done")
 
 
+#: Steps that are summed up at once, and the most of a run that is.
+AT_ONCE, WHOLE = 50_000, 200_000
+
+
+def _calls_inside(parent: np.ndarray, calls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Calls of steps and all inside them, by paths that double, and the steps whose path never ends; ``parent``: places, -1 for none."""
+    at, sums = parent.copy(), calls.copy()
+    for _ in range(len(parent).bit_length() + 1):
+        going = np.flatnonzero(at >= 0)
+        if not len(going):
+            break
+        more = sums[going]
+        np.add.at(sums, at[going], more)
+        at[going] = at[at[going]]
+    return sums, at >= 0
+
+
+def _summed_up(steps: pa.Table) -> pa.Table:
+    """Whole runs, with the calls of all steps inside a step."""
+    n = len(steps)
+    run = steps.column("run_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    named = pa.chunked_array([*steps.column("step").chunks, *steps.column("parent").chunks]).combine_chunks().dictionary_encode().indices
+    known, names = named.is_valid().to_numpy(zero_copy_only=False), named.fill_null(0).to_numpy(zero_copy_only=False)
+    keys = (np.tile(run.astype(np.int64) + 1, 2) * (2 * n + 1)) + np.where(known, names, 2 * n)
+    order = np.argsort(keys[:n], kind="stable")
+    place = np.minimum(np.searchsorted(keys[:n], keys[n:], sorter=order), n - 1)
+    parent = np.where(known[n:] & (keys[order[place]] == keys[n:]), order[place], -1)
+    calls = steps.column("calls").cast(pa.int64()).fill_null(0).to_numpy()
+    sums, lost = _calls_inside(parent, calls)
+    if lost.any():
+        sums, _ = _calls_inside(np.where(lost, -1, parent), calls)
+    return steps.set_column(steps.column_names.index("calls"), "calls", pa.array(sums))
+
+
 def rolled_up(steps: DataFrame) -> DataFrame:
     """Steps with the calls of all steps inside them, however deep; ``steps``: run_id, step, parent, seconds, calls.
 
+    Many runs are summed up together, each as a whole, so the steps are shuffled once. Runs of more than ``WHOLE`` steps are summed up by
+    joins, see ``_doubled``. A parent that is not there counts as none. Steps whose parents run in a circle, and those
+    below them, are in no tree: they have their own calls only."""
+    steps = steps.withColumn("calls", F.col("calls").cast("long"))
+    sizes = steps.groupBy("run_id").agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
+    rows, rest = steps, None
+    if (most["most"] or 0) > WHOLE:
+        long = stored(sizes.where(F.col("_n") > WHOLE).select(F.col("run_id").alias("_run")))
+        rows, rest = (steps.join(long, F.col("run_id").eqNullSafe(F.col("_run")), how) for how in ("left_anti", "left_semi"))
+    rows = rows.groupBy(F.pmod(F.xxhash64("run_id"), F.lit(max(1, -(-(most["n"] or 0) // AT_ONCE)))).alias("_bucket"))
+
+    def run(table: pa.Table) -> pa.Table:
+        return _summed_up(table)
+
+    out = rows.applyInArrow(run, StructType([StructField(f.name, f.dataType) for f in steps.schema.fields]))
+    return out if rest is None else out.unionByName(_doubled(stored(rest)))
+
+
+def _doubled(steps: DataFrame) -> DataFrame:
+    """``rolled_up`` of runs of any length, by joins.
+
     Paths double: after a round, ``at`` is a step's ancestor twice as far up, and its sum covers twice as many levels below it, since
     the levels that are new are those of the descendants just as far down as it reached. A chain of n steps takes log n rounds
-    of two joins and a sum, and no step is ever paired with all of its ancestors. A parent that is not there counts as none. Steps
-    whose parents run in a circle, and those below them, are in no tree: they have their own calls only."""
+    of two joins and a sum, and no step is ever paired with all of its ancestors."""
     own = steps.select("run_id", "step", "parent", "calls")
     there = own.select("run_id", F.col("step").alias("parent"), F.lit(True).alias("_there"))
     own = stored(own.join(there, ["run_id", "parent"], "left").select("run_id", "step", F.when(F.col("_there"), F.col("parent")).alias("parent"), F.col("calls").cast("long").alias("calls")))
@@ -301,7 +359,7 @@ def rolled_up(steps: DataFrame) -> DataFrame:
         if round_ > most:
             lost = going.select("run_id", "step", F.lit(True).alias("_lost"))
             kept = own.join(lost, ["run_id", "step"], "left").select("run_id", "step", F.when(F.col("_lost").isNull(), F.col("parent")).alias("parent"), "calls")
-            cut = rolled_up(stored(kept).withColumn("seconds", F.lit(0.0)))
+            cut = _doubled(stored(kept).withColumn("seconds", F.lit(0.0)))
             return steps.drop("calls").join(cut.select("run_id", "step", "calls"), ["run_id", "step"]).select(*steps.columns)
         below = going.groupBy("run_id", "at").agg(F.sum("calls").alias("_more")).withColumnRenamed("at", "step")
         up = sums.select("run_id", F.col("step").alias("at"), F.col("at").alias("_next"))
