@@ -99,3 +99,15 @@ def test_calls_are_summed_up_in_one_shuffle(spark, monkeypatch, whole):
         assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     want = {(r, s): 9 - s for r in (1, 2) for s in range(9)} | {(3, 0): 9, (3, 1): 3, (3, 2): 4, (3, 5): 1, (4, 1): 1, (4, 2): 1, (4, 3): 1, (4, 4): 7, (5, 1): 2, (5, 2): 1}
     assert sorted((r.run_id, r.step, r.calls) for r in got.collect()) == sorted((*k, v) for k, v in want.items())
+
+
+def test_numbers_are_asked_what_they_need(spark):
+    """Registers are searched for where their sign is, and patterns that Spark compiles for each row only where a text holds the mark."""
+    from veridock.functions import folds, quantity
+
+    rows = [(1, "Up to INR 5,000 after 24 months, with 10% co-pay"), (2, "Call 1800 266 7780 within 7 days"), (3, "a 5 days\u0001b 3 days"), (4, "Zone 3, aged 30, form ABC/12/34 of 2 lakh")]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", quantity.quantities(F.col("t")).alias("q"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert quantity._REGISTER_SIGN in plan and folds._MARK in plan
+    got = {r.i: [(x.value, x.unit) for x in r.q] for r in df.collect()}
+    assert got == {1: [(5000.0, "INR"), (24.0, "MONTHS"), (10.0, "PERCENT")], 2: [(7.0, "DAYS")], 3: [(5.0, "DAYS"), (3.0, "DAYS")], 4: [(30.0, "YEARS"), (200000.0, "INR")]}

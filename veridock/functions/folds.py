@@ -16,13 +16,16 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def folded(items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
-    """An array of what ``emit`` makes of each item and the state before it, but for nulls; ``step`` gives the next state.
+def folded(items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str, every: bool = False) -> Column:
+    """An array of what ``emit`` makes of each item and the state before it, but for nulls, of which ``every`` says that there are none;
+    ``step`` gives the next state.
     An array that grows by one is copied each time: results are appended within blocks, and blocks to the whole."""
     none, nones = F.array().cast(kind), F.array().cast(f"array<{kind}>")
 
     def one(at: Column, item: Column) -> Column:
-        return F.struct(step(at["s"], item).alias("s"), bound(emit(at["s"], item), lambda m: F.when(m.isNull(), at["out"]).otherwise(F.concat(at["out"], F.array(m)))).alias("out"))
+        made = emit(at["s"], item)
+        grown = F.concat(at["out"], F.array(made)) if every else bound(made, lambda m: F.when(m.isNull(), at["out"]).otherwise(F.concat(at["out"], F.array(m))))
+        return F.struct(step(at["s"], item).alias("s"), grown.alias("out"))
 
     def block(at: Column, part: Column) -> Column:
         return F.aggregate(part, F.struct(at["s"].alias("s"), none.alias("out")), one, lambda end: F.struct(end["s"].alias("s"), F.concat(at["out"], F.array(end["out"])).alias("out")))
@@ -36,16 +39,19 @@ def folded(items: Column, start: Column, step: Callable[[Column, Column], Column
     return bound(items, whole)
 
 
+_MARK = "\u0001"
 PLACES = "array<struct<start:int,end:int,raw:string>>"
 
 
 def places(text: Column, pattern: Column | str) -> Column:
     """(start, end, raw) of the matches of a pattern, left to right, in code points from 0."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    sizes = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.when(m.isNotNull(), F.struct(F.length(gap).alias("gap"), m.alias("raw"))))
+    # Spark compiles a pattern that splits for each row, but not one that replaces
+    gaps = F.when(F.contains(text, F.lit(_MARK)), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1))
+    sizes = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), gaps, lambda m, gap: F.when(m.isNotNull(), F.struct(F.length(gap).alias("gap"), m.alias("raw"))))
     step = lambda at, m: at + m["gap"] + F.length(m["raw"])
     emit = lambda at, m: F.struct((at + m["gap"]).alias("start"), step(at, m).alias("end"), m["raw"].alias("raw"))
-    found = folded(F.filter(sizes, lambda s: s.isNotNull()), F.lit(0), step, emit, PLACES)
+    found = folded(F.filter(sizes, lambda s: s.isNotNull()), F.lit(0), step, emit, PLACES, every=True)
     return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(PLACES))
 
 
