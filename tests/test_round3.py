@@ -111,3 +111,17 @@ def test_numbers_are_asked_what_they_need(spark):
     assert quantity._REGISTER_SIGN in plan and folds._MARK in plan
     got = {r.i: [(x.value, x.unit) for x in r.q] for r in df.collect()}
     assert got == {1: [(5000.0, "INR"), (24.0, "MONTHS"), (10.0, "PERCENT")], 2: [(7.0, "DAYS")], 3: [(5.0, "DAYS"), (3.0, "DAYS")], 4: [(30.0, "YEARS"), (200000.0, "INR")]}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_quotes_go_to_the_views(spark, monkeypatch, few):
+    """Words of views are shuffled only for more quotes than are sent; passages of one id are looked up one by one."""
+    from veridock.operators import quoting
+
+    monkeypatch.setattr(quoting, "FEW", few)
+    texts = [(1, "so one two three four five six."), (1, "so one two three four five six."), (2, "Other words, but not these seven words at all"), (3, "x-ray (7), not more"), (None, "one two")]
+    passages = [(1, "one two three four five"), (1, "words but none of these"), (1, "but not these seven words"), (2, "ray"), (2, "more"), (3, "two"), (4, "ivory")]
+    got = quoting.quotes(spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(passages, "p int, quote string"), "t", "text", "p", "quote")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert few == 0 or plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.t or 0, r.p) for r in got.collect()) == [(0, 3), (1, 1), (1, 3), (2, 1), (3, 2)]

@@ -6,11 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that count as one, currency spellings and marker forms.
-QUOTES = ("’‘‛′“”″–—‑‒−", "''''\"\"\"-----")
-CURRENCY = (r"₹\s*", r"\binr(?![a-z])\.?\s*", r"\brs(?![a-z])\.?\s*(?=\d)", r"\brupees\b\s*")
+QUOTES = {"’‘‛′": "'", "“”″": '"', "–—‑‒−": "-"}
+#: What long texts are searched for begins with a character or a letter class, and looks around only behind that: a pattern
+#: that begins with a look around does so at every character.
+CURRENCY = (r"₹\s*", r"inr(?<=\binr)(?![a-z])\.?\s*", r"rs(?<=\brs)(?![a-z])\.?\s*(?=\d)", r"rupees(?<=\brupees)\b\s*")
+ORDINAL = r" (?=(?:st|nd|rd|th)\b)(?<=\d )"
+RAISED = r"\d(?<=[a-z]{2}\d)\d?\b"
+PERCENT = r"(?=\s?%)(?<=[a-z])\s?%(?=[\s,.;:)\]]|$)"
+#: Blanks that are not just one space.
+BLANKS = r"(?U)[\s&&[^ ]]\s*| \s+"
 RUPEE_TICK = r"`(?=\d)|(?<=\[)`(?=\])|(?<=\(in )`(?=\))"
 MARKER_TICK = r"(?<=[\p{L}\p{N}])`(?=[ \t\n/,.;:)]|$)|^(\s*)`(?=\s*[A-Z(])"
-SYMBOLS = r"(?<=[a-z0-9)])\s?(?:\*{1,4}|#{1,2}|\^{1,2}|~{1,2}|°{1,2}|@{1,2}|\$|!)(?=[\s,.;:)\]]|$)"
+SYMBOLS = r"(?=\s?[*#^~°@$!])(?<=[a-z0-9)])\s?(?:\*{1,4}|#{1,2}|\^{1,2}|~{1,2}|°{1,2}|@{1,2}|\$|!)(?=[\s,.;:)\]]|$)"
 STOP_WORDS = (
     "about above across after also among around based being below between both company companies during each from"
     " further have having into itself more most other over same such than that their them then there these they this"
@@ -37,7 +44,7 @@ def _c(c: Column | str) -> Column:
 
 def squeezed(c: Column | str) -> Column:
     """One space between words, none around."""
-    return F.trim(F.regexp_replace(_c(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_c(c), BLANKS, " "))
 
 
 def rupees_shown(c: Column | str) -> Column:
@@ -57,16 +64,18 @@ def normalised(c: Column | str, keep_paren: bool = False) -> Column:
     """The form in which quotes and evidence are compared: one currency token, unified quotes and dashes, lower case,
     footnote markers removed, single spaces, broken names joined. ``keep_paren`` keeps "(7)" as it is."""
     s = F.replace(rupees_shown(F.replace(_c(c), F.lit("�"), F.lit(""))), F.lit("`"), F.lit(""))
-    s = F.lower(F.translate(F.replace(s, F.lit("™"), F.lit(" TM")), *QUOTES))
-    s = F.replace(s, F.lit("ß"), F.lit("ss"))
+    s = F.replace(s, F.lit("™"), F.lit(" TM"))
+    for several, one in QUOTES.items():
+        s = F.regexp_replace(s, f"[{several}]", one)  # translate() looks every character up
+    s = F.replace(F.lower(s), F.lit("ß"), F.lit("ss"))
     for pattern in CURRENCY:
         s = F.regexp_replace(s, pattern, " inr ")
-    s = F.regexp_replace(s, r"(?<=\d) (?=(?:st|nd|rd|th)\b)", "")
+    s = F.regexp_replace(s, ORDINAL, "")
     if not keep_paren:
         s = F.regexp_replace(s, r"\(\d{1,2}\)", " ")
-    s = F.regexp_replace(s, r"(?<=[a-z]{2})\d{1,2}\b", "")
+    s = F.regexp_replace(s, RAISED, "")
     s = F.regexp_replace(s, SYMBOLS, "")
-    s = squeezed(F.regexp_replace(s, r"(?<=[a-z])\s?%(?=[\s,.;:)\]]|$)", ""))
+    s = squeezed(F.regexp_replace(s, PERCENT, ""))
     for broken, name in SPACED_NAMES.items():
         s = F.replace(s, F.lit(broken), F.lit(name))
     return s

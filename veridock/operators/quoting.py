@@ -3,13 +3,14 @@
 1. An item is read in up to three views: its text, its text without the footnote markers recorded for it, and, where the text goes on
    from its heading in lower case, both together. Each view is brought into the normal form once, and stored as words.
 2. A quote that stands in a view cuts no word but its first and last, so the words between stand there as they are. Every quote
-   gives the triples of its inner words; places of these triples, and of no others, are taken from the views. Quotes of
-   fewer than five words give their first run of letters and digits instead, and the views the runs of each word.
+   gives the triples of its inner words; places of these triples, and of no others, are counted in the views. Quotes of
+   fewer than five words give their first run of letters and digits instead; which words have these runs is read from the distinct words.
 3. Each quote is looked up by its rarest triple alone. Triple and place say where the quote would begin, so it is compared
    with as many words from there, never with the text.
 
-Words and places are all that is shuffled; a quote that stands in very many items has that many rows, and the joins are on equality, so
-that Spark can split them. Quotes without letters and digits have no key and are compared with every view; they are rare.
+Keys of quotes go to the views, so that neither texts nor their words are shuffled, but counts, distinct words and what is found; only
+where there are more than ``FEW`` quotes are places shuffled and joined to their views. Quotes without letters and digits have
+no key and are compared with every view; they are rare.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from veridock.session import stored
 TEXT, UNMARKED, WITH_HEADING = range(3)
 #: Words from which on a quote has inner triples.
 LONG = 5
+#: Keys or quotes up to which they are sent to the views.
+FEW = 100_000
 _PAREN = r"(\(\d{1,2}\))"
 _RUN = r"([\p{L}\p{N}]+)"
 
@@ -36,7 +39,7 @@ def _parens(text: Column) -> Column:
 
 
 def views(items: DataFrame, item: str, text: str, heading: str | None = None, unmarked: str | None = None) -> DataFrame:
-    """item, view, words, parens, stored. Texts that are null have no view."""
+    """id, item, words, parens, stored. Texts that are null have no view."""
     raw = [F.struct(F.lit(TEXT).alias("view"), F.col(text).alias("raw"))]
     if unmarked:
         raw.append(F.when(F.col(unmarked) != F.col(text), F.struct(F.lit(UNMARKED).alias("view"), F.col(unmarked).alias("raw"))))
@@ -44,16 +47,16 @@ def views(items: DataFrame, item: str, text: str, heading: str | None = None, un
         goes_on = F.col(text).rlike(r"^\p{Ll}") & F.col(heading).isNotNull() & ~F.col(heading).isin(*t.APART)
         raw.append(F.when(goes_on, F.struct(F.lit(WITH_HEADING).alias("view"), F.concat_ws(" ", heading, text).alias("raw"))))
     each = items.select(F.col(item).alias("item"), F.explode(F.array_compact(F.array(*raw))).alias("v")).where("v.raw is not null")
-    return stored(each.select("item", "v.view", _words(F.col("v.raw")).alias("words"), _parens(F.col("v.raw")).alias("parens")))
+    return stored(each.select(F.monotonically_increasing_id().alias("id"), "item", _words(F.col("v.raw")).alias("words"), _parens(F.col("v.raw")).alias("parens")))
 
 
 def wanted(passages: DataFrame, passage: str, text: str) -> DataFrame:
-    """passage, words, parens, kept, stored. A quote with "(n)" has two forms: without, for views that have the same "(n)", and with
+    """quote, passage, words, parens, kept, stored. A quote with "(n)" has two forms: without, for views that have the same "(n)", and with
     (``kept``), for the others."""
     forms = F.array(F.lit(False), F.lit(True))
     rows = passages.select(F.col(passage).alias("passage"), F.col(text).alias("raw"), _parens(F.col(text)).alias("parens"), F.explode(forms).alias("kept")).where("not kept or size(parens) > 0")
     rows = rows.select("passage", "parens", "kept", F.when(F.col("kept"), t.normalised("raw", keep_paren=True)).otherwise(t.normalised("raw")).alias("norm"))
-    return stored(rows.where("norm <> ''").select("passage", "parens", "kept", F.split("norm", " ").alias("words")))
+    return stored(rows.where("norm <> ''").select(F.monotonically_increasing_id().alias("quote"), "passage", "parens", "kept", F.split("norm", " ").alias("words")))
 
 
 def _triples(first: int, last: Column) -> Column:
@@ -69,26 +72,43 @@ def _runs(word: Column, place: Column) -> Column:
 
 
 def keys(quotes: DataFrame) -> DataFrame:
-    """passage, kept, place, key: what each quote can be looked up by."""
-    long = quotes.where(F.size("words") >= LONG).select("passage", "kept", F.explode(_triples(1, F.size("words") - 4)).alias("k"))
+    """quote, size, place, key: what each quote can be looked up by."""
+    size = F.size("words").alias("size")
+    long = quotes.where(F.size("words") >= LONG).select("quote", size, F.explode(_triples(1, F.size("words") - 4)).alias("k"))
     runs = F.transform("words", lambda w, i: _runs(w, i))
-    short = quotes.where(F.size("words") < LONG).select("passage", "kept", F.element_at(F.filter(F.flatten(runs), lambda k: k["place"].isNotNull()), F.lit(1)).alias("k"), F.size(F.flatten(runs)).alias("n"))
-    return long.unionByName(short.where("n > 0").drop("n")).select("passage", "kept", "k.place", "k.key")
+    short = quotes.where(F.size("words") < LONG).select("quote", size, F.element_at(F.filter(F.flatten(runs), lambda k: k["place"].isNotNull()), F.lit(1)).alias("k"), F.size(F.flatten(runs)).alias("n"))
+    return long.unionByName(short.where("n > 0").drop("n")).select("quote", "size", "k.place", "k.key")
 
 
-def places(seen: DataFrame, known: DataFrame, short: bool) -> DataFrame:
-    """item, view, at, key: where the known keys stand, stored. Runs are read only where a short quote asks for them."""
-    found = seen.select("item", "view", F.explode(_triples(0, F.size("words") - 3)).alias("k"))
-    if short:
-        found = found.unionByName(seen.select("item", "view", F.explode(F.flatten(F.transform("words", lambda w, i: _runs(w, i)))).alias("k")))
-    return stored(found.select("item", "view", F.col("k.place").alias("at"), F.col("k.key").alias("key")).join(known.select("key").distinct(), "key"))
+def _sent(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A table, to be sent to what it is joined with if it is short, and whether it is."""
+    few = df.limit(FEW + 1).count() <= FEW
+    return (F.broadcast(df) if few else df), few
 
 
-def rarest(known: DataFrame, found: DataFrame) -> DataFrame:
-    """passage, kept, place, key: of each quote the key with the fewest places; quotes with a key that stands nowhere are gone."""
-    counts = found.groupBy("key").agg(F.count("*").alias("n"))
+def by_word(seen: DataFrame, known: DataFrame) -> DataFrame:
+    """word, key, stored: the words of the views in which a known run stands."""
+    each = seen.select(F.explode("words").alias("word")).distinct()
+    found = each.select("word", F.explode(F.array_distinct(F.transform(_runs(F.col("word"), F.lit(0)), lambda k: k["key"]))).alias("key"))
+    return stored(found.join(_sent(known.select("key").distinct())[0], "key").select("word", "key"))
+
+
+def places(seen: DataFrame, carried: list[str], known: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """What is carried of a view, ``at`` and the columns of ``known`` for each place of a known key. Words are taken by their number, so that
+    Spark compiles it and no place is a row before it is known to matter."""
+    known, word = _sent(known)[0], lambda i: F.get("words", F.col("at") + i)
+    at = lambda least: seen.where(F.size("words") >= least).select(*carried, *({"words"} - {*carried}), F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("at"))
+    found = at(3).select(*carried, "at", F.xxhash64(word(0), word(1), word(2)).alias("key")).join(known, "key")
+    if runs is not None:
+        held = at(1).select(*carried, "at", word(0).alias("word")).join(_sent(runs)[0], "word").drop("word")
+        found = found.unionByName(held.join(known, "key"))
+    return found
+
+
+def rarest(known: DataFrame, counts: DataFrame) -> DataFrame:
+    """quote, size, place, key: of each quote the key with the fewest places; quotes with a key that stands nowhere are gone."""
     least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "key")).alias("k")
-    return known.join(counts, "key", "left").groupBy("passage", "kept").agg(least).where("k.n > 0").select("passage", "kept", "k.place", "k.key")
+    return known.join(counts, "key", "left").groupBy("quote", "size").agg(least).where("k.n > 0").select("quote", "size", "k.place", "k.key")
 
 
 def _fits(quote: Column, there: Column, parens: Column, kept: Column, has: Column) -> Column:
@@ -102,14 +122,19 @@ def quotes(items: DataFrame, passages: DataFrame, item: str, text: str, passage:
     seen, asked = views(items, item, text, heading, unmarked), wanted(passages, passage, quote)
     known = stored(keys(asked))
     short = not asked.where(F.size("words") < LONG).isEmpty()
-    found = places(seen, known, short)
-    near = rarest(known, found).join(found, "key").select("passage", "kept", "item", "view", (F.col("at") - F.col("place")).alias("at")).where("at >= 0").distinct()
-    near = near.join(asked.withColumnRenamed("words", "quote"), ["passage", "kept"])
-    near = near.join(seen.withColumnRenamed("parens", "has"), ["item", "view"])
-    there = F.slice("words", F.col("at") + 1, F.size("quote"))
-    out = near.where(_fits(F.col("quote"), there, F.col("parens"), F.col("kept"), F.col("has"))).select("item", "passage")
-    signs = asked.join(known.select("passage", "kept").distinct(), ["passage", "kept"], "left_anti")
+    runs = by_word(seen, known) if short else None
+    counts = places(seen, [], known.select("key").distinct(), runs).groupBy("key").agg(F.count("*").alias("n"))
+    near, few = _sent(stored(rarest(known, counts)))
+    begins = (F.col("at") - F.col("place")).alias("at")
+    if few:
+        there = places(seen, ["item", "words", "parens"], near, runs)
+    else:
+        there = places(seen, ["id"], near, runs).join(seen, "id")
+    there = there.select("item", "quote", "words", F.col("parens").alias("has"), "size", begins).where("at >= 0")
+    there = there.select("item", "quote", "has", F.slice("words", F.col("at") + 1, F.col("size")).alias("there")).join(asked, "quote")
+    out = there.where(_fits(F.col("words"), F.col("there"), F.col("parens"), F.col("kept"), F.col("has"))).select("item", "passage")
+    signs = asked.join(known.select("quote").distinct(), "quote", "left_anti")
     if not signs.isEmpty():
-        every = seen.withColumnRenamed("parens", "has").withColumnRenamed("words", "there")
+        every = seen.select("item", F.col("parens").alias("has"), F.col("words").alias("there"))
         out = out.unionByName(every.join(signs, _fits(F.col("words"), F.col("there"), F.col("parens"), F.col("kept"), F.col("has"))).select("item", "passage"))
     return out.distinct().select(F.col("item").alias(item), F.col("passage").alias(passage))
