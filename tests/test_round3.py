@@ -125,3 +125,44 @@ def test_quotes_go_to_the_views(spark, monkeypatch, few):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert few == 0 or plan.count("Exchange hashpartitioning") == 1
     assert sorted((r.t or 0, r.p) for r in got.collect()) == [(0, 3), (1, 1), (1, 3), (2, 1), (3, 2)]
+
+
+def test_runs_of_letters_are_those_of_the_normal_form(spark):
+    """Whatever character stands between letters, and whatever the normal form drops, joins or writes anew."""
+    import random
+    import re
+
+    import pyarrow as pa
+    from veridock.functions import textnorm as t
+    from veridock.operators import quoting
+
+    dice = random.Random(3)
+    pieces = ["Care", "rs", "Rs.", "inr", "rupees", "5", "12", "%", "*", "(7)", " ", " ", "\n", " ", "`", "�", "™", "ß", "ẞ", "İ", "K", "é", "st", "t itanium+", "platinum +", "₹", "’", "–", "_", "!", "x", "[`]", "optima secure +"]
+    mixed = ["".join(dice.choice(pieces) for _ in range(dice.randrange(1, 14))) for _ in range(20_000)]
+    texts = [f"xxb{chr(c)}ycc dd" for c in range(0x10000) if not 0xD800 <= c < 0xE000] + mixed
+    df = spark.createDataFrame(pa.table({"i": list(range(len(texts))), "s": texts}))
+    norm = {r.i: re.findall("[a-z]+", r.n) for r in df.select("i", t.normalised("s").alias("n")).collect()}
+    windows = lambda runs: {tuple(runs[a:z]) for a in range(len(runs)) for z in range(a + 1, min(a + quoting.TOGETHER, len(runs)) + 1)}
+    for i, got in enumerate(quoting.letter_runs(pa.array(texts)).to_pylist()):
+        want = {w for w in windows(norm[i]) if not any(re.search(t.MADE, r) for r in w)}
+        assert want <= windows([r.decode() for r in got if r]), (texts[i], norm[i], got)
+
+
+def test_only_texts_that_may_quote_are_brought_into_the_normal_form(spark, monkeypatch):
+    """Few of the texts are stored, bytes that are no UTF-8 and odd characters hide no quote, and a quote that tells nothing lets all in."""
+    from veridock.functions import textnorm as t
+    from veridock.operators import quoting
+
+    read = []
+    monkeypatch.setattr(quoting, "views", lambda *a, f=quoting.views, **b: read.append(f(*a, **b)) or read[-1])
+    odd = ["", "Er mußte KLA`REN Bescheid2 geben*, bald", "so Er MUSSTE (7) klaren bescheid geben", "Er musste klarens Bescheid geben", "rs. 5 mean INR 5 everywhere else", "bescheid geben", "Optima secure + and t itanium+ covers", "titanium covers and cover"]
+    rows = [(i, x) for i, x in enumerate(odd * 3 + [f"nothing of it {i}" for i in range(500)])]
+    asked = [(1, "er musste klaren bescheid"), (2, "5 mean ₹5 everywhere"), (3, "optima secure+ and titanium+ covers"), (4, "“Nothing of IT 77”"), (5, "titanium covers and")]
+    texts = spark.createDataFrame(rows, "t int, text string").unionByName(spark.sql("select -1 as t, cast(concat(unhex('ff'), 'er musste klaren', unhex('c3'), ' bescheid') as string) as text"))
+    passages = spark.createDataFrame(asked, "p int, quote string").where("p <> 4")
+    for more, most in ((passages, 30), (passages.union(spark.sql("select 6, 'it'")), len(rows) + 1)):
+        want = texts.crossJoin(more).where(t.quoted_in("quote", "text")).select("t", "p")
+        got = quoting.quotes(texts, more, "t", "text", "p", "quote")
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() >= 9
+        assert read[-1].count() <= most
+    assert quoting.quotes(texts, passages.where("p > 9"), "t", "text", "p", "quote").count() == 0 == read[-1].count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ SEARCH_STOP_WORDS = "a an and are as at be by for from in is it of on or the to
 STEM = 5
 #: Names that extraction breaks, in the normal form.
 SPACED_NAMES = {"t itanium+": "titanium+", "platinum +": "platinum+", "optima secure +": "optima secure+"}
+#: What becomes letters a-z, or falls away between them, when the normal form is made, beside A-Z.
+LETTERED = {"\u0130": "i\u0307", "\u212a": "k", "ß": "ss", "ẞ": "ss", "�": "", "`": "", "™": " tm"}
+#: Runs of letters a-z that the normal form may make of something else: currency tokens, and the first run of a name that was broken.
+MADE = r"^(?:inr|rs|rupees)$|(?:" + "|".join(sorted({re.match("[a-z]+", name)[0] for name in SPACED_NAMES.values()})) + ")$"
 #: Sections whose texts do not go on from their heading.
 APART = ("Footnotes", "Page header", "Page footer")
 HEADCOUNT = r"\b(?:employees?|workforce|staff|people|headcount|professionals|workers|personnel)\b"

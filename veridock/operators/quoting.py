@@ -1,7 +1,9 @@
 """Verbatim quotes: which items quote which passages, found by an index instead of a scan.
 
 1. An item is read in up to three views: its text, its text without the footnote markers recorded for it, and, where the text goes on
-   from its heading in lower case, both together. Each view is brought into the normal form once, and stored as words.
+   from its heading in lower case, both together. The normal form takes most of the time, so only views that may quote something are
+   brought into it, once, and stored as words. It neither drops, splits nor joins runs of the letters a-z (but for ``textnorm.MADE``), so a
+   view that has a quote has the quote's runs next to each other even before; up to three of each quote are looked for in all views.
 2. A quote that stands in a view cuts no word but its first and last, so the words between stand there as they are. Every quote
    gives the triples of its inner words; places of these triples, and of no others, are counted in the views. Quotes of
    fewer than five words give their first run of letters and digits instead; which words have these runs is read from the distinct words.
@@ -15,6 +17,11 @@ no key and are compared with every view; they are rare.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +33,8 @@ TEXT, UNMARKED, WITH_HEADING = range(3)
 LONG = 5
 #: Keys or quotes up to which they are sent to the views.
 FEW = 100_000
+#: Runs of a quote that all views are searched for, the letters they have together for that to spare anything, and rows searched at once.
+TOGETHER, TELLING, AT_ONCE = 3, 8, 2000
 _PAREN = r"(\(\d{1,2}\))"
 _RUN = r"([\p{L}\p{N}]+)"
 
@@ -38,16 +47,68 @@ def _parens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(_PAREN)))
 
 
-def views(items: DataFrame, item: str, text: str, heading: str | None = None, unmarked: str | None = None) -> DataFrame:
-    """id, item, words, parens, stored. Texts that are null have no view."""
+def anchors(quotes: DataFrame) -> list[tuple[str, ...]] | None:
+    """Of each quote the most, up to ``TOGETHER``, and longest runs of letters that stand next to each other in whatever quotes it. None, so that
+    every view is read, where a quote has none of ``TELLING`` letters, as most views have "the", or where there are more than ``FEW``."""
+    runs, size = F.col("runs"), F.size("runs")
+
+    def longest(n: int) -> Column:
+        each = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.slice(runs, i, n)))
+        fit = F.filter(each, lambda some: (F.length(F.array_join(some, "")) >= TELLING) & ~F.exists(some, lambda r: r.rlike(t.MADE)))
+        return F.array_max(F.transform(fit, lambda some: F.struct(F.length(F.array_join(some, "")).alias("n"), some.alias("runs"))))["runs"]
+
+    found = quotes.select(F.regexp_extract_all(F.array_join("words", " "), F.lit("([a-z]+)")).alias("runs"))
+    rows = found.select(F.coalesce(*[longest(n) for n in range(TOGETHER, 0, -1)]).alias("anchor")).distinct().limit(FEW + 1).collect()
+    return None if len(rows) > FEW or any(r.anchor is None for r in rows) else [tuple(r.anchor) for r in rows]
+
+
+def letter_runs(texts: pa.Array) -> pa.ListArray:
+    """The runs of letters a-z that texts have in their normal form, read from the texts as they are."""
+    texts = pc.ascii_lower(texts).cast(pa.binary())
+    for char, letters in t.LETTERED.items():
+        texts = pc.replace_substring(texts, char.encode(), letters.encode())
+    return pc.split_pattern_regex(texts, "[^a-z]+")
+
+
+def _having(known: list[tuple[str, ...]], column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps rows whose text has one of the known rows of runs. Runs are numbered, so what is looked up is a number for each place."""
+    words = sorted({w for k in known for w in k})
+    number = {w: i for i, w in enumerate(words)}
+    code = lambda of: sum(x * len(words) ** i for i, x in enumerate(of))
+    wanted = {n: np.array(sorted({code([number[w] for w in k]) for k in known if len(k) == n}), np.int64) for n in {len(k) for k in known}}
+
+    def rows(texts: pa.Array) -> np.ndarray:
+        runs = letter_runs(texts)
+        ids = pc.index_in(runs.flatten(), value_set=pa.array([w.encode() for w in words], pa.binary())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = []
+        for n, codes in wanted.items():
+            parts = [ids[i : len(ids) - n + 1 + i] for i in range(n)] if len(ids) >= n else [ids[:0]] * n
+            at = np.flatnonzero(np.logical_and.reduce([x >= 0 for x in parts]))
+            found.append(at[np.isin(code([x[at] for x in parts]), codes)])
+        # runs of two texts beside each other may look like one row of runs: that text is kept for nothing
+        return np.unique(np.searchsorted(runs.offsets.to_numpy(), np.concatenate(found), side="right") - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows if known else 0, AT_ONCE):
+                some = batch.slice(first, AT_ONCE)
+                yield some.take(pa.array(rows(some.column(column)), pa.int64()))
+
+    return run
+
+
+def views(items: DataFrame, item: str, text: str, heading: str | None = None, unmarked: str | None = None, known: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """id, item, words, parens, stored. Texts that are null have no view, nor have, where ``known`` is given, those without any of these ``anchors``."""
     raw = [F.struct(F.lit(TEXT).alias("view"), F.col(text).alias("raw"))]
     if unmarked:
         raw.append(F.when(F.col(unmarked) != F.col(text), F.struct(F.lit(UNMARKED).alias("view"), F.col(unmarked).alias("raw"))))
     if heading:
         goes_on = F.col(text).rlike(r"^\p{Ll}") & F.col(heading).isNotNull() & ~F.col(heading).isin(*t.APART)
         raw.append(F.when(goes_on, F.struct(F.lit(WITH_HEADING).alias("view"), F.concat_ws(" ", heading, text).alias("raw"))))
-    each = items.select(F.col(item).alias("item"), F.explode(F.array_compact(F.array(*raw))).alias("v")).where("v.raw is not null")
-    return stored(each.select(F.monotonically_increasing_id().alias("id"), "item", _words(F.col("v.raw")).alias("words"), _parens(F.col("v.raw")).alias("parens")))
+    each = items.select(F.col(item).alias("item"), F.explode(F.array_compact(F.array(*raw))).alias("v")).select("item", "v.raw").where("raw is not null")
+    if known is not None:
+        each = each.mapInArrow(_having(known, "raw"), each.schema)
+    return stored(each.select(F.monotonically_increasing_id().alias("id"), "item", _words(F.col("raw")).alias("words"), _parens(F.col("raw")).alias("parens")))
 
 
 def wanted(passages: DataFrame, passage: str, text: str) -> DataFrame:
@@ -119,7 +180,8 @@ def _fits(quote: Column, there: Column, parens: Column, kept: Column, has: Colum
 
 def quotes(items: DataFrame, passages: DataFrame, item: str, text: str, passage: str, quote: str, heading: str | None = None, unmarked: str | None = None) -> DataFrame:
     """(item, passage) of passages that an item quotes verbatim."""
-    seen, asked = views(items, item, text, heading, unmarked), wanted(passages, passage, quote)
+    asked = wanted(passages, passage, quote)
+    seen = views(items, item, text, heading, unmarked, anchors(asked))
     known = stored(keys(asked))
     short = not asked.where(F.size("words") < LONG).isEmpty()
     runs = by_word(seen, known) if short else None
