@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from veridock.llm import ann, topk
+from veridock.llm import ann, topk, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, score string, ids int"
 
@@ -54,6 +54,15 @@ def test_topk_is_exact(spark):
         assert out == brute(data, 50, 5, dot, False, True)
 
 
+def test_topk_of_rows_that_fill_their_blocks(spark, monkeypatch):
+    """Rows and queries whose number is a multiple of a block's, so that nothing is left for a last one."""
+    monkeypatch.setattr(topk, "ROWS", 100)
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    data = rows(200, 8) + [(1050, [1.0, 3.0], "x", 0), (1051, [2.0, 1.0], "x", 0)]
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == brute(data, 50, 5, dot, False, True)
+
+
 def test_topk_scores_of_any_size(spark):
     """Components beyond 32 bits, products beyond 53 and beyond 63 bits, and products that cancel."""
     small = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [1e7, 1.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")

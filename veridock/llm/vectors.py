@@ -53,7 +53,8 @@ class Pack:
                 if sum(len(i) for i, _ in part) >= self.rows:
                     yield from self.cut(int(dim), part, self.rows)
         for dim, part in held.items():
-            yield from self.cut(dim, part, 1)
+            if part:  # nothing is left of rows that filled their blocks
+                yield from self.cut(dim, part, 1)
 
     def cut(self, dim: int, part: list, least: int) -> Iterator[pa.RecordBatch]:
         ids, vectors = np.concatenate([i for i, _ in part]), np.concatenate([v for _, v in part])
