@@ -63,6 +63,37 @@ def test_topk_of_rows_that_fill_their_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == brute(data, 50, 5, dot, False, True)
 
 
+def test_blocks_of_long_vectors_hold_fewer_rows():
+    """8 MB of vectors are a block, however long they are; every row is in one, in a batch that fills blocks exactly too."""
+    data = np.random.default_rng(6).normal(size=(36, 1 << 16))
+    for n in (36, 32):
+        v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) << 16), pa.array(data[:n].ravel()))
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), v], names=["vec_id", "v"])
+        out = [b.to_pylist()[0] for b in vectors.Pack(vectors.ROWS, "<f8")(iter([batch]))]
+        assert [b["n"] for b in out] == [16] * (n // 16) + [n % 16] * (n % 16 > 0)
+        assert b"".join(b["vectors"] for b in out) == data[:n].tobytes() and np.frombuffer(b"".join(b["ids"] for b in out), "<i8").tolist() == list(range(n))
+
+
+@pytest.mark.parametrize("top,kind", [(3, np.float32), (1e4, np.float64), (1e8, np.int64), (1e12, object)])
+def test_best_of_many_queries_at_once(top, kind):
+    """Copies, ties and ids that repeat, in each of the types of scores: what is held after each of three blocks is exact."""
+    rng = np.random.default_rng(8)
+    for ids in (rng.permutation(900), rng.integers(0, 400, 900)):
+        data = np.floor(rng.uniform(-top, top, (900, 4)))[rng.integers(0, 300, 900)]
+        asked = np.arange(0, 900, 9)
+        assert topk.exact_type(data, data) is kind
+        exact = data.astype(np.int64).astype(object)
+        held = [(np.zeros(0, np.int64), np.zeros(0, kind)) for _ in asked]
+        for a in (0, 300, 600):
+            i, v = topk.gathered(ids[a : a + 300], data[a : a + 300])
+            topk.Ranges(i, topk.converted(v, kind), 64).search(ids[asked], topk.converted(data[asked], kind), held, 5)
+            for q, (found, scores) in zip(asked, held, strict=True):
+                best = {}
+                for c in np.flatnonzero(ids[: a + 300] != ids[q]):
+                    best[ids[c]] = max(best.get(ids[c], -math.inf), exact[q] @ exact[c])
+                assert list(zip(found, map(int, scores), strict=True)) == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
 def test_topk_scores_of_any_size(spark):
     """Components beyond 32 bits, products beyond 53 and beyond 63 bits, and products that cancel."""
     small = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [1e7, 1.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")

@@ -38,13 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", **options: int) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there and a lost executor loses
     nothing. ``discard`` deletes the files once nothing reads them any more; what a result still reads stays until the
     cluster's own cleaning of that folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridock/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.veridock_path = path
     return out

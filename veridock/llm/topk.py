@@ -1,13 +1,13 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
 A component is a term and its integer value the term's weight. Rows are kept in ranges; each range has, for every term,
-the largest and smallest weight in it and its rows as a forward index. For a query the ranges are ordered by their summed
-term maxima (the larger of query weight times maximum and times minimum, summed over terms); rows are scored through the
-forward index range by range until the next bound falls below the k-th best score. Bounds that equal the k-th best are
-still scored, as ties go to smaller ids. The result is exact.
+the largest and smallest weight in it and its rows as a forward index. For a query a range is bounded by its summed
+term maxima (the larger of query weight times maximum and times minimum, summed over terms). The range of its highest bound
+is scored first, then, range by range and for all queries of a block at once, those whose bound does not fall below the
+k-th best score so far. Bounds that equal the k-th best are still scored, as ties go to smaller ids. The result is exact.
 
-Scores are exact integers whatever the components' size: a pair of blocks is scored in double precision if none of its sums
-can leave 53 bits, in 64-bit integers if none can leave 63, and in Python's integers otherwise.
+Scores are exact integers whatever the components' size: a pair of blocks is scored in single precision if none of its sums
+can leave 24 bits, in double if none can leave 53, in 64-bit integers if none can leave 63, and in Python's integers otherwise.
 
 How much is pruned depends on the vectors: ranges of vectors that point into one direction are passed over as a whole, while
 vectors spread evenly over a sphere of many dimensions have no range whose maxima fall below a k-th best score.
@@ -20,6 +20,7 @@ result could not hold, is an OverflowError; an empty table gives an empty result
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -47,9 +48,9 @@ def gathered(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def merge(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of both, best first, ties by id, each id once."""
+    """The k best of both, best first, ties by id, each id once; scores are Python's integers."""
     i, s = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
-    order = np.lexsort((i, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], i[j])), np.int64)
+    order = np.array(sorted(range(len(s)), key=lambda j: (-s[j], i[j])), np.int64)
     i, s = i[order], s[order]
     _, first = np.unique(i, return_index=True)
     if len(first) < len(i):
@@ -58,6 +59,76 @@ def merge(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarr
     return i[:k], s[:k]
 
 
+class Best:
+    """The k best of each query of a block, best first, ties by id, each id once; scores are of one of numpy's types."""
+
+    def __init__(self, held: list, k: int, kind: np.dtype):
+        self.held, self.k = held, k
+        self.n = np.array([len(s) for _, s in held], np.int64)
+        self.ids, self.scores = np.zeros((len(held), k), np.int64), np.zeros((len(held), k), kind)
+        self.changed = np.zeros(len(held), bool)
+        for j in np.flatnonzero(self.n):
+            self.ids[j, : self.n[j]], self.scores[j, : self.n[j]] = held[j]
+
+    def passed(self, bounds: np.ndarray) -> np.ndarray:
+        """Which queries' bounds are not below their k-th best."""
+        return (self.n < self.k) | (bounds >= self.scores[:, -1])
+
+    def add(self, asked: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, unique: bool) -> None:
+        """``scores``: a row for each query of ``asked``, a column for each of ``ids``; ``unique``: no id repeats."""
+        full, last = self.n[asked] >= self.k, self.scores[asked, -1]
+        fit = (scores >= last[:, None]) | ~full[:, None]
+        if unique and scores.shape[1] > self.k + 1 and np.count_nonzero(fit) > 4 * self.k * len(asked):
+            # of one range, with the query itself, the k + 1 best are enough, and what equals the last of them
+            fit &= scores >= np.partition(scores, -self.k - 1, axis=1)[:, -self.k - 1, None]
+        row, c = np.divmod(np.flatnonzero(fit), len(ids))
+        i, s = ids[c], scores[row, c]
+        new = (i != q_ids[asked[row]]) & (~full[row] | (s > last[row]) | (i <= self.ids[asked[row], -1]))
+        if not new.any():
+            return
+        j, i, s = asked[row[new]], i[new], s[new]
+        touched = np.unique(j)
+        at, place = np.divmod(np.flatnonzero(np.arange(self.k) < self.n[touched][:, None]), self.k)
+        at = touched[at]
+        j, i, s = np.concatenate([at, j]), np.concatenate([self.ids[at, place], i]), np.concatenate([self.scores[at, place], s])
+        order = np.lexsort((i, -s, j))
+        j, i, s = j[order], i[order], s[order]
+        by_id = np.lexsort((i, j))  # equal ones stay in their order, best first
+        first = np.ones(len(j), bool)
+        first[by_id[1:]] = (j[by_id[1:]] != j[by_id[:-1]]) | (i[by_id[1:]] != i[by_id[:-1]])
+        j, i, s = j[first], i[first], s[first]
+        rank = np.arange(len(j)) - np.searchsorted(j, j)
+        j, i, s, rank = (x[rank < self.k] for x in (j, i, s, rank))
+        self.ids[j, rank], self.scores[j, rank], self.changed[touched] = i, s, True
+        self.n[touched] = np.bincount(np.searchsorted(touched, j), minlength=len(touched))
+
+    def store(self) -> None:
+        for j in np.flatnonzero(self.changed):
+            self.held[j] = (self.ids[j, : self.n[j]].copy(), self.scores[j, : self.n[j]].copy())
+
+
+class BestOfAnySize:
+    """The same for Python's integers."""
+
+    def __init__(self, held: list, k: int, kind: np.dtype):
+        self.held, self.k = held, k
+        self.floor = np.array([s[k - 1] if len(s) >= k else -math.inf for _, s in held], dtype=object)
+
+    def passed(self, bounds: np.ndarray) -> np.ndarray:
+        return (bounds >= self.floor).astype(bool)
+
+    def add(self, asked: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, unique: bool) -> None:
+        for j, found in zip(asked, scores, strict=True):
+            fit = np.flatnonzero((found >= self.floor[j]).astype(bool) & (ids != q_ids[j]))
+            if len(fit):
+                self.held[j] = merge(self.held[j], ids[fit], found[fit], self.k)
+                if len(self.held[j][1]) >= self.k:
+                    self.floor[j] = self.held[j][1][self.k - 1]
+
+    def store(self) -> None:
+        """They are in ``held`` already."""
+
+
 def scaled(vectors: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * x): doubles, which hold it exactly, or Python integers if a product leaves the doubles."""
     with np.errstate(over="ignore"):
@@ -69,14 +140,14 @@ def scaled(vectors: np.ndarray, scale: int) -> np.ndarray:
 
 
 #: Types of scores, from the narrowest.
-KINDS = (np.float64, np.int64, object)
+KINDS = (np.float32, np.float64, np.int64, object)
 
 
 def exact_type(a: np.ndarray, b: np.ndarray) -> type:
     """The type in which all inner products of rows of ``a`` and ``b`` are exact."""
     most = [int(max(abs(x.max()), abs(x.min()))) if x.size else 0 for x in (a, b)]
     largest = most[0] * most[1] * a.shape[1]
-    return np.float64 if largest < 1 << 53 else np.int64 if largest < 1 << 63 and max(most) < 1 << 62 else object
+    return np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64 if largest < 1 << 63 and max(most) < 1 << 62 else object
 
 
 def converted(x: np.ndarray, kind: type) -> np.ndarray:
@@ -93,28 +164,23 @@ class Ranges:
         self.forward = [vectors[a : a + rows] for a in range(0, len(ids), rows)]
         self.most = np.stack([f.max(axis=0) for f in self.forward])
         self.least = np.stack([f.min(axis=0) for f in self.forward])
+        self.unique = [len(np.unique(i)) == len(i) for i in self.ids]
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, held: list, k: int) -> int:
         """Bring the best of each query up to date; returns how many (query, range) were scored."""
+        if not len(q):
+            return 0
         zero = q.dtype.type(0) if q.dtype != object else 0
         bound = np.maximum(q, zero) @ self.most.T + np.minimum(q, zero) @ self.least.T
-        order = np.argsort(-bound, axis=1, kind="stable")
-        floor = np.array([s[k - 1] if len(s) >= k else -math.inf for _, s in held], dtype=None if q.dtype != object else object)
-        alive, scored = np.arange(len(q)), 0
-        for step in range(order.shape[1]):
-            at = order[alive, step]
-            alive, at = (x[(bound[alive, at] >= floor[alive]).astype(bool)] for x in (alive, at))
-            if not len(alive):
-                break
-            for r in np.unique(at):
-                asked = alive[at == r]
-                scored += len(asked)
-                for j, scores in zip(asked, q[asked] @ self.forward[r].T, strict=True):
-                    fit = np.flatnonzero((scores >= floor[j]).astype(bool) & (self.ids[r] != q_ids[j]))
-                    if len(fit):
-                        held[j] = merge(held[j], self.ids[r][fit], scores[fit], k)
-                        if len(held[j][1]) >= k:
-                            floor[j] = held[j][1][k - 1]
+        best = (Best if q.dtype != object else BestOfAnySize)(held, k, q.dtype)
+        highest, scored = bound.argmax(axis=1), 0
+        for wanted in (True, False):  # the range of its highest bound first, then the others
+            for r in np.argsort(-bound.max(axis=0), kind="stable"):
+                asked = np.flatnonzero(((highest == r) == wanted) & best.passed(bound[:, r]))
+                if len(asked):
+                    scored += len(asked)
+                    best.add(asked, q_ids, self.ids[r], q[asked] @ self.forward[r].T, self.unique[r])
+        best.store()
         return scored
 
 
@@ -138,8 +204,8 @@ class Search:
                     raw, block = ((ids, vectors), (i, scaled(v, self.scale))), (None, None)
                 i, v = raw[1]
                 q = scaled(q, self.scale)
-                key = q_ids + q_vectors
-                best = held.pop(key, None) or (asked, [(np.zeros(0, np.int64), np.zeros(0, np.float64)) for _ in asked], np.float64)
+                key = hashlib.sha256(q_ids + q_vectors).digest()
+                best = held.pop(key, None) or (asked, [(np.zeros(0, np.int64), np.zeros(0, KINDS[0])) for _ in asked], KINDS[0])
                 kind = max(exact_type(v, q), best[2], key=KINDS.index)
                 if block[0] is not kind:
                     block = (kind, Ranges(i, converted(v, kind)))

@@ -17,8 +17,10 @@ from pyspark.sql import Window as W
 
 from veridock.llm.common import arrow_batches, written
 
-#: Rows of a block, queries of a block: a pair of blocks is at most 8 MB at 128 components.
-ROWS, QUERIES = 8192, 256
+#: Rows of a block, queries of a block, and bytes of either: longer vectors come in smaller blocks.
+ROWS, QUERIES, BYTES = 8192, 2048, 8 << 20
+#: Parquet looks at a row group's size after 100 rows only, which may be 800 MB of blocks; so it looks after each.
+FINE = {"parquet.block.size": 32 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 BLOCK = "dim int, n int, ids binary, vectors binary"
 
@@ -50,18 +52,22 @@ class Pack:
                 vectors = flat[(first[chosen][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
                 part = held.setdefault(int(dim), [])
                 part.append((ids[chosen], vectors))
-                if sum(len(i) for i, _ in part) >= self.rows:
-                    yield from self.cut(int(dim), part, self.rows)
+                if sum(len(i) for i, _ in part) >= self.size(int(dim)):
+                    yield from self.cut(int(dim), part, self.size(int(dim)))
         for dim, part in held.items():
             if part:  # nothing is left of rows that filled their blocks
                 yield from self.cut(dim, part, 1)
 
+    def size(self, dim: int) -> int:
+        return max(1, min(self.rows, BYTES // (dim * np.dtype(self.kind).itemsize)))
+
     def cut(self, dim: int, part: list, least: int) -> Iterator[pa.RecordBatch]:
+        rows = self.size(dim)
         ids, vectors = np.concatenate([i for i, _ in part]), np.concatenate([v for _, v in part])
         part.clear()
         while len(ids) >= max(1, least):
-            i, v = ids[: self.rows], vectors[: self.rows].astype(self.kind)
-            ids, vectors = ids[self.rows :], vectors[self.rows :]
+            i, v = ids[:rows], vectors[:rows].astype(self.kind)
+            ids, vectors = ids[rows:], vectors[rows:]
             if self.prepare:
                 i, v = self.prepare(i, v)
             yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(i)], pa.int32()), pa.array([i.astype("<i8").tobytes()]), pa.array([v.tobytes()])], names=["dim", "n", "ids", "vectors"])
@@ -76,14 +82,14 @@ def blocks(rows: DataFrame, size: int, kind: str, name: str, prepare: Callable |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return work(batches)
 
-    return written(rows.mapInArrow(run, BLOCK), name)
+    return written(rows.mapInArrow(run, BLOCK), name, **FINE)
 
 
 def query_blocks(rows: DataFrame, is_query: Column, kind: str) -> DataFrame:
-    """Blocks of the rows that are queries, dealt out so that each block is about full."""
+    """Blocks of the rows that are queries, dealt out so that each block is about full and few partitions need a second one."""
     asked = rows.where(is_query)
     n = asked.count()
-    return blocks(asked.repartition(max(1, -(-n // QUERIES)), "vec_id"), QUERIES, kind, "queries")
+    return blocks(asked.repartition(max(1, -(-n * 8 // (QUERIES * 7))), "vec_id"), QUERIES, kind, "queries")
 
 
 def searched(rows: DataFrame, queries: DataFrame, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], k: int) -> DataFrame:
