@@ -65,25 +65,29 @@ class Best:
     def __init__(self, held: list, k: int, kind: np.dtype):
         self.held, self.k = held, k
         self.n = np.array([len(s) for _, s in held], np.int64)
-        self.ids, self.scores = np.zeros((len(held), k), np.int64), np.zeros((len(held), k), kind)
+        # places that are not taken hold less than any score
+        self.ids, self.scores = np.zeros((len(held), k), np.int64), np.full((len(held), k), -np.inf if kind.kind == "f" else np.iinfo(kind).min, kind)
         self.changed = np.zeros(len(held), bool)
         for j in np.flatnonzero(self.n):
             self.ids[j, : self.n[j]], self.scores[j, : self.n[j]] = held[j]
 
     def passed(self, bounds: np.ndarray) -> np.ndarray:
         """Which queries' bounds are not below their k-th best."""
-        return (self.n < self.k) | (bounds >= self.scores[:, -1])
+        return bounds >= self.scores[:, -1]
 
     def add(self, asked: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, unique: bool) -> None:
         """``scores``: a row for each query of ``asked``, a column for each of ``ids``; ``unique``: no id repeats."""
-        full, last = self.n[asked] >= self.k, self.scores[asked, -1]
-        fit = (scores >= last[:, None]) | ~full[:, None]
+        hit = np.flatnonzero(scores.max(axis=1) >= self.scores[asked, -1])
+        if not len(hit):
+            return
+        asked, scores, last = asked[hit], scores[hit], self.scores[asked[hit], -1]
+        fit = scores >= last[:, None]
         if unique and scores.shape[1] > self.k + 1 and np.count_nonzero(fit) > 4 * self.k * len(asked):
             # of one range, with the query itself, the k + 1 best are enough, and what equals the last of them
             fit &= scores >= np.partition(scores, -self.k - 1, axis=1)[:, -self.k - 1, None]
         row, c = np.divmod(np.flatnonzero(fit), len(ids))
         i, s = ids[c], scores[row, c]
-        new = (i != q_ids[asked[row]]) & (~full[row] | (s > last[row]) | (i <= self.ids[asked[row], -1]))
+        new = (i != q_ids[asked[row]]) & ((s > last[row]) | (i <= self.ids[asked[row], -1]))
         if not new.any():
             return
         j, i, s = asked[row[new]], i[new], s[new]
@@ -174,12 +178,14 @@ class Ranges:
         bound = np.maximum(q, zero) @ self.most.T + np.minimum(q, zero) @ self.least.T
         best = (Best if q.dtype != object else BestOfAnySize)(held, k, q.dtype)
         highest, scored = bound.argmax(axis=1), 0
+        room = np.empty(len(q) * max(map(len, self.forward)), q.dtype)  # for scores; a new array each time takes longer than they do
         for wanted in (True, False):  # the range of its highest bound first, then the others
             for r in np.argsort(-bound.max(axis=0), kind="stable"):
                 asked = np.flatnonzero(((highest == r) == wanted) & best.passed(bound[:, r]))
                 if len(asked):
                     scored += len(asked)
-                    best.add(asked, q_ids, self.ids[r], q[asked] @ self.forward[r].T, self.unique[r])
+                    scores = room[: len(asked) * len(self.ids[r])].reshape(len(asked), -1)
+                    best.add(asked, q_ids, self.ids[r], np.matmul(q[asked], self.forward[r].T, out=scores), self.unique[r])
         best.store()
         return scored
 
